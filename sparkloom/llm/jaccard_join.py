@@ -12,7 +12,9 @@ c = ceil(t * n) of them, so under any order of all shingles the first n - c + l
 Copies with equal sets are one class from the start. A list of k classes is not turned into k * k pairs: each class is
 compared with the list's smallest member, linked classes become components, and only members of one list that are still
 in different components are then compared with one another. So no link between two different sets is lost: either both
-ends are in one component already, or the pair itself is compared. Sets are compared whole, as 64-bit hashes.
+ends are in one component already, or the pair itself is compared. A pair is first judged by its parity sketches (a bit
+for each of 2048 bins of the hash space: how many differ is a lower bound of how many shingles differ), which rules out
+nearly all that share a passage only; what remains is compared by its whole sets of 64-bit hashes.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows that repeat are copies of one
 class. Columns other than the id and the text are not looked at.
@@ -32,8 +34,9 @@ from .shared import LOWER, U, bitmap_array, components, maybe_in, mix, span_hash
 
 SHINGLE = 5
 PERCENT = 80
-#: A shingle is heavy if it is found more often than this and than one millionth of all shingles: a million at most.
-HEAVY_LEAST, HEAVY_SHARE = 64, 1_000_000
+#: A shingle is heavy if it is found more often than this and than a four-millionth of all: at most 4 million, 32 MB.
+HEAVY_LEAST, HEAVY_SHARE = 64, 4_000_000
+SKETCH_BITS = 2048
 #: Shingles after which a task adds up what it has seen more than once.
 BLOCK = 4_000_000
 PAIR_MARK = U(0x5851F42D4C957F2D)
@@ -66,25 +69,34 @@ def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix((total[first[1:]] - total[first[:-1]]) ^ mix(n)), U(0)).view(np.int64)
 
 
+def sketches(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """SKETCH_BITS parity bits for each set, as longs."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    bins = np.bincount(owner * SKETCH_BITS + (hashes >> U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=n * SKETCH_BITS)
+    packed = np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(packed))
+
+
 def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, sid) of the documents, and rows (shingle, times) of those met again."""
+    """One pass over the texts: rows (doc_id, n, sid, sketch) of the documents, and rows (shingle, times) of those met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
-        def row(doc_id=None, n=None, sid=None, shingle=None, times=None):
-            k = next(len(x) for x in (doc_id, shingle) if x is not None)
-            cols = [pa.nulls(k, pa.int64()) if x is None else pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x for x in (doc_id, n, sid, shingle, times)]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sid", "shingle", "times"])
+        names = ["doc_id", "n", "sid", "sketch", "shingle", "times"]
 
         def again():
             found, times = np.unique(np.concatenate(held), return_counts=True)
-            return row(shingle=found[times > 1].view(np.int64), times=times[times > 1])
+            found, times = found[times > 1].view(np.int64), times[times > 1]
+            none = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(found), pa.list_(pa.int64())), pa.array(found), pa.array(times)], names)
 
         for batch in batches:
             for rows, data, offs in text_steps(batch):
                 hashes, first, _ = shingle_sets(data, offs, size)
-                yield row(rows.column(0), np.diff(first), set_ids(hashes, first))
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(set_ids(hashes, first)), sketches(hashes, first), none, none], names)
                 held.append(hashes)
                 n_held += len(hashes)
                 if n_held >= BLOCK:
@@ -94,7 +106,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
             yield again()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, sid long, shingle long, times long")
+    return slim.mapInArrow(run, "doc_id long, n long, sid long, sketch array<long>, shingle long, times long")
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -167,47 +179,64 @@ def sets_of(docs: DataFrame, text_col: str, size: int, wanted) -> DataFrame:
     return slim.mapInArrow(run, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
+def plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches don't rule out; signs has (sid, n, sketch)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(signs.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
+        if c == "b":
+            pairs = pairs.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return pairs.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).drop("n_a", "n_b", "s_a", "s_b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets link."""
     a = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
+    shared = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(a, "a").join(b, "b")
-        .where((F.size("x") * 100 >= F.size("y") * percent) & (F.size("y") * 100 >= F.size("x") * percent))
-        .where(both * 100 >= (F.size("x") + F.size("y") - both) * percent)
+        .where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent)
         .select("a", "b")
     )
 
 
-def class_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def class_links(docs: DataFrame, lists: DataFrame, own: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all linked classes; lists has (key, sid, n, pivot)."""
+    spark = docs.sparkSession
+    signs = stage(own.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]).select("sid", "n", "sketch"), "signs")
+
+    def fetch(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+        return stage(sets_of(docs, text_col, size, spark.sparkContext.broadcast(bitmap_array(wanted, "sid"))), "sets")
+
     star = lists.where("sid <> pivot").groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
-    star = stage(star, "star")
+    star = stage(plausible(star, signs, percent), "star")
+    sets = fetch(star)
     best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     links = stage(verified(best, sets, percent), "links")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        found = components(links)
-        for c in ("a", "b"):
-            pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
-        return pairs.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-
-    rest = apart(star.join(best, ["a", "b"], "left_anti"))
+    found = components(links)
+    rest = star.join(best, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
+    rest = rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
     links = stage(links.union(verified(rest, sets, percent)), "links")
     found = components(links)
     inside = lists.join(found, lists["sid"] == found["node"], "left").select(
         "key", "sid", "n", "pivot", F.coalesce("component", "sid").alias("component"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    inside = stage(inside.join(mixed, "key").distinct(), "mixed")
-    x = inside.where("sid <> pivot").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = inside.where("sid <> pivot").select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    inside = inside.where("sid <> pivot").join(mixed, "key").distinct()
+    x = inside.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = inside.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = (
         x.join(y, "key").where("ca < cb")
         .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    return links.union(stage(verified(pairs, sets, percent), "links"))
+    pairs = stage(plausible(pairs, signs, percent), "pairs")
+    if pairs.isEmpty():
+        return links
+    return links.union(stage(verified(pairs, fetch(pairs), percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -217,13 +246,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     seen = stage(profile(docs, id_col, text_col, size), "profile")
-    own = seen.where("n is not null").select("doc_id", "n", "sid")
+    own = seen.where("n is not null").select("doc_id", "n", "sid", "sketch")
     sizes = {r["n"]: r["c"] for r in own.where("n > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).toLocalIterator()}
     met = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     total = own.agg(F.sum("n")).first()[0] or 0
-    again = met.agg(F.sum("times").alias("t"), F.sum(F.col("times") * F.col("times")).alias("q")).first()
-    boundary = choose_boundary(sizes, (again["q"] or 0) / max(1, total), percent)
     least = max(HEAVY_LEAST, total // HEAVY_SHARE)
+    scanned = met.where(F.col("times") <= least).agg(F.sum(F.col("times") * F.col("times"))).first()[0] or 0
+    boundary = choose_boundary(sizes, scanned / max(1, total), percent)
     common = met.where(F.col("times") > least).select("shingle").toArrow()["shingle"].to_numpy().view(U)
     heavy = spark.sparkContext.broadcast(np.sort(common))
     by_key = Window.partitionBy("key")
@@ -231,9 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         post(docs, id_col, text_col, size, percent, heavy, boundary)
         .withColumns({"pivot": F.min("sid").over(by_key), "last": F.max("sid").over(by_key)})
         .where("pivot <> last").drop("last"), "lists")
-    wanted = spark.sparkContext.broadcast(bitmap_array(lists, "sid"))
-    sets = stage(sets_of(docs, text_col, size, wanted), "sets")
-    found = components(class_links(lists, sets, percent))
+    found = components(class_links(docs, lists, own, text_col, size, percent))
     classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
     classes = classes.join(found, classes["sid"] == found["node"], "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
     lowest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
