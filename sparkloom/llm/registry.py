@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import chat_format, jaccard_join, token_counts, tree_bpe
 
 
 def queries() -> dict:
-    return {"op10_jaccard_join": jaccard_join.op10_jaccard_join}
+    return {
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op5_tree_bpe": tree_bpe.op5_tree_bpe,
+        "op9_chat_format": chat_format.op9_chat_format,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_jaccard_join": jaccard_join.SQL}
+    return {"op9_chat_format": chat_format.SQL, "op10_jaccard_join": jaccard_join.SQL}
