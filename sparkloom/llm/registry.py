@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, token_counts, tree_bpe
+from . import chat_format, jaccard_join, quality_rules, token_counts, tree_bpe
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_counts": token_counts.op2_token_counts,
         "op5_tree_bpe": tree_bpe.op5_tree_bpe,
         "op9_chat_format": chat_format.op9_chat_format,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat_format.SQL, "op10_jaccard_join": jaccard_join.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op9_chat_format": chat_format.SQL, "op10_jaccard_join": jaccard_join.SQL}
