@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, quality_rules, token_counts, tree_bpe
+from . import chat_format, jaccard_join, line_crf, quality_rules, token_counts, tree_bpe
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_line_crf": line_crf.op3_line_crf,
         "op5_tree_bpe": tree_bpe.op5_tree_bpe,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
