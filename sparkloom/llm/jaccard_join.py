@@ -12,9 +12,9 @@ c = ceil(t * n) of them, so under any order of all shingles the first n - c + l
 Copies with equal sets are one class from the start. A list of k classes is not turned into k * k pairs: each class is
 compared with the list's smallest member, linked classes become components, and only members of one list that are still
 in different components are then compared with one another. So no link between two different sets is lost: either both
-ends are in one component already, or the pair itself is compared. A pair is first judged by its parity sketches (a bit
-for each of 2048 bins of the hash space: how many differ is a lower bound of how many shingles differ), which rules out
-nearly all that share a passage only; what remains is compared by its whole sets of 64-bit hashes.
+ends are in one component already, or the pair itself is compared. A pair is first judged by its parity sketches (two to
+four bits a shingle, one for each bin of the hash space: how many differ is a lower bound of how many shingles differ),
+which rules out nearly all that share a passage only; what remains is compared by its whole sets of 64-bit hashes.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows that repeat are copies of one
 class. Columns other than the id and the text are not looked at.
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U, bitmap_array, components, maybe_in, mix, span_hash, prefix_hash, stage, table, text_steps, windows, words
+from .shared import LOWER, U, bitmap_array, components, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
 
 SHINGLE = 5
 PERCENT = 80
 #: A shingle is heavy if it is found more often than this and than a four-millionth of all: at most 4 million, 32 MB.
 HEAVY_LEAST, HEAVY_SHARE = 64, 4_000_000
-SKETCH_BITS = 2048
+SKETCH_LEAST = 1024  # bits
 #: Shingles after which a task adds up what it has seen more than once.
 BLOCK = 4_000_000
 PAIR_MARK = U(0x5851F42D4C957F2D)
@@ -70,33 +70,39 @@ def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
-    """SKETCH_BITS parity bits for each set, as longs."""
-    n = len(first) - 1
-    owner = np.repeat(np.arange(n), np.diff(first))
-    bins = np.bincount(owner * SKETCH_BITS + (hashes >> U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=n * SKETCH_BITS)
+    """Parity bits of each set as longs: a power of two of them, at least twice the size, so that one can be folded to another's width."""
+    n = np.diff(first)
+    bits = np.maximum(SKETCH_LEAST, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(bits)))
+    owner = np.repeat(np.arange(len(n)), n)
+    bins = np.bincount(base[owner] + (hashes & (bits[owner] - 1).astype(U)).astype(np.int64), minlength=base[-1])
     packed = np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(packed))
+    return pa.ListArray.from_arrays(pa.array((base // 64).astype(np.int32)), pa.array(packed))
+
+
+def row_key(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, sid, sketch) of the documents, and rows (shingle, times) of those met again."""
+    """One pass over the texts: rows (doc_id, row, n, sid, sketch) of the documents (row: a hash of id and text), and rows (shingle, times) of those met again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
-        names = ["doc_id", "n", "sid", "sketch", "shingle", "times"]
+        names = ["doc_id", "row", "n", "sid", "sketch", "shingle", "times"]
 
         def again():
             found, times = np.unique(np.concatenate(held), return_counts=True)
             found, times = found[times > 1].view(np.int64), times[times > 1]
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(found), pa.list_(pa.int64())), pa.array(found), pa.array(times)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(found), pa.list_(pa.int64())), pa.array(found), pa.array(times)], names)
 
         for batch in batches:
             for rows, data, offs in text_steps(batch):
                 hashes, first, _ = shingle_sets(data, offs, size)
                 none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(set_ids(hashes, first)), sketches(hashes, first), none, none], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(set_ids(hashes, first)), sketches(hashes, first), none, none], names)
                 held.append(hashes)
                 n_held += len(hashes)
                 if n_held >= BLOCK:
@@ -105,8 +111,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
         if held:
             yield again()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, sid long, sketch array<long>, shingle long, times long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, row long, n long, sid long, sketch array<long>, shingle long, times long")
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -179,13 +185,21 @@ def sets_of(docs: DataFrame, text_col: str, size: int, wanted) -> DataFrame:
     return slim.mapInArrow(run, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
+def folded(sketch: F.Column, width: F.Column) -> F.Column:
+    """The sketch at half its width if that is the width asked for: sizes that can link differ by one power of two at most."""
+    half = F.zip_with(F.slice(sketch, 1, width), F.slice(sketch, width + 1, width), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > width, half).otherwise(sketch)
+
+
 def plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that sizes and sketches don't rule out; signs has (sid, n, sketch)."""
     for c in ("a", "b"):
         pairs = pairs.join(signs.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
         if c == "b":
             pairs = pairs.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    width = F.least(F.size("s_a"), F.size("s_b"))
+    both = F.zip_with(folded(F.col("s_a"), width), folded(F.col("s_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(both, F.lit(0), lambda t, x: t + x)
     return pairs.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).drop("n_a", "n_b", "s_a", "s_b")
 
 
@@ -201,8 +215,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def class_links(docs: DataFrame, lists: DataFrame, own: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all linked classes; lists has (key, sid, n, pivot)."""
+def class_components(docs: DataFrame, lists: DataFrame, own: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+    """(node, component) of the linked classes; lists has (key, sid, n, pivot)."""
     spark = docs.sparkSession
     signs = stage(own.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]).select("sid", "n", "sketch"), "signs")
 
@@ -210,18 +224,30 @@ def class_links(docs: DataFrame, lists: DataFrame, own: DataFrame, text_col: str
         wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
         return stage(sets_of(docs, text_col, size, spark.sparkContext.broadcast(bitmap_array(wanted, "sid"))), "sets")
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in two components so far, with these as in_a and in_b."""
+        for c in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
+        pairs = pairs.select("a", "b", *(F.coalesce(f"in_{c}", c).alias(f"in_{c}") for c in ("a", "b")))
+        return pairs.where("in_a <> in_b")
+
+    def merged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The components after linking the verified ones of pairs from apart()."""
+        links = pairs.join(verified(pairs.select("a", "b"), sets, percent), ["a", "b"])
+        links = stage(links.select(F.col("in_a").alias("a"), F.col("in_b").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            return found
+        above = stage(components(links), "components")
+        below = found.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+        below = below.select("node", F.coalesce("top", "component").alias("component"))
+        return stage(below.union(above.join(found, "node", "left_anti").select("node", "component")), "components")
+
     star = lists.where("sid <> pivot").groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
     star = stage(plausible(star, signs, percent), "star")
     sets = fetch(star)
     best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = stage(verified(best, sets, percent), "links")
-    found = components(links)
-    rest = star.join(best, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        rest = rest.join(found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
-    rest = rest.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-    links = stage(links.union(verified(rest, sets, percent)), "links")
-    found = components(links)
+    found = stage(components(verified(best, sets, percent)), "components")
+    found = merged(stage(apart(star.select("a", "b")), "pairs"), sets)
     inside = lists.join(found, lists["sid"] == found["node"], "left").select(
         "key", "sid", "n", "pivot", F.coalesce("component", "sid").alias("component"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -231,22 +257,21 @@ def class_links(docs: DataFrame, lists: DataFrame, own: DataFrame, text_col: str
     pairs = (
         x.join(y, "key").where("ca < cb")
         .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .select("a", "b").distinct()
     )
-    pairs = stage(plausible(pairs, signs, percent), "pairs")
-    if pairs.isEmpty():
-        return links
-    return links.union(stage(verified(pairs, fetch(pairs), percent), "links"))
+    pairs = stage(apart(plausible(pairs, signs, percent)), "pairs")
+    return found if pairs.isEmpty() else merged(pairs, fetch(pairs))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) of every row of docs.
+    """(doc_id, row, n_shingles, set_id, component_id, stays) of every row of docs.
 
-    component_id is the smallest id reachable by links (100 * intersection >= percent * union), itself included.
+    component_id is the smallest id reachable by links (100 * intersection >= percent * union), itself included. row is
+    row_key() of the row; stays is true for its component's first row by (id, row), a null id last, and for empty sets.
     """
     spark = docs.sparkSession
     seen = stage(profile(docs, id_col, text_col, size), "profile")
-    own = seen.where("n is not null").select("doc_id", "n", "sid", "sketch")
+    own = seen.where("n is not null").select("doc_id", "row", "n", "sid", "sketch")
     sizes = {r["n"]: r["c"] for r in own.where("n > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).toLocalIterator()}
     met = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     total = own.agg(F.sum("n")).first()[0] or 0
@@ -260,16 +285,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         post(docs, id_col, text_col, size, percent, heavy, boundary)
         .withColumns({"pivot": F.min("sid").over(by_key), "last": F.max("sid").over(by_key)})
         .where("pivot <> last").drop("last"), "lists")
-    found = components(class_links(docs, lists, own, text_col, size, percent))
-    classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(found, classes["sid"] == found["node"], "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
-    lowest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = stage(classes.join(lowest, "component").select("sid", "component_id"), "classes")
-    linked = own.where("n > 0").join(classes, "sid").select("doc_id", "n", "sid", "component_id")
-    alone = own.where("n = 0").select("doc_id", "n", "sid", F.col("doc_id").alias("component_id"))
+    found = class_components(docs, lists, own, text_col, size, percent)
+    place = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("id"), "row")
+    classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("lowest"), F.min(place).alias("first"))
+    classes = classes.join(found, classes["sid"] == found["node"], "left").select("sid", "lowest", "first", F.coalesce("component", "sid").alias("component"))
+    whole = classes.groupBy("component").agg(F.min("lowest").alias("component_id"), F.min("first").alias("first"))
+    classes = stage(classes.drop("first").join(whole, "component").select("sid", "component_id", "first"), "classes")
+    linked = own.where("n > 0").join(classes, "sid").select("doc_id", "row", "n", "sid", "component_id", (place == F.col("first")).alias("stays"))
+    alone = own.where("n = 0").select("doc_id", "row", "n", "sid", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     return linked.union(alone).withColumnsRenamed({"n": "n_shingles", "sid": "set_id"})
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component; of rows alike in id and text one.
+
+    Texts that are surely not dropped are passed on without a shuffle.
+    """
+    found = stage(near_duplicates(docs, id_col, text_col, size, percent).where("n_shingles > 0").select("row", "stays"), "near")
+    marks = found.groupBy("row").agg(F.count("*").alias("times"), F.max("stays").alias("stays")).where("times > 1 or not stays")
+    marks = stage(marks.select(F.col("row").alias("__row"), F.col("stays").alias("__stays")), "marks")
+    key = row_key(id_col, text_col)
+    whole, touched = split_by_filter(docs, key, marks, "__row")
+    touched = touched.withColumn("__row", key).join(marks, "__row", "left")
+    plain, repeated = touched.where("__stays is null"), touched.where("__stays").dropDuplicates(["__row"])
+    return whole.select(*docs.columns).union(plain.select(*docs.columns)).union(repeated.select(*docs.columns))
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
