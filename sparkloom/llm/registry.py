@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, line_crf, quality_rules, token_counts, tree_bpe
+from . import chat_format, decontaminate, jaccard_join, language_id, line_crf, line_dedup, masked_lm, quality_rules, token_counts, tree_bpe
 
 
 def queries() -> dict:
@@ -10,7 +10,11 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_line_crf": line_crf.op3_line_crf,
+        "op4_masked_lm": masked_lm.op4_masked_lm,
         "op5_tree_bpe": tree_bpe.op5_tree_bpe,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
