@@ -1,0 +1,276 @@
+"""The registered queries of the repository operators, each with the same rows in DuckDB SQL where SQL can say it.
+
+Keys are the operator's id and name. Every query runs over its whole tables; a limit is there only where it is the feature.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import extract as X
+from ..functions import text as T
+from ..operators import aggregates as A
+from ..operators import graph as G
+from ..operators import joins as J
+from ..operators import predicates as P
+from ..operators import windows as W
+from ..streaming import changes as S
+from . import pipelines as L
+from .catalog import Catalog, with_views
+
+QUERIES: dict[str, tuple[Callable[[Catalog], DataFrame], str | None]] = {}
+SEED = "file:click_0"
+OWNERS = [("*", "@all"), ("packages/", "@pk"), ("*.py", "@python"), ("db/migrations/**", "@data"), ("/packages/src1/", "@one"), ("config/*.yml", "@ops")]
+
+
+def add(name: str, f: Callable[[Catalog], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = f, sql
+
+
+# ---- scans, predicates, search (S, P, O)
+add("s08_symbols_of_kind", lambda c: P.by_column(c.symbols, "kind", "class").select("id", "file_path", "name", "line"), "SELECT id, file_path, name, line FROM symbols WHERE kind = 'class'")
+add("p01_ignore", lambda c: P.not_ignored(c.files, ["/config/n1", "*.md", "!keep", "src7", "**/models"]).select("path"), """
+SELECT path FROM files WHERE NOT (path LIKE '%node_modules%' OR path LIKE '%dist%' OR path LIKE '%build%' OR path LIKE '%out%' OR path LIKE '%.git%' OR path LIKE '%.next%' OR path LIKE '%.turbo%'
+  OR path LIKE '%coverage%' OR path LIKE '%target%' OR path LIKE '%vendor%' OR path LIKE '%\\_\\_pycache\\_\\_%' ESCAPE '\\' OR path LIKE '%venv%' OR path LIKE '%.cache%' OR path LIKE '%tmp%' OR path LIKE '%temp%'
+  OR path = 'config/n1' OR path LIKE 'config/n1/%' OR path LIKE '%.md' OR path LIKE '%src7%' OR path LIKE '%models' OR list_contains(string_split(path, '/'), 'models'))""".replace("\\\\", "\\"))
+add("p03_path_contains", lambda c: P.path_contains(c.files, "SRC1").select("path"), "SELECT path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 50")
+add("p04_name_like", lambda c: P.name_search(c.symbols, "ring").select("id", "name"), "SELECT id, name FROM symbols WHERE name ILIKE '%ring%' ORDER BY name, id LIMIT 50")
+add("p06_definitions", lambda c: P.definitions(c.symbols, "small_ring").select("id", "name"), """
+WITH f AS (SELECT id, name FROM symbols WHERE name ILIKE '%small_ring%' ORDER BY name, id LIMIT 20), g AS (SELECT *, bool_or(name = 'small_ring') OVER () AS hit, row_number() OVER (ORDER BY name, id) AS n FROM f)
+SELECT id, name FROM g WHERE CASE WHEN hit THEN name = 'small_ring' ELSE n <= 5 END""")
+add("p07_import_mentions", lambda c: P.import_mentions(c.imports, "widget"), "SELECT DISTINCT file_path FROM imports WHERE contains(concat_ws('|', source, specifier), 'widget') ORDER BY 1 LIMIT 100")
+add("p08_exports_by_kind", lambda c: P.exports_by_kind(c.symbols).select("id", "kind"), "SELECT id, kind FROM symbols WHERE regexp_matches(kind, '(?i)export|function|class|const|interface|type')")
+add("p09_memory_search", lambda c: P.memory_search(c.memory, "src1").select("id", "type", "updated_at"), "SELECT id, type, updated_at FROM memory WHERE title ILIKE '%src1%' OR content ILIKE '%src1%' OR tags ILIKE '%src1%' ORDER BY updated_at DESC, id LIMIT 50")
+add("p10_path_roles", lambda c: P.path_roles(c.files), r"""
+SELECT path, regexp_matches(path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$') AS entry,
+  regexp_matches(path, '(^|/)dist/|(^|/)build/|(^|/)node_modules/|\.min\.(js|css)$|\.map$|(^|/)coverage/|\.lock$|-lock\.(json|yaml)$|\.generated\.|(^|/)\.next/|(^|/)target/') AS generated,
+  regexp_matches(path, '(?i)\.(md|mdx|rst|txt)$') AS docs, regexp_matches(path, '(?i)(^|/)(\.env($|\.)|.*secrets?.*)') AS secret,
+  regexp_matches(path, '\.(test|spec)\.|_test\.|(^|/)test_') AS test_graph, regexp_matches(path, '\.(test|spec)\.|_test\.') AS test_review, regexp_matches(path, '\.(test|spec)\.|_test\.|(^|/)tests?/') AS test_inventory,
+  regexp_matches(path, '(?i)\.(test|spec)\.|(^|/)(tests?|__tests__|fixtures|mocks)/|(^|/)(dist|build|generated)/') AS test_unused FROM files""")
+add("p11_stem_related", lambda c: P.stem_related(c.files, "packages/src10/src/n10.go").select("path"), r"SELECT path FROM files WHERE regexp_matches(path, '\.(test|spec)\.|_test\.') AND contains(path, 'n10') AND path <> 'packages/src10/src/n10.go'")
+add("p12_schema_files", lambda c: P.schema_files(c.files).select("path"), r"SELECT path FROM files WHERE regexp_matches(path, '(?i)schema|migrations?/|\.sql$|\.prisma$')")
+add("p13_migrations", lambda c: P.classified(c.files, P.MIGRATIONS), r"SELECT path, 'migration_dir' AS kind FROM files WHERE regexp_matches(path, '(?i)migrations?/|/migrate/')")
+add("p13_models", lambda c: P.classified(c.files, P.MODELS), r"SELECT path, 'models_path' AS kind FROM files WHERE regexp_matches(path, '(?i)models?\.(ts|js|py)$|/models?/')")
+add("p13_model_symbols", lambda c: P.model_symbols(c.files, c.symbols).select("id", "name", "file_path"), r"""
+WITH m AS (SELECT path FROM files WHERE regexp_matches(path, '(?i)models?\.(ts|js|py)$|/models?/') ORDER BY path LIMIT 40)
+SELECT id, name, file_path FROM symbols WHERE file_path IN (FROM m) AND (regexp_matches(kind, '(?i)model|entity|table|schema|collection') OR regexp_matches(name, 'Model|Entity|Table')) ORDER BY file_path, line, id LIMIT 80""")
+add("p14_sensitive_files", lambda c: P.sensitive_files(c.files), r"""
+SELECT path, CASE WHEN regexp_matches(path, '(?i)(^|/)(\.env($|\.)|.*secrets?.*)') THEN 'path_pattern_sensitive' ELSE 'env_file_not_example' END AS reason FROM files
+WHERE regexp_matches(path, '(?i)(^|/)(\.env($|\.)|.*secrets?.*)|\.env') ORDER BY path LIMIT 80""")
+add("p19_decision_search", lambda c: P.decision_search(c.memory.where("type = 'decision'"), "SRC2").select("id"), "SELECT id FROM memory WHERE type = 'decision' AND (contains(lower(title), 'src2') OR contains(lower(content), 'src2'))")
+add("p21_node_ids", lambda c: c.edges.select("from_id", T.node_path(F.col("from_id")).alias("path"), T.node_id(T.node_path(F.col("from_id"))).alias("again")).distinct(), "SELECT DISTINCT from_id, substr(from_id, 6) AS path, from_id AS again FROM edges")
+add("o05_newest_memory", lambda c: P.by_column(c.memory, "type", "note", "updated_at").select("id", "updated_at"), "SELECT id, updated_at FROM memory WHERE type = 'note'")
+add("o06_large_files", lambda c: A.top(c.files.select("path", "size"), "size", "path"), "SELECT path, size FROM files ORDER BY size DESC, path LIMIT 20")
+
+# ---- joins (J)
+add("j01_neighbours", lambda c: J.neighbours(c.edges, SEED), f"SELECT from_id, to_id, edge_type, 'out' AS direction FROM edges WHERE from_id = '{SEED}' UNION ALL SELECT from_id, to_id, edge_type, 'in' FROM edges WHERE to_id = '{SEED}'")
+add("j02_adapters", lambda c: J.with_adapter(c.files).select("path", "adapter"), r"""
+SELECT path, CASE regexp_extract(path, '(\.[^./]*)$', 1) WHEN '.ts' THEN 'javascript' WHEN '.tsx' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter FROM files""")
+add("j03_cross_dependencies", lambda c: J.cross_dependencies(c.imports.groupBy(F.element_at(F.split("file_path", "/"), 1).alias("name")).agg(F.collect_set(F.element_at(F.split("source", "/"), -1)).alias("deps"))
+    .unionByName(c.imports.select(F.concat(F.lit("n"), F.col("ord").cast("string")).alias("name"), F.array().cast("array<string>").alias("deps")))), """
+WITH d AS (SELECT DISTINCT string_split(file_path, '/')[1] AS package, string_split(source, '/')[-1] AS dependency FROM imports), n AS (SELECT DISTINCT string_split(file_path, '/')[1] AS name FROM imports UNION SELECT 'n' || ord FROM imports)
+SELECT package, dependency FROM d WHERE dependency IN (SELECT name FROM n)""")
+add("j04_import_targets", lambda c: J.import_targets(c.imports, c.files).select("ord", "file_path", "source", "target", "known"), r"""
+WITH r AS (SELECT ord, file_path, source, NOT regexp_matches(source, '^[./\\]') AS ext, regexp_replace(file_path, '/[^/]*$', '') AS dir FROM imports),
+s AS (SELECT *, CASE WHEN starts_with(source, './') THEN dir || substr(source, 2) WHEN starts_with(source, '../') THEN CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '' END || substr(source, 3) END AS whole0 FROM r),
+t AS (SELECT *, regexp_replace(whole0, '^/', '') AS whole FROM s), u AS (SELECT *, regexp_replace(whole, '(?i)\.(js|jsx|mjs|cjs|mts|cts)$', '') AS stripped FROM t),
+x AS (SELECT ord, unnest([whole, stripped, stripped || '.ts', stripped || '.tsx', stripped || '.js', stripped || '.jsx', stripped || '.mjs', stripped || '.cjs', stripped || '.mts', stripped || '.cts', stripped || '.rs', stripped || '.py', stripped || '.go']) AS path, generate_subscripts([1,2,3,4,5,6,7,8,9,10,11,12,13], 1) AS place FROM u WHERE NOT ext),
+f AS (SELECT ord, arg_min(path, place) AS found FROM x JOIN files USING (path) GROUP BY ord)
+SELECT u.ord, file_path, source, CASE WHEN ext THEN 'pkg:' || string_split(source, '/')[1] ELSE coalesce(found, stripped) END AS target, ext OR found IS NOT NULL AS known FROM u LEFT JOIN f ON f.ord = u.ord""")
+add("j05_orphans", lambda c: J.orphans(c.files.select("path").union(c.edges.select(T.node_path(F.col("from_id")))).distinct(), c.edges), """
+WITH p AS (SELECT path FROM files UNION SELECT substr(from_id, 6) FROM edges) SELECT path FROM p
+WHERE NOT EXISTS (SELECT 1 FROM edges WHERE edge_type = 'IMPORTS' AND substr(from_id, 6) = path) AND NOT EXISTS (SELECT 1 FROM edges WHERE edge_type = 'IMPORTS' AND substr(to_id, 6) = path)""")
+add("j06_unused_symbols", lambda c: J.unused_symbols(c.symbols, c.imports, c.edges).select("id", "name", "confidence"), r"""
+WITH n AS (SELECT DISTINCT unnest([string_split(regexp_replace(specifier, '[{}\s*]', '', 'g'), ',')[1], regexp_extract(specifier, '(?:as\s+)?(\w+)\s*$', 1)]) AS name FROM imports)
+SELECT id, name, CASE WHEN regexp_matches(file_path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$') OR regexp_matches(name, '(?i)^(get|set|handle|use|create|on)') OR regexp_matches(name, '^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|default|middleware|layout|loading|error|notFound)$') THEN 'weakly_inferred' ELSE 'strongly_inferred' END AS confidence
+FROM symbols WHERE exported AND NOT regexp_matches(file_path, '(?i)\.(test|spec)\.|(^|/)(tests?|__tests__|fixtures|mocks)/|(^|/)(dist|build|generated)/') AND name NOT IN (SELECT name FROM n WHERE name <> '')""")
+add("j07_owners", lambda c: J.owners_for(c.files, OWNERS), r"""
+SELECT path, CASE WHEN regexp_matches(path, '^config/[^/]*\.yml$') THEN 'config/*.yml' WHEN path LIKE 'packages/src1/%' THEN '/packages/src1/' WHEN path LIKE 'db/migrations/%' THEN 'db/migrations/**' WHEN path LIKE '%.py' THEN '*.py' WHEN path LIKE 'packages/%' THEN 'packages/' ELSE '*' END AS pattern,
+  CASE WHEN regexp_matches(path, '^config/[^/]*\.yml$') THEN '@ops' WHEN path LIKE 'packages/src1/%' THEN '@one' WHEN path LIKE 'db/migrations/%' THEN '@data' WHEN path LIKE '%.py' THEN '@python' WHEN path LIKE 'packages/%' THEN '@pk' ELSE '@all' END AS owner FROM files""")
+add("j07_uncovered", lambda c: J.uncovered(c.files, OWNERS[1:]), r"SELECT path FROM files WHERE NOT (regexp_matches(path, '^config/[^/]*\.yml$') OR path LIKE 'packages/%' OR path LIKE 'db/migrations/%' OR path LIKE '%.py') ORDER BY path LIMIT 100")
+add("j08_related_tests", lambda c: J.related_tests(c.files.where("language = 'go'").select("path").union(c.edges.select(T.node_path(F.col("to_id"))).distinct()), c.files, c.edges), r"""
+WITH ch AS (SELECT path FROM files WHERE language = 'go' UNION SELECT substr(to_id, 6) FROM edges), st AS (SELECT DISTINCT regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') AS stem FROM ch)
+SELECT substr(from_id, 6) AS path FROM edges WHERE edge_type = 'TESTS' AND substr(to_id, 6) IN (FROM ch)
+UNION SELECT path FROM files WHERE regexp_matches(path, '\.(test|spec)\.|_test\.') AND regexp_replace(string_split(path, '/')[-1], '^test_|(\.(test|spec)|_test)?\.[^.]*$', '', 'g') IN (FROM st)""")
+add("j09_frame_symbols", lambda c: J.frame_symbols(c.imports.select(F.col("ord").alias("id"), F.col("file_path").alias("path"), "line"), c.symbols).select("id", "path", "line", "symbol_line"), """
+SELECT i.ord AS id, i.file_path AS path, i.line, s.line AS symbol_line FROM imports i ASOF JOIN (SELECT file_path, line, any_value(name) AS name FROM symbols GROUP BY ALL) s ON s.file_path = i.file_path AND i.line >= s.line""")
+add("j10_touched_symbols", lambda c: J.touched_symbols(A.line_span(c.imports, "file_path", "line").withColumnRenamed("file_path", "path"), c.symbols), """
+WITH r AS (SELECT file_path AS path, min(line) AS lo, max(line) AS hi FROM imports GROUP BY 1) SELECT path, lo, hi, id, name, line FROM symbols JOIN r ON r.path = file_path AND line <= hi AND line + 30 >= lo""")
+add("j11_nearest_symbols", lambda c: J.nearest_symbols(c.symbols, c.imports.select(F.col("file_path").alias("path"), F.col("line").alias("at")).distinct(), 3), """
+WITH p AS (SELECT DISTINCT file_path AS path, line AS at FROM imports) SELECT * FROM (SELECT path, at, id, name, abs(line - at) AS distance, row_number() OVER (PARTITION BY path, at ORDER BY abs(line - at), id) AS rank FROM p JOIN symbols ON file_path = path) WHERE rank <= 3""")
+add("j12_side_records", lambda c: J.with_side_records(c.files.select("path"), c.symbols, "found", ["line", "name", "id"]).select("path", F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.transform("found", lambda x: x["id"]).alias("ids")), """
+SELECT path, count(id) AS n, list(id ORDER BY line, name, id) FILTER (WHERE id IS NOT NULL) AS ids FROM files LEFT JOIN symbols ON file_path = path GROUP BY path""")
+add("j13_registered_steps", lambda c: J.registered_steps(c.imports.select(F.col("file_path").alias("flow"), F.col("line").alias("step"), F.col("source").alias("tool")), c.imports.where("ord % 2 = 0").select(F.col("source").alias("tool"))), """
+SELECT file_path AS flow, line AS step, source AS tool, source IN (SELECT source FROM imports WHERE ord % 2 = 0) AS registered FROM imports""")
+add("j14_present", lambda c: J.present(c.files, {"yaml_config": r"^config/.*\.yml$", "github": r"^\.github/", "go": r"\.go$"}), r"""
+SELECT unnest(['yaml_config', 'github', 'go']) AS name, unnest([bool_or(regexp_matches(path, '^config/.*\.yml$')), bool_or(regexp_matches(path, '^\.github/')), bool_or(path LIKE '%.go')]) AS present FROM files""")
+add("j16_mutual_pairs", lambda c: J.mutual_pairs(c.edges), "SELECT DISTINCT a.from_id, a.to_id FROM edges a JOIN edges b ON a.from_id = b.to_id AND a.to_id = b.from_id WHERE a.edge_type = 'IMPORTS' AND b.edge_type = 'IMPORTS' AND a.from_id < a.to_id")
+
+# ---- aggregates (A)
+add("a01_table_counts", lambda c: A.table_counts(files=c.files, symbols=c.symbols, edges=c.edges, memory=c.memory), "SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM symbols) AS n_symbols, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM memory) AS n_memory")
+add("a02_languages", lambda c: A.counts_by(c.files, "language"), "SELECT coalesce(nullif(language, ''), 'unknown') AS language, count(*) AS n FROM files GROUP BY 1")
+add("a03_graph_stats", lambda c: A.graph_stats(c.files, c.symbols, c.edges).select("n_nodes", "n_edges", F.map_keys("by_type").alias("types"), F.map_values("by_type").alias("counts")), """
+WITH t AS (SELECT edge_type, count(*) AS n FROM edges GROUP BY 1) SELECT (SELECT count(*) FROM files) + (SELECT count(*) FROM symbols) AS n_nodes, sum(n)::BIGINT AS n_edges, list(edge_type ORDER BY edge_type) AS types, list(n ORDER BY edge_type) AS counts FROM t""")
+add("a04_fan_in", lambda c: A.fan_in(c.edges.select(T.node_path(F.col("from_id")).alias("path")).distinct(), c.edges), """
+WITH p AS (SELECT DISTINCT substr(from_id, 6) AS path FROM edges) SELECT path, count(to_id) AS fan_in FROM p LEFT JOIN edges e ON substr(to_id, 6) = path AND edge_type IN ('IMPORTS', 'DEPENDS_ON') GROUP BY path""")
+add("a05_repeated_routes", lambda c: A.repeated_routes(c.symbols.select("file_path", F.col("name").alias("route"), F.upper("kind").alias("method"))), """
+SELECT name AS route, list_sort(list(DISTINCT file_path)) AS files, list_sort(list(DISTINCT upper(kind))) AS methods FROM symbols GROUP BY name HAVING count(DISTINCT file_path) > 1""")
+add("a06_first_seen", lambda c: A.first_seen(c.imports, "source", "ord"), "SELECT source, min(ord) AS first FROM imports GROUP BY source")
+add("a07_grouped_samples", lambda c: A.grouped_samples(c.imports, "source", "file_path", "ord", 20), """
+WITH o AS (SELECT source, file_path, min(ord) AS first FROM imports GROUP BY ALL) SELECT source, list(file_path ORDER BY first, file_path)[1:20] AS values FROM o GROUP BY source""")
+add("a08_capped_counts", lambda c: A.capped_counts(c.symbols.withColumnRenamed("name", "label"), ["ord"]), """
+WITH k AS (SELECT * FROM symbols ORDER BY ord LIMIT 200) SELECT 'kind' AS by, kind AS key, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'label', name, count(*) FROM k GROUP BY 2""")
+add("a09_health", lambda c: A.weighted_score(L.health_checks(c.files, c.symbols, c.edges)), """
+SELECT 100 - CASE WHEN bool_or(regexp_matches(path, '(?i)readme')) THEN 0 ELSE 13 END AS score, CASE WHEN bool_or(regexp_matches(path, '(?i)readme')) THEN 'A' ELSE 'B' END AS grade, bool_or(regexp_matches(path, '(?i)readme')) AS ready FROM files""")
+add("a10_duplicate_imports", lambda c: A.duplicate_imports(c.imports), "SELECT file_path, source, count(*) AS n FROM imports GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, 1, 2 LIMIT 50")
+add("a11_heavy_files", lambda c: A.heavy_files(c.imports, c.edges), """
+WITH i AS (SELECT file_path, count(*) AS n_imports, list_sort(list(DISTINCT source))[1:8] AS samples FROM imports GROUP BY 1), e AS (SELECT substr(from_id, 6) AS file_path, count(*) AS n_edges FROM edges WHERE edge_type IN ('IMPORTS', 'DEPENDS_ON') GROUP BY 1)
+SELECT file_path, coalesce(n_imports, 0) AS n_imports, coalesce(n_edges, 0) AS n_edges, coalesce(samples, []) AS samples, greatest(coalesce(n_imports, 0), coalesce(n_edges, 0)) AS weight FROM i FULL JOIN e USING (file_path)
+WHERE greatest(coalesce(n_imports, 0), coalesce(n_edges, 0)) >= 8 ORDER BY weight DESC, file_path LIMIT 25""")
+add("a12_adapter_coverage", lambda c: A.adapter_coverage(c.files), r"""
+SELECT regexp_extract(path, '(\.[^./]*)$', 1) AS extension, CASE extension WHEN '.ts' THEN 'javascript' WHEN '.tsx' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter, count(*) AS n FROM files GROUP BY ALL""")
+add("a13_best_confidence", lambda c: A.best_confidence(J.unused_symbols(c.symbols, c.imports, c.edges), F.col("confidence"), "kind"), None)
+add("a14_line_span", lambda c: A.line_span(c.symbols, "file_path", "line"), "SELECT file_path, min(line) AS lo, max(line) AS hi FROM symbols GROUP BY 1")
+
+# ---- windows and sets (W, U)
+add("w01_budget", lambda c: W.within_budget(c.files.select("path", F.col("doc_id").alias("id"), (F.col("size") % 97).alias("score"), T.token_estimate(F.col("text")).alias("tokens"), F.element_at(F.split("path", "/"), 1).alias("part")), 8000, "score", "tokens", "id", "part").select("part", "id", "used"), """
+SELECT part, id, used FROM (SELECT string_split(path, '/')[1] AS part, doc_id AS id, sum(greatest(1, ceil(length(text) / 4)::BIGINT)) OVER (PARTITION BY part ORDER BY size % 97 DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM files) WHERE used <= 8000""")
+add("w02_first_match", lambda c: W.first_match(c.imports, "file_path", "source", "ord"), "SELECT file_path, arg_min(source, ord) AS source FROM imports GROUP BY 1")
+add("w03_last_match", lambda c: W.last_match(c.imports, "file_path", "source", "ord"), "SELECT file_path, arg_max(source, ord) AS source FROM imports GROUP BY 1")
+add("w04_ordinals", lambda c: W.numbered(c.symbols.select("file_path", "id", "line"), "file_path", "line", "id"), "SELECT file_path, id, line, row_number() OVER (PARTITION BY file_path ORDER BY line, id) AS ordinal FROM symbols")
+add("w05_line_numbers", lambda c: W.lines_of(c.files.select("path", "text")).groupBy("path").agg(F.max("line_number").alias("lines"), F.max(F.length("line")).alias("longest")), """
+SELECT path, max(n) AS lines, max(length(l)) AS longest FROM (SELECT path, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS l, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM files) GROUP BY path""")
+add("w06_carried", lambda c: W.carried(c.imports.select("file_path", "ord", F.when(F.col("ord") % 3 == 0, F.col("source")).alias("head")), "file_path", "ord", "head", "last_head"), """
+SELECT file_path, ord, head, last_value(head IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY ord ROWS UNBOUNDED PRECEDING) AS last_head FROM (SELECT file_path, ord, CASE WHEN ord % 3 = 0 THEN source END AS head FROM imports)""")
+add("u01_references", lambda c: W.changed_paths(P.import_mentions(c.imports, "ring").withColumnRenamed("file_path", "path"), c.symbols.where("name = 'small_ring'").select(F.col("file_path").alias("path"))), """
+SELECT * FROM (SELECT DISTINCT file_path AS path FROM imports WHERE contains(concat_ws('|', source, specifier), 'ring') ORDER BY 1 LIMIT 100) UNION SELECT file_path FROM symbols WHERE name = 'small_ring'""")
+add("u02_changed_paths", lambda c: W.changed_paths(c.files.where("doc_id % 3 = 0"), c.files.where("doc_id % 5 = 0"), distinct=False), "SELECT path FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT path FROM files WHERE doc_id % 5 = 0")
+add("u03_key_differences", lambda c: W.key_differences(c.imports.select(F.col("source").alias("key")), c.imports.where("ord % 2 = 1").select(F.regexp_replace("source", "lib[12]/", "gone/").alias("key"))), """
+WITH u AS (SELECT DISTINCT source AS key FROM imports), d AS (SELECT DISTINCT regexp_replace(source, 'lib[12]/', 'gone/') AS key FROM imports WHERE ord % 2 = 1)
+SELECT key, 'undocumented' AS side FROM u WHERE key NOT IN (FROM d) AND key NOT IN ('NODE_ENV', 'PATH') UNION ALL SELECT key, 'unused' FROM d WHERE key NOT IN (FROM u)""")
+add("u05_snapshot_changes", lambda c: W.snapshot_changes(c.files.where("doc_id % 13 <> 0"), c.files.where("doc_id % 11 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")))), """
+SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM files WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)""")
+
+# ---- graph (G)
+_REACH = """WITH up AS (SELECT '{s}' AS node, 0 AS d UNION SELECT e.from_id, d + 1 FROM up JOIN edges e ON e.to_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON', 'TESTS') WHERE d < {d}),
+down AS (SELECT '{s}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM down JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < {d})
+SELECT '{s}' AS seed, 'dependents' AS direction, node FROM (SELECT DISTINCT node FROM up WHERE d > 0) UNION ALL SELECT '{s}', 'dependencies', node FROM (SELECT DISTINCT node FROM down WHERE d > 0)"""
+add("g01_impact", lambda c: G.impact(c.edges, c.spark.range(1).select(F.lit(SEED).alias("seed")), 2), _REACH.format(s=SEED, d=2))
+add("g02_distances", lambda c: G.distances(c.edges, SEED).select("node", "distance"), f"""
+WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 12) SELECT node, min(d) AS distance FROM r GROUP BY node""")
+add("g02_shortest_path", lambda c: G.shortest_path(c.edges, SEED, "file:error_7").agg(F.max("place").alias("length")), f"""
+WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 12) SELECT min(d) AS length FROM r WHERE node = 'file:error_7'""")
+_FOLDED = "SELECT DISTINCT 'n' || (l_partkey % 300) AS from_id, 'n' || l_suppkey AS to_id, 'IMPORTS' AS edge_type FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 300 <> l_suppkey AND ((l_partkey % 300) * 7 + l_suppkey) % 3 = 0"
+
+
+def _folded_edges(c: Catalog) -> DataFrame:
+    p, s = F.col("l_partkey") % 300, F.col("l_suppkey")
+    rows = c.table("lineitem").where((F.col("l_quantity") >= 49) & (p != s) & ((p * 7 + s) % 3 == 0))
+    return rows.select(F.concat(F.lit("n"), p.cast("string")).alias("from_id"), F.concat(F.lit("n"), s.cast("string")).alias("to_id"), F.lit("IMPORTS").alias("edge_type")).distinct()
+
+
+add("g04_strong_components", lambda c: G.strong_components(_folded_edges(c)), f"""
+WITH fe AS ({_FOLDED}), r AS (SELECT from_id AS a, to_id AS b FROM fe UNION SELECT r.a, fe.to_id FROM r JOIN fe ON fe.from_id = r.b), m AS (SELECT x.a AS node, min(x.b) AS other, count(*) AS n FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT least(node, other) AS component, node FROM m WHERE n >= 3""")
+add("g05_multi_seed", lambda c: G.impact(c.edges, c.edges.where("from_id like 'file:error_1%'").select(F.col("from_id").alias("seed")), 1), """
+WITH s AS (SELECT DISTINCT from_id AS seed FROM edges WHERE from_id LIKE 'file:error_1%')
+SELECT DISTINCT seed, 'dependents' AS direction, from_id AS node FROM s JOIN edges ON to_id = seed AND edge_type IN ('IMPORTS', 'DEPENDS_ON', 'TESTS') UNION ALL SELECT DISTINCT seed, 'dependencies', to_id FROM s JOIN edges ON from_id = seed AND edge_type IN ('IMPORTS', 'DEPENDS_ON')""")
+add("g06_edge_ids", lambda c: c.edges.select("from_id", "to_id", "edge_type", T.edge_id(F.col("from_id"), F.col("to_id"), F.col("edge_type")).alias("id")), "SELECT from_id, to_id, edge_type, substr(sha1(concat_ws('|', from_id, to_id, edge_type)), 1, 20) AS id FROM edges")
+
+# ---- functions (F)
+add("f01_hashes", lambda c: c.files.select("path", "hash"), "SELECT path, hash FROM files")
+add("f02_symbol_ids", lambda c: c.symbols.select("ord", T.symbol_id(F.col("file_path"), F.col("name"), F.col("line")).alias("sid")), "SELECT ord, substr(sha1(concat_ws(':', file_path, name, line)), 1, 16) AS sid FROM symbols")
+add("f03_folded_paths", lambda c: c.imports.select("ord", T.folded(F.concat(F.lit("./a/"), "source", F.lit("/../b"))).alias("p")), r"""
+SELECT ord, CASE WHEN starts_with(source, '../') THEN CASE WHEN length(source) - length(replace(source, '/', '')) = 1 THEN 'b' ELSE regexp_replace(substr(source, 4), '/[^/]*$', '/b') END
+  ELSE regexp_replace('a/' || regexp_replace(source, '^\./', ''), '/[^/]*$', '/b') END AS p FROM imports""")
+add("f04_path_parts", lambda c: c.files.select("path", T.extension(F.col("path")).alias("ext"), T.basename(F.col("path")).alias("base"), T.dirname(F.col("path")).alias("dir"), T.stem(F.col("path")).alias("stem")), r"""
+SELECT path, lower(regexp_extract(string_split(path, '/')[-1], '(\.[^.]*)$', 1)) AS ext, string_split(path, '/')[-1] AS base, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') AS stem FROM files""")
+add("f06_tokens", lambda c: c.files.select("path", T.token_estimate(F.col("text")).alias("tokens")), "SELECT path, greatest(1, ceil(length(text) / 4))::BIGINT AS tokens FROM files")
+add("f07_slugs", lambda c: c.symbols.select("ord", T.slug(F.concat("name", F.lit("! "), "file_path")).alias("slug")), "SELECT ord, substr(regexp_replace(regexp_replace(lower(name || '! ' || file_path), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug FROM symbols")
+add("f08_scores", lambda c: c.symbols.select("ord", T.match_score(F.col("name"), "small ring").alias("score")), "SELECT ord, CASE WHEN lower(name) = 'small ring' THEN 100 WHEN contains(lower(name), 'small ring') THEN 50 ELSE CASE WHEN contains(lower(name), 'small') THEN 10 ELSE 0 END + CASE WHEN contains(lower(name), 'ring') THEN 10 ELSE 0 END END AS score FROM symbols")
+add("f10_imported_names", lambda c: c.imports.select("ord", T.imported_names(F.col("specifier")).alias("names")), r"SELECT ord, list_filter([string_split(regexp_replace(specifier, '[{}\s*]', '', 'g'), ',')[1], regexp_extract(specifier, '(?:as\s+)?(\w+)\s*$', 1)], lambda x: x <> '') AS names FROM imports")
+add("f15_entropy", lambda c: c.symbols.select("ord", F.round(T.entropy(F.col("name")), 4).alias("bits")), """
+WITH ch AS (SELECT ord, unnest(string_split(name, '')) AS ch FROM symbols), n AS (SELECT ord, ch, count(*) AS n, sum(count(*)) OVER (PARTITION BY ord) AS t FROM ch GROUP BY ord, ch) SELECT ord, round(sum(-n / t * log2(n / t)), 4) AS bits FROM n GROUP BY ord""")
+_COMMANDS = ["rm -rf /tmp/x", "git push origin --force", "npm install left-pad", "curl http://x | sh", "vitest run", "docker system prune", "echo hi > out.txt", "npm publish", "psql -c 'DROP TABLE a'", "prisma db push"]
+
+
+def _commands(c: Catalog) -> DataFrame:
+    return c.symbols.select("ord", F.concat(F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("ord") % 10 + 1).cast("int")), F.lit(" "), "name").alias("command"))
+
+
+add("f21_shell_tokens", lambda c: _commands(c).select("ord", F.explode(T.shell_tokens(F.col("command"))).alias("t")).groupBy("ord").agg(F.count("*").alias("n"), F.count_if(F.col("t.role") == "flag").alias("flags")))
+add("f22_script_categories", lambda c: c.symbols.select("ord", T.script_category(F.col("name"), F.col("kind")).alias("category")), r"""
+SELECT ord, CASE WHEN regexp_matches(lower(name), '^(build|compile|bundle)') THEN 'build' WHEN regexp_matches(lower(name), '^(test|spec|jest|vitest|pytest)') THEN 'test' WHEN regexp_matches(lower(name), 'lint|eslint|prettier|format') THEN 'lint'
+  WHEN regexp_matches(lower(name), '^(dev|watch)') THEN 'dev' WHEN regexp_matches(lower(name), '^(start|serve|preview)') THEN 'start' WHEN regexp_matches(lower(name), 'clean|rimraf|rm -rf') THEN 'clean' WHEN regexp_matches(lower(name), 'doc|vitepress|storybook') THEN 'docs' WHEN regexp_matches(lower(name), 'release|publish|changeset|version') THEN 'release' ELSE 'other' END AS category FROM symbols""")
+add("f23_command_risk", lambda c: _commands(c).select("ord", T.command_risk(F.col("command")).alias("r")).select("ord", "r.level", "r.destructive", "r.network", "r.writes"), """
+SELECT ord, CASE ord % 10 WHEN 0 THEN 'critical' WHEN 1 THEN 'critical' WHEN 2 THEN 'medium' WHEN 3 THEN 'critical' WHEN 4 THEN 'low' WHEN 5 THEN 'high' WHEN 6 THEN 'low' WHEN 7 THEN 'high' WHEN 8 THEN 'critical' ELSE 'high' END AS level,
+  ord % 10 IN (0, 1, 5, 8) AS destructive, ord % 10 IN (2, 3, 7) AS network, ord % 10 IN (2, 7, 9) AS writes FROM symbols""")
+
+# ---- extraction (V) and line rules over the documents' whole texts
+_LINES = "lines AS (SELECT path, language, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS line_number FROM coded)"
+_CODED_SQL = """coded AS (SELECT path, language, 'import { a } from ''./n' || doc_id || '''' || chr(10) || 'export function f' || doc_id || '() {}' || chr(10) || 'class C' || doc_id || ' {' || chr(10) || 'def p' || doc_id || '(x):' || chr(10) || 'app.get(''/r' || doc_id || ''', h)' || chr(10) || text AS text FROM files)"""
+
+
+def _coded(c: Catalog) -> DataFrame:
+    """files whose texts begin with a few lines of code."""
+    i = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("import { a } from './n"), i, F.lit("'\nexport function f"), i, F.lit("() {}\nclass C"), i, F.lit(" {\ndef p"), i, F.lit("(x):\napp.get('/r"), i, F.lit("', h)\n"), "text")
+    return c.files.withColumn("text", head)
+
+
+add("v02_imports", lambda c: X.imports(_coded(c)), "WITH " + _CODED_SQL + r" SELECT path, 1 AS line_number, regexp_extract(text, 'from ''([^'']+)''', 1) AS source, '{ a }' AS specifier FROM coded WHERE language = 'typescript'")
+add("v03_symbols", lambda c: X.symbols(_coded(c)), "WITH " + _CODED_SQL + ", " + _LINES + r"""
+SELECT path, line_number, 'function' AS kind, regexp_extract(line, 'function\s+(\w+)', 1) AS name, true AS exported FROM lines WHERE language = 'typescript' AND regexp_matches(line, '^\s*export function\s+\w+')
+UNION ALL SELECT path, line_number, 'class', regexp_extract(line, 'class\s+(\w+)', 1), language = 'python' FROM lines WHERE language IN ('typescript', 'python') AND regexp_matches(line, '^class\s+\w+')
+UNION ALL SELECT path, line_number, 'function', regexp_extract(line, 'def\s+(\w+)', 1), true FROM lines WHERE language = 'python' AND regexp_matches(line, '^def\s+\w+')""")
+add("v08_routes", lambda c: X.routes(_coded(c)), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
+add("v07_frameworks", lambda c: X.frameworks(_coded(c).withColumn("text", F.concat(F.when(F.col("doc_id") % 2 == 0, "from fastapi import x\n").otherwise("import e from 'express'\n"), "text"))), "SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'fastapi' ELSE 'express' END AS framework FROM files")
+add("f14_secret_rules", lambda c: X.secrets(c.files.withColumn("text", F.concat("text", F.lit("\nAPI_TOKEN = "), F.lit("x"), F.lit("\nkey AKIA"), F.upper(F.substring("hash", 1, 16)))), 3.5).where("kind = 'pattern'").select("path", "label"), """
+SELECT path, unnest(['generic_api_key_assign', 'aws_access_key_id']) AS label FROM files""")
+add("f16_env_uses", lambda c: X.env_uses(c.files.withColumn("text", F.concat("text", F.lit("\nprocess.env.KEY_"), F.col("doc_id").cast("string"), F.lit(" os.getenv('HOME_DIR')")))), "SELECT unnest(['KEY_' || doc_id, 'HOME_DIR']) AS key, path FROM files")
+add("f17_insecure_settings", lambda c: X.insecure_settings(c.files.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\nprivileged: true").otherwise("\nverify = False"))), 1 << 30), "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'docker_privileged_true' ELSE 'insecure_flag_keyword' END AS issue, CASE WHEN doc_id % 3 = 0 THEN 'strongly_inferred' ELSE 'weakly_inferred' END AS confidence FROM files")
+add("f18_assigned_secrets", lambda c: W.lines_of(c.files.select("path", "text")).where(F.col("line").rlike(X.ASSIGNED)).select("path", "line_number"), r"""
+WITH coded AS (SELECT path, language, text FROM files), """ + _LINES + r""" SELECT path, line_number FROM lines WHERE regexp_matches(line, '(?i)(token|api[_-]?key|secret|password)\s*[:=]\s*["''][^"'']{8,}["'']')""")
+add("s09_doc_lines", lambda c: W.lines_of(c.files.where("path like '%.md'").select("path", "text")).where(F.contains(F.lower("line"), F.lit("the"))).select("path", "line_number"), """
+WITH coded AS (SELECT path, language, text FROM files WHERE path LIKE '%.md'), """ + _LINES + " SELECT path, line_number FROM lines WHERE contains(lower(line), 'the')")
+add("s10_env_keys", lambda c: X.env_keys(c.files.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("K"), (F.col("doc_id") % 20).cast("string"), F.lit("=1\n"), "text"))).select("key", "path"), """
+SELECT 'K' || (doc_id % 20) AS key, min(path) AS path FROM files WHERE doc_id % 5 = 0 GROUP BY 1""")
+
+# ---- composites (X) and sinks (K)
+add("x01_index_delta", lambda c: L.index_delta(c.files.where("doc_id % 11 <> 0"), c.files.where("doc_id % 13 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash")))), """
+SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'delete' ELSE 'read' END AS action FROM files WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0)""")
+add("x02_build_graph", lambda c: L.build_graph(c.files, c.symbols, c.imports).groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
+add("x03_context_pack", lambda c: L.context_pack(c.files, c.symbols, c.memory, "small ring").select("id", "kind", "score", "used"))
+add("x04_review", lambda c: L.review(c.files.where("doc_id % 4 = 0").select("path"), W.lines_of(c.files.where("doc_id % 4 = 0").select("path", "text")), c.files, c.edges))
+add("x07_unified_search", lambda c: L.unified_search(c.files, c.symbols, c.memory, "src1"), """
+SELECT * FROM (SELECT 'symbol' AS kind, id, name AS title FROM symbols WHERE name ILIKE '%src1%' ORDER BY name, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'file', path, path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'memory', id, title FROM memory WHERE title ILIKE '%src1%' OR content ILIKE '%src1%' ORDER BY updated_at DESC, id LIMIT 20)""")
+add("x10_health_checks", lambda c: L.health_checks(c.files, c.symbols, c.edges), "SELECT unnest(['indexed', 'symbols', 'graph', 'tests', 'readme']) AS name, unnest([true, true, true, true, false]) AS ok, unnest([20, 15, 15, 15, 10]) AS weight")
+add("k02_replace_symbols", lambda c: L.replace_rows(c.symbols.select("file_path", "id", "line"), c.symbols.where("ord % 2 = 0").select("file_path", "id", (F.col("line") + 100).alias("line")), c.files.where("doc_id % 2 = 0")), """
+SELECT file_path, id, line FROM symbols WHERE file_path NOT IN (SELECT path FROM files WHERE doc_id % 2 = 0) UNION ALL SELECT file_path, id, line + 100 FROM symbols WHERE ord % 2 = 0""")
+add("k05_upsert_memory", lambda c: L.keep_latest(c.memory.select("id", "type", "created_at", "updated_at"), c.memory.where("id like '%1'").select("id", F.lit("new").alias("type"), (F.col("created_at") + 5).alias("created_at"), (F.col("updated_at") + 1).alias("updated_at")), "id", "updated_at", "created_at"), """
+SELECT id, CASE WHEN id LIKE '%1' THEN 'new' ELSE type END AS type, created_at, updated_at + CASE WHEN id LIKE '%1' THEN 1 ELSE 0 END AS updated_at FROM memory""")
+add("k06_delete_missing", lambda c: c.symbols.join(c.files.where("doc_id % 3 <> 0").select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id"), "SELECT id FROM symbols WHERE file_path IN (SELECT path FROM files WHERE doc_id % 3 <> 0)")
+
+# ---- streams (T), their batch form
+add("t02_debounced", lambda c: S.debounced(c.table("events").select(F.col("user_id").alias("source"), "ts"), "30 minutes").select("source", F.unix_micros("opened").alias("opened"), "n"), """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+SELECT user_id AS source, epoch_us(min(ts)) AS opened, count(*) AS n FROM s GROUP BY user_id, s""")
+add("t03_debounced_with_limit", lambda c: S.debounced_with_limit(c.table("events").withColumnRenamed("user_id", "source"), 1_800_000, 3_600_000), """
+WITH g AS (SELECT user_id, epoch_ms(ts) AS ms, event_id, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER w < 1800000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g), k AS (SELECT *, (ms - min(ms) OVER (PARTITION BY user_id, s)) // 3600000 AS c FROM s)
+SELECT user_id AS source, min(ms) AS opened_ms, max(ms) AS last_ms, count(*) AS n FROM k GROUP BY user_id, s, c""")
+add("t05_coalesced", lambda c: S.coalesced(c.files.select((F.col("doc_id") % 70).alias("batch"), "path")), r"""
+SELECT batch, count(DISTINCT path) AS n, CASE WHEN count(DISTINCT path) >= 12 THEN list_sort(list(DISTINCT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^((?:[^/]+/){1,2})', 1)[:-2] ELSE path END)) ELSE list_sort(list(DISTINCT path)) END AS shown FROM (SELECT doc_id % 70 AS batch, path FROM files) GROUP BY batch""")
+add("t07_tumbling", lambda c: S.tumbling(c.table("events")).select("event_type", F.unix_micros("opened").alias("opened"), "n"), "SELECT event_type, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS opened, count(*) AS n FROM events GROUP BY ALL")
+
+
+def queries() -> dict:
+    return {name: (lambda f: lambda spark, sf_dir: f(Catalog(spark, sf_dir)))(f) for name, (f, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for name, (_, sql) in QUERIES.items() if sql}
