@@ -44,10 +44,10 @@ def cross_dependencies(packages: DataFrame) -> DataFrame:
 def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports with the target: a package's first part, the first known file of the candidates, else the stripped path."""
     external = ~F.col("source").rlike(r"^[./\\]")
-    whole = folded(F.concat(dirname(F.col("file_path")), F.lit("/"), F.col("source")))
-    stripped = F.regexp_replace(whole, r"(?i)\.(js|jsx|mjs|cjs|mts|cts)$", "")
-    tried = F.when(~external, F.concat(F.array(whole), F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(stripped, e))))
-    rows = imports.select("ord", "file_path", "source", external.alias("external"), stripped.alias("stripped"), tried.alias("tried"))
+    whole = F.when(~external, folded(F.concat(dirname(F.col("file_path")), F.lit("/"), F.col("source"))))
+    rows = imports.select("ord", "file_path", "source", external.alias("external"), F.explode(F.array(whole)).alias("whole"))  # once a row
+    rows = rows.withColumn("stripped", F.regexp_replace("whole", r"(?i)\.(js|jsx|mjs|cjs|mts|cts)$", ""))
+    rows = rows.withColumn("tried", F.array("whole", *(F.concat("stripped", F.lit(e)) for e in ENDINGS)))
     found = rows.where(~F.col("external")).select("ord", F.posexplode("tried").alias("place", "path"))
     found = found.join(files.select("path"), "path").groupBy("ord").agg(F.min_by("path", "place").alias("found"))
     target = F.when(F.col("external"), F.concat(F.lit("pkg:"), F.element_at(F.split("source", "/"), 1))).otherwise(F.coalesce("found", "stripped"))

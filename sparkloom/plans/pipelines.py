@@ -75,7 +75,7 @@ def review(changed: DataFrame, added: DataFrame, files: DataFrame, edges: DataFr
     p = F.col("path")
     by_path = changed.select("path", F.inline(F.array_compact(F.array(
         F.when(reduce(lambda a, b: a | b, [p.rlike(x) for x in GENERATED]), F.struct(F.lit("generated").alias("category"), F.lit("warn").alias("severity"))),
-        F.when(p.rlike(SENSITIVE), F.struct(F.lit("secret_file"), F.lit("risk"))), F.when(p.rlike(DOCS), F.struct(F.lit("docs"), F.lit("info")))))))
+        F.when(p.rlike(SENSITIVE), F.struct(F.lit("secret_file").alias("category"), F.lit("risk").alias("severity"))), F.when(p.rlike(DOCS), F.struct(F.lit("docs").alias("category"), F.lit("info").alias("severity")))))))
     lines = added_line_findings(added).groupBy("path", "category", "severity").agg(F.count("*").alias("n")).drop("n")
     seeds = changed.select(F.concat(F.lit("file:"), "path").alias("seed"))
     wide = impact(edges, seeds, 1).where("direction = 'dependents'").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > many)

@@ -100,7 +100,7 @@ SELECT i.ord AS id, i.file_path AS path, i.line, s.line AS symbol_line FROM impo
 add("j10_touched_symbols", lambda c: J.touched_symbols(A.line_span(c.imports, "file_path", "line").withColumnRenamed("file_path", "path"), c.symbols), """
 WITH r AS (SELECT file_path AS path, min(line) AS lo, max(line) AS hi FROM imports GROUP BY 1) SELECT path, lo, hi, id, name, line FROM symbols JOIN r ON r.path = file_path AND line <= hi AND line + 30 >= lo""")
 add("j11_nearest_symbols", lambda c: J.nearest_symbols(c.symbols, c.imports.select(F.col("file_path").alias("path"), F.col("line").alias("at")).distinct(), 3), """
-WITH p AS (SELECT DISTINCT file_path AS path, line AS at FROM imports) SELECT * FROM (SELECT path, at, id, name, abs(line - at) AS distance, row_number() OVER (PARTITION BY path, at ORDER BY abs(line - at), id) AS rank FROM p JOIN symbols ON file_path = path) WHERE rank <= 3""")
+WITH p AS (SELECT DISTINCT file_path AS path, line AS "at" FROM imports) SELECT * FROM (SELECT path, "at", id, name, abs(line - "at") AS distance, row_number() OVER (PARTITION BY path, "at" ORDER BY abs(line - "at"), id) AS rank FROM p JOIN symbols ON file_path = path) WHERE rank <= 3""")
 add("j12_side_records", lambda c: J.with_side_records(c.files.select("path"), c.symbols, "found", ["line", "name", "id"]).select("path", F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.transform("found", lambda x: x["id"]).alias("ids")), """
 SELECT path, count(id) AS n, list(id ORDER BY line, name, id) FILTER (WHERE id IS NOT NULL) AS ids FROM files LEFT JOIN symbols ON file_path = path GROUP BY path""")
 add("j13_registered_steps", lambda c: J.registered_steps(c.imports.select(F.col("file_path").alias("flow"), F.col("line").alias("step"), F.col("source").alias("tool")), c.imports.where("ord % 2 = 0").select(F.col("source").alias("tool"))), """
@@ -256,16 +256,16 @@ SELECT id, CASE WHEN id LIKE '%1' THEN 'new' ELSE type END AS type, created_at,
 add("k06_delete_missing", lambda c: c.symbols.join(c.files.where("doc_id % 3 <> 0").select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id"), "SELECT id FROM symbols WHERE file_path IN (SELECT path FROM files WHERE doc_id % 3 <> 0)")
 
 # ---- streams (T), their batch form
-add("t02_debounced", lambda c: S.debounced(c.table("events").select(F.col("user_id").alias("source"), "ts"), "30 minutes").select("source", F.unix_micros("opened").alias("opened"), "n"), """
+add("t02_debounced", lambda c: S.debounced(c.table("events").select(F.col("user_id").alias("source"), "ts"), "30 minutes").select("source", F.unix_micros(F.col("opened").cast("timestamp")).alias("opened"), "n"), """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
 SELECT user_id AS source, epoch_us(min(ts)) AS opened, count(*) AS n FROM s GROUP BY user_id, s""")
 add("t03_debounced_with_limit", lambda c: S.debounced_with_limit(c.table("events").withColumnRenamed("user_id", "source"), 1_800_000, 3_600_000), """
-WITH g AS (SELECT user_id, epoch_ms(ts) AS ms, event_id, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER w < 1800000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+WITH g AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w < 1800000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g), k AS (SELECT *, (ms - min(ms) OVER (PARTITION BY user_id, s)) // 3600000 AS c FROM s)
 SELECT user_id AS source, min(ms) AS opened_ms, max(ms) AS last_ms, count(*) AS n FROM k GROUP BY user_id, s, c""")
 add("t05_coalesced", lambda c: S.coalesced(c.files.select((F.col("doc_id") % 70).alias("batch"), "path")), r"""
 SELECT batch, count(DISTINCT path) AS n, CASE WHEN count(DISTINCT path) >= 12 THEN list_sort(list(DISTINCT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^((?:[^/]+/){1,2})', 1)[:-2] ELSE path END)) ELSE list_sort(list(DISTINCT path)) END AS shown FROM (SELECT doc_id % 70 AS batch, path FROM files) GROUP BY batch""")
-add("t07_tumbling", lambda c: S.tumbling(c.table("events")).select("event_type", F.unix_micros("opened").alias("opened"), "n"), "SELECT event_type, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS opened, count(*) AS n FROM events GROUP BY ALL")
+add("t07_tumbling", lambda c: S.tumbling(c.table("events")).select("event_type", F.unix_micros(F.col("opened").cast("timestamp")).alias("opened"), "n"), "SELECT event_type, epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS opened, count(*) AS n FROM events GROUP BY ALL")
 
 
 def queries() -> dict:

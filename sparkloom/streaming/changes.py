@@ -20,7 +20,7 @@ def debounced(events: DataFrame, gap: str = "400 milliseconds", late: str | None
 def debounced_with_limit(events: DataFrame, gap_ms: int = 400, most_ms: int = 2000, key: str = "source", time: str = "ts") -> DataFrame:
     """Batches of a stored change table that also end most_ms after their first event: sessions cut at multiples of it."""
     by = Window.partitionBy(key).orderBy(time, "event_id")
-    ms = F.unix_millis(time)
+    ms = F.unix_millis(F.col(time).cast("timestamp"))
     rows = events.withColumn("__new", F.coalesce(ms - F.lag(ms).over(by) >= gap_ms, F.lit(True)).cast("int"))
     rows = rows.withColumn("__session", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.min(ms).over(Window.partitionBy(key, "__session"))
