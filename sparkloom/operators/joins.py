@@ -152,7 +152,7 @@ def applicable_rules(rules: DataFrame, path: str, fallback: int = 5) -> DataFram
         mention = mention | F.contains(F.lower("body"), F.lit(p.lower()))
     typed = F.lit(path.endswith((".ts", ".tsx"))) & F.lower("body").rlike("typescript")
     reasons = F.array_compact(F.array(
-        F.when(F.exists("globs", lambda g: F.lit(path).rlike(g)), "glob"), F.when(mention, "mention"), F.when(F.lower("body").rlike(r"\balways\b|\ball files\b"), "always"), F.when(typed, "typescript")))
+        F.when(F.exists("globs", lambda g: F.rlike(F.lit(path), g)), "glob"), F.when(mention, "mention"), F.when(F.lower("body").rlike(r"\balways\b|\ball files\b"), "always"), F.when(typed, "typescript")))
     marked = rules.select("name", reasons.alias("reasons"))
     any_hit = Window.partitionBy()  # rules are a small configuration table
     ranked = marked.withColumns({"hits": F.count_if(F.size("reasons") > 0).over(any_hit), "place": F.row_number().over(Window.orderBy("name"))})
