@@ -159,11 +159,12 @@ class PrefixCounter:
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         whole = {t: i for t, i in vocabulary.ids.items() if t not in vocabulary.specials and vocabulary.encode_units(vocabulary.units_of(i)) == [i]}
         self.by_bytes = {bytes(byte_of[c] for c in t): i for t, i in whole.items()}
-        self.longest = max(map(len, self.by_bytes))
-        self.lengths: dict[int, list[int]] = {}
+        sizes: dict[bytes, set[int]] = {}
         for t in self.by_bytes:
-            self.lengths.setdefault(t[-1], set()).add(len(t))
-        self.lengths = {b: sorted(x, reverse=True) for b, x in self.lengths.items()}
+            if len(t) > 2:
+                sizes.setdefault(t[-3:], set()).add(len(t))
+        #: Lengths of the tokens that end in these three bytes; those of one and two bytes are always tried.
+        self.lengths = {b: (*sorted(x, reverse=True), 2, 1) for b, x in sizes.items()}
         self._split = regex.compile(GPT_SPLIT)
         self.newer = regex.compile("[\u0500-\U0010ffff]")
         #: A run of white space with what follows it: pieces never reach over its start.
@@ -180,8 +181,9 @@ class PrefixCounter:
         body = text.encode("utf-8")
         n, by_bytes, fits = len(body), self.by_bytes, self.v.fits
         last, counts = [0] * (n + 1), [0] * (n + 1)
+        lengths = self.lengths
         for i in range(1, n + 1):
-            for size in self.lengths[body[i - 1]]:
+            for size in lengths.get(body[i - 3:i], (2, 1)) if i > 2 else (2, 1):
                 j = i - size
                 if j < 0:
                     continue
@@ -236,8 +238,8 @@ class PrefixCounter:
             return self.unit.findall(text)
         return [u for part in self.v.split_specials.split(text) for u in ([part] if part in self.v.specials else self.unit.findall(part))]
 
-    def count(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.units(text)))
+    def count(self, units: list[str]) -> int:
+        return sum(map(self.totals.__getitem__, units))
 
     def prefixes(self, text: str) -> list[int]:
         """counts[k]: tokens of text[:k + 1], as encoding that prefix alone would give."""
@@ -253,10 +255,9 @@ class PrefixCounter:
                 before += self.totals[u]
         return out
 
-    def within(self, text: str, budget: int) -> int:
+    def within(self, units: list[str], budget: int) -> int:
         """Characters of the longest prefix of at most budget tokens; only the unit that crosses the budget is looked into."""
         before = at = 0
-        units = self.units(text)
         for k, u in enumerate(units):
             total = self.totals[u]
             if before + total > budget:

@@ -35,7 +35,7 @@ from .shared import LOWER, U, bitmap_array, components, maybe_in, mix, prefix_ha
 SHINGLE = 5
 PERCENT = 80
 #: A shingle is heavy if it is found more often than this and than a four-millionth of all: at most 4 million, 32 MB.
-HEAVY_LEAST, HEAVY_SHARE = 64, 4_000_000
+HEAVY_LEAST, HEAVY_SHARE = 32, 4_000_000
 SKETCH_LEAST = 1024  # bits
 #: Shingles after which a task adds up what it has seen more than once.
 BLOCK = 4_000_000
@@ -111,6 +111,9 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
         if held:
             yield again()
 
+    # Fewer, larger tasks (no shuffle): a shingle's copies meet in a task, so that its count shows it is heavy.
+    n, slots = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.coalesce(max(1, min(n, max(4 * slots, n // 16))))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, row long, n long, sid long, sketch array<long>, shingle long, times long")
 

@@ -56,8 +56,9 @@ def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def token_budget(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, chars_within): the whole count, and the characters of the longest prefix of at most budget tokens."""
     def look(c: PrefixCounter, t: str) -> tuple[int, int]:
-        n = c.count(t)
-        return n, len(t) if n <= budget else c.within(t, budget)
+        units = c.units(t)
+        n = c.count(units)
+        return n, len(t) if n <= budget else c.within(units, budget)
 
     return _mapped(docs, id_col, text_col, path, f"{id_col} long, n_tokens long, chars_within long", look)
 
@@ -65,5 +66,5 @@ def token_budget(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id"
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sized = _mapped(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), "doc_id long, n_bytes long, n_tokens long, chars_within_limit long",
-                    lambda c, t: (len(t.encode("utf-8")), n := c.count(t), len(t) if n <= LIMIT else c.within(t, LIMIT)))
+                    lambda c, t: (len(t.encode("utf-8")), n := c.count(units := c.units(t)), len(t) if n <= LIMIT else c.within(units, LIMIT)))
     return sized.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "chars_within_limit")
