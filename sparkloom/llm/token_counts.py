@@ -50,7 +50,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, path: str, schema: str,
 
 def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, prefix_tokens): prefix_tokens[k] is the token count of the text's first k + 1 characters."""
-    return _mapped(docs, id_col, text_col, path, f"{id_col} long, prefix_tokens array<int>", lambda c, t: (c.prefixes(t),))
+    return _mapped(docs, id_col, text_col, path, f"{id_col} long, prefix_tokens array<long>", lambda c, t: (c.prefixes(t),))
 
 
 def token_budget(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
