@@ -98,7 +98,7 @@ class Model:
         return h[by], values[by]
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        p, weight = np.zeros(len(grams)), np.ones(len(grams))
+        p, weight = np.zeros(grams.shape), np.ones(grams.shape)
         for order, keys, given, contexts, shares in self.tables:
             part = grams & ((1 << 6 * order) - 1)
             p += weight * self._look(keys, given, self._hash(order, part), 0.0)
@@ -108,7 +108,7 @@ class Model:
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
         if not len(keys):
-            return np.full(len(wanted), default)
+            return np.full(wanted.shape, default)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], default)
 
