@@ -1,8 +1,9 @@
 """Training documents that hold benchmark items, whole or edited.
 
 Texts are words: letters A-Z in lower case, ASCII punctuation as space. Every run of GRAM words of an item is a possible
-seed. One pass over the corpus counts in how many documents each of these runs occurs; the rarer half of an item's runs
-(ties included) are its seeds. A second pass finds the seeds in each document, puts those of one item that lie near one
+seed. One pass over the corpus counts in how many documents each of these runs occurs. A run is rare, and so a seed, if
+it is in at most COMMON_TIMES as many documents as the item's middle run, or in at most a COMMON_SHARE-th of all: what an
+edited copy has kept of an item is never dropped for being a little commoner than what it has lost. A second pass finds the seeds in each document, puts those of one item that lie near one
 diagonal together, and aligns the item with that stretch of the document by Smith-Waterman (match 2, mismatch and gap
 -1). The score is the alignment's share of a perfect one; a document leaks an item if it is at least LEAST.
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, U, prefix_hash, span_hash, stage, table, text_steps, windows, words
 
 GRAM, LEAST = 4, 0.4
+COMMON_TIMES, COMMON_SHARE = 4, 1000
 BLOCK_RUNS = 2_000_000
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(33, 128) if not chr(c).isalnum()]] = 32
@@ -45,13 +47,13 @@ class Block:
         self.end = np.append(self.first[1:], len(flat))
         self.seeds = np.ones(len(flat), bool)
 
-    def keep_rare(self, times: np.ndarray) -> None:
-        """times: documents with each run. Only the rarer half of each item's runs stay seeds."""
+    def keep_rare(self, times: np.ndarray, n_docs: int) -> None:
+        """times: documents with each run, of n_docs. Runs far commoner than their item's middle one are no seeds."""
         each = np.repeat(times, self.end - self.first)
         order = np.lexsort((each, self.item))
         n = np.bincount(self.item, minlength=len(self.ids))
         middle = np.cumsum(n) - n + (n - 1) // 2
-        limit = each[order[middle]]
+        limit = np.maximum(COMMON_TIMES * each[order[middle]], max(8, n_docs // COMMON_SHARE))
         self.seeds = each <= limit[self.item]
 
     def where(self, runs: np.ndarray) -> np.ndarray:
@@ -90,11 +92,12 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
 
 
 def run_documents(docs: DataFrame, text_col: str, block) -> DataFrame:
-    """(run, n): in how many rows of docs each run of the block occurs; added up in each task first."""
+    """(run, n): in how many rows of docs each run of the block occurs, and for the run after the last one the number of rows; added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.value.runs), np.int64)
+        total, n_docs = np.zeros(len(block.value.runs), np.int64), 0
         for batch in batches:
+            n_docs += len(batch)
             for _, data, offs in text_steps(batch):
                 _, runs, inside, first = document_runs(data, offs)
                 at = block.value.where(runs)
@@ -103,7 +106,7 @@ def run_documents(docs: DataFrame, text_col: str, block) -> DataFrame:
                 pairs = np.unique(doc.astype(np.int64) * len(total) + at[hit])
                 total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["run", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*found, len(total)], pa.int64()), pa.array([*total[found], n_docs], pa.int64())], ["run", "n"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
@@ -160,9 +163,9 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     context = docs.sparkSession.sparkContext
     for block in blocks(benchmark, item_col, item_text):
         counted = run_documents(docs, text_col, context.broadcast(block)).toArrow()  # a row a run of the block at most
-        times = np.zeros(len(block.runs), np.int64)
+        times = np.zeros(len(block.runs) + 1, np.int64)
         times[counted["run"].to_numpy()] = counted["n"].to_numpy()
-        block.keep_rare(times)
+        block.keep_rare(times[:-1], int(times[-1]))
         yield context.broadcast(block)
 
 
