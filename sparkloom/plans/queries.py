@@ -160,9 +160,9 @@ down AS (SELECT '{s}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM down JOIN
 SELECT '{s}' AS seed, 'dependents' AS direction, node FROM (SELECT DISTINCT node FROM up WHERE d > 0) UNION ALL SELECT '{s}', 'dependencies', node FROM (SELECT DISTINCT node FROM down WHERE d > 0)"""
 add("g01_impact", lambda c: G.impact(c.edges, c.spark.range(1).select(F.lit(SEED).alias("seed")), 2), _REACH.format(s=SEED, d=2))
 add("g02_distances", lambda c: G.distances(c.edges, SEED).select("node", "distance"), f"""
-WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 12) SELECT node, min(d) AS distance FROM r GROUP BY node""")
+WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 50) SELECT node, min(d) AS distance FROM r GROUP BY node""")
 add("g02_shortest_path", lambda c: G.shortest_path(c.edges, SEED, "file:error_7").agg(F.max("place").alias("length")), f"""
-WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 12) SELECT min(d) AS length FROM r WHERE node = 'file:error_7'""")
+WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 50) SELECT min(d) AS length FROM r WHERE node = 'file:error_7'""")
 _FOLDED = "SELECT DISTINCT 'n' || (l_partkey % 300) AS from_id, 'n' || l_suppkey AS to_id, 'IMPORTS' AS edge_type FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 300 <> l_suppkey AND ((l_partkey % 300) * 7 + l_suppkey) % 3 = 0"
 
 
