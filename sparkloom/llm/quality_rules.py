@@ -42,10 +42,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and its statistics as __q_<name> columns; every row for itself, no shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def removed(chars: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    def number_of(chars: str) -> Column:
+        return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
-    df = fixed(docs, "__q_w", F.filter(F.split(text, SPACES), lambda w: w != ""))
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    df = fixed(docs, "__q_w", F.when(inner != "", F.split(inner, SPACES)).otherwise(F.array().cast("array<string>")))
     df = fixed(df, "__q_l", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^ \t-\r]"))))
     w = F.col("__q_w")
     df = fixed(df, "__q_h", F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))))
@@ -65,12 +66,12 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({
         "__q_n_words": F.size(w).cast("long"),
         "__q_word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "__q_n_symbols": removed("#*$%&|<>"),
+        "__q_n_symbols": number_of("#*$%&|<>"),
         "__q_n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "__q_n_repeat_words": F.aggregate(gaps, F.lit(0), lambda t, x: t + x).cast("long"),
         "__q_n_lines": F.size(lines).cast("long"),
-        "__q_n_caps": removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "__q_n_bangs": removed("!"),
+        "__q_n_caps": number_of("A-Z"),
+        "__q_n_bangs": number_of("!"),
     }).drop("__q_w", "__q_l", "__q_h", "__q_s", "__q_e", "__q_p")
 
 
@@ -103,6 +104,7 @@ def certify(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     seen = seen.join(labels.where("quality is not null").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good")), "id")
     counts = [F.count_if((F.col(r) > c) & g).alias(f"{r}_{j}_{s}") for r, (_, cuts) in RULES.items() for j, c in enumerate(cuts) for s, g in (("good", F.col("good")), ("bad", ~F.col("good")))]
     by_lang = seen.groupBy("lang").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"), *counts)
+    by_lang = stage(by_lang, "languages")  # read three times below
     rank = F.row_number().over(Window.orderBy(F.col("n_good").desc(), "lang"))  # a row a language, summed up before
     own = by_lang.where("lang is not null").withColumn("rank", rank).withColumn("stratum", F.when(F.col("rank") <= STRATA, F.col("lang")))
     pooled = own.drop("rank").unionByName(by_lang.where("lang is null").withColumn("stratum", F.lit(None).cast("string")))
