@@ -2,7 +2,7 @@
 
 Texts are words: letters A-Z in lower case, ASCII punctuation as space. Every run of GRAM words of an item is a possible
 seed. One pass over the corpus counts in how many documents each of these runs occurs. A run is rare, and so a seed, if
-it is in at most COMMON_TIMES as many documents as the item's middle run, or in at most a COMMON_SHARE-th of all: what an
+it is in at most COMMON_TIMES as many documents as the item's middle run, or in at most a COMMON_SHARE-th of all (or in COMMON_LEAST): what an
 edited copy has kept of an item is never dropped for being a little commoner than what it has lost. A second pass finds the seeds in each document, puts those of one item that lie near one
 diagonal together, and aligns the item with that stretch of the document by Smith-Waterman (match 2, mismatch and gap
 -1). The score is the alignment's share of a perfect one; a document leaks an item if it is at least LEAST.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, U, prefix_hash, span_hash, stage, table, text_steps, windows, words
 
 GRAM, LEAST = 4, 0.4
-COMMON_TIMES, COMMON_SHARE = 4, 1000
+COMMON_TIMES, COMMON_SHARE, COMMON_LEAST = 4, 1000, 8
 BLOCK_RUNS = 2_000_000
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(33, 128) if not chr(c).isalnum()]] = 32
@@ -53,7 +53,7 @@ class Block:
         order = np.lexsort((each, self.item))
         n = np.bincount(self.item, minlength=len(self.ids))
         middle = np.cumsum(n) - n + (n - 1) // 2
-        limit = np.maximum(COMMON_TIMES * each[order[middle]], max(8, n_docs // COMMON_SHARE))
+        limit = np.maximum(COMMON_TIMES * each[order[middle]], max(COMMON_LEAST, n_docs // COMMON_SHARE))
         self.seeds = each <= limit[self.item]
 
     def where(self, runs: np.ndarray) -> np.ndarray:
