@@ -1,14 +1,17 @@
 """Training documents that hold benchmark items, whole or edited.
 
-Texts are words: letters A-Z in lower case, ASCII punctuation as space. Every run of GRAM words of an item is a possible
-seed. One pass over the corpus counts in how many documents each of these runs occurs. A run is rare, and so a seed, if
-it is in at most COMMON_TIMES as many documents as the item's middle run, or in at most a COMMON_SHARE-th of all (or in COMMON_LEAST): what an
-edited copy has kept of an item is never dropped for being a little commoner than what it has lost. A second pass finds the seeds in each document, puts those of one item that lie near one
-diagonal together, and aligns the item with that stretch of the document by Smith-Waterman (match 2, mismatch and gap
--1). The score is the alignment's share of a perfect one; a document leaks an item if it is at least LEAST.
+Texts are words: letters A-Z in lower case, ASCII punctuation as space. A document is compared with every item it shares
+a run of GRAM words with, however common that run is. The item is aligned with the document by Smith-Waterman (match 2,
+mismatch and gap -1). The score is the alignment's share of a perfect one; a document leaks an item if it is at least
+LEAST.
+
+What is not aligned can't reach LEAST: an alignment of an item of n words with a score of at least LEAST has at least
+LEAST * n matches and covers at most (3 - 2 * LEAST) * n words of the document (its mismatches and gaps cost one each).
+So items of which the document holds too few words are left out, and of the others only the windows of that many words
+that hold enough words of the item are aligned.
 
 The benchmark is taken in blocks of at most BLOCK_RUNS runs, so what is sent to every task is bounded whatever its size;
-each block is a pass over the corpus. Texts are never shuffled. Null and empty texts leak nothing, items of fewer than
+each block is one pass over the corpus. Texts are never shuffled. Null and empty texts leak nothing, items of fewer than
 GRAM words can't be found, items with equal text are found together. Rows are judged one by one, so ids may be null or
 repeat; very long texts are read whole.
 """
@@ -22,17 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U, prefix_hash, span_hash, stage, table, text_steps, windows, words
+from .shared import LOWER, U, prefix_hash, span_hash, table, text_steps, windows, words
 
 GRAM, LEAST = 4, 0.4
-COMMON_TIMES, COMMON_SHARE, COMMON_LEAST = 4, 1000, 8
 BLOCK_RUNS = 2_000_000
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(33, 128) if not chr(c).isalnum()]] = 32
 
 
 class Block:
-    """A part of the benchmark: items, their words' hashes, and sorted runs with the items and places they stand at."""
+    """A part of the benchmark: items, their words' hashes, and sorted runs with the items they stand in."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [i for i, _ in items]
@@ -40,21 +42,14 @@ class Block:
         runs = [windows(w, GRAM) for w in self.words]
         flat = np.concatenate(runs) if runs else np.zeros(0, U)
         item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        place = np.concatenate([np.arange(len(r)) for r in runs]) if runs else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item = item[order]
         self.runs, self.first = np.unique(flat[order], return_index=True)
         self.end = np.append(self.first[1:], len(flat))
-        self.seeds = np.ones(len(flat), bool)
-
-    def keep_rare(self, times: np.ndarray, n_docs: int) -> None:
-        """times: documents with each run, of n_docs. Runs far commoner than their item's middle one are no seeds."""
-        each = np.repeat(times, self.end - self.first)
-        order = np.lexsort((each, self.item))
-        n = np.bincount(self.item, minlength=len(self.ids))
-        middle = np.cumsum(n) - n + (n - 1) // 2
-        limit = np.maximum(COMMON_TIMES * each[order[middle]], max(COMMON_LEAST, n_docs // COMMON_SHARE))
-        self.seeds = each <= limit[self.item]
+        # the different words of each item, and how often it has them
+        each = [np.unique(w, return_counts=True) for w in self.words]
+        self.own = [w for w, _ in each]
+        self.times = [n for _, n in each]
 
     def where(self, runs: np.ndarray) -> np.ndarray:
         """Index in self.runs of each run, or -1."""
@@ -91,26 +86,6 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
         yield Block(held)
 
 
-def run_documents(docs: DataFrame, text_col: str, block) -> DataFrame:
-    """(run, n): in how many rows of docs each run of the block occurs, and for the run after the last one the number of rows; added up in each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n_docs = np.zeros(len(block.value.runs), np.int64), 0
-        for batch in batches:
-            n_docs += len(batch)
-            for _, data, offs in text_steps(batch):
-                _, runs, inside, first = document_runs(data, offs)
-                at = block.value.where(runs)
-                hit = np.flatnonzero((at >= 0) & inside)
-                doc = np.searchsorted(first, hit, "right") - 1
-                pairs = np.unique(doc.astype(np.int64) * len(total) + at[hit])
-                total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([*found, len(total)], pa.int64()), pa.array([*total[found], n_docs], pa.int64())], ["run", "n"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-
-
 def align(item: np.ndarray, part: np.ndarray) -> int:
     """The best local alignment score of two word sequences; each row of the table at once."""
     best, above = 0, np.zeros(len(part) + 1, np.int64)
@@ -124,24 +99,35 @@ def align(item: np.ndarray, part: np.ndarray) -> int:
     return best
 
 
-def leaks_of(block: Block, of_word: np.ndarray, seeds: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end) of one text from its seeds (item, diagonal, place in the text)."""
-    found: dict[int, tuple[float, int, int]] = {}
-    lo = 0
-    seeds.sort()
-    for hi in range(1, len(seeds) + 1):
-        item = block.words[seeds[lo][0]]
-        slack = max(4, len(item) // 4)
-        if hi < len(seeds) and seeds[hi][0] == seeds[lo][0] and seeds[hi][1] - seeds[hi - 1][1] <= slack:
-            continue
-        a = max(0, seeds[lo][1] - slack)
-        b = min(len(of_word), seeds[hi - 1][1] + len(item) + slack)
-        score = align(item, of_word[a:b]) / (2 * len(item))
-        k = seeds[lo][0]
-        if score >= LEAST and score > found.get(k, (0.0,))[0]:
-            found[k] = score, a, b
-        lo = hi
-    return [(block.ids[k], *x) for k, x in sorted(found.items())]
+def covering(item: np.ndarray, own: np.ndarray, of_word: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of a text outside of which no alignment with the item reaches LEAST."""
+    n = len(item)
+    size, need = int(np.ceil((3 - 2 * LEAST) * n)), int(np.ceil(LEAST * n - 1e-9))
+    at = np.minimum(np.searchsorted(own, of_word), len(own) - 1)
+    held = np.concatenate(([0], np.cumsum(own[at] == of_word)))
+    size = min(size, len(of_word))
+    good = np.flatnonzero(held[size:] - held[:len(held) - size] >= need)
+    if not len(good):
+        return []
+    gap = np.flatnonzero(np.diff(good) > size)  # windows that neither overlap nor touch
+    return list(zip(good[np.append(0, gap + 1)].tolist(), (good[np.append(gap, len(good) - 1)] + size).tolist()))
+
+
+def leaks_of(block: Block, of_word: np.ndarray, items: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of one text, of the items it shares a run with."""
+    different, times = np.unique(of_word, return_counts=True)
+    sizes = np.array([len(block.own[k]) for k in items])
+    own = np.concatenate([block.own[k] for k in items])
+    at = np.minimum(np.searchsorted(different, own), len(different) - 1)
+    both = np.where(different[at] == own, np.minimum(times[at], np.concatenate([block.times[k] for k in items])), 0)
+    matches = np.add.reduceat(both, np.cumsum(sizes) - sizes)
+    out = []
+    for k in items[matches >= LEAST * np.array([len(block.words[k]) for k in items]) - 1e-9].tolist():
+        item = block.words[k]
+        best = max(((align(item, of_word[a:b]) / (2 * len(item)), a, b) for a, b in covering(item, block.own[k], of_word)), default=(0.0, 0, 0), key=lambda x: x[0])
+        if best[0] >= LEAST:
+            out.append((block.ids[k], *best))
+    return out
 
 
 def text_leaks(block: Block, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, list]]:
@@ -152,21 +138,15 @@ def text_leaks(block: Block, data: np.ndarray, offs: np.ndarray) -> Iterator[tup
     doc = np.searchsorted(first, hit, "right") - 1
     for cut in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(doc)) + 1) if len(hit) else []:
         row = int(doc[cut[0]])
-        seeds = [(int(block.item[j]), int(hit[c] - first[row] - block.place[j]), int(hit[c] - first[row]))
-                 for c in cut for j in range(block.first[at[hit[c]]], block.end[at[hit[c]]]) if block.seeds[j]]
-        if seeds and (found := leaks_of(block, of_word[first[row]:first[row + 1]], seeds)):
+        items = np.unique(np.concatenate([block.item[block.first[j]:block.end[j]] for j in np.unique(at[hit[cut]])]))
+        if found := leaks_of(block, of_word[first[row]:first[row + 1]], items):
             yield row, found
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str) -> Iterator:
-    """Broadcast blocks whose seeds are chosen by their counts in docs."""
-    context = docs.sparkSession.sparkContext
+def prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """The benchmark's blocks, broadcast."""
     for block in blocks(benchmark, item_col, item_text):
-        counted = run_documents(docs, text_col, context.broadcast(block)).toArrow()  # a row a run of the block at most
-        times = np.zeros(len(block.runs) + 1, np.int64)
-        times[counted["run"].to_numpy()] = counted["n"].to_numpy()
-        block.keep_rare(times[:-1], int(times[-1]))
-        yield context.broadcast(block)
+        yield docs.sparkSession.sparkContext.broadcast(block)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -185,7 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
     out = None
-    for block in prepared(docs, benchmark, text_col, item_col, item_text):
+    for block in prepared(docs, benchmark, item_col, item_text):
         out = found(block) if out is None else out.union(found(block))
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -193,7 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that leak no item."""
     at = docs.columns.index(text_col)
-    for block in prepared(docs, benchmark, text_col, item_col, item_text):
+    for block in prepared(docs, benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -266,6 +266,27 @@ def test_op6_leaks(spark, docs, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.without_leaks(df, benchmark.limit(0)).count() == 6
 
 
+def test_op6_common_edited_copies(spark):
+    r = random.Random(71)
+    one, two, three = (prose(40, r).split(" ") for _ in range(3))
+    five = " ".join("changed" if k % 5 == 0 else w for k, w in enumerate(one))  # 8 of its 37 runs are left
+    part = " ".join(two[10:28])  # 45% of it
+    rows = [(i, f"{prose(12, r)} {five if i % 2 else part} {prose(12, r)}" if i < 120 else prose(30, r)) for i in range(200)]
+    rows.append((200, " ".join(w + " inserted" for w in three[:20]) + " " + " ".join(three[20:])))  # gaps of half the item
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = {1: one, 2: two, 3: three}
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(df, benchmark).collect()}
+    assert set(got) == {*((i, 1 if i % 2 else 2) for i in range(120)), (200, 3)}
+
+    def hashes(s):
+        return decontaminate.document_runs(np.frombuffer(s.encode(), np.uint8), np.array([0, len(s.encode())]))[0]
+
+    for i, k in ((0, 2), (1, 1), (200, 3)):  # the table over the whole document
+        assert abs(got[i, k] - decontaminate.align(hashes(" ".join(items[k])), hashes(rows[i][1])) / 80) < 1e-9
+    assert decontaminate.without_leaks(df, benchmark).count() == 80
+
+
 def test_op6_alignment():
     def plain(a, b):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
