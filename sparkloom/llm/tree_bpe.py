@@ -30,7 +30,10 @@ LONG, PART = 1 << 20, 1 << 16
 
 
 class WordEncoder:
-    """A vocabulary of lower-case words with word ends; keeps the encodings of a bounded number of pieces."""
+    """A vocabulary of lower-case words with word ends; keeps the encodings of a bounded number of pieces.
+
+    Special strings are looked up in a table of their own, which is never cleared.
+    """
 
     KEPT = 400_000
 
@@ -42,8 +45,12 @@ class WordEncoder:
         self.unusual, self.newer = regex.compile("[ɐ-\U0010ffff]"), regex.compile("[Ԁ-\U0010ffff]")
         encoder = self
 
+        special = {s: np.array([i], "<u4").tobytes() for s, i in self.v.specials.items()}
+
         class Ids(dict):
             def __missing__(self, piece: str) -> bytes:
+                if piece in special:
+                    return special[piece]
                 units = encoder.v.units(piece)
                 ids = encoder.v.encode_tree(units) if len(units) > DIRECT else encoder.v.encode_units(units)
                 out = np.array(ids, "<u4").tobytes()
@@ -62,8 +69,6 @@ class WordEncoder:
                 return out
 
         self.ids, self.names = Ids(), Names()
-        for s, i in self.v.specials.items():
-            self.ids[s] = np.array([i], "<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """Token texts joined by spaces: the file names no decoder."""
@@ -88,7 +93,6 @@ class WordEncoder:
         for part in self.v.split_specials.split(text):
             if part in self.v.specials:
                 out.append(part)
-                self.ids.setdefault(part, np.array([self.v.specials[part]], "<u4").tobytes())
             else:
                 out += self.plain_pieces(part)
         return out

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,29 @@ def test_op5_ids_and_text(spark, docs, empty):
     assert tree_bpe.encode(empty, WORD).count() == 0
 
 
+def test_op5_specials_outlive_the_cache(spark, monkeypatch):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(WORD)
+    texts = [f"{prose(30, random.Random(k))} <|endoftext|> {prose(30, random.Random(k + 50))}<|endoftext|>" for k in range(4)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tree_bpe.WordEncoder, "KEPT", 3)
+    known = tree_bpe.WordEncoder(WORD)
+    for t, ids in zip(texts, want):  # short texts
+        assert np.frombuffer(known.encode(t)[0], "<u4").tolist() == ids
+        assert known.encode(t)[1] == library.decode(ids, skip_special_tokens=False)
+    monkeypatch.setattr(tree_bpe, "encoder", lambda path: known)  # parts of long texts, in a worker that has overflowed
+
+    class Parts:
+        def mapInArrow(self, run, schema):
+            pieces = [known.pieces(t) for t in texts]
+            rows = [{"row": k, "id": k, "part": 0, "pieces": p, "open_left": False, "open_right": False} for k, p in enumerate(pieces)]
+            for p in prose(40, random.Random(99)).split(" "):
+                known.ids[p]
+            return [x for b in run([pa.RecordBatch.from_pylist(rows)]) for x in b.to_pylist()]
+
+    assert [np.frombuffer(x["ids"], "<u4").tolist() for x in tree_bpe._encoded_parts(Parts(), WORD)] == want
+
+
 def test_op1_statistics_and_cutoffs(spark, docs, empty):
     got = {x.doc_id: x for x in quality_rules.with_statistics(docs).collect()}
     for x in docs.collect():
