@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DEEP = 10
 UP, DOWN = ("IMPORTS", "DEPENDS_ON", "TESTS"), ("IMPORTS", "DEPENDS_ON")
 
 
@@ -44,18 +46,23 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return up.union(down).select("seed", "direction", "node")
 
 
-def distances(edges: DataFrame, start: str, kinds: tuple[str, ...] = DOWN, longest: int = 50) -> DataFrame:
-    """(node, distance, parent) of everything reachable from start; the smallest parent wins a tie."""
+def distances(edges: DataFrame, start: str, kinds: tuple[str, ...] = DOWN) -> DataFrame:
+    """(node, distance, parent) of everything reachable from start, however far; the smallest parent wins a tie.
+
+    A level holds only nodes not seen before, so the loop ends. Every DEEP levels what is seen is staged, to keep plans short.
+    """
     spark = edges.sparkSession
     step = staged(edges.where(F.col("edge_type").isin(*kinds)).select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
     frontier = spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"))
     seen = frontier
-    for d in range(1, longest + 1):
+    for d in itertools.count(1):
         new = frontier.join(step, "node").groupBy("next").agg(F.min("node").alias("parent")).select(F.col("next").alias("node"), F.lit(d).alias("distance"), "parent")
         frontier = staged(new.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if d % DEEP == 0:
+            seen = staged(seen)
     return seen
 
 
@@ -66,7 +73,7 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     path = at
     hops = at.first()
     for _ in range(hops["distance"] if hops else 0):  # one row a step
-        at = seen.join(at.select(F.col("parent").alias("node")), "node").select("node", "parent", "distance")
+        at = staged(seen.join(at.select(F.col("parent").alias("node")), "node").select("node", "parent", "distance"))
         path = path.union(at)
     return path.select(F.col("distance").alias("place"), "node")
 

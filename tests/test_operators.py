@@ -59,6 +59,13 @@ def test_shortest_path(spark):
     assert G.shortest_path(edges, "c", "a").count() == 0
 
 
+def test_paths_of_more_than_fifty_steps(spark):
+    names = [f"n{k:02}" for k in range(53)]
+    edges = [(a, b, "IMPORTS") for a, b in zip(names, names[1:])] + [("n52", "n03", "IMPORTS")]  # and a way back
+    edges = spark.createDataFrame(edges, "from_id string, to_id string, edge_type string").coalesce(1)
+    assert {r.node: r.distance for r in G.distances(edges, "n00").collect()} == {n: k for k, n in enumerate(names)}
+
+
 def test_applicable_rules(spark):
     rules = spark.createDataFrame([("r1", ["^src/"], "x"), ("r2", [], "Always do"), ("r3", [], "nothing")], "name string, globs array<string>, body string")
     assert {r.name for r in J.applicable_rules(rules, "src/a.ts").collect()} == {"r1", "r2"}
