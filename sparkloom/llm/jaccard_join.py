@@ -6,15 +6,14 @@ c = ceil(t * n) of them, so under any order of all shingles the first n - c + l
 * Small sets (n <= boundary) enumerate the 2-subsets of their first n - c + 2 shingles; two small sets that link share one.
 * Large sets scan inverted lists: they and every small set near enough in size post their first n - c + 1 shingles.
 * The boundary is the size at which enumerating starts to cost more rows than scanning lists of the measured length.
-* The order puts shingles found in very many documents last (a table of at most HEAVY_SHARE entries whatever the
-  input), so a passage that a third of all documents share is posted by those alone that hold little else.
+* The order puts shingles first that are in one set only, then those in few, those in very many last. How many sets hold
+  a shingle is counted over all documents and marked in bitmaps of bounded size. A shingle of one set only isn't posted,
+  so a document that shares nothing, or a passage that a third of all documents hold beside their own text, posts nothing.
 
-Copies with equal sets are one class from the start. A list of k classes is not turned into k * k pairs: each class is
-compared with the list's smallest member, linked classes become components, and only members of one list that are still
-in different components are then compared with one another. So no link between two different sets is lost: either both
-ends are in one component already, or the pair itself is compared. A pair is first judged by its parity sketches (two to
-four bits a shingle, one for each bin of the hash space: how many differ is a lower bound of how many shingles differ),
-which rules out nearly all that share a passage only; what remains is compared by its whole sets of 64-bit hashes.
+Copies with equal sets are one class from the start. A list of k classes is not turned into k * k pairs (see pivots.py):
+each class is compared with the list's smallest member, linked ones are one component, and of the others only those are
+compared that differ from this member in the same shingles. No link between two different sets is lost: either both ends are
+in one component already, or the pair itself is compared, by its whole sets of 64-bit hashes.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. Rows that repeat are copies of one
 class. Columns other than the id and the text are not looked at.
@@ -23,22 +22,21 @@ class. Columns other than the id and the text are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U, bitmap_array, components, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
+from .pivots import COMPARED, apart_pairs, compared, lists_of, merged, rows_of
+from .shared import BITMAP_BITS, BITS, LOWER, U, components, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
 
 SHINGLE = 5
 PERCENT = 80
-#: A shingle is heavy if it is found more often than this and than a four-millionth of all: at most 4 million, 32 MB.
-HEAVY_LEAST, HEAVY_SHARE = 32, 4_000_000
-SKETCH_LEAST = 1024  # bits
-#: Shingles after which a task adds up what it has seen more than once.
-BLOCK = 4_000_000
+#: The least number of sets that is marked, and the factor from one level to the next.
+LEVELS = (2, 8)
+#: Shingles that a task sums up at once; sizes from which on sets are counted together.
+BLOCK, SIZES = 4_000_000, 1000
 PAIR_MARK = U(0x5851F42D4C957F2D)
 
 
@@ -69,53 +67,109 @@ def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix((total[first[1:]] - total[first[:-1]]) ^ mix(n)), U(0)).view(np.int64)
 
 
-def sketches(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Parity bits of each set as longs: a power of two of them, at least twice the size, so that one can be folded to another's width."""
-    n = np.diff(first)
-    bits = np.maximum(SKETCH_LEAST, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
-    base = np.concatenate(([0], np.cumsum(bits)))
-    owner = np.repeat(np.arange(len(n)), n)
-    bins = np.bincount(base[owner] + (hashes & (bits[owner] - 1).astype(U)).astype(np.int64), minlength=base[-1])
-    packed = np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array((base // 64).astype(np.int32)), pa.array(packed))
-
-
 def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, row, n, sid, sketch) of the documents (row: a hash of id and text), and rows (shingle, times) of those met again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        names = ["doc_id", "row", "n", "sid", "sketch", "shingle", "times"]
+def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """In how many different sets each shingle is found, over all documents.
 
-        def again():
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            found, times = found[times > 1].view(np.int64), times[times > 1]
-            none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(found), pa.list_(pa.int64())), pa.array(found), pa.array(times)], names)
+    Rows (bucket, level, bitmap, shingles, times, squares): bitmap marks the shingles of a bucket of the hash space that
+    are in at least `level` sets; and rows (-1 - n, 0, null, sets, null, null): how many sets have n shingles.
+    Tasks send blocks of sorted 32-bit cells as differences, byte by byte, so that most of them take three bytes.
+    """
+    # A bucket's part that one task sums up at once stays small: more parts for more input.
+    parts = 1 << max(0, (docs.rdd.getNumPartitions() // 500).bit_length())
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "part", "cells", "sets"]
+        sizes, held, ids, n_held = np.zeros(SIZES + 1, np.int64), [], [], 0
+
+        def block() -> pa.RecordBatch:
+            sid, one = np.unique(np.concatenate(ids), return_index=True)
+            sets = [x for x in held for x in x]
+            cells, times = np.unique(np.concatenate([sets[i] for i in one]) >> U(21), return_counts=True)
+            place = (cells >> U(32)).astype(np.int64) * parts + (cells & U(parts - 1)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place, low, times = place[order], (cells[order] & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(times[order], 255).astype(np.uint8)
+            at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            ends = np.append(at[1:], len(place))
+            packed = []
+            for lo, hi in zip(at, ends):
+                step = np.diff(low[lo:hi], prepend=np.uint32(0))
+                packed.append(np.concatenate((step.view(np.uint8).reshape(-1, 4).T.ravel(), times[lo:hi])).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array((place[at] // parts).astype(np.int32)), pa.array((place[at] % parts).astype(np.int32)), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64())], names)
 
         for batch in batches:
-            for rows, data, offs in text_steps(batch):
+            for _, data, offs in text_steps(batch):
                 hashes, first, _ = shingle_sets(data, offs, size)
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(set_ids(hashes, first)), sketches(hashes, first), none, none], names)
-                held.append(hashes)
+                n = np.diff(first)
+                sizes += np.bincount(np.minimum(n, SIZES), minlength=SIZES + 1)
+                full = np.flatnonzero(n)
+                held.append([hashes[first[i]:first[i + 1]] for i in full])
+                ids.append(set_ids(hashes, first)[full])
                 n_held += len(hashes)
                 if n_held >= BLOCK:
-                    yield again()
-                    held, n_held = [], 0
-        if held:
-            yield again()
-
-    # Fewer, larger tasks (no shuffle): a shingle's copies meet in a task, so that its count shows it is heavy.
-    n, slots = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
-    docs = docs.coalesce(max(1, min(n, max(4 * slots, n // 16))))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, row long, n long, sid long, sketch array<long>, shingle long, times long")
+                    yield block()
+                    held, ids, n_held = [], [], 0
+        if n_held:
+            yield block()
+        n = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - n).astype(np.int32)), pa.array(np.zeros(len(n), np.int32)), pa.nulls(len(n), pa.binary()), pa.array(sizes[n])], names)
+
+    def summed(key: tuple, rows: pa.Table) -> pa.Table:
+        names = ["bucket", "level", "bitmap", "shingles", "times", "squares"]
+        bucket = key[0].as_py()
+        if bucket < 0:
+            made = [(bucket, 0, None, sum(rows["sets"].to_pylist()), None, None)]
+        else:
+            cells, times = [], []
+            for packed in rows["cells"].to_pylist():
+                body = np.frombuffer(packed, np.uint8)
+                n = len(body) // 5
+                cells.append(np.cumsum(body[:4 * n].reshape(4, n).T.copy().view(np.uint32).ravel(), dtype=np.uint32))
+                times.append(body[4 * n:])
+            cells, times = np.concatenate(cells), np.concatenate(times).astype(np.int64)
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            at = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            times, cells = np.add.reduceat(times[order], at), cells[at]
+            made, level = [], LEVELS[0]
+            while (times >= level).any():
+                cells, times = cells[times >= level], times[times >= level]
+                marks = np.zeros(BITMAP_BITS, np.uint8)
+                marks[cells % BITMAP_BITS] = 1
+                made.append((bucket, level, np.packbits(marks, bitorder="little").tobytes(), len(cells), int(times.sum()), int((times * times).sum())))
+                level *= LEVELS[1]
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made) if made else [()] * 6, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names)
+
+    cells = docs.select(F.col(text_col).alias("text")).mapInArrow(blocks, "bucket int, part int, cells binary, sets long")
+    return cells.groupBy("bucket", "part").applyInArrow(summed, "bucket int, level long, bitmap binary, shingles long, times long, squares long")
+
+
+class Common:
+    """Which shingles are in how many sets: a few bitmaps of bounded size, one for each level that doesn't fill them."""
+
+    def __init__(self, counts: DataFrame):
+        per = counts.where("level > 0").groupBy("level").agg(F.sum("shingles").alias("n"), F.sum("times").alias("times"), F.sum("squares").alias("squares"))
+        per = sorted((r["level"], r["n"], r["times"], r["squares"]) for r in per.toLocalIterator())  # levels are powers
+        self.levels = [level for level, n, _, _ in per if n <= BITS // 3][:3]
+        self.list_length = next((squares / times for level, _, times, squares in per if level == LEVELS[0]), 1.0)
+        self.packed = np.zeros((len(self.levels), BITS // 8), np.uint8)
+        chosen = counts.where(F.col("level").isin(self.levels)).groupBy("bucket", "level").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+        for row in chosen.toLocalIterator():
+            at = row["bucket"] * BITMAP_BITS // 8
+            self.packed[self.levels.index(row["level"]), at:at + BITMAP_BITS // 8] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
+        #: Class 0 is surely in one set only. (With very many shingles, the least level that is marked is higher.)
+        self.tells_alone = not per or self.levels[:1] == [LEVELS[0]]
+
+    def classes(self, hashes: np.ndarray) -> np.ndarray:
+        """How many of the levels each shingle reaches: rarest 0."""
+        at = ((hashes >> U(53)).astype(np.int64) << 15) | ((hashes >> U(21)) & U(BITMAP_BITS - 1)).astype(np.int64)
+        out = np.zeros(len(hashes), np.int64)
+        for packed in self.packed:
+            out += (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return out
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -130,80 +184,80 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) ->
     return best
 
 
-def post(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, heavy, boundary: int) -> DataFrame:
-    """Rows (key, sid, n): what each set posts, once for equal sets that one step meets."""
+def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common, boundary: int) -> DataFrame:
+    """One pass over the texts: rows (doc_id, row, n, sid) of the documents (row: a hash of id and text), and rows (n, sid, key) of what each set posts, once for equal sets that one step meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = heavy.value
+        names, known = ["doc_id", "row", "n", "sid", "key"], common.value
         for batch in batches:
-            for _, data, offs in text_steps(batch):
+            for rows, data, offs in text_steps(batch):
                 hashes, first, _ = shingle_sets(data, offs, size)
                 sid, n = set_ids(hashes, first), np.diff(first)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(sid), pa.nulls(len(rows), pa.int64())], names)
                 keep = np.zeros(len(n), bool)
                 keep[np.unique(sid, return_index=True)[1]] = True
                 owner = np.repeat(np.arange(len(n)), n)
-                is_heavy = np.zeros(len(hashes), bool)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                    is_heavy = common[at] == hashes
-                light_before = np.concatenate(([0], np.cumsum(~is_heavy)))
-                lights = light_before[first[1:]] - light_before[first[:-1]]
-                light_rank = light_before[:-1] - light_before[first[:-1]][owner]
-                rank = np.where(is_heavy, lights[owner] + np.arange(len(hashes)) - first[:-1][owner] - light_rank, light_rank)
+                kind = known.classes(hashes)
+                order = np.lexsort((hashes, kind, owner))  # rarest first
+                hashes, kind = hashes[order], kind[order]
+                rank = np.arange(len(hashes)) - first[:-1][owner]
                 spare = n - -(-percent * n // 100)
+                can = (kind > 0) | (not known.tells_alone)
                 posts = keep & (n > 0) & ((n > boundary) | (n * 100 >= percent * (boundary + 1)))
-                mine = posts[owner] & (rank <= spare[owner])
+                mine = can & posts[owner] & (rank <= spare[owner])
                 keys, of = [hashes[mine]], [owner[mine]]
-                for i in np.flatnonzero(keep & (n > 1) & (n <= boundary)):
-                    own, order = hashes[first[i]:first[i + 1]], rank[first[i]:first[i + 1]]
-                    head = np.sort(own[order <= spare[i] + 1])
-                    pairs = np.array(list(combinations(range(len(head)), 2)))
-                    keys.append(mix(mix(head[pairs[:, 0]]) + head[pairs[:, 1]]) ^ PAIR_MARK)
-                    of.append(np.full(len(pairs), i))
+                pairs = can & (keep & (n > 1) & (n <= boundary))[owner] & (rank <= spare[owner] + 1)
+                head, whose = hashes[pairs], owner[pairs]
+                at, many = np.unique(whose, return_index=True, return_counts=True)[1:]
+                for i, k in zip(at[many > 1], many[many > 1]):
+                    x, y = np.triu_indices(k, 1)
+                    own = np.sort(head[i:i + k])
+                    keys.append(mix(mix(own[x]) + own[y]) ^ PAIR_MARK)
+                    of.append(np.full(len(x), whose[i]))
                 keys, of = np.concatenate(keys), np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), sid[of], n[of])], ["key", "sid", "n"])
+                none = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n[of]), pa.array(sid[of]), pa.array(keys.view(np.int64))], names)
 
-    slim = docs.select(F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "key long, sid long, n long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, row long, n long, sid long, key long")
 
 
-def sets_of(docs: DataFrame, text_col: str, size: int, wanted) -> DataFrame:
-    """(sid, shingles) of the sets that the filter lets through, one row each."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the sets of the wanted rows (row, sid), one for each sid; other texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = wanted.value
         for batch in batches:
-            for _, data, offs in text_steps(batch):
+            for rows, data, offs in text_steps(batch):
                 hashes, first, _ = shingle_sets(data, offs, size)
-                sid = set_ids(hashes, first)
-                keep = np.zeros(len(sid), bool)
-                keep[np.unique(sid, return_index=True)[1]] = True
-                keep &= maybe_in(packed, sid) & (np.diff(first) > 0)
-                n = np.diff(first)
-                flat = hashes[np.repeat(keep, n)].view(np.int64)
-                cuts = np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["sid", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, first)), lists], ["sid", "shingles"])
 
-    slim = docs.select(F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    likely = split_by_filter(docs, row_key(id_col, text_col), wanted, "row")[1].select(F.col(text_col).alias("text"))
+    made = likely.mapInArrow(run, "sid long, shingles array<long>")
+    return made.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
-def folded(sketch: F.Column, width: F.Column) -> F.Column:
-    """The sketch at half its width if that is the width asked for: sizes that can link differ by one power of two at most."""
-    half = F.zip_with(F.slice(sketch, 1, width), F.slice(sketch, width + 1, width), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(sketch) > width, half).otherwise(sketch)
+def compare(star: DataFrame, sets: DataFrame, percent: int, common) -> DataFrame:
+    """COMPARED rows of each (node, pivot): whether the sets link, and what the node posts of its differences from the pivot."""
+    both = star.join(sets.select(F.col("sid").alias("node"), F.col("shingles").alias("x")), "node").join(sets.select(F.col("sid").alias("pivot"), F.col("shingles").alias("y")), "pivot")
 
-
-def plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and sketches don't rule out; signs has (sid, n, sketch)."""
-    for c in ("a", "b"):
-        pairs = pairs.join(signs.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
-        if c == "b":
-            pairs = pairs.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    width = F.least(F.size("s_a"), F.size("s_b"))
-    both = F.zip_with(folded(F.col("s_a"), width), folded(F.col("s_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(both, F.lit(0), lambda t, x: t + x)
-    return pairs.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).drop("n_a", "n_b", "s_a", "s_b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.value
+        for batch in batches:
+            nodes, pivots, linked, sizes, posted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], [], []
+            for k in range(len(batch)):
+                x, y = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(U) for c in (2, 3))
+                own, lacks = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                kind, lack_kind = known.classes(own), known.classes(lacks)
+                # What only this set has is rarest; what few sets but the pivot have is what most of them lack.
+                differences = np.concatenate((own[np.lexsort((own, kind))], lacks[np.lexsort((lacks, -lack_kind))]))
+                linked.append(bool(len(differences) * (100 + percent) <= (len(x) + len(y)) * (100 - percent)))
+                sizes.append(len(x))
+                most = (100 - percent) * (len(x) + len(x) * 100 // percent) // (100 + percent)
+                posted.append(rows_of(pivots[k], differences, most, int((kind == 0).sum()) if known.tells_alone else 0, False))
+            yield compared(nodes, pivots, linked, sizes, posted)
+
+    return both.select("node", "pivot", "x", "y").mapInArrow(run, COMPARED)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,52 +272,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def class_components(docs: DataFrame, lists: DataFrame, own: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """(node, component) of the linked classes; lists has (key, sid, n, pivot)."""
-    spark = docs.sparkSession
-    signs = stage(own.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]).select("sid", "n", "sketch"), "signs")
-
-    def fetch(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
-        return stage(sets_of(docs, text_col, size, spark.sparkContext.broadcast(bitmap_array(wanted, "sid"))), "sets")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are in two components so far, with these as in_a and in_b."""
-        for c in ("a", "b"):
-            pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
-        pairs = pairs.select("a", "b", *(F.coalesce(f"in_{c}", c).alias(f"in_{c}") for c in ("a", "b")))
-        return pairs.where("in_a <> in_b")
-
-    def merged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The components after linking the verified ones of pairs from apart()."""
-        links = pairs.join(verified(pairs.select("a", "b"), sets, percent), ["a", "b"])
-        links = stage(links.select(F.col("in_a").alias("a"), F.col("in_b").alias("b")).distinct(), "links")
-        if links.isEmpty():
-            return found
-        above = stage(components(links), "components")
-        below = found.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-        below = below.select("node", F.coalesce("top", "component").alias("component"))
-        return stage(below.union(above.join(found, "node", "left_anti").select("node", "component")), "components")
-
-    star = lists.where("sid <> pivot").groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
-    star = stage(plausible(star, signs, percent), "star")
-    sets = fetch(star)
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    found = stage(components(verified(best, sets, percent)), "components")
-    found = merged(stage(apart(star.select("a", "b")), "pairs"), sets)
-    inside = lists.join(found, lists["sid"] == found["node"], "left").select(
-        "key", "sid", "n", "pivot", F.coalesce("component", "sid").alias("component"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    inside = inside.where("sid <> pivot").join(mixed, "key").distinct()
-    x = inside.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = inside.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = (
-        x.join(y, "key").where("ca < cb")
-        .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        .select("a", "b").distinct()
-    )
-    pairs = stage(apart(plausible(pairs, signs, percent)), "pairs")
-    return found if pairs.isEmpty() else merged(pairs, fetch(pairs))
+def class_components(docs: DataFrame, lists: DataFrame, own: DataFrame, id_col: str, text_col: str, size: int, percent: int, common) -> DataFrame:
+    """(node, component) of the linked classes; lists has (key, node, pivot), own (row, sid)."""
+    star = stage(lists.where("node <> pivot").select("node", "pivot").distinct(), "star")
+    wanted = stage(star.select(F.col("node").alias("sid")).union(star.select("pivot")).distinct(), "wanted")
+    wanted = stage(own.join(wanted, "sid").groupBy("sid").agg(F.min("row").alias("row")), "wanted")
+    sets = stage(sets_of(docs, id_col, text_col, size, wanted), "sets")
+    rows = stage(compare(star, sets, percent, common), "compared")
+    found = stage(components(rows.where("key is null and linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "components")
+    most = f"({100 - percent} * (size_a + size_b)) div {100 + percent}"
+    pairs = stage(apart_pairs(rows.where("key is not null").drop("linked", "pivot"), found, most), "pairs")
+    return merged(found, verified(pairs, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -273,22 +292,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row_key() of the row; stays is true for its component's first row by (id, row), a null id last, and for empty sets.
     """
     spark = docs.sparkSession
-    seen = stage(profile(docs, id_col, text_col, size), "profile")
-    own = seen.where("n is not null").select("doc_id", "row", "n", "sid", "sketch")
-    sizes = {r["n"]: r["c"] for r in own.where("n > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).toLocalIterator()}
-    met = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    total = own.agg(F.sum("n")).first()[0] or 0
-    least = max(HEAVY_LEAST, total // HEAVY_SHARE)
-    scanned = met.where(F.col("times") <= least).agg(F.sum(F.col("times") * F.col("times"))).first()[0] or 0
-    boundary = choose_boundary(sizes, scanned / max(1, total), percent)
-    common = met.where(F.col("times") > least).select("shingle").toArrow()["shingle"].to_numpy().view(U)
-    heavy = spark.sparkContext.broadcast(np.sort(common))
-    by_key = Window.partitionBy("key")
-    lists = stage(
-        post(docs, id_col, text_col, size, percent, heavy, boundary)
-        .withColumns({"pivot": F.min("sid").over(by_key), "last": F.max("sid").over(by_key)})
-        .where("pivot <> last").drop("last"), "lists")
-    found = class_components(docs, lists, own, text_col, size, percent)
+    counts = stage(commonness(docs, text_col, size), "commonness")
+    known = Common(counts)
+    sizes = {-1 - r["bucket"]: r["n"] for r in counts.where("bucket < -1").groupBy("bucket").agg(F.sum("shingles").alias("n")).toLocalIterator()}
+    boundary = choose_boundary(sizes, known.list_length, percent)
+    common = spark.sparkContext.broadcast(known)
+    seen = stage(profile(docs, id_col, text_col, size, percent, common, boundary), "profile")
+    own = seen.where("key is null").select("doc_id", "row", "n", "sid")
+    lists = stage(lists_of(seen.where("key is not null").select("key", F.col("sid").alias("node"))), "lists")
+    found = class_components(docs, lists, own, id_col, text_col, size, percent, common)
     place = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("id"), "row")
     classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("lowest"), F.min(place).alias("first"))
     classes = classes.join(found, classes["sid"] == found["node"], "left").select("sid", "lowest", "first", F.coalesce("component", "sid").alias("component"))

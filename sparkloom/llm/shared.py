@@ -20,16 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (as in tests) a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Unset, one process (as in tests) gets a folder of its own; a cluster gets an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-            found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all staged tables; call it when no result that was made of them is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
@@ -120,7 +126,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: A second hash in a prime field: products of its residues fit in 64 bits. Modulo 2**64 alone some repetitive texts of any base are equal.
+PRIME, BASE = (1 << 31) - 1, 1_170_746_341
+_powers: list[np.ndarray] = [np.ones(1, U)] * 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,26 +140,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP ** i and its inverse for i below n, kept between calls."""
+def powers(n: int) -> list[np.ndarray]:
+    """STEP ** i and its inverse modulo 2**64, BASE ** i and its inverse modulo PRIME, for i below n at least; kept between calls."""
     if len(_powers[0]) < n:
+        n = 1 << (n - 1).bit_length()
         for k, base in enumerate((STEP, U(pow(int(STEP), -1, 1 << 64)))):
             x = np.full(n, base, U)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
-def prefix_hash(units: np.ndarray) -> np.ndarray:
-    """h with h[e] - h[s] = hash of units[s:e] times STEP ** s, modulo 2**64."""
-    out = np.zeros(len(units) + 1, U)
-    np.cumsum((units.astype(U) + U(1)) * powers(len(units) + 1)[0][:len(units)], out=out[1:])
-    return out
-
-
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        for k, base in ((2, BASE), (3, pow(BASE, -1, PRIME))):
+            x = np.ones(n, U)
+            have = 1
+            while have < n:
+                x[have:2 * have] = x[:have] * U(pow(base, have, PRIME)) % U(PRIME)
+                have *= 2
+            _powers[k] = x
+    return _powers
+
+
+def prefix_hash(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which span_hash takes the hash of any span: modulo 2**64, and of residues modulo PRIME (below 2**64 for 2**31 units)."""
+    wide, field = np.zeros(len(units) + 1, U), np.zeros(len(units) + 1, U)
+    power = powers(len(units) + 1)
+    units = units.astype(U) + U(1)
+    np.cumsum(units * power[0][:len(units)], out=wide[1:])
+    units *= power[2][:len(units)]
+    np.cumsum((units & U(PRIME)) + (units >> U(31)), out=field[1:])  # 2**31 is 1 modulo PRIME
+    return wide, field
+
+
+def span_hash(h: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, from prefix_hash; equal spans have equal hashes wherever they stand."""
-    return mix(((h[end] - h[start]) * powers(len(h))[1][start]) ^ mix((end - start).astype(U)))
+    wide, field = h
+    power = powers(len(wide))
+    residue = (field[end] - field[start]) % U(PRIME) * power[3][start] % U(PRIME)
+    return mix(((wide[end] - wide[start]) * power[1][start]) ^ mix((end - start).astype(U) << U(31) | residue))
 
 
 def text_steps(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
