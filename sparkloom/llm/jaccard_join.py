@@ -11,7 +11,7 @@ c = ceil(t * n) of them, so under any order of all shingles the first n - c + l
   so a document that shares nothing, or a passage that a third of all documents hold beside their own text, posts nothing.
 
 Copies with equal sets are one class from the start. A list of k classes is not turned into k * k pairs (see pivots.py):
-each class is compared with the list's smallest member, linked ones are one component, and of the others only those are
+each class is compared with the member whose shingles are commonest, linked ones are one component, and of the others only those are
 compared that differ from this member in the same shingles. No link between two different sets is lost: either both ends are
 in one component already, or the pair itself is compared, by its whole sets of 64-bit hashes.
 
@@ -154,7 +154,9 @@ class Common:
         per = counts.where("level > 0").groupBy("level").agg(F.sum("shingles").alias("n"), F.sum("times").alias("times"), F.sum("squares").alias("squares"))
         per = sorted((r["level"], r["n"], r["times"], r["squares"]) for r in per.toLocalIterator())  # levels are powers
         self.levels = [level for level, n, _, _ in per if n <= BITS // 3][:3]
-        self.list_length = next((squares / times for level, _, times, squares in per if level == LEVELS[0]), 1.0)
+        known = {level: (times, squares) for level, _, times, squares in per}
+        (t, s), (u, v) = (known.get(level, (0, 0)) for level in (LEVELS[0], LEVELS[0] * LEVELS[1]))
+        self.list_length = (s - v) / max(1, t - u)  # of the shared shingles that sets post first
         self.packed = np.zeros((len(self.levels), BITS // 8), np.uint8)
         chosen = counts.where(F.col("level").isin(self.levels)).groupBy("bucket", "level").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
         for row in chosen.toLocalIterator():
@@ -185,15 +187,15 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) ->
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common, boundary: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, row, n, sid) of the documents (row: a hash of id and text), and rows (n, sid, key) of what each set posts, once for equal sets that one step meets."""
+    """One pass over the texts: rows (doc_id, row, n, sid) of the documents (row: a hash of id and text), and rows (n, sid, key, score) of what each set posts (score: the lower, the commoner its shingles are), once for equal sets that one step meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known = ["doc_id", "row", "n", "sid", "key"], common.value
+        names, known = ["doc_id", "row", "n", "sid", "key", "score"], common.value
         for batch in batches:
             for rows, data, offs in text_steps(batch):
                 hashes, first, _ = shingle_sets(data, offs, size)
                 sid, n = set_ids(hashes, first), np.diff(first)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(sid), pa.nulls(len(rows), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(sid), *(pa.nulls(len(rows), pa.int64()),) * 2], names)
                 keep = np.zeros(len(n), bool)
                 keep[np.unique(sid, return_index=True)[1]] = True
                 owner = np.repeat(np.arange(len(n)), n)
@@ -202,6 +204,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 hashes, kind = hashes[order], kind[order]
                 rank = np.arange(len(hashes)) - first[:-1][owner]
                 spare = n - -(-percent * n // 100)
+                score = -(1000 * np.bincount(owner, kind, len(n)).astype(np.int64) // np.maximum(n, 1))
                 can = (kind > 0) | (not known.tells_alone)
                 posts = keep & (n > 0) & ((n > boundary) | (n * 100 >= percent * (boundary + 1)))
                 mine = can & posts[owner] & (rank <= spare[owner])
@@ -216,10 +219,10 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                     of.append(np.full(len(x), whose[i]))
                 keys, of = np.concatenate(keys), np.concatenate(of)
                 none = pa.nulls(len(keys), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(n[of]), pa.array(sid[of]), pa.array(keys.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n[of]), pa.array(sid[of]), pa.array(keys.view(np.int64)), pa.array(score[of])], names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, row long, n long, sid long, key long")
+    return slim.mapInArrow(run, "doc_id long, row long, n long, sid long, key long, score long")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -299,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = spark.sparkContext.broadcast(known)
     seen = stage(profile(docs, id_col, text_col, size, percent, common, boundary), "profile")
     own = seen.where("key is null").select("doc_id", "row", "n", "sid")
-    lists = stage(lists_of(seen.where("key is not null").select("key", F.col("sid").alias("node"))), "lists")
+    lists = stage(lists_of(seen.where("key is not null").select("key", F.col("sid").alias("node"), "score"), "score"), "lists")
     found = class_components(docs, lists, own, id_col, text_col, size, percent, common)
     place = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("id"), "row")
     classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("lowest"), F.min(place).alias("first"))

@@ -25,10 +25,15 @@ COMPARED = "node long, pivot long, linked boolean, size long, key long, differ l
 ALIKE = U(0x6A09E667F3BCC909)
 
 
-def lists_of(posted: DataFrame) -> DataFrame:
-    """(key, node, pivot) of the lists of more than one node; posted: (key, node), staged. Minima are summed up before the shuffle, and a long list can be split over tasks."""
-    ends = posted.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
-    return posted.join(stage(ends.select("key", "pivot"), "pivots"), "key").select("key", "node", "pivot").distinct()
+def lists_of(posted: DataFrame, score: str | None = None) -> DataFrame:
+    """(key, node, pivot) of the lists of more than one node. posted: (key, node, score), staged; the pivot has the least score.
+
+    A pivot that has little of its own keeps the differences short. Ends are summed up before the shuffle, and a long list
+    can be split over tasks.
+    """
+    place = F.struct(F.col(score).alias("score"), "node") if score else F.struct("node")
+    ends = posted.groupBy("key").agg(F.min(place).alias("pivot"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    return posted.select("key", "node").join(stage(ends.select("key", "pivot.node").withColumnRenamed("node", "pivot"), "pivots"), "key").distinct()
 
 
 def rows_of(pivot: int, differences: np.ndarray, most: int, alone: int = 0, alike: bool = True) -> tuple[np.ndarray, ...]:
