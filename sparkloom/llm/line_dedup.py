@@ -6,13 +6,15 @@ number allow. So every line posts its own segments and, for each length it can l
 lines that meet under one (length, segment number, content) are candidates, which a banded bit-parallel edit distance
 verifies (code point by code point, for many pairs at once).
 
-Equal lines are one class from the start, each task posts a class once. The lines of one posting are not all paired:
-each is compared with the posting's smallest line; linked lines become components, and only lines of a posting still in
-different components are then compared with one another. A segment that many otherwise different lines share is rare:
-segments are a third of a line.
+Equal lines are one class from the start; a task posts a class once for each block of lines. The lines of one posting are not
+paired (see pivots.py): each is compared with the posting's commonest line, linked ones are one component, and of the others
+only those are compared that differ from this line in the same q-grams (two lines within EDITS differ in at most
+2 * GRAM * EDITS of them). So thousands of lines that share a segment and have other words elsewhere are not all compared.
+
+Shorter lines are compared exactly: they link if they are equal. Lines without a word are no lines.
 
 In a component the first line of the smallest row (by id, then by text) stays; ``without_repeats`` drops the others and
-joins the rest of the text again. Shorter lines are left alone. Nulls and empty texts have no lines; rows with one id
+joins the rest of the text again. Nulls and empty texts have no lines; rows with one id
 and one text are one row, kept or cut alike; long lines and texts are taken whole. Columns other than id and text pass through.
 """
 
@@ -25,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pivots import COMPARED, apart_pairs, compared, merged, rows_of
 from .shared import STEP_BYTES, U, bitmap_array, components, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table
 
 EDITS, MIN_CHARS = 2, 24
+#: Code points of a gram of the differences; different lines whose postings a task holds at once.
+GRAM, BLOCK = 3, 200_000
+BLANK = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
 
 def places(edits: int) -> list[tuple[int, int, int]]:
@@ -61,7 +67,8 @@ class Lines:
         self.text = np.searchsorted(ends, self.start, "right")
         first = np.searchsorted(self.start, np.concatenate(([0], ends[:-1])))
         self.number = np.arange(len(self.start)) - first[self.text]
-        keep = self.end - self.start >= least
+        word = np.concatenate(([0], np.cumsum(~np.isin(self.points, BLANK))))
+        keep = (self.end - self.start >= least) & (word[self.end] > word[self.start])
         self.start, self.end, self.text, self.number = (x[keep] for x in (self.start, self.end, self.text, self.number))
         self.h = prefix_hash(self.points)
         self.hash = span_hash(self.h, self.start, self.end)
@@ -85,27 +92,45 @@ def line_steps(batches: Iterator[pa.RecordBatch], at: int, least: int) -> Iterat
 
 
 def postings(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Rows (key, line, own): what each line posts; own if it is a segment of the line itself at its place."""
+    """Rows (key, line, own, score): what each line posts; own if it is a segment of the line itself at its place, score: less, the oftener a block has the line."""
     where = places(edits)
 
+    def posted(lines: Lines, one: np.ndarray) -> tuple[np.ndarray, ...]:
+        start, length = lines.start[one], (lines.end - lines.start)[one]
+        keys, of, own = [], [], []
+        for less, seg, shift in where:
+            to = length - less
+            cuts = segments(to, edits)
+            a, b = cuts[:, seg] + shift, cuts[:, seg + 1] + shift
+            ok = np.flatnonzero((to >= least) & (a >= 0) & (b <= length))
+            content = span_hash(lines.h, start[ok] + a[ok], start[ok] + b[ok])
+            keys.append(mix(content ^ mix(to[ok].astype(U) * U(edits + 1) + U(seg))))
+            of.append(lines.hash[one[ok]])
+            own.append(np.full(len(ok), less == 0 and shift == 0))
+        return np.concatenate(keys), np.concatenate(of), np.concatenate(own)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known, times = [], np.zeros(0, U), np.zeros(0, np.int64)
+
+        def block() -> pa.RecordBatch:
+            keys, of, own = (np.concatenate(x) for x in zip(*held))
+            score = -times[np.searchsorted(known, of)]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of.view(np.int64)), pa.array(own), pa.array(score)], ["key", "line", "own", "score"])
+
         for _, lines in line_steps(batches, 0, least):
-            hashes, one = np.unique(lines.hash, return_index=True)
-            start, length = lines.start[one], (lines.end - lines.start)[one]
-            keys, of, own = [], [], []
-            for less, seg, shift in where:
-                to = length - less
-                cuts = segments(to, edits)
-                a, b = cuts[:, seg] + shift, cuts[:, seg + 1] + shift
-                ok = np.flatnonzero((to >= least) & (a >= 0) & (b <= length))
-                content = span_hash(lines.h, start[ok] + a[ok], start[ok] + b[ok])
-                keys.append(mix(content ^ mix(to[ok].astype(U) * U(edits + 1) + U(seg))))
-                of.append(hashes[ok])
-                own.append(np.full(len(ok), less == 0 and shift == 0))
-            cols = (np.concatenate(keys).view(np.int64), np.concatenate(of).view(np.int64), np.concatenate(own))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "line", "own"])
-
-    return docs.select("text").mapInArrow(run, "key long, line long, own boolean")
+            hashes, one, n = np.unique(lines.hash, return_index=True, return_counts=True)
+            new = ~np.isin(hashes, known)
+            held.append(posted(lines, one[new]))
+            every, at = np.unique(np.concatenate((known, hashes)), return_inverse=True)
+            times = np.bincount(at, np.concatenate((times, n)), len(every)).astype(np.int64)
+            known = every
+            if len(known) >= BLOCK:
+                yield block()
+                held, known, times = [], known[:0], times[:0]
+        if held:
+            yield block()
+
+    return docs.select("text").mapInArrow(run, "key long, line long, own boolean, score long")
 
 
 def line_texts(docs: DataFrame, wanted, least: int) -> DataFrame:
@@ -193,27 +218,51 @@ def verified(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(run, pairs.schema)
 
 
+def grams(line: str) -> np.ndarray:
+    """Sorted different 64-bit elements, one for each gram and each time it occurs."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    n = max(0, len(c) - GRAM + 1)
+    g = np.zeros(n, U)
+    for k in range(GRAM):
+        g = g << U(21) | c[k:k + n]
+    g.sort()
+    new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if n else np.zeros(0, np.int64)
+    nth = np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))
+    return np.unique(mix(mix(g) + nth.astype(U)))
+
+
+def compare(star: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
+    """COMPARED rows of each (node, pivot): whether the lines are within edits, and what the node posts of its differences from the pivot."""
+    both = star.join(bodies.select(F.col("line").alias("node"), F.col("body").alias("x")), "node").join(bodies.select(F.col("line").alias("pivot"), F.col("body").alias("y")), "pivot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                nodes, pivots, x, y = (c.to_pylist() for c in batch.slice(lo, 2000).columns)
+                linked = banded_distance(x, y, edits) <= edits
+                of_pivot = {p: grams(t) for p, t in dict(zip(pivots, y)).items()}
+                posted = []
+                for p, t in zip(pivots, x):
+                    g, h = grams(t), of_pivot[p]
+                    # What the pivot lacks is rarer than what others lack as well.
+                    posted.append(rows_of(p, np.concatenate((np.setdiff1d(g, h, True), np.setdiff1d(h, g, True))), 2 * GRAM * edits))
+                yield compared(nodes, pivots, linked, list(map(len, x)), posted)
+
+    return both.select("node", "pivot", "x", "y").mapInArrow(run, COMPARED)
+
+
 def line_components(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """(node, component) of the different lines of docs (text) that have near-equal ones, as line hashes."""
     spark = docs.sparkSession
     by_key = Window.partitionBy("key")
-    lists = postings(docs, edits, least).withColumns({"pivot": F.min("line").over(by_key), "last": F.max("line").over(by_key), "some": F.max("own").over(by_key)})
-    lists = stage(lists.where("pivot <> last and some").groupBy("key", "line", "pivot").agg(F.max("own").alias("own")), "lines")
-    bodies = stage(line_texts(docs, spark.sparkContext.broadcast(bitmap_array(lists, "line")), least), "bodies")
-    star = lists.where("line <> pivot").select(F.col("line").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = stage(components(verified(star, bodies, edits)), "components")
-    inside = lists.join(found, lists["line"] == found["node"], "left").select("key", "line", "own", "pivot", F.coalesce("component", "line").alias("component"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    inside = inside.where("line <> pivot").join(mixed, "key")
-    x = inside.where("own").select("key", F.col("line").alias("a"), F.col("component").alias("in_a"))
-    y = inside.select("key", F.col("line").alias("b"), F.col("component").alias("in_b"))
-    pairs = stage(x.join(y, "key").where("in_a <> in_b").select("a", "b", "in_a", "in_b").distinct(), "pairs")
-    links = stage(verified(pairs, bodies, edits).select(F.col("in_a").alias("a"), F.col("in_b").alias("b")).distinct(), "links")
-    if links.isEmpty():
-        return found
-    above = stage(components(links), "components")
-    below = found.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-    return stage(below.select("node", F.coalesce("top", "component").alias("component")).union(above.join(found, "node", "left_anti")), "components")
+    lists = postings(docs, edits, least).withColumns({"pivot": F.min(F.struct("score", "line")).over(by_key)["line"], "lo": F.min("line").over(by_key), "hi": F.max("line").over(by_key), "some": F.max("own").over(by_key)})
+    star = stage(lists.where("lo <> hi and some and line <> pivot").select(F.col("line").alias("node"), "pivot").distinct(), "star")
+    wanted = star.select("node").union(star.select("pivot"))
+    bodies = stage(line_texts(docs, spark.sparkContext.broadcast(bitmap_array(wanted, "node")), least), "bodies")
+    rows = stage(compare(star, bodies, edits), "compared")
+    found = stage(components(rows.where("key is null and linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "components")
+    pairs = stage(apart_pairs(rows.where("key is not null").drop("linked", "pivot"), found, f"{2 * GRAM * edits}", f"abs(size_a - size_b) <= {edits}"), "pairs")
+    return merged(found, verified(pairs, bodies, edits))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -225,7 +274,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = line_components(slim, edits, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, lines in line_steps(batches, 2, least):
+        for rows, lines in line_steps(batches, 2, 1):
             at = pa.array(lines.text)
             yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(lines.number.astype(np.int32)), pa.array(lines.hash.view(np.int64))], ["id", "row", "number", "line"])
 
@@ -233,24 +282,24 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct(F.coalesce("id", F.lit(1 << 62)).alias("id"), "row", "number")
     each = every.join(found, every["line"] == found["node"], "left").select("id", "row", "number", "line", F.coalesce("component", "line").alias("component"))
     each = stage(each, "places")
-    firsts = each.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = stage(each.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")  # so that the join can split a component
     return each.join(firsts, "component").select(F.col("id").alias("doc_id"), "row", "number", "line", "component", (place == F.col("first")).alias("stays"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """docs with every line but the first of each component cut out of its text; size_col, if there, is counted anew."""
-    cut = stage(line_classes(docs, id_col, text_col, edits, least).where("not stays").select("row", "number").distinct(), "cut")
+    cut = stage(line_classes(docs, id_col, text_col, edits, least).where("not stays").select("doc_id", "row", "number").distinct(), "cut")
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     whole, touched = split_by_filter(docs, row, cut, "row")
-    cuts = cut.groupBy(F.col("row").alias("__row")).agg(F.collect_list("number").alias("__cut"))  # bounded by a text's lines
-    touched = touched.withColumn("__row", row).join(cuts, "__row", "left")
+    cuts = cut.groupBy(F.col("row").alias("__row"), F.col("doc_id").alias("__id")).agg(F.collect_list("number").alias("__cut"))  # bounded by a text's lines
+    same = (row == F.col("__row")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    touched = touched.join(cuts, same, "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains("__cut", k))
     changes = {text_col: F.when(F.col("__cut").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))}
-    touched = touched.withColumns(changes)
     if size_col in docs.columns:
         kind = docs.schema[size_col].dataType
-        touched = touched.withColumn(size_col, F.when(F.col("__cut").isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
-    return whole.select(*docs.columns).union(touched.select(*docs.columns))
+        changes[size_col] = F.when(F.col("__cut").isNotNull(), F.length(changes[text_col]).cast(kind)).otherwise(F.col(size_col))
+    return whole.select(*docs.columns).union(touched.withColumns(changes).select(*docs.columns))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

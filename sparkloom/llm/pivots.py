@@ -63,8 +63,8 @@ def compared(nodes: list[int], pivots: list[int], linked: list[bool], sizes: lis
     return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in COMPARED.split(", ")])
 
 
-def apart_pairs(rows: DataFrame, found: DataFrame, most: str) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that are in different components so far and may differ in at most `most` elements (SQL of size_a, size_b)."""
+def apart_pairs(rows: DataFrame, found: DataFrame, most: str, also: str = "true") -> DataFrame:
+    """Distinct pairs (a, b) of nodes that are in different components so far and may differ in at most `most` elements (SQL of size_a, size_b); also: a condition of these sizes."""
     rows = stage(rows.join(found, "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("inside")), "differences")
     mixed = rows.groupBy("key").agg(F.min("inside").alias("lo"), F.max("inside").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some")
     rows = stage(rows.join(stage(mixed.select("key"), "mixed"), "key", "left_semi"), "differences")
@@ -75,7 +75,7 @@ def apart_pairs(rows: DataFrame, found: DataFrame, most: str) -> DataFrame:
     first = F.struct("differ_a", "node_a") < F.struct("differ_b", "node_b")
     shared = 2 * F.least(F.col("differ_a") - F.col("at_a"), F.col("differ_b") - F.col("at_b"))
     both = side("a").where("small_a").join(side("b"), "key")
-    both = both.where((F.col("inside_a") != F.col("inside_b")) & first & (shared >= F.col("differ_a") + F.col("differ_b") - F.expr(most)))
+    both = both.where(F.expr(also) & (F.col("inside_a") != F.col("inside_b")) & first & (shared >= F.col("differ_a") + F.col("differ_b") - F.expr(most)))
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 

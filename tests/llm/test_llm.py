@@ -106,7 +106,7 @@ def test_op8_lines(spark, empty):
         return s
 
     rows = [(i, "\n".join(change(r.choice(base)) for _ in range(r.randrange(0, 6))), None, "s", 0, 1, "k", 2, "c") for i in range(60)]
-    rows += [(None, None, None, None, None, 1, "k", 2, "c"), (70, "", "en", "s", 0, 1, "k", 2, "c"), (71, "short\n\nshort", "en", "s", 12, 1, "k", 2, "c")]
+    rows += [(None, None, None, None, None, 1, "k", 2, "c"), (70, "", "en", "s", 0, 1, "k", 2, "c"), (71, "short\n\n  \nshort\n\n  ", "en", "s", 18, 1, "k", 2, "c"), (72, "Short\nshort", "en", "s", 11, 1, "k", 2, "c")]
     df = spark.createDataFrame(rows, SCHEMA)
 
     def distance(a, b):
@@ -117,8 +117,8 @@ def test_op8_lines(spark, empty):
                 d.append(min(p[j] + 1, d[-1] + 1, p[j - 1] + (x != y)))
         return d[-1]
 
-    lines = [(i, k, s) for i, t, *_ in rows if t for k, s in enumerate(t.split("\n")) if len(s) >= 24]
-    top = union_find(len(lines), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if distance(lines[a][2], lines[b][2]) <= 2])
+    lines = [(i, k, s) for i, t, *_ in rows if t for k, s in enumerate(t.split("\n")) if s.strip()]
+    top = union_find(len(lines), [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if lines[a][2] == lines[b][2] or min(len(lines[k][2]) for k in (a, b)) >= 24 and distance(lines[a][2], lines[b][2]) <= 2])
     groups = {}
     for k, t in enumerate(top):
         groups.setdefault(t, []).append(lines[k][:2])
@@ -134,6 +134,31 @@ def test_op8_lines(spark, empty):
     assert None in out and line_dedup.without_repeats(empty).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 else b for i in range(n))
+
+
+def test_thue_morse_texts_are_not_equal(spark):
+    """Strings whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    rows = [(2 * k + j, thue_morse(n, *("ab", "ba")[j])) for k, n in enumerate((1024, 2048, 4096)) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.without_repeats(df).collect())) == rows
+    assert all(x.component_id == x.doc_id and x.stays for x in jaccard_join.near_duplicates(df).collect())
+
+
+def test_op8_many_lines_with_a_common_segment(spark):
+    """5,000 different lines that share two thirds: links are found, and the comparisons made don't grow with their square."""
+    r = random.Random(13)
+    head, tail = prose(8, r), prose(8, r)
+    lines = [f"{head} {''.join(r.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(30))} {tail}" for _ in range(5000)]
+    linked = [s.replace(tail, tail[:-1]) for s in lines[:40]] + [s[:len(head) + 3] + "#" + s[len(head) + 4:] for s in lines[:40]]
+    df = spark.createDataFrame(list(enumerate(lines + linked)), "doc_id long, text string")
+    got = {}
+    for x in line_dedup.line_classes(df).collect():
+        got.setdefault(x.component, set()).add(x.doc_id)
+    assert sorted(map(sorted, got.values())) == [[k, 5000 + k, 5040 + k] for k in range(40)]
+
+
 def test_op8_banded_distance():
     r = random.Random(2)
 
