@@ -8,7 +8,7 @@ verifies (code point by code point, for many pairs at once).
 
 Equal lines are one class from the start; a task posts a class once for each block of lines. The lines of one posting are not
 paired (see pivots.py): each is compared with the posting's commonest line, linked ones are one component, and of the others
-only those are compared that differ from this line in the same q-grams (two lines within EDITS differ in at most
+only those are compared that differ from what most of them have in the same q-grams (two lines within EDITS differ in at most
 2 * GRAM * EDITS of them). So thousands of lines that share a segment and have other words elsewhere are not all compared.
 
 Shorter lines are compared exactly: they link if they are equal. Lines without a word are no lines.
@@ -33,7 +33,10 @@ from .shared import STEP_BYTES, U, bitmap_array, components, maybe_in, mix, pref
 EDITS, MIN_CHARS = 2, 24
 #: Code points of a gram of the differences; different lines whose postings a task holds at once.
 GRAM, BLOCK = 3, 200_000
-BLANK = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
+#: Lines of a list whose common grams are what its lines are held against.
+SAMPLE = 8
+#: Kinds of code points that are counted in a line.
+KINDS = 16
 
 
 def places(edits: int) -> list[tuple[int, int, int]]:
@@ -67,7 +70,7 @@ class Lines:
         self.text = np.searchsorted(ends, self.start, "right")
         first = np.searchsorted(self.start, np.concatenate(([0], ends[:-1])))
         self.number = np.arange(len(self.start)) - first[self.text]
-        word = np.concatenate(([0], np.cumsum(~np.isin(self.points, BLANK))))
+        word = np.concatenate(([0], np.cumsum((self.points != 0x20) & ((self.points < 0x09) | (self.points > 0x0D)))))
         keep = (self.end - self.start >= least) & (word[self.end] > word[self.start])
         self.start, self.end, self.text, self.number = (x[keep] for x in (self.start, self.end, self.text, self.number))
         self.h = prefix_hash(self.points)
@@ -114,7 +117,7 @@ def postings(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             keys, of, own = (np.concatenate(x) for x in zip(*held))
-            score = -times[np.searchsorted(known, of)]
+            score = -times[np.searchsorted(known, of)].astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of.view(np.int64)), pa.array(own), pa.array(score)], ["key", "line", "own", "score"])
 
         for _, lines in line_steps(batches, 0, least):
@@ -130,7 +133,7 @@ def postings(docs: DataFrame, edits: int, least: int) -> DataFrame:
         if held:
             yield block()
 
-    return docs.select("text").mapInArrow(run, "key long, line long, own boolean, score long")
+    return docs.select("text").mapInArrow(run, "key long, line long, own boolean, score int")
 
 
 def line_texts(docs: DataFrame, wanted, least: int) -> DataFrame:
@@ -231,24 +234,52 @@ def grams(line: str) -> np.ndarray:
     return np.unique(mix(mix(g) + nth.astype(U)))
 
 
+def letters(lines: list[str]) -> np.ndarray:
+    """How many code points of each remainder a line has: an edit changes these counts by 2 at most."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) % KINDS
+    owner = np.repeat(np.arange(len(lines)), list(map(len, lines)))
+    return np.bincount(owner * KINDS + points, minlength=len(lines) * KINDS).reshape(-1, KINDS)
+
+
+def samples(star: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(pivot, others): some lines of each list of SAMPLE lines or more, one for each remainder of the hash."""
+    of = F.array_compact(F.array(*(F.min(F.when(F.pmod("node", F.lit(SAMPLE)) == k, F.col("node"))) for k in range(SAMPLE))))
+    some = star.groupBy("pivot").agg(of.alias("some"), F.count("*").alias("n")).where(f"n >= {SAMPLE}").select("pivot", F.explode("some").alias("line"))
+    return some.join(bodies, "line").groupBy("pivot").agg(F.collect_list("body").alias("others"))
+
+
 def compare(star: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
-    """COMPARED rows of each (node, pivot): whether the lines are within edits, and what the node posts of its differences from the pivot."""
+    """COMPARED rows of each (node, pivot): whether the lines are within edits, and what the node posts of its differences.
+
+    These are the differences from what most of a long list's sampled lines have (any one set per pivot will do, and how well
+    it is chosen tells on the number of comparisons only): lines with one change each differ from it in one change, not in two.
+    """
     both = star.join(bodies.select(F.col("line").alias("node"), F.col("body").alias("x")), "node").join(bodies.select(F.col("line").alias("pivot"), F.col("body").alias("y")), "pivot")
+    both = both.join(stage(samples(star, bodies), "samples"), "pivot", "left")
+
+    def middle(y: str, others: list[str] | None) -> np.ndarray:
+        if not others:
+            return grams(y)
+        found, times = np.unique(np.concatenate([grams(t) for t in others]), return_counts=True)
+        return found[2 * times > len(others)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_pivot = {}
         for batch in batches:
             for lo in range(0, len(batch), 2000):
-                nodes, pivots, x, y = (c.to_pylist() for c in batch.slice(lo, 2000).columns)
+                nodes, pivots, x, y, others = batch.slice(lo, 2000).columns
+                nodes, pivots, x, y = (c.to_pylist() for c in (nodes, pivots, x, y))
                 linked = banded_distance(x, y, edits) <= edits
-                of_pivot = {p: grams(t) for p, t in dict(zip(pivots, y)).items()}
                 posted = []
-                for p, t in zip(pivots, x):
+                for k, (p, t) in enumerate(zip(pivots, x)):
+                    if p not in of_pivot:
+                        of_pivot = {p: middle(y[k], others[k].as_py())}  # rows of a pivot come one after the other
                     g, h = grams(t), of_pivot[p]
-                    # What the pivot lacks is rarer than what others lack as well.
+                    # What others have not is rarer than what others lack as well.
                     posted.append(rows_of(p, np.concatenate((np.setdiff1d(g, h, True), np.setdiff1d(h, g, True))), 2 * GRAM * edits))
-                yield compared(nodes, pivots, linked, list(map(len, x)), posted)
+                yield compared(nodes, pivots, linked, list(map(len, x)), posted, letters(x))
 
-    return both.select("node", "pivot", "x", "y").mapInArrow(run, COMPARED)
+    return both.select("node", "pivot", "x", "y", "others").mapInArrow(run, COMPARED)
 
 
 def line_components(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -261,7 +292,8 @@ def line_components(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS)
     bodies = stage(line_texts(docs, spark.sparkContext.broadcast(bitmap_array(wanted, "node")), least), "bodies")
     rows = stage(compare(star, bodies, edits), "compared")
     found = stage(components(rows.where("key is null and linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "components")
-    pairs = stage(apart_pairs(rows.where("key is not null").drop("linked", "pivot"), found, f"{2 * GRAM * edits}", f"abs(size_a - size_b) <= {edits}"), "pairs")
+    pairs = stage(apart_pairs(rows.where("key is not null").drop("linked", "pivot"), found, f"{2 * GRAM * edits}", 
+        f"abs(size_a - size_b) <= {edits} and aggregate(zip_with(sketch_a, sketch_b, (x, y) -> abs(x - y)), 0, (t, x) -> t + x) <= {2 * edits}"), "pairs")
     return merged(found, verified(pairs, bodies, edits))
 
 

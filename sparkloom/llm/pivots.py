@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import U, components, mix, stage
 
 #: What a comparison of (node, pivot) gives: one row with a null key that says whether they link, and what the node posts.
-COMPARED = "node long, pivot long, linked boolean, size long, key long, differ long, at long, small boolean"
+COMPARED = "node long, pivot long, linked boolean, size long, key long, differ long, at long, small boolean, sketch array<int>"
 ALIKE = U(0x6A09E667F3BCC909)
 
 
@@ -52,30 +52,35 @@ def rows_of(pivot: int, differences: np.ndarray, most: int, alone: int = 0, alik
     return keys.view(np.int64), np.full(len(at), n), at, small
 
 
-def compared(nodes: list[int], pivots: list[int], linked: list[bool], sizes: list[int], posted: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Rows of COMPARED for pairs and what rows_of() gave for each."""
+def compared(nodes: list[int], pivots: list[int], linked: list[bool], sizes: list[int], posted: list[tuple[np.ndarray, ...]], sketches: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of COMPARED for pairs and what rows_of() gave for each; sketches: a row of numbers of each node for the condition on pairs."""
     each = np.array([len(p[0]) for p in posted], np.int64)
     pair = np.concatenate((np.arange(len(nodes)), np.repeat(np.arange(len(nodes)), each)))
     columns = [pa.array(np.asarray(x, kind)[pair]) for x, kind in ((nodes, np.int64), (pivots, np.int64), (linked, bool), (sizes, np.int64))]
     for k, kind in enumerate((np.int64, np.int64, np.int64, bool)):
         flat = np.concatenate([np.zeros(len(nodes), kind), *(p[k] for p in posted)])
         columns.append(pa.array(flat, mask=np.arange(len(pair)) < len(nodes)))
+    if sketches is None:
+        columns.append(pa.nulls(len(pair), pa.list_(pa.int32())))
+    else:
+        wide = np.ascontiguousarray(sketches, np.int32)[pair]
+        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(pair) + 1, dtype=np.int32) * wide.shape[1]), pa.array(wide.ravel())))
     return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in COMPARED.split(", ")])
 
 
 def apart_pairs(rows: DataFrame, found: DataFrame, most: str, also: str = "true") -> DataFrame:
-    """Distinct pairs (a, b) of nodes that are in different components so far and may differ in at most `most` elements (SQL of size_a, size_b); also: a condition of these sizes."""
+    """Distinct pairs (a, b) of nodes that are in different components so far and may differ in at most `most` elements (SQL of size_a, size_b); also: a condition of these sizes and of sketch_a, sketch_b."""
     rows = stage(rows.join(found, "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("inside")), "differences")
     mixed = rows.groupBy("key").agg(F.min("inside").alias("lo"), F.max("inside").alias("hi"), F.max("small").alias("some")).where("lo <> hi and some")
     rows = stage(rows.join(stage(mixed.select("key"), "mixed"), "key", "left_semi"), "differences")
 
     def side(c: str) -> DataFrame:
-        return rows.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "differ", "at", "small", "inside")))
+        return rows.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "differ", "at", "small", "inside", "sketch")))
 
     first = F.struct("differ_a", "node_a") < F.struct("differ_b", "node_b")
     shared = 2 * F.least(F.col("differ_a") - F.col("at_a"), F.col("differ_b") - F.col("at_b"))
     both = side("a").where("small_a").join(side("b"), "key")
-    both = both.where(F.expr(also) & (F.col("inside_a") != F.col("inside_b")) & first & (shared >= F.col("differ_a") + F.col("differ_b") - F.expr(most)))
+    both = both.where((F.col("inside_a") != F.col("inside_b")) & first & (shared >= F.col("differ_a") + F.col("differ_b") - F.expr(most)) & F.expr(also))
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
