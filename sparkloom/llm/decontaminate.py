@@ -1,6 +1,7 @@
 """Training documents that hold benchmark items, whole or edited.
 
-Texts are words: letters A-Z in lower case, ASCII punctuation as space. A document is compared with every item it shares
+Texts are words: letters A-Z in lower case, ASCII punctuation as space; of scripts that are written without spaces every
+character is a word. A document is compared with every item it shares
 a run of GRAM words with, however common that run is. The item is aligned with the document by Smith-Waterman (match 2,
 mismatch and gap -1). The score is the alignment's share of a perfect one; a document leaks an item if it is at least
 LEAST.
@@ -11,8 +12,9 @@ So items of which the document holds too few words are left out, and of the othe
 that hold enough words of the item are aligned.
 
 The benchmark is taken in blocks of at most BLOCK_RUNS runs, so what is sent to every task is bounded whatever its size;
-each block is one pass over the corpus. Texts are never shuffled. Null and empty texts leak nothing, items of fewer than
-GRAM words can't be found, items with equal text are found together. Rows are judged one by one, so ids may be null or
+each block is one pass over the corpus. Texts are never shuffled. Null and empty texts leak nothing. An item of fewer than
+GRAM words is leaked by a document that holds all its words in a row; an item of less than LEAST_WORDS can't be told from
+ordinary text and is not looked for. Items with equal text are found together. Rows are judged one by one, so ids may be null or
 repeat; very long texts are read whole.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, U, prefix_hash, span_hash, table, text_steps, windows, words
 
-GRAM, LEAST = 4, 0.4
+GRAM, LEAST, LEAST_WORDS = 4, 0.4, 2
 BLOCK_RUNS = 2_000_000
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(33, 128) if not chr(c).isalnum()]] = 32
@@ -37,6 +39,11 @@ class Block:
     """A part of the benchmark: items, their words' hashes, and sorted runs with the items they stand in."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.short = {}  # of items below GRAM words, by their number: the whole run and the item
+        for i, w in items:
+            if len(w) < GRAM:
+                self.short.setdefault(len(w), []).append((int(windows(w, len(w))[0]), i))
+        items = [x for x in items if len(x[1]) >= GRAM]
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         runs = [windows(w, GRAM) for w in self.words]
@@ -62,7 +69,12 @@ class Block:
 def document_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, runs, whether a run is within one text, first word of each text)."""
     data = PLAIN[data]
-    start, end, first = words(data, offs)
+    # The first two bytes of a character of U+3000-9FFF, or of U+0E00-0EFF, 1000-109F, 1780-17FF, in UTF-8: three bytes each.
+    lead = np.flatnonzero((data >= 0xE0) & (data <= 0xE9))
+    lead = lead[lead + 2 < len(data)]
+    a, b = data[lead], data[lead + 1]
+    lead = lead[(a >= 0xE3) | ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F)))]
+    start, end, first = words(data, offs, np.concatenate((lead, lead + 3)))
     of_word = span_hash(prefix_hash(data), start, end)
     runs = windows(of_word, GRAM)
     doc = np.searchsorted(first, np.arange(len(of_word)), "right") - 1
@@ -76,7 +88,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     for row in slim.orderBy("i").toLocalIterator(prefetchPartitions=False):
         body = np.frombuffer(row["text"].encode("utf-8"), np.uint8)
         of_word = document_runs(body, np.array([0, len(body)]))[0]
-        if len(of_word) >= GRAM:
+        if len(of_word) >= LEAST_WORDS:
             if held and size + len(of_word) > BLOCK_RUNS:
                 yield Block(held)
                 held, size = [], 0
@@ -131,7 +143,7 @@ def leaks_of(block: Block, of_word: np.ndarray, items: np.ndarray) -> list[tuple
 
 
 def text_leaks(block: Block, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, list]]:
-    """(row, leaks) of the rows that have any."""
+    """(row, leaks) of the rows that have any; a row may come twice, for long and for short items."""
     of_word, runs, inside, first = document_runs(data, offs)
     at = block.where(runs)
     hit = np.flatnonzero((at >= 0) & inside)
@@ -141,6 +153,13 @@ def text_leaks(block: Block, data: np.ndarray, offs: np.ndarray) -> Iterator[tup
         items = np.unique(np.concatenate([block.item[block.first[j]:block.end[j]] for j in np.unique(at[hit[cut]])]))
         if found := leaks_of(block, of_word[first[row]:first[row + 1]], items):
             yield row, found
+    for size, items in block.short.items():
+        runs = windows(of_word, size)
+        wanted = np.unique(np.array([h for h, _ in items], U))
+        for k in np.flatnonzero(np.isin(runs, wanted)).tolist():
+            row = int(np.searchsorted(first, k, "right")) - 1
+            if k + size <= first[row + 1] and not np.isin(runs[first[row]:k], runs[k]).any():  # the first place in this text
+                yield row, [(i, 1.0, k - int(first[row]), k - int(first[row]) + size) for h, i in items if h == int(runs[k])]
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:

@@ -194,13 +194,15 @@ def text_steps(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.R
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first) of the maximal runs of bytes other than x20, x09-x0D; first[i]: index of text i's first word."""
+def words(data: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the maximal runs of bytes other than x20, x09-x0D, cut at the offsets cuts as well; first[i]: index of text i's first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     word = ~SPACE[data]
     edge = np.zeros(len(data), bool)
     edge[offs[:-1][offs[:-1] < len(data)]] = True
+    if cuts is not None:
+        edge[cuts[cuts < len(data)]] = True
     before = np.concatenate(([False], word[:-1]))
     start = np.flatnonzero(word & (~before | edge))
     last = np.concatenate((edge[1:], [True]))

@@ -336,6 +336,43 @@ def test_op6_common_edited_copies(spark):
     assert decontaminate.without_leaks(df, benchmark).count() == 80
 
 
+def test_op6_short_and_unspaced_items(spark):
+    chinese = "今天天气很好，我们去公园散步。明天可能下雨。"
+    items = spark.createDataFrame([(1, "zebra quagga"), (2, chinese), (3, "one of three"), (4, "the")], "item_id long, text string")
+    rows = [(1, f"{prose(20)} Zebra, quagga! {prose(5)}"), (2, f"{prose(9)} 序言{chinese}结束"), (3, "今天很好"), (4, "zebra"), (5, "quagga zebra the"), (6, "one of four"), (7, "is one of three one of three"), (8, "zebra"), (9, "quagga")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.score) for x in decontaminate.leaks(df, items).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 1.0), (7, 3, 1.0)]
+    assert {x.doc_id for x in decontaminate.without_leaks(df, items).collect()} == {3, 4, 5, 6, 8, 9}
+
+
+def test_op6_query_against_all_alignments(spark, tmp_path):
+    """Every document aligned with every item, whole: the same leaks and scores."""
+    r = random.Random(21)
+    items = [(k, prose(r.randrange(8, 20), r)) for k in range(12)]
+    rows = []
+    for i in range(80):
+        item = r.choice(items)[1].split(" ")
+        part = item[:r.randrange(3, len(item) + 1)] if i % 2 else ["edit" if r.random() < 0.3 else w for w in item]
+        rows.append((i if i else None, None if i == 5 else "" if i == 6 else f"{prose(r.randrange(0, 12), r)} {' '.join(part)} {prose(r.randrange(0, 12), r)}", "clash"))
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, item_id string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def read(s):
+        return decontaminate.document_runs(np.frombuffer((s or "").encode(), np.uint8), np.array([0, len((s or "").encode())]))[:2]
+
+    want = []
+    for i, t, _ in rows + rows[:2]:
+        for k, s in items:
+            (a, x), (b, y) = read(s), read(t)
+            score = decontaminate.align(a, b) / (2 * len(a))
+            if len(b) and np.intersect1d(x, y).size and score >= decontaminate.LEAST:
+                want.append((i, k, round(score, 6)))
+    got = [tuple(x) for x in decontaminate.op6_decontaminate(spark, str(tmp_path)).select("doc_id", "item_id", "score").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 20
+
+
 def test_op6_alignment():
     def plain(a, b):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
@@ -381,6 +418,18 @@ def test_op9_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_op9_loss_is_read_through_the_mask(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <|im_end|>\n b"), (1, 2, "assistant", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    loss = "a <|im_end|>\n bc"
+    got = {x.conv_id: x for x in chat_format.op9_chat_format(spark, str(tmp_path)).collect()}
+    assert got[1].loss_chars == len(loss) and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    made = chat_format.format_chats
+    monkeypatch.setattr(chat_format, "format_chats", lambda turns: made(turns).withColumn("loss_spans", F.slice("loss_spans", 1, 1)))  # a wrong mask shows
+    got = {x.conv_id: x for x in chat_format.op9_chat_format(spark, str(tmp_path)).collect()}
+    assert got[1].loss_chars == len(loss) - 1
+
+
 def test_filter_keeps_exactness(docs):
     keys = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("k"))
     out, maybe = split_by_filter(docs, F.coalesce("doc_id", F.lit(-1)), keys, "k")
