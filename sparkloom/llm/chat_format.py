@@ -94,8 +94,10 @@ def op9_chat_format(spark, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
     made = format_chats(chats.union(hostile))
-    made = made.select("conv_id", "formatted", "round_trip", "loss_spans", F.explode(F.array(parse(F.col("formatted")))).alias("read"))
-    trained = F.array_join(F.transform(F.filter("read", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
+    masked = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["length"])))
+    made = made.select("conv_id", "formatted", "round_trip", F.explode(F.array(F.struct(parse(F.col("formatted")).alias("read"), F.array_join(masked, "").alias("trained")))).alias("out"))
+    made = made.select("conv_id", "formatted", "round_trip", "out.read", "out.trained")
+    trained = F.col("trained")
     return made.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"),
         F.sha2(F.encode(F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "UTF-8"), 256).alias("turns_sha256"),
