@@ -17,7 +17,9 @@ def staged(df: DataFrame) -> DataFrame:
     """df written to the folder executors share (spark.checkpoint.dir) and read again: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
+    if not root:  # one process, as in tests, gets a folder of its own
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/staged/{uuid.uuid4().hex}"

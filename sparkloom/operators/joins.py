@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, dirname, extension, folded, glob_regex, imported_names, internal_frame, node_path
-from .predicates import CONVENTION, ENTRY, TEST_FILES
+from .predicates import CONVENTION, TEST_FILES, is_entry
 
 #: Extension to language adapter.
 ADAPTERS = {
-    ".ts": "javascript", ".tsx": "javascript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".mts": "javascript", ".py": "python", ".rs": "rust", ".go": "go", ".cts": "javascript",
+    ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
+    ".cjs": "javascript", ".rs": "rust", ".py": "python", ".go": "go",
 }
 #: Endings under which an import is looked for, in order.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".rs", ".py", ".go", "/index.ts", "/index.tsx", "/index.js", "/mod.rs", "/__init__.py")
@@ -62,12 +62,13 @@ def orphans(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def unused_symbols(symbols: DataFrame, imports: DataFrame, edges: DataFrame, private: bool = False) -> DataFrame:
-    """Symbols whose name no import brings in and no call or reference reaches, with a confidence."""
+    """Symbols whose name no import brings in and that no call or reference reaches or starts from, with a confidence."""
     names = imports.select(F.explode(imported_names(F.col("specifier"))).alias("name")).distinct()
-    called = edges.where(F.col("edge_type").isin("CALLS", "REFERENCES")).select(F.regexp_replace("to_id", "^symbol:", "").alias("id"))
+    used = edges.where(F.col("edge_type").isin("CALLS", "REFERENCES"))
+    called = used.select(F.explode(F.array("to_id", "from_id")).alias("end")).select(F.regexp_replace("end", "^symbol:", "").alias("id"))
     rows = symbols if private else symbols.where("exported")
     rows = rows.where(~F.col("file_path").rlike(TEST_FILES["unused"])).join(names, "name", "left_anti").join(called, "id", "left_anti")
-    strong = F.col("exported") & ~F.col("file_path").rlike(ENTRY) & ~F.col("name").rlike("(?i)^(get|set|handle|use|create|on)") & ~F.col("name").rlike(CONVENTION)
+    strong = F.col("exported") & ~is_entry(F.col("file_path"), F.col("name")) & ~F.col("name").rlike("(?i)^(get|set|handle|use|create|on)") & ~F.col("name").rlike(CONVENTION)
     return rows.select("id", "name", "file_path", "line", "kind", "exported", F.when(strong, "strongly_inferred").otherwise("weakly_inferred").alias("confidence"))
 
 

@@ -33,7 +33,7 @@ def add(name: str, f: Callable[[Catalog], DataFrame], sql: str | None = None) ->
 # ---- scans, predicates, search (S, P, O)
 add("s08_symbols_of_kind", lambda c: P.by_column(c.symbols, "kind", "class").select("id", "file_path", "name", "line"), "SELECT id, file_path, name, line FROM symbols WHERE kind = 'class'")
 add("p01_ignore", lambda c: P.not_ignored(c.files, ["/config/n1", "*.md", "!keep", "src7", "**/models"]).select("path"), """
-SELECT path FROM files WHERE NOT (path LIKE '%node_modules%' OR path LIKE '%dist%' OR path LIKE '%build%' OR path LIKE '%out%' OR path LIKE '%.git%' OR path LIKE '%.next%' OR path LIKE '%.turbo%'
+SELECT path FROM files WHERE NOT (path LIKE '%node_modules%' OR path LIKE '%dist%' OR path LIKE '%build%' OR path LIKE '%out%' OR path LIKE '%.git%' OR path LIKE '%.next%' OR path LIKE '%.nuxt%' OR path LIKE '%.svelte-kit%' OR path LIKE '%.turbo%'
   OR path LIKE '%coverage%' OR path LIKE '%target%' OR path LIKE '%vendor%' OR path LIKE '%\\_\\_pycache\\_\\_%' ESCAPE '\\' OR path LIKE '%venv%' OR path LIKE '%.cache%' OR path LIKE '%tmp%' OR path LIKE '%temp%'
   OR path = 'config/n1' OR path LIKE 'config/n1/%' OR path LIKE '%.md' OR path LIKE '%src7%' OR path LIKE '%models' OR list_contains(string_split(path, '/'), 'models'))""".replace("\\\\", "\\"))
 add("p03_path_contains", lambda c: P.path_contains(c.files, "SRC1").select("path"), "SELECT path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 50")
@@ -45,11 +45,11 @@ add("p07_import_mentions", lambda c: P.import_mentions(c.imports, "widget"), "SE
 add("p08_exports_by_kind", lambda c: P.exports_by_kind(c.symbols).select("id", "kind"), "SELECT id, kind FROM symbols WHERE regexp_matches(kind, '(?i)export|function|class|const|interface|type')")
 add("p09_memory_search", lambda c: P.memory_search(c.memory, "src1").select("id", "type", "updated_at"), "SELECT id, type, updated_at FROM memory WHERE title ILIKE '%src1%' OR content ILIKE '%src1%' OR tags ILIKE '%src1%' ORDER BY updated_at DESC, id LIMIT 50")
 add("p10_path_roles", lambda c: P.path_roles(c.files), r"""
-SELECT path, regexp_matches(path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$') AS entry,
-  regexp_matches(path, '(^|/)dist/|(^|/)build/|(^|/)node_modules/|\.min\.(js|css)$|\.map$|(^|/)coverage/|\.lock$|-lock\.(json|yaml)$|\.generated\.|(^|/)\.next/|(^|/)target/') AS generated,
+SELECT path, regexp_matches(path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$|/(bin|scripts|src/bin)/') AS entry,
+  regexp_matches(path, '(^|/)(dist|build|\.next|out|coverage)/|\.min\.(js|css)$|(^|/)(pnpm-lock\.yaml|package-lock\.json|yarn\.lock|Cargo\.lock)$|\.generated\.') AS generated,
   regexp_matches(path, '(?i)\.(md|mdx|rst|txt)$') AS docs, regexp_matches(path, '(?i)(^|/)(\.env($|\.)|.*secrets?.*)') AS secret,
   regexp_matches(path, '\.(test|spec)\.|_test\.|(^|/)test_') AS test_graph, regexp_matches(path, '\.(test|spec)\.|_test\.') AS test_review, regexp_matches(path, '\.(test|spec)\.|_test\.|(^|/)tests?/') AS test_inventory,
-  regexp_matches(path, '(?i)\.(test|spec)\.|(^|/)(tests?|__tests__|fixtures|mocks)/|(^|/)(dist|build|generated)/') AS test_unused FROM files""")
+  regexp_matches(path, '(?i)\.(test|spec)\.|/(__tests__|__mocks__|fixtures|testdata|snapshots|dist|build|coverage|\.next)/') AS test_unused FROM files""")
 add("p11_stem_related", lambda c: P.stem_related(c.files, "packages/src10/src/n10.go").select("path"), r"SELECT path FROM files WHERE regexp_matches(path, '\.(test|spec)\.|_test\.') AND contains(path, 'n10') AND path <> 'packages/src10/src/n10.go'")
 add("p12_schema_files", lambda c: P.schema_files(c.files).select("path"), r"SELECT path FROM files WHERE regexp_matches(path, '(?i)schema|migrations?/|\.sql$|\.prisma$')")
 add("p13_migrations", lambda c: P.classified(c.files, P.MIGRATIONS), r"SELECT path, 'migration_dir' AS kind FROM files WHERE regexp_matches(path, '(?i)migrations?/|/migrate/')")
@@ -68,7 +68,7 @@ add("o06_large_files", lambda c: A.top(c.files.select("path", "size"), "size", "
 # ---- joins (J)
 add("j01_neighbours", lambda c: J.neighbours(c.edges, SEED), f"SELECT from_id, to_id, edge_type, 'out' AS direction FROM edges WHERE from_id = '{SEED}' UNION ALL SELECT from_id, to_id, edge_type, 'in' FROM edges WHERE to_id = '{SEED}'")
 add("j02_adapters", lambda c: J.with_adapter(c.files).select("path", "adapter"), r"""
-SELECT path, CASE regexp_extract(path, '(\.[^./]*)$', 1) WHEN '.ts' THEN 'javascript' WHEN '.tsx' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter FROM files""")
+SELECT path, CASE regexp_extract(path, '(\.[^./]*)$', 1) WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter FROM files""")
 add("j03_cross_dependencies", lambda c: J.cross_dependencies(c.imports.groupBy(F.element_at(F.split("file_path", "/"), 1).alias("name")).agg(F.collect_set(F.element_at(F.split("source", "/"), -1)).alias("deps"))
     .unionByName(c.imports.select(F.concat(F.lit("n"), F.col("ord").cast("string")).alias("name"), F.array().cast("array<string>").alias("deps")))), """
 WITH d AS (SELECT DISTINCT string_split(file_path, '/')[1] AS package, string_split(source, '/')[-1] AS dependency FROM imports), n AS (SELECT DISTINCT string_split(file_path, '/')[1] AS name FROM imports UNION SELECT 'n' || ord FROM imports)
@@ -85,8 +85,8 @@ WITH p AS (SELECT path FROM files UNION SELECT substr(from_id, 6) FROM edges) SE
 WHERE NOT EXISTS (SELECT 1 FROM edges WHERE edge_type = 'IMPORTS' AND substr(from_id, 6) = path) AND NOT EXISTS (SELECT 1 FROM edges WHERE edge_type = 'IMPORTS' AND substr(to_id, 6) = path)""")
 add("j06_unused_symbols", lambda c: J.unused_symbols(c.symbols, c.imports, c.edges).select("id", "name", "confidence"), r"""
 WITH n AS (SELECT DISTINCT unnest([string_split(regexp_replace(specifier, '[{}\s*]', '', 'g'), ',')[1], regexp_extract(specifier, '(?:as\s+)?(\w+)\s*$', 1)]) AS name FROM imports)
-SELECT id, name, CASE WHEN regexp_matches(file_path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$') OR regexp_matches(name, '(?i)^(get|set|handle|use|create|on)') OR regexp_matches(name, '^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|default|middleware|layout|loading|error|notFound)$') THEN 'weakly_inferred' ELSE 'strongly_inferred' END AS confidence
-FROM symbols WHERE exported AND NOT regexp_matches(file_path, '(?i)\.(test|spec)\.|(^|/)(tests?|__tests__|fixtures|mocks)/|(^|/)(dist|build|generated)/') AND name NOT IN (SELECT name FROM n WHERE name <> '')""")
+SELECT id, name, CASE WHEN regexp_matches(file_path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$|/(bin|scripts|src/bin)/') OR name IN ('default', 'main', 'run') OR regexp_matches(name, '(?i)^(get|set|handle|use|create|on)') OR regexp_matches(name, '^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|default|middleware|layout|loading|error|notFound)$') THEN 'weakly_inferred' ELSE 'strongly_inferred' END AS confidence
+FROM symbols WHERE exported AND NOT regexp_matches(file_path, '(?i)\.(test|spec)\.|/(__tests__|__mocks__|fixtures|testdata|snapshots|dist|build|coverage|\.next)/') AND name NOT IN (SELECT name FROM n WHERE name <> '')""")
 add("j07_owners", lambda c: J.owners_for(c.files, OWNERS), r"""
 SELECT path, CASE WHEN regexp_matches(path, '^config/[^/]*\.yml$') THEN 'config/*.yml' WHEN path LIKE 'packages/src1/%' THEN '/packages/src1/' WHEN path LIKE 'db/migrations/%' THEN 'db/migrations/**' WHEN path LIKE '%.py' THEN '*.py' WHEN path LIKE 'packages/%' THEN 'packages/' ELSE '*' END AS pattern,
   CASE WHEN regexp_matches(path, '^config/[^/]*\.yml$') THEN '@ops' WHEN path LIKE 'packages/src1/%' THEN '@one' WHEN path LIKE 'db/migrations/%' THEN '@data' WHEN path LIKE '%.py' THEN '@python' WHEN path LIKE 'packages/%' THEN '@pk' ELSE '@all' END AS owner FROM files""")
@@ -131,7 +131,7 @@ WITH i AS (SELECT file_path, count(*) AS n_imports, list_sort(list(DISTINCT sour
 SELECT file_path, coalesce(n_imports, 0) AS n_imports, coalesce(n_edges, 0) AS n_edges, coalesce(samples, []) AS samples, greatest(coalesce(n_imports, 0), coalesce(n_edges, 0)) AS weight FROM i FULL JOIN e USING (file_path)
 WHERE greatest(coalesce(n_imports, 0), coalesce(n_edges, 0)) >= 8 ORDER BY weight DESC, file_path LIMIT 25""")
 add("a12_adapter_coverage", lambda c: A.adapter_coverage(c.files), r"""
-SELECT regexp_extract(path, '(\.[^./]*)$', 1) AS extension, CASE extension WHEN '.ts' THEN 'javascript' WHEN '.tsx' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter, count(*) AS n FROM files GROUP BY ALL""")
+SELECT regexp_extract(path, '(\.[^./]*)$', 1) AS extension, CASE extension WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter, count(*) AS n FROM files GROUP BY ALL""")
 add("a13_best_confidence", lambda c: A.best_confidence(J.unused_symbols(c.symbols, c.imports, c.edges), F.col("confidence"), "kind"), None)
 add("a14_line_span", lambda c: A.line_span(c.symbols, "file_path", "line"), "SELECT file_path, min(line) AS lo, max(line) AS hi FROM symbols GROUP BY 1")
 

@@ -120,3 +120,30 @@ def test_streamed_sessions(spark, tmp_path):
 def test_empty_tables(spark):
     files = spark.createDataFrame([], "path string, language string, text string, hash string")
     assert X.symbols(files).count() == 0 and X.secrets(files).count() == 0 and L.index_delta(files, files).count() == 0
+
+
+def test_path_rules(spark):
+    """Fixed lists: ignored names, generated files, entry points, adapters."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import joins, predicates
+
+    paths = ["a/.nuxt/x.js", "a/.svelte-kit/x.js", "state/x", "src/a.ts", "scripts/x.sh", "a/scripts/x.sh", "a/src/bin/tool.rs", "yarn.lock", "x/Cargo.lock", "poetry.lock", "a.min.js", "b.map", "k.mts", "k.cts", "k.cjs"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept = {x.path for x in files.where(~predicates.ignored(F.col("path"), [], own_folder="state")).collect()}
+    assert kept == set(paths[3:])
+    roles = {x.path: x for x in predicates.path_roles(files).collect()}
+    assert {p for p in paths if roles[p].generated} == {"yarn.lock", "x/Cargo.lock", "a.min.js"}
+    assert {p for p in paths if roles[p].entry} == {"a/scripts/x.sh", "a/src/bin/tool.rs"}
+    adapters = {x.path: x.adapter for x in joins.with_adapter(files).collect()}
+    assert (adapters["src/a.ts"], adapters["k.mts"], adapters["k.cts"], adapters["k.cjs"], adapters["yarn.lock"]) == ("typescript", "typescript", "typescript", "javascript", None)
+
+
+def test_symbols_that_call_are_used(spark):
+    from sparkloom.operators import joins
+
+    symbols = spark.createDataFrame([(k, n, "a/x.ts", 1, "function", True) for k, n in (("1", "caller"), ("2", "callee"), ("3", "alone"), ("4", "run"))], "id string, name string, file_path string, line int, kind string, exported boolean")
+    imports = spark.createDataFrame([], "specifier string")
+    edges = spark.createDataFrame([("symbol:1", "symbol:2", "CALLS")], "from_id string, to_id string, edge_type string")
+    got = {x.name: x.confidence for x in joins.unused_symbols(symbols, imports, edges).collect()}
+    assert got == {"alone": "strongly_inferred", "run": "weakly_inferred"}
