@@ -103,8 +103,8 @@ add("j11_nearest_symbols", lambda c: J.nearest_symbols(c.symbols, c.imports.sele
 WITH p AS (SELECT DISTINCT file_path AS path, line AS "at" FROM imports) SELECT * FROM (SELECT path, "at", id, name, abs(line - "at") AS distance, row_number() OVER (PARTITION BY path, "at" ORDER BY abs(line - "at"), id) AS rank FROM p JOIN symbols ON file_path = path) WHERE rank <= 3""")
 add("j12_side_records", lambda c: J.with_side_records(c.files.select("path"), c.symbols, "found", ["line", "name", "id"]).select("path", F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.transform("found", lambda x: x["id"]).alias("ids")), """
 SELECT path, count(id) AS n, list(id ORDER BY line, name, id) FILTER (WHERE id IS NOT NULL) AS ids FROM files LEFT JOIN symbols ON file_path = path GROUP BY path""")
-add("j13_registered_steps", lambda c: J.registered_steps(c.imports.select(F.col("file_path").alias("flow"), F.col("line").alias("step"), F.col("source").alias("tool")), c.imports.where("ord % 2 = 0").select(F.col("source").alias("tool"))), """
-SELECT file_path AS flow, line AS step, source AS tool, source IN (SELECT source FROM imports WHERE ord % 2 = 0) AS registered FROM imports""")
+add("j13_registered_steps", lambda c: J.registered_steps(c.imports.select(F.col("file_path").alias("flow"), F.col("line").alias("step"), F.col("source").alias("tool")), c.imports.select(F.regexp_replace("source", "lib[12]/", "gone/").alias("tool"))), """
+SELECT file_path AS flow, line AS step, source AS tool, source IN (SELECT regexp_replace(source, 'lib[12]/', 'gone/') FROM imports) AS registered FROM imports""")
 add("j14_present", lambda c: J.present(c.files, {"yaml_config": r"^config/.*\.yml$", "github": r"^\.github/", "go": r"\.go$"}), r"""
 SELECT unnest(['yaml_config', 'github', 'go']) AS name, unnest([bool_or(regexp_matches(path, '^config/.*\.yml$')), bool_or(regexp_matches(path, '^\.github/')), bool_or(path LIKE '%.go')]) AS present FROM files""")
 add("j16_mutual_pairs", lambda c: J.mutual_pairs(c.edges), "SELECT DISTINCT a.from_id, a.to_id FROM edges a JOIN edges b ON a.from_id = b.to_id AND a.to_id = b.from_id WHERE a.edge_type = 'IMPORTS' AND b.edge_type = 'IMPORTS' AND a.from_id < a.to_id")
@@ -147,9 +147,9 @@ add("w06_carried", lambda c: W.carried(c.imports.select("file_path", "ord", F.wh
 SELECT file_path, ord, head, last_value(head IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY ord ROWS UNBOUNDED PRECEDING) AS last_head FROM (SELECT file_path, ord, CASE WHEN ord % 3 = 0 THEN source END AS head FROM imports)""")
 add("u01_references", lambda c: W.changed_paths(P.import_mentions(c.imports, "ring").withColumnRenamed("file_path", "path"), c.symbols.where("name = 'small_ring'").select(F.col("file_path").alias("path"))), """
 SELECT * FROM (SELECT DISTINCT file_path AS path FROM imports WHERE contains(concat_ws('|', source, specifier), 'ring') ORDER BY 1 LIMIT 100) UNION SELECT file_path FROM symbols WHERE name = 'small_ring'""")
-add("u02_changed_paths", lambda c: W.changed_paths(c.files.where("doc_id % 3 = 0"), c.files.where("doc_id % 5 = 0"), distinct=False), "SELECT path FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT path FROM files WHERE doc_id % 5 = 0")
-add("u03_key_differences", lambda c: W.key_differences(c.imports.select(F.col("source").alias("key")), c.imports.where("ord % 2 = 1").select(F.regexp_replace("source", "lib[12]/", "gone/").alias("key"))), """
-WITH u AS (SELECT DISTINCT source AS key FROM imports), d AS (SELECT DISTINCT regexp_replace(source, 'lib[12]/', 'gone/') AS key FROM imports WHERE ord % 2 = 1)
+add("u02_changed_paths", lambda c: W.changed_paths(c.files, c.files.withColumn("path", F.regexp_replace("path", "^packages/", "moved/")), distinct=False), "SELECT path FROM files UNION ALL SELECT regexp_replace(path, '^packages/', 'moved/') FROM files")
+add("u03_key_differences", lambda c: W.key_differences(c.imports.select(F.col("source").alias("key")), c.imports.select(F.regexp_replace("source", "lib[12]/", "gone/").alias("key"))), """
+WITH u AS (SELECT DISTINCT source AS key FROM imports), d AS (SELECT DISTINCT regexp_replace(source, 'lib[12]/', 'gone/') AS key FROM imports)
 SELECT key, 'undocumented' AS side FROM u WHERE key NOT IN (FROM d) AND key NOT IN ('NODE_ENV', 'PATH') UNION ALL SELECT key, 'unused' FROM d WHERE key NOT IN (FROM u)""")
 add("u05_snapshot_changes", lambda c: W.snapshot_changes(c.files.where("doc_id % 13 <> 0"), c.files.where("doc_id % 11 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")))), """
 SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM files WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)""")
@@ -160,20 +160,11 @@ down AS (SELECT '{s}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM down JOIN
 SELECT '{s}' AS seed, 'dependents' AS direction, node FROM (SELECT DISTINCT node FROM up WHERE d > 0) UNION ALL SELECT '{s}', 'dependencies', node FROM (SELECT DISTINCT node FROM down WHERE d > 0)"""
 add("g01_impact", lambda c: G.impact(c.edges, c.spark.range(1).select(F.lit(SEED).alias("seed")), 2), _REACH.format(s=SEED, d=2))
 add("g02_distances", lambda c: G.distances(c.edges, SEED).select("node", "distance"), f"""
-WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 50) SELECT node, min(d) AS distance FROM r GROUP BY node""")
+WITH r(node, d) USING KEY (node) AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, min(d) + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE e.to_id NOT IN (SELECT node FROM recurring.r) GROUP BY e.to_id) SELECT node, d AS distance FROM r""")
 add("g02_shortest_path", lambda c: G.shortest_path(c.edges, SEED, "file:error_7").agg(F.max("place").alias("length")), f"""
-WITH r AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, d + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE d < 50) SELECT min(d) AS length FROM r WHERE node = 'file:error_7'""")
-_FOLDED = "SELECT DISTINCT 'n' || (l_partkey % 300) AS from_id, 'n' || l_suppkey AS to_id, 'IMPORTS' AS edge_type FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 300 <> l_suppkey AND ((l_partkey % 300) * 7 + l_suppkey) % 3 = 0"
-
-
-def _folded_edges(c: Catalog) -> DataFrame:
-    p, s = F.col("l_partkey") % 300, F.col("l_suppkey")
-    rows = c.table("lineitem").where((F.col("l_quantity") >= 49) & (p != s) & ((p * 7 + s) % 3 == 0))
-    return rows.select(F.concat(F.lit("n"), p.cast("string")).alias("from_id"), F.concat(F.lit("n"), s.cast("string")).alias("to_id"), F.lit("IMPORTS").alias("edge_type")).distinct()
-
-
-add("g04_strong_components", lambda c: G.strong_components(_folded_edges(c)), f"""
-WITH fe AS ({_FOLDED}), r AS (SELECT from_id AS a, to_id AS b FROM fe UNION SELECT r.a, fe.to_id FROM r JOIN fe ON fe.from_id = r.b), m AS (SELECT x.a AS node, min(x.b) AS other, count(*) AS n FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+WITH r(node, d) USING KEY (node) AS (SELECT '{SEED}' AS node, 0 AS d UNION SELECT e.to_id, min(d) + 1 FROM r JOIN edges e ON e.from_id = node AND edge_type IN ('IMPORTS', 'DEPENDS_ON') WHERE e.to_id NOT IN (SELECT node FROM recurring.r) GROUP BY e.to_id) SELECT min(d) AS length FROM r WHERE node = 'file:error_7'""")
+add("g04_strong_components", lambda c: G.strong_components(c.edges), """
+WITH fe AS (SELECT DISTINCT from_id, to_id FROM edges WHERE edge_type = 'IMPORTS'), r AS (SELECT from_id AS a, to_id AS b FROM fe UNION SELECT r.a, fe.to_id FROM r JOIN fe ON fe.from_id = r.b), m AS (SELECT x.a AS node, min(x.b) AS other, count(*) AS n FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT least(node, other) AS component, node FROM m WHERE n >= 3""")
 add("g05_multi_seed", lambda c: G.impact(c.edges, c.edges.where("from_id like 'file:error_1%'").select(F.col("from_id").alias("seed")), 1), """
 WITH s AS (SELECT DISTINCT from_id AS seed FROM edges WHERE from_id LIKE 'file:error_1%')
@@ -236,15 +227,15 @@ add("f18_assigned_secrets", lambda c: W.lines_of(c.files.select("path", "text"))
 WITH coded AS (SELECT path, language, text FROM files), """ + _LINES + r""" SELECT path, line_number FROM lines WHERE regexp_matches(line, '(?i)(token|api[_-]?key|secret|password)\s*[:=]\s*["''][^"'']{8,}["'']')""")
 add("s09_doc_lines", lambda c: W.lines_of(c.files.where("path like '%.md'").select("path", "text")).where(F.contains(F.lower("line"), F.lit("the"))).select("path", "line_number"), """
 WITH coded AS (SELECT path, language, text FROM files WHERE path LIKE '%.md'), """ + _LINES + " SELECT path, line_number FROM lines WHERE contains(lower(line), 'the')")
-add("s10_env_keys", lambda c: X.env_keys(c.files.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("K"), (F.col("doc_id") % 20).cast("string"), F.lit("=1\n"), "text"))).select("key", "path"), """
-SELECT 'K' || (doc_id % 20) AS key, min(path) AS path FROM files WHERE doc_id % 5 = 0 GROUP BY 1""")
+add("s10_env_keys", lambda c: X.env_keys(c.files.withColumn("text", F.concat(F.lit("K"), (F.col("doc_id") % 20).cast("string"), F.lit("=1\n"), "text"))).select("key", "path"), """
+SELECT 'K' || (doc_id % 20) AS key, min(path) AS path FROM files GROUP BY 1""")
 
 # ---- composites (X) and sinks (K)
 add("x01_index_delta", lambda c: L.index_delta(c.files.where("doc_id % 11 <> 0"), c.files.where("doc_id % 13 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash")))), """
 SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'delete' ELSE 'read' END AS action FROM files WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0)""")
 add("x02_build_graph", lambda c: L.build_graph(c.files, c.symbols, c.imports).groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
 add("x03_context_pack", lambda c: L.context_pack(c.files, c.symbols, c.memory, "small ring").select("id", "kind", "score", "used"))
-add("x04_review", lambda c: L.review(c.files.where("doc_id % 4 = 0").select("path"), W.lines_of(c.files.where("doc_id % 4 = 0").select("path", "text")), c.files, c.edges))
+add("x04_review", lambda c: L.review(c.files.select("path"), W.lines_of(c.files.select("path", "text")), c.files, c.edges))
 add("x07_unified_search", lambda c: L.unified_search(c.files, c.symbols, c.memory, "src1"), """
 SELECT * FROM (SELECT 'symbol' AS kind, id, name AS title FROM symbols WHERE name ILIKE '%src1%' ORDER BY name, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'file', path, path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 20)
 UNION ALL SELECT * FROM (SELECT 'memory', id, title FROM memory WHERE title ILIKE '%src1%' OR content ILIKE '%src1%' ORDER BY updated_at DESC, id LIMIT 20)""")
