@@ -36,7 +36,7 @@ PERCENT = 80
 #: The least number of sets that is marked, and the factor from one level to the next.
 LEVELS = (2, 8)
 #: Shingles that a task sums up at once; sizes from which on sets are counted together.
-BLOCK, SIZES = 4_000_000, 1000
+BLOCK, SIZES = 1_000_000, 1000
 PAIR_MARK = U(0x5851F42D4C957F2D)
 
 

@@ -32,7 +32,7 @@ from .shared import STEP_BYTES, U, bitmap_array, components, maybe_in, mix, pref
 
 EDITS, MIN_CHARS = 2, 24
 #: Code points of a gram of the differences; different lines whose postings a task holds at once.
-GRAM, BLOCK = 3, 200_000
+GRAM, BLOCK = 3, 100_000
 #: Lines of a list whose common grams are what its lines are held against.
 SAMPLE = 8
 #: Kinds of code points that are counted in a line.
