@@ -287,20 +287,73 @@ def test_op3_crf(spark, empty):
     assert line_crf.score(empty, line_crf.learn(empty.select("doc_id", "text"), labels)).count() == 0
 
 
-def test_op4_masked_lm(spark, docs, empty):
+def masked_by_hand(rows, model):
+    """[(doc_id, tokens, log-probability)] from plain dictionaries of all contexts."""
+    m, seen, of = masked_lm, {}, []
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        ids, hashes, _ = m.token_ids(data, np.array([0, len(data)]))
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        c = [m.OUTSIDE] * 2 + [int(model["class_of"][k]) for k in ids] + [m.OUTSIDE] * 2
+        around = [None, *words, None]
+        keys = [(around[k], around[k + 2], c[k + 2]) for k in range(len(words))]
+        far = lambda k: 0 if not 2 <= k < len(words) + 2 else 1 if c[k] < m.OWN else 2
+        net = [model["table"][c[k + 1] * 3 + far(k), c[k + 3] * 3 + far(k + 4), c[k + 2]] for k in range(len(words))]
+        of.append((i, words, ids, c[2:], keys, net))
+        for w, key in zip(words, keys):
+            counts = seen.setdefault(key, {})
+            counts[w] = counts.get(w, 0) + 1
+    out = []
+    for i, words, ids, c, keys, net in of:
+        total = 0.0
+        for w, one, own, key, x in zip(words, ids, c, keys, net):
+            total += x
+            if own >= m.OWN:
+                counts = dict(seen[key])
+                counts[w] -= 1  # the token itself is left out
+                counts = {k: n for k, n in counts.items() if n}
+                n, base = sum(counts.values()), np.exp(model["share"][one]) / m.SUB
+                total += np.log((max(counts.get(w, 0) - m.DISCOUNT, 0) + m.DISCOUNT * len(counts) * base) / n if n else base)
+        out.append((i, len(words), total))
+    return out
+
+
+def test_op4_masked_lm(spark, docs, empty, monkeypatch):
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
     model = masked_lm.learn(docs)
-    got = {x.doc_id: x for x in masked_lm.score(docs, model).collect()}
-    x = docs.where("doc_id = 2").first()
-    data = np.frombuffer(x.text.encode(), np.uint8)
-    ids, _ = masked_lm.token_ids(data, np.array([0, len(data)]))
-    c = [masked_lm.OUTSIDE, *model["class_of"][ids], masked_lm.OUTSIDE]
-    want = sum(model["table"][c[k], c[k + 2], c[k + 1]] + model["share"][i] for k, i in enumerate(ids))
-    assert abs(got[2].log_prob - want) < 1e-6 and got[2].n_tokens == len(x.text.split())
-    assert np.allclose(np.exp(model["table"]).sum(2), 1, atol=1e-4)
+    want = sorted(((i is None, i or 0), n, round(float(x), 2)) for i, n, x in masked_by_hand(rows, model))
+    for bucket, frame in ((1 << 20, docs), (100, docs.repartition(3))):
+        monkeypatch.setattr(masked_lm, "BUCKET", bucket)
+        got = masked_lm.score(frame, model).collect()
+        got = sorted(((x.doc_id is None, x.doc_id or 0), x.n_tokens, x.log_prob) for x in got)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=0.1, rtol=1e-4)
+    assert np.allclose(np.exp(model["table"].astype(float)).sum(2), 1, atol=1e-4)
     assert np.allclose(model["table"], masked_lm.learn(docs.repartition(3))["table"])  # whatever the partitioning
     assert masked_lm.score(empty, masked_lm.learn(empty)).count() == 0
 
 
+def test_op4_documents_that_occur_twice(spark):
+    r = random.Random(5)
+    texts = [prose(60, r) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.mean_log_prob for x in masked_lm.score(df, masked_lm.learn(df)).collect()}
+    assert min(got[i] for i in range(30)) > max(got[i] for i in range(30, 150))
+
+
+def test_op4_content_words_are_predicted_from_their_neighbours(spark):
+    r = random.Random(8)
+    phrases = [" ".join(f"{w}{k}" for w in ("stone", "river", "light", "green")) for k in range(100, 180)]
+    texts = [" ".join(r.choice(phrases) for _ in range(20)) for _ in range(100)]
+    swapped = texts[0].split(" ")
+    swapped[9], swapped[41] = "river777", swapped[9]  # words of one shape
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[0]), (1001, " ".join(swapped))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.log_prob for x in masked_lm.score(df, masked_lm.learn(df)).collect()}
+    assert got[0] == got[1000] and got[1001] < got[0] - 5
+
+
 def test_op6_leaks(spark, docs, empty):
     items = [(1, prose(40)), (2, prose(25)), (3, "two words"), (None, "x"), (4, None)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
