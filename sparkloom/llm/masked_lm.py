@@ -13,7 +13,7 @@ the class of their shape, and one class stands outside the text. Its log-probabi
 
 The contexts grow with the corpus and are never gathered: every step of texts adds up its own (context, word) pairs and
 sends them, packed, to the bucket of their context (so a pair that is very frequent arrives once a step); the bucket
-sends back a log-probability for each. There is a bucket for about BUCKET tokens. A pair is known by 64 bits besides its
+sends back a log-probability for each, to 1/1024. There is a bucket for about BUCKET tokens. A pair is known by 64 bits besides its
 bucket: 40 of the context and 24 of the word. Where texts are read again after a loss, they have to come in the same
 order, as from files or a staged table.
 
@@ -43,6 +43,7 @@ SIDE = CLASSES * FAR
 HIDDEN = 32
 DISCOUNT = 0.75
 BUCKET = 1 << 20
+GRAIN = 1024  # what buckets send back are 16-bit multiples of 1 / GRAIN, so that sums don't depend on their order
 _KIND = np.zeros(256, np.int64)
 _KIND[list(b".,;:!?'\"()-")] = 1
 _KIND[list(range(65, 91))] = 1 << 16
@@ -163,7 +164,21 @@ def pair_log_probs(pair: np.ndarray, times: np.ndarray, share: np.ndarray) -> np
     base = np.exp(share[((found & U(0xFFFFFF)) // U(SUB)).astype(np.int64)]) / SUB
     some = np.maximum(total, 1)
     p = np.where(total > 0, (np.maximum(n - 1 - DISCOUNT, 0) + DISCOUNT * kinds * base) / some, base)
-    return np.log(p)[where].astype(np.float32)
+    return np.log(p)[where]
+
+
+def narrow(which: np.ndarray) -> bytes:
+    """Numbers of pairs in three bytes each where that is enough, else in four."""
+    wide = which.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return wide[:, :3].tobytes() if not wide[:, 3].any() else wide.tobytes()
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    if n == 0:
+        return np.zeros(0, np.uint32)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return wide.view("<u4").ravel()
 
 
 PARTS = "bucket long, block long, part long, a binary, b binary"
@@ -198,7 +213,7 @@ def sent(docs: DataFrame, model, buckets: int) -> DataFrame:
                     doc_id.fill_null(0).to_numpy(zero_copy_only=False), doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.int64),
                     np.diff(first), np.diff(np.searchsorted(many, first)), (net[first[1:]] - net[first[:-1]]).view(np.int64)))
                 out = [(int(bucket[lo]), block, int(bucket[lo]), pair[lo:hi].tobytes(), times[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:])]
-                out.append((block % buckets, block, DOCUMENTS, which.tobytes(), about.tobytes()))
+                out.append((block % buckets, block, DOCUMENTS, narrow(which), about.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2)], ["bucket", "block", "part", "a", "b"])
                 block += 1
 
@@ -211,7 +226,8 @@ def answered(parts: pa.Table, model) -> pa.Table:
     asked = [k for k, x in enumerate(part) if x != DOCUMENTS]
     pair = np.concatenate([np.frombuffer(a[k], U) for k in asked] or [np.zeros(0, U)])
     times = np.concatenate([np.frombuffer(b[k], np.uint32) for k in asked] or [np.zeros(0, np.uint32)])
-    logs, lo = pair_log_probs(pair, times, model.value["share"]), 0
+    logs = np.minimum(np.rint(-GRAIN * pair_log_probs(pair, times, model.value["share"])), 65_535).astype(np.uint16)
+    lo = 0
     for k in asked:
         n = len(a[k]) // 8
         a[k], b[k], lo = logs[lo:lo + n].tobytes(), b"", lo + n
@@ -222,9 +238,9 @@ def summed(parts: pa.Table) -> pa.Table:
     """One block: a row of every document."""
     part, a, b = (parts.column(x).to_pylist() for x in ("part", "a", "b"))
     order = sorted(range(len(part)), key=lambda k: part[k])
-    logs = np.concatenate([np.frombuffer(a[k], np.float32) for k in order[1:]] or [np.zeros(0, np.float32)]).astype(float)
+    logs = np.concatenate([np.frombuffer(a[k], np.uint16) for k in order[1:]] or [np.zeros(0, np.uint16)]).astype(np.int64)
     ids, null, n, asked, net = np.frombuffer(b[order[0]], np.int64).reshape(5, -1)
-    total = np.concatenate(([0], np.cumsum(logs[np.frombuffer(a[order[0]], np.uint32)])))
+    total = np.concatenate(([0], np.cumsum(-logs[widened(a[order[0]], int(asked.sum()))]))) / GRAIN
     last = np.cumsum(asked)
     log_prob = np.where(n > 0, net.view(float) + total[last] - total[last - asked], 0.0)
     mean = np.where(n > 0, log_prob / np.maximum(n, 1), np.nan)
