@@ -123,6 +123,22 @@ def app_route(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)app/"), out)
 
 
+def django_route(c: Column) -> Column:
+    """A leading ^ and a trailing $ taken off, a slash put before."""
+    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(c, r"^\^", ""), r"\$$", ""))
+
+
+def json_at(c: Column, dotted: str) -> Column:
+    """The value at a dotted path of JSON text as text; null where there is none."""
+    return F.get_json_object(c, "$" + "".join(f"['{part}']" for part in dotted.split(".")))
+
+
+def release_version(manifest: Column, cargo: Column, tag: Column) -> Column:
+    """The version of a manifest's JSON, else of a Cargo file's text, else the tag."""
+    own = F.regexp_extract(cargo, r'(?m)^version\s*=\s*"([^"]+)"', 1)
+    return F.coalesce(json_at(manifest, "version"), F.when(own != "", own), F.when(F.trim(tag) != "", F.trim(tag)))
+
+
 def without_comments(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
 

@@ -40,6 +40,20 @@ def stable_last(rows: DataFrame, late, *order: str) -> DataFrame:
     return rows.orderBy(late.cast("int"), *order)
 
 
+def ranked_by_name(rows: DataFrame, rank, name: str = "name") -> DataFrame:
+    """Rows in order of rank, then of name as people sort it (letters before case)."""
+    return rows.orderBy(rank, F.collate(F.col(name), "UNICODE"))
+
+
+def blame(lines: DataFrame, most: int = 400) -> DataFrame:
+    """(path, n, author, text) of the first code lines of porcelain blame rows (path, n, line): the author last named, ? before any."""
+    by = Window.partitionBy("path").orderBy("n")
+    named = F.last(F.when(F.startswith("line", F.lit("author ")), F.substring("line", 8, 1 << 30)), ignorenulls=True)
+    code = lines.select("path", "n", "line", F.coalesce(named.over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit("?")).alias("author"))
+    code = code.where(F.startswith("line", F.lit("\t"))).withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
+    return code.select("path", F.col("k").alias("n"), "author", F.substring("line", 2, 1 << 30).alias("text"))
+
+
 def diff_lines(diff: DataFrame) -> DataFrame:
     """Old and new line numbers of unified-diff rows (diff_id, n, line): hunk headers carried down, counters by running sums.
 

@@ -115,3 +115,13 @@ def ci_commands(workflows: DataFrame) -> DataFrame:
     lines = workflows.select("path", F.explode(F.split("text", "\r?\n")).alias("line"))
     got = F.inline(F.array_compact(F.array(*(F.when(F.col("line").rlike(rf"^\s*-?\s*{k}:\s*\S"), F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract("line", rf"^\s*-?\s*{k}:\s*(.*)$", 1)).alias("value"))) for k in ("run", "uses")))))
     return lines.select("path", got)
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """Rows but for those whose key is among gone's; rows without a key stay."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def secret_summary(found: DataFrame) -> DataFrame:
+    """(path, label, n, lines) of secret findings: nothing of the matched text, not even its length."""
+    return found.groupBy("path", "label").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("line_number")).alias("lines"))

@@ -217,7 +217,7 @@ add("v03_symbols", lambda c: X.symbols(_coded(c)), "WITH " + _CODED_SQL + ", " +
 SELECT path, line_number, 'function' AS kind, regexp_extract(line, 'function\s+(\w+)', 1) AS name, true AS exported FROM lines WHERE language = 'typescript' AND regexp_matches(line, '^\s*export function\s+\w+')
 UNION ALL SELECT path, line_number, 'class', regexp_extract(line, 'class\s+(\w+)', 1), language = 'python' FROM lines WHERE language IN ('typescript', 'python') AND regexp_matches(line, '^class\s+\w+')
 UNION ALL SELECT path, line_number, 'function', regexp_extract(line, 'def\s+(\w+)', 1), true FROM lines WHERE language = 'python' AND regexp_matches(line, '^def\s+\w+')""")
-add("v08_routes", lambda c: X.routes(_coded(c)), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
+add("v08_routes", lambda c: X.routes(_coded(c)).select("path", "line_number", "framework", "method", "route"), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
 add("v07_frameworks", lambda c: X.frameworks(_coded(c).withColumn("text", F.concat(F.when(F.col("doc_id") % 2 == 0, "from fastapi import x\n").otherwise("import e from 'express'\n"), "text"))), "SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'fastapi' ELSE 'express' END AS framework FROM files")
 add("f14_secret_rules", lambda c: X.secrets(c.files.withColumn("text", F.concat("text", F.lit("\nAPI_TOKEN = "), F.lit("x"), F.lit("\nkey AKIA"), F.upper(F.substring("hash", 1, 16)))), 3.5).where("kind = 'pattern'").select("path", "label"), """
 SELECT path, unnest(['generic_api_key_assign', 'aws_access_key_id']) AS label FROM files""")
@@ -246,6 +246,17 @@ add("k05_upsert_memory", lambda c: L.keep_latest(c.memory.select("id", "type", "
 SELECT id, CASE WHEN id LIKE '%1' THEN 'new' ELSE type END AS type, created_at, updated_at + CASE WHEN id LIKE '%1' THEN 1 ELSE 0 END AS updated_at FROM memory""")
 add("k06_delete_missing", lambda c: c.symbols.join(c.files.where("doc_id % 3 <> 0").select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id"), "SELECT id FROM symbols WHERE file_path IN (SELECT path FROM files WHERE doc_id % 3 <> 0)")
 
+add("k07_delete_memory", lambda c: L.without_ids(c.memory, c.memory.where("id like '%7'")).select("id", "title"), "SELECT id, title FROM memory WHERE id NOT LIKE '%7'")
+add("s16_blame", lambda c: W.blame(c.table("events").select(F.col("event_type").alias("path"), F.col("event_id").alias("n"), F.when(F.col("event_id") % 5 == 1, F.concat(F.lit("author u"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("\t"), F.col("user_id").cast("string"))).alias("line"))), """
+WITH a AS (SELECT event_type AS path, event_id AS n, CASE WHEN event_id % 5 <> 1 THEN CAST(user_id AS VARCHAR) END AS text, coalesce(last_value(CASE WHEN event_id % 5 = 1 THEN 'u' || user_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), '?') AS author FROM events),
+b AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY n) AS k, author, text FROM a WHERE text IS NOT NULL) SELECT path, k AS n, author, text FROM b WHERE k <= 400""")
+add("f32_json_path", lambda c: c.table("documents").select("doc_id", T.json_at(F.to_json(F.struct(F.struct("lang", "source").alias("about"))), "about.source").alias("value")), "SELECT doc_id, source AS value FROM documents")
+add("f33_release_version", lambda c: c.files.select("path", T.release_version(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"version": "1.'), F.col("doc_id").cast("string"), F.lit('"}'))), F.when(F.col("doc_id") % 3 <= 1, F.lit('[package]\nversion = "2.0"')), F.concat(F.lit(" v"), F.col("doc_id").cast("string"))).alias("version")), """
+SELECT path, CASE doc_id % 3 WHEN 0 THEN '1.' || doc_id WHEN 1 THEN '2.0' ELSE 'v' || doc_id END AS version FROM files""")
+add("k11_secret_summary", lambda c: L.secret_summary(X.secrets(c.files.withColumn("text", F.concat("text", F.lit("\nAPI_TOKEN = "), F.when(F.col("doc_id") % 2 == 0, "x\nDB_PASSWORD: ").otherwise("")))).where("label = 'generic_api_key_assign'")).select("path", "label", "n"), r"""
+WITH coded AS (SELECT path, language, text || chr(10) || 'API_TOKEN = ' || CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || 'DB_PASSWORD: ' ELSE '' END AS text FROM files), """ + _LINES + r""" SELECT path, 'generic_api_key_assign' AS label, count(*) AS n FROM lines WHERE regexp_matches(line, '(?i)\b([A-Z][A-Z0-9_]*(?:API[_]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_]?KEY))\s*[:=]') GROUP BY path""")
+add("v09_merged_routes", lambda c: X.merged_routes(X.routes(_coded(c))).select("path", "line_number", "framework", "method", "route"), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
+
 # ---- streams (T), their batch form
 add("t02_debounced", lambda c: S.debounced(c.table("events").select(F.col("user_id").alias("source"), "ts"), "30 minutes").select("source", F.unix_micros(F.col("opened").cast("timestamp")).alias("opened"), "n"), """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)

@@ -147,3 +147,36 @@ def test_symbols_that_call_are_used(spark):
     edges = spark.createDataFrame([("symbol:1", "symbol:2", "CALLS")], "from_id string, to_id string, edge_type string")
     got = {x.name: x.confidence for x in joins.unused_symbols(symbols, imports, edges).collect()}
     assert got == {"alone": "strongly_inferred", "run": "weakly_inferred"}
+
+
+def test_routes_of_all_frameworks(spark):
+    rows = [
+        ("a.ts", "// app.get('/no')\n/* app.get('/nor') */\napp.get('/x', h); router . POST(`/y`)\nfastify.get('/f')\nr.route('/c').delete(h)"),
+        ("b.py", "from fastapi import FastAPI\n@app.get('/api')\n"), ("c.py", "@bp.route('/old')\n@bp.post(\"/new\")"),
+        ("d.py", "urlpatterns = [\n path('users/', v), re_path(r'^item/$', w)]"), ("e.py", "path('unused/')"),
+        ("f.rs", 'Router::new().route("/axum", post(handlers::make))\n#[get("/actix")]\nweb::resource("/res")\n  .route(web::put())'),
+        ("src/app/(shop)/cart/route.ts", "x\nexport async function GET() {}\nexport function POST() {}"), ("app/about/page.tsx", "export default x"), ("n.ts", None),
+    ]
+    found = X.routes(spark.createDataFrame(rows, "path string, text string"))
+    got = {(r.path, r.line_number, r.framework, r.method, r.route, r.handler) for r in found.collect()}
+    shop = "src/app/(shop)/cart/route.ts"
+    assert got == {
+        ("a.ts", 3, "express", "GET", "/x", None), ("a.ts", 3, "express", "POST", "/y", None), ("a.ts", 4, "fastify", "GET", "/f", None), ("a.ts", 5, "express", "DELETE", "/c", None),
+        ("b.py", 2, "fastapi", "GET", "/api", None), ("b.py", 2, "express", "GET", "/api", None), ("c.py", 1, "flask", "GET", "/old", None), ("c.py", 2, "flask", "POST", "/new", None),
+        ("d.py", 2, "django", "ANY", "/users/", None), ("d.py", 2, "django", "ANY", "/item/", None), ("f.rs", 1, "axum", "POST", "/axum", "handlers::make"),
+        ("f.rs", 2, "actix", "GET", "/actix", None), ("f.rs", 3, "actix", "PUT", "/res", None), (shop, 2, "nextjs", "GET", "/cart", "GET"), (shop, 3, "nextjs", "POST", "/cart", "POST"),
+        ("app/about/page.tsx", 1, "nextjs", "GET", "/about", "page")}
+    assert X.merged_routes(found.where("path = 'b.py'")).count() == 1
+
+
+def test_go_and_python_imports_and_methods(spark):
+    go = 'package x\nimport "fmt"\nimport (\n\tlog "a/b"\n\t"os"\n)\nfunc (s *Server) Run() {}\nfunc helper() {}\n'
+    df = spark.createDataFrame([("a.go", "go", go), ("b.py", "python", "import os, sys\nfrom a.b import c, d\n")], "path string, language string, text string")
+    got = {(r.path, r.line_number, r.source, r.specifier) for r in X.imports(df).collect()}
+    assert got == {("a.go", 2, "fmt", "fmt"), ("a.go", 3, "a/b", "log"), ("a.go", 3, "os", "os"), ("b.py", 1, "os, sys", "os, sys"), ("b.py", 2, "a.b", "c, d")}
+    assert {(r.kind, r.name, r.exported) for r in X.symbols(df.where("language = 'go'")).collect()} == {("method", "Server.Run", True), ("function", "helper", False)}
+
+
+def test_order_of_names(spark):
+    df = spark.createDataFrame([(1, "B"), (1, "a"), (1, "_x"), (1, "A"), (0, "z"), (1, "b")], "rank int, name string")
+    assert [r.name for r in W.ranked_by_name(df, F.col("rank")).collect()] == ["z", "_x", "a", "A", "b", "B"]
