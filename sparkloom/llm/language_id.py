@@ -1,7 +1,8 @@
 """Language of a text by interpolated Kneser-Ney character models.
 
-Texts become streams of at most 64 symbols: the commonest letters (lower case), one symbol for all other letters and one
-for everything between letters. Per language a model of order 4 is counted over all training texts in Spark (rows are
+Texts become streams of at most 64 symbols: one for everything between letters, one for each of the 47 commonest letters
+(lower case), and 16 that all other letters share, dealt out in order of their frequency; so languages in scripts that few
+texts have still differ by which of these follow each other. Per language a model of order 4 is counted over all training texts in Spark (rows are
 added up before the shuffle) and kept as sorted arrays of hashed n-grams with their discounted probabilities, one array
 per order, and back-off weights. A text's cross-entropy under each language is the mean over its symbols; the lowest one
 is the prediction. The score is that language's softmax share with a temperature, and a text is marked rejected if its
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import STEP_BYTES, U, mix, table
 
 ORDER, SYMBOLS, DISCOUNT = 4, 64, 0.75
+SHARED = 16  # symbols for the letters that have none of their own
 REJECT = 0.999  # the share of calibration texts that are not to be rejected
 GRAMS = SYMBOLS ** ORDER
 
@@ -181,9 +183,11 @@ def learn(train: DataFrame, calibrate: DataFrame):
     context = train.sparkSession.sparkContext
     train, calibrate = (df.where("lang is not null and text is not null").select("text", "lang") for df in (train, calibrate))
     points = letter_counts(train.select("text")).orderBy(F.desc("n"), "point").limit(4096).toArrow()
-    symbols = np.array([63 if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint8)
-    common = [c for c in points["point"].to_pylist() if chr(c).isalpha()][:SYMBOLS - 2]
-    symbols[common] = np.arange(1, len(common) + 1)
+    own = SYMBOLS - 1 - SHARED
+    symbols = np.array([own + 1 + c % SHARED if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint8)
+    common = [c for c in points["point"].to_pylist() if chr(c).isalpha()]
+    at = np.arange(len(common))
+    symbols[common] = np.where(at < own, at + 1, own + 1 + (at - own) % SHARED)
     counts = gram_counts(train, context.broadcast(symbols)).toArrow().to_pandas()
     langs = sorted(counts["lang"].unique())
     models = [Model(*(counts.loc[counts["lang"] == x, c].to_numpy() for c in ("gram", "n"))) for x in langs]
