@@ -84,18 +84,24 @@ def uncovered(files: DataFrame, rules: list[tuple[str, str]], limit: int = 100)
     return owners_for(files, rules).where("owner is null").select("path").orderBy("path").limit(limit)
 
 
-def related_tests(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Test files tied to a changed path (path) by a TESTS edge or by its stem in their own path."""
+def tests_of(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(of, path): test files tied to each changed path (path) by a TESTS edge or by its stem in their own path."""
+    changed = changed.select(F.col("path").alias("of")).distinct()
     tests = files.where(F.col("path").rlike(TEST_FILES["review"])).select("path")
     by_edge = edges.where(F.col("edge_type") == "TESTS").select(node_path(F.col("to_id")).alias("of"), node_path(F.col("from_id")).alias("path"))
-    by_edge = by_edge.join(changed.select(F.col("path").alias("of")), "of", "left_semi").select("path")
+    by_edge = by_edge.join(changed, "of", "left_semi")
     # the stem of 'src/n12.ts' is found in 'tests/n12.test.ts': compare the tests' own stems instead of all pairs
     own = F.regexp_replace(basename(F.col("path")), r"^test_|(\.(test|spec)|_test)?\.[^.]*$", "")
-    stems = changed.select(F.regexp_replace(basename(F.col("path")), r"\.[^.]*$", "").alias("stem")).distinct()
-    by_stem = tests.withColumn("stem", own).join(stems, "stem", "left_semi").select("path")
+    stems = changed.withColumn("stem", F.regexp_replace(basename(F.col("of")), r"\.[^.]*$", ""))
+    by_stem = tests.withColumn("stem", own).join(stems, "stem").select("of", "path")
     return by_edge.union(by_stem).distinct()
 
 
+def related_tests(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Test files tied to any changed path (path)."""
+    return tests_of(changed, files, edges).select("path").distinct()
+
+
 def frame_files(frames: DataFrame, files: DataFrame) -> DataFrame:
     """Each frame's (id, file, line) file: equal path, else the longest path that ends in it, else a unique base name."""
     frames = frames.where(~internal_frame(F.col("file")))
@@ -109,9 +115,34 @@ def frame_files(frames: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def frame_symbols(frames: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The symbol at or nearest above each frame's line in its file (path): an as-of join."""
-    above = frames.join(symbols.select(F.col("file_path").alias("path"), F.col("line").alias("at"), "name", F.col("id").alias("symbol_id")), "path").where("at <= line")
-    return above.groupBy("id", "path", "line").agg(F.max_by(F.struct("name", "at", "symbol_id"), F.struct("at", "symbol_id")).alias("s")).select("id", "path", "line", "s.name", F.col("s.at").alias("symbol_line"))
+    """The symbol at or nearest above each frame's line in its file (path): an as-of join, one sorted pass over both sides."""
+    lower = symbols.select(F.col("file_path").alias("path"), "line", F.lit(0).alias("side"), F.col("id").alias("symbol_id"), F.struct("name", F.col("line").alias("at")).alias("s"), F.lit(None).cast(frames.schema["id"].dataType).alias("id"))
+    upper = frames.select("path", "line", F.lit(1).alias("side"), F.lit(None).cast(symbols.schema["id"].dataType).alias("symbol_id"), F.lit(None).cast(lower.schema["s"].dataType).alias("s"), "id")
+    by = Window.partitionBy("path").orderBy("line", "side", "symbol_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = lower.union(upper).withColumns({"s": F.last("s", ignorenulls=True).over(by), "symbol_id": F.last("symbol_id", ignorenulls=True).over(by)})
+    return both.where("side = 1 and s is not null").select("id", "path", "line", "s.name", F.col("s.at").alias("symbol_line"), "symbol_id").distinct()
+
+
+def placed_symbols(frames: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
+    """(id, path, line, symbol_id, name, how): each frame's (id, path, line, function) symbol in its file, else no row.
+
+    how is name (the function or its last part; the first such symbol), else span (the smallest [line, end_line] that holds the
+    line), else above (the nearest start at or above it). Spans meet lines in bins of width lines, not all pairs of a file.
+    """
+    at = symbols.select(F.col("file_path").alias("path"), F.col("id").alias("symbol_id"), "name", F.col("line").alias("first"), F.coalesce("end_line", "line").alias("last"))
+
+    def order(k: int, first: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), first.cast("long").alias("first"), F.col("symbol_id").alias("tie")).alias("order")
+
+    called = F.explode(F.array_distinct(F.array("function", F.regexp_extract("function", r"([^./]+)$", 1))))
+    named = frames.select("id", "path", "line", called.alias("name")).where("name <> ''").join(at, ["path", "name"])
+    named = named.select("id", "path", "line", "symbol_id", "name", F.lit("name").alias("how"), order(0, F.col("first")))
+    bins = at.where("last >= first").withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
+    inside = frames.withColumn("bin", F.floor(F.col("line") / width)).join(bins, ["path", "bin"]).where("line between first and last")
+    inside = inside.select("id", "path", "line", "symbol_id", "name", F.lit("span"), order(1, F.col("last") - F.col("first")))
+    above = frame_symbols(frames, symbols).select("id", "path", "line", "symbol_id", "name", F.lit("above"), order(2, F.lit(0)))
+    best = F.min_by(F.struct("symbol_id", "name", "how"), "order").alias("s")
+    return named.union(inside).union(above).groupBy("id", "path", "line").agg(best).select("id", "path", "line", "s.*")
 
 
 def touched_symbols(ranges: DataFrame, symbols: DataFrame, span: int = 30) -> DataFrame:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import added_line_findings
+from ..functions.extract import added_line_findings, shell_commands
 from ..functions.text import any_term, edge_id, escaped_like, match_score, node_id, token_estimate
 from ..operators.graph import impact
-from ..operators.joins import import_targets
+from ..operators.joins import import_targets, tests_of
 from ..operators.predicates import DOCS, GENERATED, SENSITIVE, TEST_FILES
 from ..operators.windows import within_budget
 
@@ -125,3 +125,37 @@ def without_ids(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 def secret_summary(found: DataFrame) -> DataFrame:
     """(path, label, n, lines) of secret findings: nothing of the matched text, not even its length."""
     return found.groupBy("path", "label").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("line_number")).alias("lines"))
+
+
+def change_impact(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, dependents, dependencies): what is one step away from each changed path (path) that is known; 0 where nothing is."""
+    known = changed.select("path").distinct().join(files.select("path"), "path", "left_semi")
+    near = impact(edges, known.select(F.concat(F.lit("file:"), "path").alias("seed")), 1).groupBy(F.substring("seed", 6, 1 << 30).alias("path"))
+    counts = near.agg(*(F.count_if(F.col("direction") == k).alias(k) for k in ("dependents", "dependencies")))
+    return known.join(counts, "path", "left").select("path", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("dependents", "dependencies")))
+
+
+def change_risks(changed: DataFrame, added: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """The review's findings that are more than information."""
+    return review(changed, added, files, edges).where(F.col("severity").isin("risk", "warn"))
+
+
+def change_tests(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(of, path): the tests of each changed code file."""
+    return tests_of(changed.where(F.col("path").rlike(r"\.(ts|tsx|js|jsx|rs|py|go)$")), files, edges)
+
+
+def change_docs(changed: DataFrame, files: DataFrame, known: tuple[str, ...], program: str) -> DataFrame:
+    """Broken commands of the changed documents; of all documents where none changed."""
+    docs = files.where(F.col("path").rlike(r"(?i)\.mdx?$"))
+    touched = docs.join(changed.select("path"), "path", "left_semi")
+    some = touched.agg((F.count("*") > 0).alias("some"))  # one row
+    chosen = docs.join(changed.select("path").distinct().withColumn("hit", F.lit(True)), "path", "left").crossJoin(some).where("not some or hit")
+    return broken_commands(shell_commands(chosen.select("path", "text")), files, known, program)
+
+
+def memory_records(given: DataFrame, now_ms=None) -> DataFrame:
+    """New memory rows of (type, title, content, tags): an id, tags joined by commas, both times now (in milliseconds; a parameter for tests)."""
+    now = F.unix_millis(F.current_timestamp()) if now_ms is None else F.lit(now_ms).cast("long")
+    stamp = F.date_format(F.timestamp_millis(now), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    return given.select(F.expr("uuid()").alias("id"), "type", "title", "content", F.array_join("tags", ",").alias("tags"), now.alias("created_at"), now.alias("updated_at"), stamp.alias("written"))

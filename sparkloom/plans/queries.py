@@ -17,6 +17,7 @@ from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import predicates as P
 from ..operators import windows as W
+from ..sources import workspace as R
 from ..streaming import changes as S
 from . import pipelines as L
 from .catalog import Catalog, with_views
@@ -257,6 +258,43 @@ add("k11_secret_summary", lambda c: L.secret_summary(X.secrets(c.files.withColum
 WITH coded AS (SELECT path, language, text || chr(10) || 'API_TOKEN = ' || CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || 'DB_PASSWORD: ' ELSE '' END AS text FROM files), """ + _LINES + r""" SELECT path, 'generic_api_key_assign' AS label, count(*) AS n FROM lines WHERE regexp_matches(line, '(?i)\b([A-Z][A-Z0-9_]*(?:API[_]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_]?KEY))\s*[:=]') GROUP BY path""")
 add("v09_merged_routes", lambda c: X.merged_routes(X.routes(_coded(c))).select("path", "line_number", "framework", "method", "route"), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
 
+# ---- many repositories (S), one a supplier, from their marker files
+_MADE_SQL = """made AS (SELECT s_suppkey AS k, 'r/s' || s_suppkey AS repo FROM supplier)"""
+
+
+def _repositories(c: Catalog) -> DataFrame:
+    """(repo, path, text) of a repository for each supplier; which files it has follows from its number."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    dep = F.when(k % 3 == 0, "react").when(k % 3 == 1, "vue").otherwise("express")
+    package = F.concat(F.lit('{"name": "p'), n, F.lit('", "version": "1.'), n, F.lit('", "private": true, "scripts": {"test": "x"}, "dependencies": {"'), dep, F.lit('": "1", "@a/b": "1", "x/y": "1"}, "devDependencies": {"typescript": "5"}'), F.when(k % 4 == 0, ', "workspaces": ["libs/*"]').otherwise(""), F.lit("}"))
+    made = [
+        (F.lit(True), "README.md", F.lit("read")), (k % 2 == 0, "package.json", package), (k % 5 == 0, "tsconfig.json", F.lit("{}")), (k % 3 == 0, "Cargo.toml", F.lit('[workspace]\nmembers = ["crates/a", "crates/b"]\n[dependencies]\naxum = "1"')),
+        (k % 3 == 0, "crates/a/Cargo.toml", F.concat(F.lit('[package]\nname = "c'), n, F.lit('"'))), (k % 7 == 0, "requirements.txt", F.lit("Flask==1")), (k % 6 == 1, "packages/m/package.json", F.concat(F.lit('{"name": "m'), n, F.lit('"}'))),
+        (k % 11 == 0, "pnpm-workspace.yaml", F.lit("packages:\n  - 'apps/*'\r\n  - libs/*")), (k % 13 == 0, ".git/HEAD", F.lit("ref"))]
+    rows = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(path).alias("path"), text.alias("text"))) for when, path, text in made)))
+    return c.table("supplier").select(F.concat(F.lit("r/s"), n).alias("repo"), F.inline(rows))
+
+
+_IDENTITY_SQL = "WITH " + _MADE_SQL + """, identity AS (SELECT repo, CASE WHEN k % 2 = 0 THEN 'p' || k ELSE 's' || k END AS name,
+  concat_ws(',', CASE WHEN k % 2 = 0 OR k % 5 = 0 THEN 'typescript' END, CASE WHEN k % 2 = 0 OR k % 5 = 0 THEN 'javascript' END, CASE WHEN k % 3 = 0 THEN 'rust' END, CASE WHEN k % 7 = 0 THEN 'python' END) AS languages,
+  concat_ws(',', CASE WHEN k % 2 = 0 THEN CASE k % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'express' END END, CASE WHEN k % 3 = 0 THEN 'axum' END, CASE WHEN k % 7 = 0 THEN 'flask' END) AS frameworks,
+  concat_ws(',', CASE WHEN k % 11 = 0 THEN 'pnpm' END, CASE WHEN k % 3 = 0 THEN 'cargo' END) AS managers, k % 11 = 0 OR k % 3 = 0 OR k % 4 = 0 AS monorepo, k % 13 = 0 AS git FROM made)"""
+add("s07_project_identity", lambda c: R.project_identity(_repositories(c)).select("repo", "name", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), F.array_join("package_managers", ",").alias("managers"), "monorepo", "git"), _IDENTITY_SQL + " SELECT * FROM identity")
+add("p20_identity_record", lambda c: R.assembled(R.project_identity(_repositories(c)), "repo", "record", "name", "monorepo").select("repo", F.to_json("record").alias("record")), _IDENTITY_SQL + """ SELECT repo, '{"name":"' || name || '","monorepo":' || monorepo || '}' AS record FROM identity""")
+add("s06_workspace_packages", lambda c: R.workspace_packages(_repositories(c)).select("repo", "path", "kind", "name", "version", "private", F.array_join("scripts", ",").alias("scripts"), F.array_join("dependencies", ",").alias("dependencies")), "WITH " + _MADE_SQL + """
+SELECT repo, '.' AS path, 'npm' AS kind, 'p' || k AS name, '1.' || k AS version, true AS private, 'test' AS scripts, CASE k % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'express' END || ',@a/b,typescript' AS dependencies FROM made WHERE k % 2 = 0
+UNION ALL SELECT repo, 'packages/m', 'npm', 'm' || k, NULL, false, '', '' FROM made WHERE k % 6 = 1 UNION ALL SELECT repo, 'crates/a', 'cargo', 'c' || k, NULL, false, '', '' FROM made WHERE k % 3 = 0""")
+add("s06_workspace_map", lambda c: R.workspace_map(_repositories(c)).select("repo", F.array_join("packages", ",").alias("packages"), F.array_join("globs", ",").alias("globs"), "monorepo"), "WITH " + _MADE_SQL + """
+SELECT repo, concat_ws(',', CASE WHEN k % 2 = 0 THEN '.' END, CASE WHEN k % 3 = 0 THEN 'crates/a' END, CASE WHEN k % 6 = 1 THEN 'packages/m' END) AS packages,
+  concat_ws(',', CASE WHEN k % 11 = 0 THEN 'apps/*' END, CASE WHEN k % 11 = 0 OR k % 4 = 0 THEN 'libs/*' END) AS globs, k % 11 = 0 OR k % 4 = 0 AS monorepo FROM made""")
+add("x05_change_impact", lambda c: L.change_impact(c.table("events").select(F.concat("event_type", F.lit("_"), F.floor("value").cast("int").cast("string")).alias("path")), c.table("events").select(F.concat("event_type", F.lit("_"), F.floor("value").cast("int").cast("string")).alias("path")).distinct(), c.edges), """
+WITH ch AS (SELECT DISTINCT event_type || '_' || CAST(floor(value) AS INT) AS path FROM events)
+SELECT path, (SELECT count(DISTINCT from_id) FROM edges WHERE to_id = 'file:' || path) AS dependents, (SELECT count(DISTINCT to_id) FROM edges WHERE from_id = 'file:' || path AND edge_type <> 'TESTS') AS dependencies FROM ch""")
+add("j09_placed_symbols", lambda c: J.placed_symbols(c.imports.select(F.col("ord").alias("id"), F.col("file_path").alias("path"), "line", F.lit("").alias("function")), c.symbols.withColumn("end_line", F.col("line") + F.col("ord") % 9)).select("id", "symbol_id", "how"), """
+WITH a AS (SELECT i.ord AS id, s.id AS symbol_id, CASE WHEN i.line <= s.line + s.ord % 9 THEN 'span' ELSE 'above' END AS how, s.ord % 9 AS width, s.line FROM imports i JOIN symbols s ON s.file_path = i.file_path AND s.line <= i.line),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY how DESC, CASE how WHEN 'span' THEN width ELSE -line END, CASE how WHEN 'span' THEN symbol_id END, symbol_id DESC) AS n FROM a) SELECT id, symbol_id, how FROM r WHERE n = 1""")
+
 # ---- streams (T), their batch form
 add("t02_debounced", lambda c: S.debounced(c.table("events").select(F.col("user_id").alias("source"), "ts"), "30 minutes").select("source", F.unix_micros(F.col("opened").cast("timestamp")).alias("opened"), "n"), """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)

@@ -9,7 +9,9 @@ from sparkloom.operators import joins as J
 from sparkloom.operators import windows as W
 from sparkloom.plans import pipelines as L
 from sparkloom.sources import trees as S
+from sparkloom.sources import workspace as R
 from sparkloom.streaming import changes as C
+from sparkloom.streaming.polling import changes_of, polled_changes
 
 
 def test_diff_lines(spark):
@@ -180,3 +182,52 @@ def test_go_and_python_imports_and_methods(spark):
 def test_order_of_names(spark):
     df = spark.createDataFrame([(1, "B"), (1, "a"), (1, "_x"), (1, "A"), (0, "z"), (1, "b")], "rank int, name string")
     assert [r.name for r in W.ranked_by_name(df, F.col("rank")).collect()] == ["z", "_x", "a", "A", "b", "B"]
+
+
+def test_project_identity_edges(spark):
+    rows = [("a/one", "package.json", "not json"), ("b", "src/x.py", None), ("b", None, "x"), ("c", "package.json", '{"name": "", "workspaces": {"packages": ["p/*", "p/*"]}}'), ("c", "package.json", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, text string")
+    got = {r.repo: r for r in R.project_identity(files).collect()}
+    assert got["a/one"].name == "one" and got["a/one"].languages == ["javascript"] and not got["a/one"].monorepo
+    assert got["b"].name == "b" and got["b"].languages == [] and not got["b"].git
+    assert got["c"].name == "c" and got["c"].monorepo
+    assert [tuple(r) for r in R.workspace_globs(files).collect()] == [("c", "p/*")]
+    assert R.project_identity(files.limit(0)).count() == 0 and R.workspace_map(files.limit(0)).count() == 0
+    assert {r.path for r in R.workspace_packages(files).collect()} == {"."}
+
+
+def test_placed_symbols(spark):
+    frames = spark.createDataFrame([(1, "f", 50, "mod.run"), (2, "f", 12, ""), (3, "f", 300, None), (4, "f", 1, "")], "id int, path string, line int, function string")
+    symbols = spark.createDataFrame([("s1", "f", "outer", 10, 200), ("s2", "f", "inner", 11, 14), ("s3", "f", "run", 70, None)], "id string, file_path string, name string, line int, end_line int")
+    got = {r.id: (r.symbol_id, r.how) for r in J.placed_symbols(frames, symbols).collect()}
+    assert got == {1: ("s3", "name"), 2: ("s2", "span"), 3: ("s3", "above")}
+
+
+def test_change_docs_and_tests(spark):
+    text = "```bash\ntool run\ntool fly\n```"
+    files = spark.createDataFrame([("a.md", text), ("b.md", text), ("src/n1.ts", ""), ("src/n1.test.ts", "")], "path string, text string")
+    changed = spark.createDataFrame([("a.md",), ("src/n1.ts",)], "path string")
+    assert [(r.path, r.problem) for r in L.change_docs(changed, files, ("run",), "tool").collect()] == [("a.md", "unknown_subcommand")]
+    assert sorted(r.path for r in L.change_docs(changed.limit(0), files, ("run",), "tool").collect()) == ["a.md", "b.md"]
+    edges = spark.createDataFrame([], "from_id string, to_id string, edge_type string")
+    assert [tuple(r) for r in L.change_tests(changed, files, edges).collect()] == [("src/n1.ts", "src/n1.test.ts")]
+
+
+def test_memory_records(spark):
+    got = L.memory_records(spark.createDataFrame([("note", "t", "c", ["x", "y"])], "type string, title string, content string, tags array<string>"), 1000).first()
+    assert got.tags == "x,y" and got.created_at == 1000 and len(got.id) == 36 and got.written.startswith("1970-01-0")
+
+
+def test_polled_changes(spark, tmp_path):
+    tree, folder = tmp_path / "tree", str(tmp_path / "state")
+    tree.mkdir()
+    (tree / "a").write_text("1")
+    (tree / "b").write_text("1")
+    for k in range(2):
+        polled_changes(spark, str(tree), folder, once=True).awaitTermination(120)
+        if k == 0:
+            (tree / "a").write_text("longer")
+            (tree / "b").unlink()
+            (tree / "c").write_text("1")
+    got = sorted((r.tick, r.path.rsplit("/", 1)[1], r.change) for r in changes_of(spark, folder).collect())
+    assert got == [(0, "a", "added"), (0, "b", "added"), (1, "a", "changed"), (1, "b", "removed"), (1, "c", "added")]
