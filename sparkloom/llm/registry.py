@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, language_id, line_crf, line_dedup, masked_lm, quality_rules, token_counts, tree_bpe
+from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, line_crf, line_dedup, masked_lm, quality_rules, source_divergence, token_counts, tree_bpe, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_license_scan": license_scan.op11_license_scan,
+        "op12_source_divergence": source_divergence.op12_source_divergence,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op9_chat_format": chat_format.SQL, "op10_jaccard_join": jaccard_join.SQL}
+    return {
+        "op1_quality_rules": quality_rules.SQL, "op9_chat_format": chat_format.SQL, "op10_jaccard_join": jaccard_join.SQL,
+        "op11_license_scan": license_scan.SQL, "op12_source_divergence": source_divergence.SQL,
+    }
