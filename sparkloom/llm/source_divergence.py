@@ -46,7 +46,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, d) in tables.items():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.binary()),
+                    pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()),
                     pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
             tables.clear()
 
@@ -65,7 +65,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
         yield from flush()
         if rows:
             yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in rows]), pa.array([k[1] for k in rows]), pa.nulls(len(rows), pa.binary()),
+                pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.nulls(len(rows), pa.binary()),
                 pa.array([0] * len(rows), pa.int64()), pa.array(list(rows.values()), pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("text"))

@@ -7,7 +7,7 @@ have given for the whole basis is projected onto it (Rayleigh-Ritz), and the pas
 level, or the basis spans the whole space. A block is as wide as the number of wanted components, so that an eigenvalue of that multiplicity is found whole.
 
 Sums and deviations are exact integers; their total gives the trace, hence the explained shares. A last pass measures the covariance of
-what is returned.
+the whitened rows; each component is scaled to the variance measured there.
 
 Rows whose vector is null or empty, or holds null or non-finite entries, are dropped; so are those not as long as most others (of equally
 frequent lengths the longer one). Ids may be null or repeat: each row is a vector. Directions without variance beyond rounding (NOISE) can't be
@@ -173,7 +173,11 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
             return np.vstack((y.T @ y, y.sum(axis=0)))
 
         found = summed(rows, d, k + 1, k, moments) / centre.n
-        error = float(np.abs(found[:k] - np.outer(found[k], found[k]) - np.eye(k)).max())
+        found = found[:k] - np.outer(found[k], found[k])
+        # a small eigenvalue beside a very large one is known better by its own component's variance than from the projection
+        scale = np.sqrt(np.diag(found))
+        values, frame = values * scale ** 2, frame / scale
+        error = float(np.abs(found / np.outer(scale, scale) - np.eye(k)).max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
