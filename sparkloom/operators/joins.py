@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, dirname, extension, folded, glob_regex, imported_names, internal_frame, node_path
+from ..functions.text import dirname, extension, folded, glob_regex, imported_names, internal_frame, node_path, posix
+from .graph import impact
+from .intervals import nearest, overlaps, points_inside
+from .matching import containing, matched_files
 from .predicates import CONVENTION, TEST_FILES, is_entry
 
 #: Extension to language adapter.
@@ -85,15 +88,13 @@ def uncovered(files: DataFrame, rules: list[tuple[str, str]], limit: int = 100)
 
 
 def tests_of(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(of, path): test files tied to each changed path (path) by a TESTS edge or by its stem in their own path."""
+    """(of, path): test files tied to each changed path (path) by a TESTS edge, or by its stem anywhere in their own path."""
     changed = changed.select(F.col("path").alias("of")).distinct()
     tests = files.where(F.col("path").rlike(TEST_FILES["review"])).select("path")
     by_edge = edges.where(F.col("edge_type") == "TESTS").select(node_path(F.col("to_id")).alias("of"), node_path(F.col("from_id")).alias("path"))
     by_edge = by_edge.join(changed, "of", "left_semi")
-    # the stem of 'src/n12.ts' is found in 'tests/n12.test.ts': compare the tests' own stems instead of all pairs
-    own = F.regexp_replace(basename(F.col("path")), r"^test_|(\.(test|spec)|_test)?\.[^.]*$", "")
-    stems = changed.withColumn("stem", F.regexp_replace(basename(F.col("of")), r"\.[^.]*$", ""))
-    by_stem = tests.withColumn("stem", own).join(stems, "stem").select("of", "path")
+    stems = changed.withColumn("needle", F.element_at(F.split(F.regexp_replace("of", r"\.[^.]+\z", ""), "/"), -1))
+    by_stem = containing(stems, tests.withColumnRenamed("path", "text")).join(stems, "needle").select("of", F.col("text").alias("path"))
     return by_edge.union(by_stem).distinct()
 
 
@@ -102,16 +103,44 @@ def related_tests(changed: DataFrame, files: DataFrame, edges: DataFrame) -> Dat
     return tests_of(changed, files, edges).select("path").distinct()
 
 
+def chosen_tests(targets: DataFrame, files: DataFrame, edges: DataFrame, mode: str = "all") -> DataFrame:
+    """(target, path): the test files that a run in this mode takes for each target (target), a path or a package's folder.
+
+    all: every test file, targets or not (target null). file: whose path holds the target or is held by it, what depends on it within two steps, and
+    what a TESTS edge ties to it. related: the target and what is within two steps of it either way, and tests of any of these. package: whose path
+    begins with the target.
+    """
+    tests = files.where(F.col("path").rlike(TEST_FILES["inventory"])).select("path").distinct()
+    if mode == "all":
+        return tests.select(F.lit(None).cast("string").alias("target"), "path")
+    targets = targets.select(posix(F.col("target")).alias("target")).distinct()
+    held = containing(targets.withColumnRenamed("target", "needle"), tests.withColumnRenamed("path", "text"))
+    held = held.select(F.col("needle").alias("target"), F.col("text").alias("path"))
+    if mode == "package":
+        return held.where(F.startswith("path", F.col("target")))
+    near = impact(edges, targets.select(F.concat(F.lit("file:"), "target").alias("seed")), 2)
+    target, tested = F.substring("seed", 6, 1 << 30).alias("target"), edges.where(F.col("edge_type") == "TESTS")
+    own = targets.select("target", F.concat(F.lit("file:"), "target").alias("node"))
+    if mode == "file":
+        reached = near.where("direction = 'dependents'").select(target, "node")
+        holds = containing(tests.withColumnRenamed("path", "needle"), targets.withColumnRenamed("target", "text")).select(F.col("text").alias("target"), F.col("needle").alias("path"))
+        tied, more = own, held.union(holds)
+    elif mode == "related":
+        reached = tied = near.select(target, "node").union(own)
+        more = held.limit(0)
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    tied = tested.join(tied, F.col("to_id") == F.col("node")).select("target", node_path(F.col("from_id")).alias("path"))
+    found = reached.where(F.startswith("node", F.lit("file:"))).select("target", node_path(F.col("node")).alias("path")).union(tied)
+    return found.join(tests, "path", "left_semi").select("target", "path").union(more).distinct()
+
+
 def frame_files(frames: DataFrame, files: DataFrame) -> DataFrame:
-    """Each frame's (id, file, line) file: equal path, else the longest path that ends in it, else a unique base name."""
-    frames = frames.where(~internal_frame(F.col("file")))
-    name = files.select("path", basename(F.col("path")).alias("base"))
-    both = frames.withColumn("base", basename(F.col("file"))).join(name, "base")  # by base name, not all pairs
-    rank = F.when(F.col("path") == F.col("file"), 3).when(F.endswith("path", F.concat(F.lit("/"), F.col("file"))) | F.endswith("file", F.concat(F.lit("/"), F.col("path"))), 2)
-    both = both.withColumns({"rank": rank, "n": F.count("*").over(Window.partitionBy("id"))})
-    both = both.withColumn("rank", F.coalesce("rank", F.when(F.col("n") == 1, 1)))
-    best = F.max_by("path", F.struct("rank", F.length("path"), "path"))
-    return both.where("rank is not null").groupBy("id", "file", "line").agg(best.alias("path"), F.max("rank").alias("rank"))
+    """Frames (id, file, line) with the known file (path) they are of and how it was found (see matched_files); internal frames are left out, packages' own are not."""
+    named = frames.select("*", F.explode(F.array(posix(F.col("file")))).alias("__file"))  # computed once a row, used often
+    named = named.where(~internal_frame(F.col("__file")) | F.contains("__file", F.lit("node_modules/")))
+    found = matched_files(named.select(F.col("__file").alias("file")), files).withColumnRenamed("file", "__file")
+    return named.join(found, "__file").drop("__file")
 
 
 def frame_symbols(frames: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -123,11 +152,11 @@ def frame_symbols(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     return both.where("side = 1 and s is not null").select("id", "path", "line", "s.name", F.col("s.at").alias("symbol_line"), "symbol_id").distinct()
 
 
-def placed_symbols(frames: DataFrame, symbols: DataFrame, width: int = 64) -> DataFrame:
+def placed_symbols(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, path, line, symbol_id, name, how): each frame's (id, path, line, function) symbol in its file, else no row.
 
     how is name (the function or its last part; the first such symbol), else span (the smallest [line, end_line] that holds the
-    line), else above (the nearest start at or above it). Spans meet lines in bins of width lines, not all pairs of a file.
+    line), else above (the nearest start at or above it). Spans meet the lines inside them alone.
     """
     at = symbols.select(F.col("file_path").alias("path"), F.col("id").alias("symbol_id"), "name", F.col("line").alias("first"), F.coalesce("end_line", "line").alias("last"))
 
@@ -137,8 +166,7 @@ def placed_symbols(frames: DataFrame, symbols: DataFrame, width: int = 64) -> Da
     called = F.explode(F.array_distinct(F.array("function", F.regexp_extract("function", r"([^./]+)$", 1))))
     named = frames.select("id", "path", "line", called.alias("name")).where("name <> ''").join(at, ["path", "name"])
     named = named.select("id", "path", "line", "symbol_id", "name", F.lit("name").alias("how"), order(0, F.col("first")))
-    bins = at.where("last >= first").withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    inside = frames.withColumn("bin", F.floor(F.col("line") / width)).join(bins, ["path", "bin"]).where("line between first and last")
+    inside = points_inside(frames.select("id", "path", "line"), F.col("line"), at, F.col("first"), F.col("last"), "path")
     inside = inside.select("id", "path", "line", "symbol_id", "name", F.lit("span"), order(1, F.col("last") - F.col("first")))
     above = frame_symbols(frames, symbols).select("id", "path", "line", "symbol_id", "name", F.lit("above"), order(2, F.lit(0)))
     best = F.min_by(F.struct("symbol_id", "name", "how"), "order").alias("s")
@@ -146,16 +174,20 @@ def placed_symbols(frames: DataFrame, symbols: DataFrame, width: int = 64) -> Da
 
 
 def touched_symbols(ranges: DataFrame, symbols: DataFrame, span: int = 30) -> DataFrame:
-    """Symbols whose lines [line, line + span] meet a range (path, lo, hi)."""
-    both = symbols.join(ranges, symbols["file_path"] == ranges["path"])
-    return both.where((F.col("line") <= F.col("hi")) & (F.col("line") + span >= F.col("lo"))).select("path", "lo", "hi", "id", "name", "line")
+    """Symbols whose lines, to end_line or else span lines on, meet a range (path, lo, hi)."""
+    last = F.col("line") + span
+    if "end_line" in symbols.columns:
+        last = F.coalesce("end_line", last)
+    held = symbols.select(F.col("file_path").alias("path"), "id", "name", "line", last.alias("last"))
+    return overlaps(held, "line", "last", ranges.select("path", "lo", "hi"), "lo", "hi", "path").select("path", "lo", "hi", "id", "name", "line")
 
 
 def nearest_symbols(symbols: DataFrame, probes: DataFrame, k: int = 15) -> DataFrame:
     """The k symbols nearest to each probe (path, at) in its file."""
-    both = probes.join(symbols, symbols["file_path"] == probes["path"]).withColumn("distance", F.abs(F.col("line") - F.col("at")))
-    rank = F.row_number().over(Window.partitionBy("path", "at").orderBy("distance", "id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("path", "at", "id", "name", "distance", "rank")
+    points = symbols.select(F.col("file_path").alias("path"), "id", "name", "line")
+    near = nearest(points, probes.select("path", "at").distinct(), "path", "line", "at", "id", k)
+    near = near.select("path", "at", F.posexplode("near").alias("place", "s"))
+    return near.select("path", "at", "s.point.id", "s.point.name", "s.distance", (F.col("place") + 1).alias("rank"))
 
 
 def with_side_records(files: DataFrame, side: DataFrame, name: str, fields: list[str]) -> DataFrame:

@@ -1,15 +1,11 @@
-"""Budgets, first and last matches, carried values, ordinals and snapshots."""
+"""First and last matches, carried values, ordinals and snapshots."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def within_budget(items: DataFrame, budget: int, score: str = "score", tokens: str = "tokens", tie: str = "id", *keys: str) -> DataFrame:
-    """Best items first while the running token sum stays within the budget; stops at the first that doesn't fit."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
+from .prefix import within_budget  # noqa: F401  one of these operators
 
 
 def first_match(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:

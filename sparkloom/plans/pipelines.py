@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import added_line_findings, shell_commands
 from ..functions.text import any_term, edge_id, escaped_like, match_score, node_id, token_estimate
-from ..operators.graph import impact
+from ..operators.graph import impact, staged
 from ..operators.joins import import_targets, tests_of
 from ..operators.predicates import DOCS, GENERATED, SENSITIVE, TEST_FILES
-from ..operators.windows import within_budget
+from ..operators.prefix import within_budget
 
 #: Token budgets.
-BUDGETS = {"small": 2_000, "medium": 8_000, "large": 32_000, "huge": 100_000}
+BUDGETS = {"tiny": 2_000, "small": 8_000, "normal": 32_000, "large": 100_000, "unlimited": None}
 
 
 def index_delta(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -55,19 +56,46 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
 
 
 def context_items(files: DataFrame, symbols: DataFrame, memory: DataFrame, query: str) -> DataFrame:
-    """(id, kind, title, score, tokens): candidate symbols, files and memory for a query."""
-    found = symbols.where(escaped_like(F.col("name"), query)).orderBy("name", "id").limit(40)
-    score = lambda c: match_score(c, query)
-    a = found.select(F.concat(F.lit("symbol:"), "id").alias("id"), F.lit("symbol").alias("kind"), F.col("name").alias("title"), (score(F.col("name")) + F.when(F.col("exported"), 5).otherwise(0)).alias("score"), token_estimate(F.concat_ws(" ", "kind", "name", "file_path")).alias("tokens"))
-    b = files.where(any_term(F.col("path"), query)).select(F.concat(F.lit("file:"), "path"), F.lit("file"), F.col("path"), score(F.col("path")) + 2, token_estimate(F.col("text")))
-    c = memory.where(any_term(F.concat_ws(" ", "title", "content"), query)).orderBy(F.desc("updated_at"), "id").limit(20)
-    c = c.select(F.concat(F.lit("memory:"), "id"), F.lit("memory"), F.col("title"), score(F.col("title")) + 3, token_estimate(F.col("content")))
-    return a.union(b).union(c)
-
-
-def context_pack(files: DataFrame, symbols: DataFrame, memory: DataFrame, query: str, budget: int = BUDGETS["medium"]) -> DataFrame:
-    """The best candidates while they fit the budget."""
-    return within_budget(context_items(files, symbols, memory, query), budget)
+    """(id, kind, title, content, score, tokens, node, place): candidate symbols, files and memory; place orders those of equal score, node is that of the graph or null."""
+    q = F.col
+    found = symbols.where(escaped_like(q("name"), query)).orderBy("name", "id").limit(40)
+    signature = F.coalesce(F.concat(F.lit("\n"), "signature"), F.lit("")) if "signature" in symbols.columns else F.lit("")
+    a = found.select(
+        F.concat(F.lit("symbol:"), "id").alias("id"), F.lit("symbol").alias("kind"), q("name").alias("title"), F.concat("kind", F.lit(" "), "name", F.lit(" @ "), "file_path", F.lit(":"), q("line").cast("string"), signature).alias("content"),
+        (match_score(q("name"), query) + F.when(q("exported"), 5).otherwise(0)).alias("score"), F.concat(F.lit("symbol:"), "id").alias("node"), F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("n"), q("name").alias("s"), q("id").alias("id")).alias("place"))
+    b = files.where(any_term(q("path"), query)).select(
+        F.concat(F.lit("file:"), "path"), F.lit("file"), q("path"), F.concat(F.lit("File "), "path", F.lit(" ("), F.coalesce("language", F.lit("unknown")), F.lit(", "), q("size").cast("string"), F.lit(" bytes)")),
+        match_score(q("path"), query) + 2, F.concat(F.lit("file:"), "path"), F.struct(F.lit(2), F.lit(0).cast("long"), q("path"), F.lit("")))
+    c = memory.where(escaped_like(q("title"), query) | escaped_like(q("content"), query) | escaped_like(q("tags"), query)).orderBy(F.desc("updated_at"), "id").limit(20)
+    c = c.select(F.concat(F.lit("memory:"), "id"), F.lit("memory"), q("title"), F.concat(F.lit("# "), "title", F.lit("\n"), "content"), match_score(q("title"), query) + 3, F.lit(None).cast("string"), F.struct(F.lit(3), -q("updated_at"), F.lit(""), q("id")))
+    every = a.union(b).union(c)
+    return every.select("id", "kind", "title", "content", "score", token_estimate(q("content")).alias("tokens"), "node", "place")
+
+
+def neighbourhood(edges: DataFrame, top: DataFrame) -> DataFrame:
+    """The candidate that tells what is one step from the best one's node (top: one row): as long as that list written as indented JSON, scored above it."""
+    near = impact(edges, top.select(F.col("node").alias("seed")), 1).select("direction", "node").distinct()
+    written = F.length(F.to_json(F.array("node"))) - 2  # as a JSON string
+    sizes = near.agg(*(f(F.when(F.col("direction") == d, written)).alias(f"{d}_{n}") for d in ("dependents", "dependencies") for n, f in (("n", F.count), ("chars", F.sum))))
+    empty = len(json.dumps({"node": "", "dependents": [], "dependencies": [], "confidence": "strongly_inferred"}, indent=2)) - 2
+    listed = sum((F.when(F.col(f"{d}_n") > 0, F.col(f"{d}_chars") + 6 * F.col(f"{d}_n") + 2).otherwise(0) for d in ("dependents", "dependencies")), F.lit(0))
+    chars = F.lit(empty) + F.length(F.to_json(F.array("top.node"))) - 2 + listed
+    one = top.select(F.struct("node", "score").alias("top")).where("top.node is not null").crossJoin(sizes)  # one row each
+    return one.select(
+        F.concat(F.lit("graph:"), "top.node").alias("id"), F.lit("graph").alias("kind"), F.concat(F.lit("Impact of "), "top.node").alias("title"), F.lit(None).cast("string").alias("content"), (F.col("top.score") + 1).alias("score"),
+        F.greatest(F.lit(1), F.ceil(chars / 4)).cast("long").alias("tokens"), "top.node", F.struct(F.lit(4).alias("k"), F.lit(0).cast("long").alias("n"), F.lit("").alias("s"), F.lit("").alias("id")).alias("place"))
+
+
+def context_pack(files: DataFrame, symbols: DataFrame, memory: DataFrame, query: str, budget: int | None = BUDGETS["normal"], edges: DataFrame | None = None) -> DataFrame:
+    """(id, kind, title, content, score, tokens, used): the best candidates while they fit the budget, with the best one's neighbourhood where edges are given.
+
+    Equal scores keep the order symbols, files, memory, graph. The neighbourhood's content is left to who asks for its node; its tokens count.
+    """
+    items = staged(context_items(files, symbols, memory, query))
+    if edges is not None:
+        best = items.orderBy(F.desc("score"), "place").limit(1)
+        items = items.unionByName(neighbourhood(edges, best))
+    return within_budget(items, budget, "score", "tokens", "place").drop("node", "place")
 
 
 def review(changed: DataFrame, added: DataFrame, files: DataFrame, edges: DataFrame, many: int = 10) -> DataFrame:

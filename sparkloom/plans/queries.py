@@ -93,13 +93,35 @@ SELECT path, CASE WHEN regexp_matches(path, '^config/[^/]*\.yml$') THEN 'config/
   CASE WHEN regexp_matches(path, '^config/[^/]*\.yml$') THEN '@ops' WHEN path LIKE 'packages/src1/%' THEN '@one' WHEN path LIKE 'db/migrations/%' THEN '@data' WHEN path LIKE '%.py' THEN '@python' WHEN path LIKE 'packages/%' THEN '@pk' ELSE '@all' END AS owner FROM files""")
 add("j07_uncovered", lambda c: J.uncovered(c.files, OWNERS[1:]), r"SELECT path FROM files WHERE NOT (regexp_matches(path, '^config/[^/]*\.yml$') OR path LIKE 'packages/%' OR path LIKE 'db/migrations/%' OR path LIKE '%.py') ORDER BY path LIMIT 100")
 add("j08_related_tests", lambda c: J.related_tests(c.files.where("language = 'go'").select("path").union(c.edges.select(T.node_path(F.col("to_id"))).distinct()), c.files, c.edges), r"""
-WITH ch AS (SELECT path FROM files WHERE language = 'go' UNION SELECT substr(to_id, 6) FROM edges), st AS (SELECT DISTINCT regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') AS stem FROM ch)
+WITH ch AS (SELECT path FROM files WHERE language = 'go' UNION SELECT substr(to_id, 6) FROM edges), st AS (SELECT DISTINCT string_split(regexp_replace(path, '\.[^.]+$', ''), '/')[-1] AS stem FROM ch)
 SELECT substr(from_id, 6) AS path FROM edges WHERE edge_type = 'TESTS' AND substr(to_id, 6) IN (FROM ch)
-UNION SELECT path FROM files WHERE regexp_matches(path, '\.(test|spec)\.|_test\.') AND regexp_replace(string_split(path, '/')[-1], '^test_|(\.(test|spec)|_test)?\.[^.]*$', '', 'g') IN (FROM st)""")
+UNION SELECT path FROM files, st WHERE regexp_matches(path, '\.(test|spec)\.|_test\.') AND contains(path, stem)""")
+_FRAMES = [lambda p: F.concat(F.lit("/srv/app/"), p), lambda p: F.replace(p, F.lit("/"), F.lit("\\")), lambda p: F.concat(F.lit("/elsewhere/"), F.element_at(F.split(p, "/"), -1)), lambda p: F.concat(F.lit("C:/w/x"), p), lambda p: F.concat(p, F.lit(".gone"))]
+
+
+def _frames(c: Catalog) -> DataFrame:
+    """A frame of each import record, its file written in one of five ways; in every eleventh of an internal one."""
+    p = F.col("file_path")
+    file = F.element_at(F.array(*(f(p) for f in _FRAMES)), (F.col("ord") % 5 + 1).cast("int"))
+    return c.imports.select(F.col("ord").alias("id"), F.when(F.col("ord") % 11 == 0, F.concat(F.lit("node:internal/"), p)).otherwise(file).alias("file"), "line")
+
+
+add("j08_chosen_tests", lambda c: J.chosen_tests(c.edges.select(T.node_path(F.col("to_id")).alias("target")).where("target like 'click_1%'"), c.files.select("path").union(c.edges.select(F.concat(F.lit("tests/"), T.node_path(F.col("from_id"))))), c.edges.withColumn("from_id", F.concat(F.lit("file:tests/"), F.substring("from_id", 6, 1000))), "file"), r"""
+WITH t AS (SELECT DISTINCT substr(to_id, 6) AS target FROM edges WHERE to_id LIKE 'file:click_1%'), e AS (SELECT 'tests/' || substr(from_id, 6) AS a, substr(to_id, 6) AS b, edge_type FROM edges),
+p AS (SELECT DISTINCT path FROM (SELECT path FROM files UNION ALL SELECT a FROM e) WHERE regexp_matches(path, '\.(test|spec)\.|_test\.|(^|/)tests?/'))
+SELECT target, path FROM t, p WHERE contains(path, target) OR contains(target, path)
+UNION SELECT target, a FROM t JOIN e ON b = target AND edge_type IN ('IMPORTS', 'DEPENDS_ON', 'TESTS') JOIN p ON path = a""")
+add("j09_frame_files", lambda c: J.frame_files(_frames(c), c.files).select("id", "path", "how"), r"""
+WITH fr AS (SELECT ord AS id, replace(CASE WHEN ord % 11 = 0 THEN 'node:internal/' || file_path WHEN ord % 5 = 0 THEN '/srv/app/' || file_path WHEN ord % 5 = 1 THEN file_path WHEN ord % 5 = 2 THEN '/elsewhere/' || string_split(file_path, '/')[-1]
+  WHEN ord % 5 = 3 THEN 'C:/w/x' || file_path ELSE file_path || '.gone' END, chr(92), '/') AS file FROM imports WHERE ord % 11 <> 0 OR contains(file_path, 'node_modules/')),
+x AS (SELECT id, min(path) AS path FROM fr JOIN files ON file = path OR ends_with(file, '/' || path) GROUP BY id), b AS (SELECT string_split(path, '/')[-1] AS base, min(path) AS path FROM files GROUP BY 1 HAVING count(*) = 1),
+y AS (SELECT id, path FROM fr JOIN b ON base = string_split(file, '/')[-1] WHERE id NOT IN (SELECT id FROM x)),
+z AS (SELECT id, arg_max(path, length(path)) AS path FROM fr JOIN files ON ends_with(file, path) WHERE id NOT IN (SELECT id FROM x UNION SELECT id FROM y) GROUP BY id)
+SELECT id, path, 'exact' AS how FROM x UNION ALL SELECT id, path, 'base' FROM y UNION ALL SELECT id, path, 'tail' FROM z""")
 add("j09_frame_symbols", lambda c: J.frame_symbols(c.imports.select(F.col("ord").alias("id"), F.col("file_path").alias("path"), "line"), c.symbols).select("id", "path", "line", "symbol_line"), """
 SELECT i.ord AS id, i.file_path AS path, i.line, s.line AS symbol_line FROM imports i ASOF JOIN (SELECT file_path, line, any_value(name) AS name FROM symbols GROUP BY ALL) s ON s.file_path = i.file_path AND i.line >= s.line""")
-add("j10_touched_symbols", lambda c: J.touched_symbols(A.line_span(c.imports, "file_path", "line").withColumnRenamed("file_path", "path"), c.symbols), """
-WITH r AS (SELECT file_path AS path, min(line) AS lo, max(line) AS hi FROM imports GROUP BY 1) SELECT path, lo, hi, id, name, line FROM symbols JOIN r ON r.path = file_path AND line <= hi AND line + 30 >= lo""")
+add("j10_touched_symbols", lambda c: J.touched_symbols(c.imports.select(F.col("file_path").alias("path"), F.col("line").alias("lo"), (F.col("line") + F.col("ord") % 4).alias("hi")).distinct(), c.symbols.withColumn("end_line", F.when(F.col("ord") % 3 > 0, F.col("line") + (F.col("ord") * 37) % 5000))), """
+WITH r AS (SELECT DISTINCT file_path AS path, line AS lo, line + ord % 4 AS hi FROM imports) SELECT path, lo, hi, id, name, line FROM symbols JOIN r ON r.path = file_path AND line <= hi AND line + CASE WHEN ord % 3 > 0 THEN (ord * 37) % 5000 ELSE 30 END >= lo""")
 add("j11_nearest_symbols", lambda c: J.nearest_symbols(c.symbols, c.imports.select(F.col("file_path").alias("path"), F.col("line").alias("at")).distinct(), 3), """
 WITH p AS (SELECT DISTINCT file_path AS path, line AS "at" FROM imports) SELECT * FROM (SELECT path, "at", id, name, abs(line - "at") AS distance, row_number() OVER (PARTITION BY path, "at" ORDER BY abs(line - "at"), id) AS rank FROM p JOIN symbols ON file_path = path) WHERE rank <= 3""")
 add("j12_side_records", lambda c: J.with_side_records(c.files.select("path"), c.symbols, "found", ["line", "name", "id"]).select("path", F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.transform("found", lambda x: x["id"]).alias("ids")), """
@@ -235,7 +257,25 @@ SELECT 'K' || (doc_id % 20) AS key, min(path) AS path FROM files GROUP BY 1""")
 add("x01_index_delta", lambda c: L.index_delta(c.files.where("doc_id % 11 <> 0"), c.files.where("doc_id % 13 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash")))), """
 SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'delete' ELSE 'read' END AS action FROM files WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0)""")
 add("x02_build_graph", lambda c: L.build_graph(c.files, c.symbols, c.imports).groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
-add("x03_context_pack", lambda c: L.context_pack(c.files, c.symbols, c.memory, "small ring").select("id", "kind", "score", "used"))
+def _pack(c: Catalog) -> DataFrame:
+    paths = c.edges.select(T.node_path(F.col("from_id")).alias("path")).distinct().select("path", F.lit(None).cast("string").alias("language"), (F.length("path") * 100).alias("size"))
+    symbols = c.symbols.withColumn("name", F.concat(F.lit("on_click_"), (F.col("ord") % 97).cast("string")))
+    return L.context_pack(paths, symbols, c.memory.withColumn("title", F.concat(F.lit("about click_"), (F.col("created_at") / 1000 % 50).cast("int").cast("string"))), "click_7", L.BUDGETS["small"], c.edges)
+
+
+add("x03_context_pack", lambda c: _pack(c).select("id", "kind", "title", "score", "tokens", "used"), r"""
+WITH f AS (SELECT DISTINCT substr(from_id, 6) AS path FROM edges), sy AS (SELECT *, 'on_click_' || ord % 97 AS n FROM symbols), me AS (SELECT *, 'about click_' || created_at // 1000 % 50 AS t FROM memory),
+a AS (SELECT 'symbol:' || id AS id, 'symbol' AS kind, n AS title, CASE WHEN lower(n) = 'click_7' THEN 100 WHEN contains(lower(n), 'click_7') THEN 50 ELSE 0 END + CASE WHEN exported THEN 5 ELSE 0 END AS score,
+  kind || ' ' || n || ' @ ' || file_path || ':' || line AS content, 1 AS k, 0 AS o, n AS s, id AS t FROM sy WHERE n ILIKE '%click_7%' ORDER BY n, id LIMIT 40),
+b AS (SELECT 'file:' || path, 'file', path, CASE WHEN path = 'click_7' THEN 100 ELSE 50 END + 2, 'File ' || path || ' (unknown, ' || length(path) * 100 || ' bytes)', 2, 0, path, '' FROM f WHERE contains(lower(path), 'click_7')),
+m AS (SELECT 'memory:' || id, 'memory', t, CASE WHEN contains(t, 'click_7') THEN 50 ELSE 0 END + 3, '# ' || t || chr(10) || content, 3, -updated_at, '', id FROM me WHERE t ILIKE '%click_7%' OR content ILIKE '%click_7%' OR tags ILIKE '%click_7%' ORDER BY updated_at DESC, id LIMIT 20),
+u AS (SELECT id, kind, title, score, greatest(1, ceil(length(content) / 4))::BIGINT AS tokens, k, o, s, t FROM (FROM a UNION ALL FROM b UNION ALL FROM m)),
+top AS (SELECT id, score FROM u ORDER BY score DESC, k, o, s, t LIMIT 1),
+near AS (SELECT DISTINCT 1 AS way, from_id AS n FROM edges, top WHERE to_id = id AND edge_type IN ('IMPORTS', 'DEPENDS_ON', 'TESTS') UNION SELECT 2, to_id FROM edges, top WHERE from_id = id AND edge_type IN ('IMPORTS', 'DEPENDS_ON')),
+sized AS (SELECT coalesce(sum(c), 0) AS chars FROM (SELECT sum(length(n) + 2) + 6 * count(*) + 2 AS c FROM near GROUP BY way)),
+g AS (SELECT 'graph:' || id AS id, 'graph' AS kind, 'Impact of ' || id AS title, score + 1 AS score, greatest(1, ceil((93 + length(id) + 2 + chars) / 4))::BIGINT AS tokens, 4 AS k, 0 AS o, '' AS s, '' AS t FROM top, sized),
+r AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, k, o, s, t ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM (FROM u UNION ALL FROM g))
+SELECT id, kind, title, score, tokens, used FROM r WHERE used <= 8000""")
 add("x04_review", lambda c: L.review(c.files.select("path"), W.lines_of(c.files.select("path", "text")), c.files, c.edges))
 add("x07_unified_search", lambda c: L.unified_search(c.files, c.symbols, c.memory, "src1"), """
 SELECT * FROM (SELECT 'symbol' AS kind, id, name AS title FROM symbols WHERE name ILIKE '%src1%' ORDER BY name, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'file', path, path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 20)
