@@ -166,7 +166,7 @@ def whitened(spark, vectors, **more):
     return whitening.whiten(df.repartition(3), **more).collect()
 
 
-def held_against_eigh(rows, vectors, least=32):
+def held_against_eigh(rows, vectors, least=32, error=1e-10):
     x = np.array([[int(np.floor(64 * float(np.float32(c)))) + 1_000_000 for c in v] for v in vectors], object)
     n, s = len(x), x.sum(axis=0)
     c = ((n * x - s) / n).astype(float)
@@ -174,7 +174,7 @@ def held_against_eigh(rows, vectors, least=32):
     values, frame = values[::-1], frame[:, ::-1]
     k = min(least, (values > 1e-12 * values[0]).sum())
     assert {r.component for r in rows} == set(range(1, k + 1)) and len(rows) == n * k and {r.n for r in rows} == {n}
-    assert max(r.identity_error for r in rows) < 1e-10
+    assert max(r.identity_error for r in rows) < error
     for j in range(k):
         mine = [r for r in rows if r.component == j + 1]
         assert sorted(r.deviation for r in mine) == sorted(int(d) for d in ((n * x - s) ** 2).sum(axis=1))
@@ -198,7 +198,7 @@ def test_op13_nulls_repeats_lengths_and_scale(spark):
     vectors = (r.standard_normal((60, 6)) * [1, 1, 1, 0, 50, 2e4]).astype(np.float32).tolist()
     bad = [(1, None), (2, []), (3, [None] * 6), (4, [float("nan")] + [0.0] * 5), (5, [float("inf")] * 6), (6, [1.0] * 5), (None, [float("-inf")] * 6)]
     rows = whitened(spark, [(i % 50 if i else None, v) for i, v in enumerate(vectors)] + bad)
-    held_against_eigh(rows, vectors)  # a dimension without variance, ids null and repeated
+    held_against_eigh(rows, vectors, error=1e-6)  # a dimension without variance, one of 10**9 times another's; ids null and repeated
     assert len([r for r in rows if r.vec_id is None and r.component == 1]) == 1
     assert whitened(spark, []) == [] and whitened(spark, bad[:5]) == [] and whitened(spark, [(1, [0.5, 2.0])] * 3) == []
     huge = whitened(spark, [(k, [1e30 * (-1) ** k, float(k)]) for k in range(4)])
