@@ -117,10 +117,11 @@ def entropy(c: Column) -> Column:
 
 
 def app_route(path: Column) -> Column:
-    """The route of a file below the last app folder: file name and (group) parts dropped."""
-    below = F.concat(F.lit("/"), F.regexp_replace(F.regexp_extract(path, r"^(?:.*/)?app/(.*)$", 1), r"[^/]*$", ""))
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(below, r"\([^/)]*\)", ""), "/+", "/"), "(.)/$", "$1")
-    return F.when(path.rlike(r"(^|/)app/"), out)
+    """The route of a page, layout or route file: what is below the last app folder (all of the path, if there is none), without file name and (group) parts."""
+    inner = F.regexp_extract(F.concat(F.lit("/"), path), r"^.*/app(/.*)$", 1)
+    folder = F.regexp_replace(F.when(inner != "", inner).otherwise(F.concat(F.lit("/"), path)), r"/(page|layout|route|loading|error|default)\.[tj]sx?\z", "")
+    parts = F.filter(F.split(folder, "/"), lambda x: (x != "") & ~x.rlike(r"^\([^)]+\)"))
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
 
 def django_route(c: Column) -> Column:

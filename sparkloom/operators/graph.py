@@ -6,25 +6,29 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEEP = 10
 UP, DOWN = ("IMPORTS", "DEPENDS_ON", "TESTS"), ("IMPORTS", "DEPENDS_ON")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder executors share (spark.checkpoint.dir) and read again: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder that executors share (spark.checkpoint.dir); unset, one process (as in tests) gets a folder of its own and a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # one process, as in tests, gets a folder of its own
+    if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/staged/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/staged/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, source: str, target: str) -> DataFrame:

@@ -18,7 +18,11 @@ from ..operators import joins as J
 from ..operators import predicates as P
 from ..operators import windows as W
 from ..sources import workspace as R
+from ..sources.ignore_files import not_ignored_by_files
+from ..sources.store import VersionedTables
 from ..streaming import changes as S
+from . import code_queries as V
+from . import index_build as I
 from . import pipelines as L
 from .catalog import Catalog, with_views
 
@@ -37,6 +41,11 @@ add("p01_ignore", lambda c: P.not_ignored(c.files, ["/config/n1", "*.md", "!keep
 SELECT path FROM files WHERE NOT (path LIKE '%node_modules%' OR path LIKE '%dist%' OR path LIKE '%build%' OR path LIKE '%out%' OR path LIKE '%.git%' OR path LIKE '%.next%' OR path LIKE '%.nuxt%' OR path LIKE '%.svelte-kit%' OR path LIKE '%.turbo%'
   OR path LIKE '%coverage%' OR path LIKE '%target%' OR path LIKE '%vendor%' OR path LIKE '%\\_\\_pycache\\_\\_%' ESCAPE '\\' OR path LIKE '%venv%' OR path LIKE '%.cache%' OR path LIKE '%tmp%' OR path LIKE '%temp%'
   OR path = 'config/n1' OR path LIKE 'config/n1/%' OR path LIKE '%.md' OR path LIKE '%src7%' OR path LIKE '%models' OR list_contains(string_split(path, '/'), 'models'))""".replace("\\\\", "\\"))
+_IGNORE = [(".gitignore", "# documents\n*.md\n!*1.md\n/config/\n"), ("tests/.gitignore", "*.yml\n!n5*\n"), ("packages/.ignore", "src?/models/\n*_test.*")]
+add("s02_ignore_files", lambda c: not_ignored_by_files(c.files, c.spark.createDataFrame(_IGNORE, "path string, text string")).select("path"), r"""
+WITH f AS (SELECT path, string_split(path, '/')[-1] AS base, NOT (path LIKE '%.md' AND path NOT LIKE '%1.md') AS doc FROM files)
+SELECT path FROM f WHERE NOT regexp_matches(path, '(^|/)(node_modules|dist)/') AND NOT starts_with(path, 'config/') AND CASE WHEN starts_with(path, 'tests/') THEN CASE WHEN base LIKE 'n5%' THEN true WHEN base LIKE '%.yml' THEN false ELSE doc END
+  WHEN starts_with(path, 'packages/') THEN doc AND NOT regexp_matches(path, '^packages/src./models/') AND NOT contains(base, '_test.') ELSE doc END""")
 add("p03_path_contains", lambda c: P.path_contains(c.files, "SRC1").select("path"), "SELECT path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 50")
 add("p04_name_like", lambda c: P.name_search(c.symbols, "ring").select("id", "name"), "SELECT id, name FROM symbols WHERE name ILIKE '%ring%' ORDER BY name, id LIMIT 50")
 add("p06_definitions", lambda c: P.definitions(c.symbols, "small_ring").select("id", "name"), """
@@ -225,23 +234,7 @@ SELECT ord, CASE ord % 10 WHEN 0 THEN 'critical' WHEN 1 THEN 'critical' WHEN 2 T
 
 # ---- extraction (V) and line rules over the documents' whole texts
 _LINES = "lines AS (SELECT path, language, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS line_number FROM coded)"
-_CODED_SQL = """coded AS (SELECT path, language, 'import { a } from ''./n' || doc_id || '''' || chr(10) || 'export function f' || doc_id || '() {}' || chr(10) || 'class C' || doc_id || ' {' || chr(10) || 'def p' || doc_id || '(x):' || chr(10) || 'app.get(''/r' || doc_id || ''', h)' || chr(10) || text AS text FROM files)"""
-
-
-def _coded(c: Catalog) -> DataFrame:
-    """files whose texts begin with a few lines of code."""
-    i = F.col("doc_id").cast("string")
-    head = F.concat(F.lit("import { a } from './n"), i, F.lit("'\nexport function f"), i, F.lit("() {}\nclass C"), i, F.lit(" {\ndef p"), i, F.lit("(x):\napp.get('/r"), i, F.lit("', h)\n"), "text")
-    return c.files.withColumn("text", head)
-
-
-add("v02_imports", lambda c: X.imports(_coded(c)), "WITH " + _CODED_SQL + r" SELECT path, 1 AS line_number, regexp_extract(text, 'from ''([^'']+)''', 1) AS source, '{ a }' AS specifier FROM coded WHERE language = 'typescript'")
-add("v03_symbols", lambda c: X.symbols(_coded(c)), "WITH " + _CODED_SQL + ", " + _LINES + r"""
-SELECT path, line_number, 'function' AS kind, regexp_extract(line, 'function\s+(\w+)', 1) AS name, true AS exported FROM lines WHERE language = 'typescript' AND regexp_matches(line, '^\s*export function\s+\w+')
-UNION ALL SELECT path, line_number, 'class', regexp_extract(line, 'class\s+(\w+)', 1), language = 'python' FROM lines WHERE language IN ('typescript', 'python') AND regexp_matches(line, '^class\s+\w+')
-UNION ALL SELECT path, line_number, 'function', regexp_extract(line, 'def\s+(\w+)', 1), true FROM lines WHERE language = 'python' AND regexp_matches(line, '^def\s+\w+')""")
-add("v08_routes", lambda c: X.routes(_coded(c)).select("path", "line_number", "framework", "method", "route"), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
-add("v07_frameworks", lambda c: X.frameworks(_coded(c).withColumn("text", F.concat(F.when(F.col("doc_id") % 2 == 0, "from fastapi import x\n").otherwise("import e from 'express'\n"), "text"))), "SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'fastapi' ELSE 'express' END AS framework FROM files")
+V.register(add)
 add("f14_secret_rules", lambda c: X.secrets(c.files.withColumn("text", F.concat("text", F.lit("\nAPI_TOKEN = "), F.lit("x"), F.lit("\nkey AKIA"), F.upper(F.substring("hash", 1, 16)))), 3.5).where("kind = 'pattern'").select("path", "label"), """
 SELECT path, unnest(['generic_api_key_assign', 'aws_access_key_id']) AS label FROM files""")
 add("f16_env_uses", lambda c: X.env_uses(c.files.withColumn("text", F.concat("text", F.lit("\nprocess.env.KEY_"), F.col("doc_id").cast("string"), F.lit(" os.getenv('HOME_DIR')")))), "SELECT unnest(['KEY_' || doc_id, 'HOME_DIR']) AS key, path FROM files")
@@ -256,6 +249,28 @@ SELECT 'K' || (doc_id % 20) AS key, min(path) AS path FROM files GROUP BY 1""")
 # ---- composites (X) and sinks (K)
 add("x01_index_delta", lambda c: L.index_delta(c.files.where("doc_id % 11 <> 0"), c.files.where("doc_id % 13 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash")))), """
 SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'delete' ELSE 'read' END AS action FROM files WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0)""")
+def _built(c: Catalog) -> VersionedTables:
+    """An index built from one state of the files and then from another: rows that changed, came and went."""
+    store = VersionedTables(c.spark, G.shared_folder(c.spark), 16)
+    coded, other = V.coded(c).drop("language"), F.col("doc_id") % 7 == 0
+    before = coded.where("doc_id % 13 <> 0").withColumns({"hash": F.when(other, "old").otherwise(F.col("hash")), "text": F.when(other, "class Old {\ndef gone():").otherwise(F.col("text"))})
+    I.build(store, I.Frame(before), graph=False)
+    I.build(store, I.Frame(coded.where("doc_id % 11 <> 0")))
+    return store
+
+
+add("x01_index_symbols", lambda c: _built(c).read("symbols").select(F.col("file_path").alias("path"), F.col("line").alias("line_number"), "name").distinct(), "SELECT DISTINCT path, line_number, name FROM (" + V.analysis_sql("doc_id % 11 <> 0") + ")")
+
+
+def _run_counts(c: Catalog) -> DataFrame:
+    store = _built(c)
+    meta = store.meta()
+    return c.spark.createDataFrame([(store.snapshots()[-1], meta["scanned"], meta["indexed"], meta["skipped"], meta["removed"])], "snapshot long, scanned long, indexed long, skipped long, removed long")
+
+
+add("k06_run_counts", _run_counts, """
+WITH f AS (SELECT doc_id, doc_id % 11 <> 0 AS here, doc_id % 13 <> 0 AS was FROM files WHERE language IS NOT NULL)
+SELECT 1::BIGINT AS snapshot, count(*) FILTER (WHERE here) AS scanned, count(*) FILTER (WHERE here AND (NOT was OR doc_id % 7 = 0)) AS indexed, count(*) FILTER (WHERE here AND was AND doc_id % 7 <> 0) AS skipped, count(*) FILTER (WHERE was AND NOT here) AS removed FROM f""")
 add("x02_build_graph", lambda c: L.build_graph(c.files, c.symbols, c.imports).groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
 def _pack(c: Catalog) -> DataFrame:
     paths = c.edges.select(T.node_path(F.col("from_id")).alias("path")).distinct().select("path", F.lit(None).cast("string").alias("language"), (F.length("path") * 100).alias("size"))
@@ -296,8 +311,6 @@ add("f33_release_version", lambda c: c.files.select("path", T.release_version(F.
 SELECT path, CASE doc_id % 3 WHEN 0 THEN '1.' || doc_id WHEN 1 THEN '2.0' ELSE 'v' || doc_id END AS version FROM files""")
 add("k11_secret_summary", lambda c: L.secret_summary(X.secrets(c.files.withColumn("text", F.concat("text", F.lit("\nAPI_TOKEN = "), F.when(F.col("doc_id") % 2 == 0, "x\nDB_PASSWORD: ").otherwise("")))).where("label = 'generic_api_key_assign'")).select("path", "label", "n"), r"""
 WITH coded AS (SELECT path, language, text || chr(10) || 'API_TOKEN = ' || CASE WHEN doc_id % 2 = 0 THEN 'x' || chr(10) || 'DB_PASSWORD: ' ELSE '' END AS text FROM files), """ + _LINES + r""" SELECT path, 'generic_api_key_assign' AS label, count(*) AS n FROM lines WHERE regexp_matches(line, '(?i)\b([A-Z][A-Z0-9_]*(?:API[_]?KEY|SECRET|TOKEN|PASSWORD|PRIVATE[_]?KEY))\s*[:=]') GROUP BY path""")
-add("v09_merged_routes", lambda c: X.merged_routes(X.routes(_coded(c))).select("path", "line_number", "framework", "method", "route"), "WITH " + _CODED_SQL + r" SELECT path, 5 AS line_number, 'express' AS framework, 'GET' AS method, regexp_extract(text, 'app\.get\(''([^'']+)''', 1) AS route FROM coded")
-
 # ---- many repositories (S), one a supplier, from their marker files
 _MADE_SQL = """made AS (SELECT s_suppkey AS k, 'r/s' || s_suppkey AS repo FROM supplier)"""
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import code as E
 from sparkloom.functions import extract as X
 from sparkloom.functions import text as T
 from sparkloom.operators import graph as G
@@ -121,7 +122,7 @@ def test_streamed_sessions(spark, tmp_path):
 
 def test_empty_tables(spark):
     files = spark.createDataFrame([], "path string, language string, text string, hash string")
-    assert X.symbols(files).count() == 0 and X.secrets(files).count() == 0 and L.index_delta(files, files).count() == 0
+    assert E.symbols(files).count() == 0 and X.secrets(files).count() == 0 and L.index_delta(files, files).count() == 0
 
 
 def test_path_rules(spark):
@@ -159,7 +160,7 @@ def test_routes_of_all_frameworks(spark):
         ("f.rs", 'Router::new().route("/axum", post(handlers::make))\n#[get("/actix")]\nweb::resource("/res")\n  .route(web::put())'),
         ("src/app/(shop)/cart/route.ts", "x\nexport async function GET() {}\nexport function POST() {}"), ("app/about/page.tsx", "export default x"), ("n.ts", None),
     ]
-    found = X.routes(spark.createDataFrame(rows, "path string, text string"))
+    found = E.routes(spark.createDataFrame(rows, "path string, text string"))
     got = {(r.path, r.line_number, r.framework, r.method, r.route, r.handler) for r in found.collect()}
     shop = "src/app/(shop)/cart/route.ts"
     assert got == {
@@ -168,15 +169,42 @@ def test_routes_of_all_frameworks(spark):
         ("d.py", 2, "django", "ANY", "/users/", None), ("d.py", 2, "django", "ANY", "/item/", None), ("f.rs", 1, "axum", "POST", "/axum", "handlers::make"),
         ("f.rs", 2, "actix", "GET", "/actix", None), ("f.rs", 3, "actix", "PUT", "/res", None), (shop, 2, "nextjs", "GET", "/cart", "GET"), (shop, 3, "nextjs", "POST", "/cart", "POST"),
         ("app/about/page.tsx", 1, "nextjs", "GET", "/about", "page")}
-    assert X.merged_routes(found.where("path = 'b.py'")).count() == 1
+    assert E.merged_routes(found.where("path = 'b.py'")).count() == 1
 
 
 def test_go_and_python_imports_and_methods(spark):
     go = 'package x\nimport "fmt"\nimport (\n\tlog "a/b"\n\t"os"\n)\nfunc (s *Server) Run() {}\nfunc helper() {}\n'
-    df = spark.createDataFrame([("a.go", "go", go), ("b.py", "python", "import os, sys\nfrom a.b import c, d\n")], "path string, language string, text string")
-    got = {(r.path, r.line_number, r.source, r.specifier) for r in X.imports(df).collect()}
-    assert got == {("a.go", 2, "fmt", "fmt"), ("a.go", 3, "a/b", "log"), ("a.go", 3, "os", "os"), ("b.py", 1, "os, sys", "os, sys"), ("b.py", 2, "a.b", "c, d")}
-    assert {(r.kind, r.name, r.exported) for r in X.symbols(df.where("language = 'go'")).collect()} == {("method", "Server.Run", True), ("function", "helper", False)}
+    df = spark.createDataFrame([("a.go", "go", go), ("b.py", "python", "from a.b import c, d\n\nimport os, sys\n")], "path string, language string, text string")
+    got = {(r.path, r.line_number, r.source, r.specifier) for r in E.imports(df).collect()}
+    assert got == {("a.go", 2, "fmt", "fmt"), ("a.go", 3, "a/b", "log"), ("a.go", 3, "os", "os"), ("b.py", 1, "a.b", "c, d"), ("b.py", 3, "os, sys", "os, sys")}
+    assert {(r.kind, r.name, r.exported) for r in E.symbols(df.where("language = 'go'")).collect()} == {("method", "Server.Run", True), ("function", "helper", False)}
+
+
+def test_extraction_of_whole_texts(spark):
+    """A file of each language: names, lines (leading blank lines belong to a hit), what is exported, routes and hints."""
+    rows = [
+        ("src/index.ts", "typescript", "/** doc */\nexport function greet(name: string) {\n  return name;\n}\n\nexport class Greeter {\n  hello() {}\n}\n"),
+        ("apps/web/app/page.tsx", "typescript", "export default function Home() {\n  return null;\n}\n"),
+        ("src/lib.rs", "rust", "fn greet() {\n}\n// note\n\npub struct Greeter;\n\nimpl Greeter {\n    pub fn greet(&self) {}\n}\n"),
+        ("main.py", "python", 'from fastapi import FastAPI\n\napp = FastAPI()\n\n@app.get("/health")\ndef health():\n    return 1\n'),
+        ("main.go", "go", 'package main\n\nimport "fmt"\n\nfunc Greet() string { return "" }\n\n\n\nfunc main() {}\n'),
+        ("index.ts", "typescript", "// mixed\nexport const mixed = 1;\nconst require = x\nconst { a } = b\n"), ("none.ts", "typescript", None), ("empty.py", "python", ""),
+    ]
+    found = E.analysis(spark.createDataFrame(rows, "path string, language string, text string"))
+    symbols = {(r.path, r.line_number, r.kind, r.name, r.exported) for r in found["symbols"].collect()}
+    assert symbols == {
+        ("src/index.ts", 2, "function", "greet", True), ("src/index.ts", 6, "class", "Greeter", True), ("apps/web/app/page.tsx", 1, "route", "GET /", True), ("apps/web/app/page.tsx", 1, "function", "Home", True),
+        ("src/lib.rs", 1, "function", "greet", False), ("src/lib.rs", 8, "function", "greet", True), ("src/lib.rs", 4, "struct", "Greeter", True), ("src/lib.rs", 6, "impl", "Greeter", False),
+        ("main.py", 6, "function", "health", True), ("main.py", 5, "route", "GET /health", True), ("main.go", 5, "function", "Greet", True), ("main.go", 9, "function", "main", False), ("index.ts", 2, "const", "mixed", True)}
+    assert {(r.path, r.line_number, r.source) for r in found["imports"].collect()} == {("main.py", 1, "fastapi"), ("main.go", 3, "fmt")}
+    assert {(r.path, r.method, r.route) for r in found["routes"].collect()} == {("apps/web/app/page.tsx", "GET", "/"), ("main.py", "GET", "/health")}
+    assert {(r.path, r.framework, r.confidence) for r in found["frameworks"].collect()} == {("apps/web/app/page.tsx", "nextjs", "strongly_inferred"), ("apps/web/app/page.tsx", "react", "weakly_inferred"), ("main.py", "fastapi", "confirmed")}
+
+
+def test_imports_over_several_lines(spark):
+    text = "import {\n  a,\n  b,\n} from './x'\n\nimport './x'\nimport def from './x'\n"
+    got = [(r.line_number, r.source, r.specifier) for r in E.imports(spark.createDataFrame([("a.ts", "typescript", text)], "path string, language string, text string")).orderBy("line_number").collect()]
+    assert got == [(1, "./x", "{\n  a,\n  b,\n}"), (6, "./x", "*"), (7, "./x", "def")]
 
 
 def test_order_of_names(spark):
