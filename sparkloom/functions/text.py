@@ -108,12 +108,18 @@ def imported_names(specifier: Column) -> Column:
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy in bits of the characters of c; 0 for an empty one."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
-    share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
-    total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda t, x: t - share(x) * F.log2(share(x)))
-    return F.when(F.length(c) > 0, total).otherwise(0.0)
+    """Shannon entropy in bits of the characters of c; 0 for an empty one. Characters are sorted once and equal ones counted in one pass."""
+    chars = F.sort_array(F.filter(F.split(c, ""), lambda x: x != ""))
+    share = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+
+    def step(state: Column, x: Column) -> Column:
+        same = state["x"] == x
+        return F.struct(x.alias("x"), F.when(same, state["n"] + 1).otherwise(1.0).alias("n"), (state["sum"] + F.when(same, 0.0).otherwise(share(state["n"]))).alias("sum"))
+
+    start = F.struct(F.lit("").alias("x"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+    n = F.length(c).cast("double")
+    total = F.aggregate(chars, start, step, lambda state: state["sum"] + share(state["n"]))
+    return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)
 
 
 def app_route(path: Column) -> Column:
@@ -200,28 +206,21 @@ def command_risk(command: Column) -> Column:
         flag(5).alias("writes"), F.when(F.size(reasons) > 0, "strongly_inferred").otherwise("weakly_inferred").alias("confidence"))
 
 
-def shell_tokens(command: Column) -> Column:
-    """Words, quoted strings, pipes and redirections, with a role by their place and form."""
-    found = F.regexp_extract_all(command, F.lit(r"""([^\s"'|><]+|"[^"]*"|'[^']*'|\||>>|>|<)"""), F.lit(1))
-
-    def role(t: Column, i: Column) -> Column:
-        before = F.get(found, i - 1)
-        return (F.when(t == "|", "pipe").when(t.isin(">", ">>", "<"), "redirect").when((i == 0) | (before == "|"), "binary")
-                .when(t.rlike("^-"), "flag").when(t.rlike(r"^[A-Z_][A-Z0-9_]*="), "env").when(t.rlike(r"""^["']"""), "string")
-                .when(t.rlike(r"^(\./|\.\./|/|[A-Za-z]:[\\/])|(?i)\.[a-z]{1,4}$"), "path").when((i == 1) & ~before.rlike("^-"), "subcommand").otherwise("argument"))
-
-    return F.transform(found, lambda t, i: F.struct(t.alias("text"), role(t, i).alias("role")))
-
-
 # ---- frames
 
 def frame_path(c: Column) -> Column:
-    f = F.regexp_replace(F.regexp_replace(c, "^file:///", ""), "^file://", "")
-    return posix(F.regexp_replace(f, "^([A-Za-z])/", "$1:/"))
+    """A frame's file with slashes; a file URL without its scheme, a drive letter with its colon."""
+    slashed = posix(c)
+    bare = F.when(F.startswith(slashed, F.lit("file:")), F.regexp_replace(F.substring(slashed, 6, 1 << 30), "^/{2,3}", "")).otherwise(slashed)
+    return F.when(bare.rlike("^[A-Za-z]/"), F.concat(F.left(bare, F.lit(1)), F.lit(":"), F.substring(bare, 2, 1 << 30))).otherwise(bare)
 
 
 def internal_frame(c: Column) -> Column:
-    return F.startswith(c, F.lit("node:")) | F.contains(c, F.lit("node_modules/")) | F.contains(c, F.lit("/internal/")) | F.startswith(c, F.lit("<")) | c.rlike("(?i)^(native|unknown)")
+    """Whether a frame is the runtime's or a package's own."""
+    folders = F.split(c, "/")
+    within = F.array_contains(F.slice(folders, 2, F.greatest(F.size(folders) - 2, F.lit(0))), "internal")  # neither first nor last
+    packaged = c.contains("node_modules/")
+    return packaged | within | c.rlike(r"^(?:node:|<|(?i:native|unknown))")
 
 
 # ---- globs

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.extract import added_line_findings, shell_commands
-from ..functions.text import any_term, edge_id, escaped_like, match_score, node_id, token_estimate
+from ..functions.code import by_rule, hits, part
+from ..functions.extract import TO_DO, added_line_findings, shell_commands
+from ..functions.text import any_term, edge_id, escaped_like, match_score, node_id, node_path, token_estimate
 from ..operators.graph import impact, staged
-from ..operators.joins import import_targets, tests_of
-from ..operators.predicates import DOCS, GENERATED, SENSITIVE, TEST_FILES
+from ..operators.joins import import_targets, tests_of, touched_symbols
+from ..operators.matching import containing
+from ..operators.predicates import GENERATED, TEST_FILES
 from ..operators.prefix import within_budget
 
 #: Token budgets.
@@ -98,18 +100,49 @@ def context_pack(files: DataFrame, symbols: DataFrame, memory: DataFrame, query:
     return within_budget(items, budget, "score", "tokens", "place").drop("node", "place")
 
 
-def review(changed: DataFrame, added: DataFrame, files: DataFrame, edges: DataFrame, many: int = 10) -> DataFrame:
-    """(path, category, severity) findings of a change: paths (path), added lines (path, line_number, line)."""
+CODE_FILES = r"\.(ts|tsx|js|jsx|rs|py|go)$"
+#: Files whose change may tell a secret.
+SECRET_CHANGE = r"(?i)\.(env|pem|key)$|(?-i)(^|/)\.env(\.|$)"
+
+
+def review(changed: DataFrame, added: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, diff: DataFrame | None = None, many: int = 10, wide: int = 40) -> DataFrame:
+    """(path, line_number, category, severity, message, confidence) findings of a change: paths (path), added lines (path, line_number, line), all of the diff's lines (line; the added ones if not given).
+
+    Of the change as a whole: too many paths, notes to do, routes changed but no document. Of a path: generated, secret or document; what its added lines look like; many
+    dependents, symbols touched, no tests (if it is indexed code), not indexed (code that is not in files).
+    """
     p = F.col("path")
-    by_path = changed.select("path", F.inline(F.array_compact(F.array(
-        F.when(reduce(lambda a, b: a | b, [p.rlike(x) for x in GENERATED]), F.struct(F.lit("generated").alias("category"), F.lit("warn").alias("severity"))),
-        F.when(p.rlike(SENSITIVE), F.struct(F.lit("secret_file").alias("category"), F.lit("risk").alias("severity"))), F.when(p.rlike(DOCS), F.struct(F.lit("docs").alias("category"), F.lit("info").alias("severity")))))))
-    lines = added_line_findings(added).groupBy("path", "category", "severity").agg(F.count("*").alias("n")).drop("n")
-    seeds = changed.select(F.concat(F.lit("file:"), "path").alias("seed"))
-    wide = impact(edges, seeds, 1).where("direction = 'dependents'").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > many)
-    wide = wide.select(F.substring("seed", 6, 1 << 30).alias("path"), F.lit("wide_impact").alias("category"), F.lit("warn").alias("severity"))
-    strange = changed.join(files, "path", "left_anti").select("path", F.lit("not_indexed"), F.lit("info"))
-    return by_path.union(lines).union(wide).union(strange)
+    changed = staged(changed.select("path").where("path is not null").distinct())
+    added = staged(added.join(changed, "path", "left_semi").select("path", "line_number", "line"))
+
+    def said(rows: DataFrame, category: str, severity: str, message, confidence: str) -> DataFrame:
+        return rows.select("path", F.lit(None).cast("int").alias("line_number"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"), F.lit(confidence).alias("confidence"))
+
+    of_lines = added_line_findings(added)
+    size = changed.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(p.rlike(r"(?i)\.(md|mdx)$")), F.lit(False)).alias("documented"))  # one row
+    out = [
+        said(size.where(F.col("n") > wide).withColumn("path", F.lit("(changeset)")), "scope", "warn", F.concat(F.lit("Large changeset: "), F.col("n").cast("string"), F.lit(" paths")), "confirmed"),
+        said(changed.where(reduce(lambda a, b: a | b, [p.rlike(x) for x in GENERATED])), "generated", "info", "Looks like a generated/lock/build artifact", "strongly_inferred"),
+        said(changed.where(p.rlike(SECRET_CHANGE)), "security", "risk", "Possible secrets file in changeset", "strongly_inferred"),
+        said(changed.where(p.rlike(r"(?i)\.(md|mdx)$")), "docs", "info", "Documentation file changed", "confirmed"), of_lines]
+    indexed = changed.join(files.select("path"), "path", "left_semi")
+    fan = impact(edges, indexed.select(F.concat(F.lit("file:"), "path").alias("seed")), 1).where("direction = 'dependents'").groupBy(node_path(F.col("seed")).alias("path")).agg(F.count("*").alias("n"))
+    out.append(said(fan.where(F.col("n") > many), "impact", "warn", F.concat(F.lit("High fan-in: "), F.col("n").cast("string"), F.lit(" dependents")), "strongly_inferred"))
+    ranges = added.groupBy("path").agg(F.min("line_number").alias("lo"), F.max("line_number").alias("hi")).join(indexed, "path", "left_semi")
+    touched = touched_symbols(ranges, symbols).groupBy("path").agg(F.slice(F.sort_array(F.collect_list(F.struct("line", "name", "id"))), 1, 8).alias("s"))
+    out.append(said(touched, "general", "info", F.concat(F.lit("Hunks touch symbols: "), F.array_join(F.transform("s", lambda x: x["name"]), ", ")), "strongly_inferred"))
+    code = indexed.where(p.rlike(CODE_FILES) & ~p.rlike(TEST_FILES["review"]))
+    tests = files.where(p.rlike(TEST_FILES["review"])).select(F.col("path").alias("text"))
+    named = code.withColumn("needle", F.regexp_replace("path", r"\.[^.]+$", ""))
+    tested = containing(named, tests).join(named, "needle").select("path")
+    by_edge = edges.where("edge_type = 'TESTS'").select(node_path(F.col("from_id")).alias("text"), node_path(F.col("to_id")).alias("path")).join(tests, "text", "left_semi").select("path")
+    out.append(said(code.join(tested.union(by_edge), "path", "left_anti"), "tests", "warn", "No related test files inferred for this change", "weakly_inferred"))
+    out.append(said(changed.where(p.rlike(CODE_FILES)).join(files.select("path"), "path", "left_anti"), "general", "info", "Not in the index yet", "confirmed"))
+    noted = (diff if diff is not None else added).agg(F.coalesce(F.bool_or(F.col("line").rlike(TO_DO)), F.lit(False)).alias("noted")).where("noted")  # one row
+    out.append(said(noted.withColumn("path", F.lit("(diff)")), "general", "info", "TODO/FIXME markers present in diff", "confirmed"))
+    routed = of_lines.agg(F.coalesce(F.bool_or(F.col("category") == "api"), F.lit(False)).alias("api")).crossJoin(size).where("api and not documented")  # one row each
+    out.append(said(routed.withColumn("path", F.lit("(docs)")), "docs", "info", "API/route-like changes without documentation file updates", "weakly_inferred"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def unified_search(files: DataFrame, symbols: DataFrame, memory: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -140,9 +173,48 @@ def broken_commands(commands: DataFrame, files: DataFrame, known: tuple[str, ...
 
 def ci_commands(workflows: DataFrame) -> DataFrame:
     """(path, kind, value) of the run: and uses: lines of workflow files."""
-    lines = workflows.select("path", F.explode(F.split("text", "\r?\n")).alias("line"))
-    got = F.inline(F.array_compact(F.array(*(F.when(F.col("line").rlike(rf"^\s*-?\s*{k}:\s*\S"), F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract("line", rf"^\s*-?\s*{k}:\s*(.*)$", 1)).alias("value"))) for k in ("run", "uses")))))
-    return lines.select("path", got)
+    return ci_steps(workflows).select("path", "kind", "value")
+
+
+#: Keys two spaces in that are no jobs.
+NO_JOBS = ("on", "env", "defaults", "concurrency", "permissions", "name")
+CI_PATTERNS = {"job": r"(?m)^\s{2}([a-zA-Z0-9_-]+):\s*$", "run": r"run:\s*[|>]?\s*(.+)", "uses": r"uses:\s*(.+)"}
+
+
+def ci_steps(workflows: DataFrame, most_runs: int = 40, most_uses: int = 20) -> DataFrame:
+    """(path, job, line, kind, place, value) of the first run and uses steps of each workflow file (path, text); job is the last one that begins above the step."""
+    found = hits(workflows, [(F.lit(True), p) for p in CI_PATTERNS.values()])
+    value = by_rule([F.regexp_replace(part(p, 1), r"^\s+|\s+\z", "") for p in CI_PATTERNS.values()])
+    kind = F.element_at(F.array(*map(F.lit, CI_PATTERNS)), F.col("rule") + 1)
+    found = found.select("path", "line", "place", kind.alias("kind"), F.coalesce(value, F.lit("")).alias("value")).where(~((F.col("kind") == "job") & F.col("value").isin(*NO_JOBS)))
+    above = Window.partitionBy("path").orderBy("line", (F.col("kind") != "job").cast("int"), "place").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("job", F.last(F.when(F.col("kind") == "job", F.col("value")), ignorenulls=True).over(above))
+    return found.where((F.col("kind") == "run") & (F.col("place") < most_runs) | (F.col("kind") == "uses") & (F.col("place") < most_uses)).select("path", "job", "line", "kind", "place", "value")
+
+
+def ci_equivalents(workflows: DataFrame) -> DataFrame:
+    """(path, job, line, kind, ci_step, local_command, confidence) of the steps of workflow files (path, text, scripts: the project's own, a map): what to run at one's own machine.
+
+    The first rule that fits a run step decides; a script that the step names goes before all of them, the first in the map's order.
+    """
+    scripts = workflows.select("path", F.coalesce("scripts", F.create_map().cast("map<string,string>")).alias("scripts"))
+    steps = ci_steps(workflows).join(scripts, "path")
+    run, known = F.col("value"), F.col("scripts")
+    has = lambda name: F.coalesce(F.element_at(known, name) != "", F.lit(False))
+    own = F.element_at(F.split(F.regexp_replace(run, r"^pnpm (?:run )?", ""), r"\s"), 1)
+    choice = lambda command, sure: F.struct(command.alias("command"), F.lit(sure).alias("confidence"))
+    ruled = (
+        F.when(run.rlike(r"\b(npm|pnpm|yarn)\s+test\b") & has(F.lit("test")), choice(F.lit("pnpm test"), "confirmed"))
+        .when(run.rlike(r"\bbuild\b") & has(F.lit("build")), choice(F.lit("pnpm run build"), "strongly_inferred"))
+        .when(run.rlike(r"\blint\b") & (has(F.lit("lint")) | has(F.lit("lint:check"))), choice(F.when(has(F.lit("lint")), "pnpm run lint").otherwise("pnpm run lint:check"), "strongly_inferred"))
+        .when(run.rlike("vitest|jest|pytest|cargo test|go test"), choice(F.substring(F.trim(F.regexp_replace(run, r"\$\{\{.*?\}\}", "")), 1, 120), "weakly_inferred"))
+        .when(has(own), choice(F.concat(F.lit("pnpm run "), own), "confirmed")).otherwise(choice(F.lit(None).cast("string"), "weakly_inferred")))
+    named = F.get(F.filter(F.map_keys(known), lambda k: F.contains(run, F.concat(F.lit("run "), k)) | F.contains(run, F.concat(F.lit("pnpm "), k)) | F.endswith(run, k)), F.lit(0))
+    ran = F.when(named.isNotNull(), choice(F.concat(F.lit("pnpm run "), named), "confirmed")).otherwise(ruled)
+    used = F.when(run.rlike("(?i)setup-node"), choice(F.lit("node --version && corepack enable"), "weakly_inferred")).when(run.rlike("(?i)setup-pnpm"), choice(F.lit("pnpm --version"), "weakly_inferred")).otherwise(choice(F.lit(None).cast("string"), "unknown"))
+    shown = F.when(F.col("kind") == "run", F.substring(run, 1, 160)).otherwise(F.concat(F.lit("uses: "), F.substring(run, 1, 100)))
+    made = steps.withColumn("local", F.when(F.col("kind") == "run", ran).otherwise(used))
+    return made.select("path", "job", "line", "kind", shown.alias("ci_step"), F.col("local.command").alias("local_command"), "local.confidence")
 
 
 def without_ids(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -163,9 +235,9 @@ def change_impact(changed: DataFrame, files: DataFrame, edges: DataFrame) -> Dat
     return known.join(counts, "path", "left").select("path", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("dependents", "dependencies")))
 
 
-def change_risks(changed: DataFrame, added: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+def change_risks(changed: DataFrame, added: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """The review's findings that are more than information."""
-    return review(changed, added, files, edges).where(F.col("severity").isin("risk", "warn"))
+    return review(changed, added, files, symbols, edges).where(F.col("severity").isin("risk", "warn"))
 
 
 def change_tests(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
