@@ -88,6 +88,12 @@ def adapter_coverage(files: DataFrame) -> DataFrame:
     return with_adapter(files).groupBy(extension(F.col("path")).alias("extension"), "adapter").agg(F.count("*").alias("n"))
 
 
+def uncovered_extensions(files: DataFrame, limit: int = 30) -> DataFrame:
+    """(extension, n) of the commonest extensions that no adapter reads."""
+    covered = adapter_coverage(files).where("adapter is null and extension <> ''")
+    return covered.select("extension", "n").orderBy(F.desc("n"), "extension").limit(limit)
+
+
 def best_confidence(rows: DataFrame, confidence: Column, *keys: str) -> DataFrame:
     """The strongest confidence of each group."""
     rank = F.when(confidence == "confirmed", 3).when(confidence == "strongly_inferred", 2).when(confidence == "weakly_inferred", 1).otherwise(0)

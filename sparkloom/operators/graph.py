@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/staged/{uuid.uuid4().hex}"
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all that was staged; call it when no result made of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
     path = shared_folder(df.sparkSession)

@@ -75,6 +75,18 @@ def unused_symbols(symbols: DataFrame, imports: DataFrame, edges: DataFrame, pri
     return rows.select("id", "name", "file_path", "line", "kind", "exported", F.when(strong, "strongly_inferred").otherwise("weakly_inferred").alias("confidence"))
 
 
+def unused_report(symbols: DataFrame, imports: DataFrame, edges: DataFrame, limit: int = 100, private: bool = False) -> DataFrame:
+    """The first unused symbols, surest first, then by name as people sort it, with the reasons for each."""
+    rows = unused_symbols(symbols, imports, edges, private)
+    entry, convention = is_entry(F.col("file_path"), F.col("name")), F.col("name").rlike(CONVENTION)
+    reasons = F.array_compact(F.array(
+        F.when(F.col("exported"), "exported symbol name not seen in any indexed import specifier").otherwise("non-exported symbol with no import references (limited visibility)"), F.lit("no CALLS/REFERENCES edges to this symbol"),
+        F.when(entry, "possible entrypoint / barrel — lower confidence").when(F.col("exported") & ~F.col("name").rlike("(?i)^(get|set|handle|use|create|on)"), "non-entry exported symbol with zero import hits"),
+        F.when(convention, "framework/route convention name — may be framework-invoked")))
+    rank = F.when(F.col("confidence") == "strongly_inferred", 0).otherwise(1)
+    return rows.withColumn("reasons", reasons).orderBy(rank, F.collate(F.col("name"), "UNICODE"), "id").limit(limit)
+
+
 def owners_for(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(path, pattern, owner) of the last rule that matches; null where none does. Rules are configuration, in file order."""
     paths, out = F.col("path"), F.lit(None).cast("struct<pattern:string,owner:string>")

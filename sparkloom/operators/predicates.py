@@ -106,8 +106,9 @@ def memory_search(memory: DataFrame, query: str, limit: int = 50) -> DataFrame:
 
 
 def decision_search(decisions: DataFrame, query: str) -> DataFrame:
+    """Decisions (title, decision) that hold the query in either; case is ignored."""
     q = F.lit(query.lower())
-    return decisions.where(F.contains(F.lower("title"), q) | F.contains(F.lower("content"), q))
+    return decisions.where(F.contains(F.lower("title"), q) | F.contains(F.lower("decision"), q))
 
 
 def test_files(files: DataFrame, kind: str = "inventory") -> DataFrame:

@@ -47,7 +47,7 @@ FROM (
     "memory": """
 SELECT CAST(d.doc_id AS VARCHAR(20)) AS id, CASE d.doc_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'note' WHEN 2 THEN 'task' ELSE 'session' END AS type,
   lang || ' ' || source || ' ' || d.doc_id AS title, text AS content, lang || ',' || source AS tags, d.doc_id * 1000 AS created_at, (d.doc_id * 7919) % 100003 AS updated_at
-FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+FROM documents d""",
 }
 
 

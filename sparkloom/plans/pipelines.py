@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.code import by_rule, hits, part
 from ..functions.extract import TO_DO, added_line_findings, shell_commands
-from ..functions.text import any_term, edge_id, escaped_like, match_score, node_id, node_path, token_estimate
+from ..functions.text import any_term, dirname, edge_id, escaped_like, folded, match_score, node_id, node_path, token_estimate
 from ..operators.graph import impact, staged
-from ..operators.joins import import_targets, tests_of, touched_symbols
+from ..operators.joins import import_targets, mutual_pairs, tests_of, touched_symbols
 from ..operators.matching import containing
 from ..operators.predicates import GENERATED, TEST_FILES
 from ..operators.prefix import within_budget
@@ -37,6 +37,13 @@ def keep_latest(old: DataFrame, new: DataFrame, key: str, version: str, created:
     return made.select(*cols)
 
 
+def upserted_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges by id: of an id in both the new confidence and meta, of several new ones the last by confidence."""
+    fresh = new.groupBy("id").agg(F.max_by(F.struct("from_id", "to_id", "edge_type", "confidence", "meta"), "confidence").alias("e")).select("id", "e.*")
+    return old.join(fresh, "id", "left_anti").unionByName(fresh.join(old.select("id", F.struct("from_id", "to_id", "edge_type").alias("o")), "id", "left").select(
+        "id", *(F.coalesce(f"o.{c}", c).alias(c) for c in ("from_id", "to_id", "edge_type")), "confidence", "meta"))
+
+
 def replace_rows(old: DataFrame, new: DataFrame, changed: DataFrame, key: str = "file_path") -> DataFrame:
     """Rows of changed keys replaced by the new ones."""
     return old.join(changed.select(F.col("path").alias(key)), key, "left_anti").unionByName(new)
@@ -53,7 +60,7 @@ def build_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
     linked = [targets.select(file_node, to, F.lit(k), sure) for k in ("IMPORTS", "DEPENDS_ON")]
     tests = targets.where(F.col("known") & ~F.startswith("target", F.lit("pkg:")) & F.col("file_path").rlike(TEST_FILES["graph"])).select(file_node, to, F.lit("TESTS"), F.lit("strongly_inferred"))
     every = reduce(DataFrame.union, [contains, routes, *linked, tests])
-    made = every.groupBy("from_id", "to_id", "edge_type").agg(F.min("confidence").alias("confidence"))
+    made = every.groupBy("from_id", "to_id", "edge_type").agg(F.min("confidence").alias("confidence"), F.lit(None).cast("string").alias("meta"))
     return made.withColumn("id", edge_id(F.col("from_id"), F.col("to_id"), F.col("edge_type")))
 
 
@@ -145,29 +152,53 @@ def review(changed: DataFrame, added: DataFrame, files: DataFrame, symbols: Data
     return reduce(DataFrame.unionByName, out)
 
 
+def search_docs(docs: DataFrame, query: str, limit: int = 40) -> DataFrame:
+    """(path, line_number, preview) of the first lines of documents (path, text) that hold the query: those below docs, then apps/docs, then the root's own four."""
+    p = F.col("path")
+    place = F.when(p.rlike(r"(?i)^docs/.*\.mdx?$"), 0).when(p.rlike(r"(?i)^apps/docs/.*\.mdx?$"), 1).when(p.isin("README.md", "CHANGELOG.md", "CONTRIBUTING.md", "AGENTS.md"), 2)
+    some = docs.withColumn("place", place).where(F.col("place").isNotNull() & ~p.rlike("node_modules|dist/"))
+    lines = some.select("path", "place", F.posexplode(F.split("text", "\r?\n")).alias("k", "line")).where(F.contains(F.lower("line"), F.lit(query.lower())))
+    return lines.orderBy("place", "path", "k").limit(limit).select("path", (F.col("k") + 1).alias("line_number"), F.substring(F.trim("line"), 1, 200).alias("preview"))
+
+
 def unified_search(files: DataFrame, symbols: DataFrame, memory: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(kind, id, title): up to limit hits of each kind."""
+    """(kind, id, title): up to limit hits of each kind; a document's hit is a line of it."""
     a = symbols.where(escaped_like(F.col("name"), query)).orderBy("name", "id").limit(limit).select(F.lit("symbol").alias("kind"), "id", F.col("name").alias("title"))
     b = files.where(F.contains(F.lower("path"), F.lit(query.lower()))).orderBy("path").limit(limit).select(F.lit("file"), F.col("path"), F.col("path"))
     c = memory.where(escaped_like(F.col("title"), query) | escaped_like(F.col("content"), query)).orderBy(F.desc("updated_at"), "id").limit(limit).select(F.lit("memory"), "id", "title")
-    return a.union(b).union(c)
-
-
-def health_checks(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, ok, weight) of a repository."""
-    f = files.agg(F.bool_or(F.col("path").rlike(r"(?i)readme")).alias("readme"), F.bool_or(F.col("path").rlike(TEST_FILES["inventory"])).alias("tests"), (F.count("*") > 0).alias("indexed"))
-    s, e = symbols.agg((F.count("*") > 0).alias("symbols")), edges.agg((F.count("*") > 0).alias("graph"))
-    one = f.crossJoin(s).crossJoin(e)  # one row each
-    weights = {"indexed": 20, "symbols": 15, "graph": 15, "tests": 15, "readme": 10}
-    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.coalesce(k, F.lit(False)).alias("ok"), F.lit(w).alias("weight")) for k, w in weights.items()))))
+    d = search_docs(files, query, limit).select(F.lit("doc"), F.concat("path", F.lit(":"), F.col("line_number").cast("string")), "preview")
+    return a.union(b).union(c).union(d)
+
+
+def health_checks(files: DataFrame, symbols: DataFrame, edges: DataFrame, git: bool = False) -> DataFrame:
+    """(name, ok, weight, detail) of a repository's checks. The scripts check is there only if files (path, text) hold a package.json at the root; an unreadable one fails it."""
+    has_text = "text" in files.columns
+    package = F.max(F.when(F.col("path") == "package.json", F.coalesce("text", F.lit("")))) if has_text else F.lit(None).cast("string")
+    f = files.agg(F.count("*").alias("files"), F.count_if(F.col("path") == "README.md").alias("readme"), F.count_if(F.col("path").rlike(TEST_FILES["inventory"])).alias("tests"), package.alias("package"))
+    s, e = symbols.agg(F.count("*").alias("symbols")), edges.agg(F.count("*").alias("edges"))
+    cycles = mutual_pairs(edges).agg(F.count("*").alias("cycles"))
+    one = f.crossJoin(s).crossJoin(e).crossJoin(cycles)  # one row each
+    scripts = F.from_json(F.get_json_object("package", "$.scripts"), "map<string,string>")
+    named = reduce(lambda a, b: a | b, (F.coalesce(F.element_at(scripts, F.lit(k)) != "", F.lit(False)) for k in ("test", "build", "lint")))
+    n = lambda *parts: F.concat(*(F.col(x).cast("string") if x in ("files", "symbols", "edges", "cycles", "tests") else F.lit(x) for x in parts))
+    rows = [
+        ("index", F.col("files") > 0, 20, n("files", " files, ", "symbols", " symbols")), ("graph", F.col("edges") > 0, 15, n("edges", " edges")), ("git", F.lit(git), 10, F.lit("git repository" if git else "not a git repo or git unavailable")),
+        ("readme", F.col("readme") > 0, 5, F.when(F.col("readme") > 0, "README.md found").otherwise("missing README.md")),
+        ("cycles", F.col("cycles") == 0, 15, F.when(F.col("cycles") == 0, "no mutual file import pairs found").otherwise(n("cycles", " mutual import pairs"))), ("tests", F.col("tests") > 0, 15, n("tests", " test-related files indexed"))]
+    checks = [F.struct(F.lit(name).alias("name"), ok.alias("ok"), F.lit(w).alias("weight"), detail.alias("detail")) for name, ok, w, detail in rows]
+    told = F.when(scripts.isNull(), "package.json unreadable or without scripts").otherwise(F.concat(F.lit("scripts: "), F.array_join(F.slice(F.map_keys(scripts), 1, 8), ", ")))
+    checks.append(F.when(F.col("package").isNotNull(), F.struct(F.lit("scripts").alias("name"), named.alias("ok"), F.lit(10).alias("weight"), told.alias("detail"))))
+    return one.select(F.inline(F.array_compact(F.array(*checks))))
 
 
 def broken_commands(commands: DataFrame, files: DataFrame, known: tuple[str, ...], program: str) -> DataFrame:
-    """(path, command, problem): unknown subcommands of program, and ./paths that aren't there."""
-    sub = F.regexp_extract("command", rf"^{program}\s+([a-z][\w-]*)", 1)
-    unknown = commands.where((sub != "") & ~sub.isin(*known)).select("path", "command", F.lit("unknown_subcommand").alias("problem"))
-    local = commands.withColumn("target", F.regexp_extract("command", r"(?:^|\s)\./([\w./-]+)", 1)).where("target <> ''")
-    gone = local.join(files.select(F.col("path").alias("target")), "target", "left_anti").select("path", "command", F.lit("missing_path").alias("problem"))
+    """(path, command, problem) of commands (path, command): unknown subcommands of program, and ./paths given to node or a package manager that are neither at the root nor beside the document."""
+    sub = F.regexp_extract("command", rf"^{program}\s+(\w+)", 1)
+    unknown = commands.where((sub != "") & ~sub.isin(*known)).select("path", "command", F.concat(F.lit("unknown subcommand '"), sub, F.lit("'")).alias("problem"))
+    local = commands.withColumn("target", F.regexp_replace(F.regexp_extract("command", r"(?:node|pnpm|npm|npx)\s+\./(\S+)", 1), r"""[`'".,;:)\]]+$""", "")).where("target <> ''")
+    tried = local.select("path", "command", "target", F.explode(F.array_distinct(F.array(folded(F.col("target")), folded(F.concat(dirname(F.col("path")), F.lit("/"), "target"))))).alias("at"))
+    there = tried.join(files.select(F.col("path").alias("at")), "at", "left_semi").select("path", "command", "target")
+    gone = local.join(there.distinct(), ["path", "command", "target"], "left_anti").select("path", "command", F.concat(F.lit("path not found: ./"), "target").alias("problem"))
     return unknown.union(gone)
 
 

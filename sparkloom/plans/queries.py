@@ -71,7 +71,7 @@ SELECT id, name, file_path FROM symbols WHERE file_path IN (FROM m) AND (regexp_
 add("p14_sensitive_files", lambda c: P.sensitive_files(c.files), r"""
 SELECT path, CASE WHEN regexp_matches(path, '(?i)(^|/)(\.env($|\.)|.*secrets?.*)') THEN 'path_pattern_sensitive' ELSE 'env_file_not_example' END AS reason FROM files
 WHERE regexp_matches(path, '(?i)(^|/)(\.env($|\.)|.*secrets?.*)|\.env') ORDER BY path LIMIT 80""")
-add("p19_decision_search", lambda c: P.decision_search(c.memory.where("type = 'decision'"), "SRC2").select("id"), "SELECT id FROM memory WHERE type = 'decision' AND (contains(lower(title), 'src2') OR contains(lower(content), 'src2'))")
+add("p19_decision_search", lambda c: P.decision_search(c.memory.where("type = 'decision'").withColumn("decision", F.substring("content", 1, 60)), "SRC1").select("id"), "SELECT id FROM memory WHERE type = 'decision' AND (contains(lower(title), 'src1') OR contains(lower(left(content, 60)), 'src1'))")
 add("p21_node_ids", lambda c: c.edges.select("from_id", T.node_path(F.col("from_id")).alias("path"), T.node_id(T.node_path(F.col("from_id"))).alias("again")).distinct(), "SELECT DISTINCT from_id, substr(from_id, 6) AS path, from_id AS again FROM edges")
 add("o05_newest_memory", lambda c: P.by_column(c.memory, "type", "note", "updated_at").select("id", "updated_at"), "SELECT id, updated_at FROM memory WHERE type = 'note'")
 add("o06_large_files", lambda c: A.top(c.files.select("path", "size"), "size", "path"), "SELECT path, size FROM files ORDER BY size DESC, path LIMIT 20")
@@ -156,8 +156,12 @@ add("a07_grouped_samples", lambda c: A.grouped_samples(c.imports, "source", "fil
 WITH o AS (SELECT source, file_path, min(ord) AS first FROM imports GROUP BY ALL) SELECT source, list(file_path ORDER BY first, file_path)[1:20] AS values FROM o GROUP BY source""")
 add("a08_capped_counts", lambda c: A.capped_counts(c.symbols.withColumnRenamed("name", "label"), ["ord"]), """
 WITH k AS (SELECT * FROM symbols ORDER BY ord LIMIT 200) SELECT 'kind' AS by, kind AS key, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'label', name, count(*) FROM k GROUP BY 2""")
-add("a09_health", lambda c: A.weighted_score(L.health_checks(c.files, c.symbols, c.edges)), """
-SELECT 100 - CASE WHEN bool_or(regexp_matches(path, '(?i)readme')) THEN 0 ELSE 13 END AS score, CASE WHEN bool_or(regexp_matches(path, '(?i)readme')) THEN 'A' ELSE 'B' END AS grade, bool_or(regexp_matches(path, '(?i)readme')) AS ready FROM files""")
+_CHECKS_SQL = r"""n AS (SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM files WHERE regexp_matches(path, '\.(test|spec)\.|_test\.|(^|/)tests?/')) AS tests,
+  (SELECT count(*) FROM (SELECT DISTINCT a.from_id, a.to_id FROM edges a JOIN edges b ON a.from_id = b.to_id AND a.to_id = b.from_id WHERE a.edge_type = 'IMPORTS' AND b.edge_type = 'IMPORTS' AND a.from_id < a.to_id)) AS cycles),
+checks AS (SELECT unnest(['index', 'graph', 'git', 'readme', 'cycles', 'tests']) AS name, unnest([files > 0, edges > 0, false, false, cycles = 0, tests > 0]) AS ok, unnest([20, 15, 10, 5, 15, 15]) AS weight,
+  unnest([files || ' files, ' || symbols || ' symbols', edges || ' edges', 'not a git repo or git unavailable', 'missing README.md', CASE WHEN cycles = 0 THEN 'no mutual file import pairs found' ELSE cycles || ' mutual import pairs' END, tests || ' test-related files indexed']) AS detail FROM n)"""
+add("a09_health", lambda c: A.weighted_score(L.health_checks(c.files, c.symbols, c.edges)), "WITH " + _CHECKS_SQL + """, s AS (SELECT round(100 * sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight))::BIGINT AS score, bool_and(ok) AS ready FROM checks)
+SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade, ready FROM s""")
 add("a10_duplicate_imports", lambda c: A.duplicate_imports(c.imports), "SELECT file_path, source, count(*) AS n FROM imports GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, 1, 2 LIMIT 50")
 add("a11_heavy_files", lambda c: A.heavy_files(c.imports, c.edges), """
 WITH i AS (SELECT file_path, count(*) AS n_imports, list_sort(list(DISTINCT source))[1:8] AS samples FROM imports GROUP BY 1), e AS (SELECT substr(from_id, 6) AS file_path, count(*) AS n_edges FROM edges WHERE edge_type IN ('IMPORTS', 'DEPENDS_ON') GROUP BY 1)
@@ -165,6 +169,7 @@ SELECT file_path, coalesce(n_imports, 0) AS n_imports, coalesce(n_edges, 0) AS n
 WHERE greatest(coalesce(n_imports, 0), coalesce(n_edges, 0)) >= 8 ORDER BY weight DESC, file_path LIMIT 25""")
 add("a12_adapter_coverage", lambda c: A.adapter_coverage(c.files), r"""
 SELECT regexp_extract(path, '(\.[^./]*)$', 1) AS extension, CASE extension WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.rs' THEN 'rust' WHEN '.go' THEN 'go' END AS adapter, count(*) AS n FROM files GROUP BY ALL""")
+add("a12_uncovered_extensions", lambda c: A.uncovered_extensions(c.files), r"SELECT * FROM (SELECT regexp_extract(path, '(\.[^./]*)$', 1) AS extension, count(*) AS n FROM files GROUP BY 1) WHERE extension NOT IN ('.ts', '.tsx', '.py', '.rs', '.go') ORDER BY n DESC, extension LIMIT 30")
 add("a13_best_confidence", lambda c: A.best_confidence(J.unused_symbols(c.symbols, c.imports, c.edges), F.col("confidence"), "kind"), r"""
 WITH n AS (SELECT DISTINCT unnest([string_split(regexp_replace(specifier, '[{}\s*]', '', 'g'), ',')[1], regexp_extract(specifier, '(?:as\s+)?(\w+)\s*$', 1)]) AS name FROM imports),
 u AS (SELECT kind, NOT (regexp_matches(file_path, '(?i)(^|/)(index|main|mod|app|server|cli|bin)\.(ts|tsx|js|jsx|mjs|cjs|rs|go|py)$|/(bin|scripts|src/bin)/') OR name IN ('default', 'main', 'run') OR regexp_matches(name, '(?i)^(get|set|handle|use|create|on)') OR regexp_matches(name, '^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|default|middleware|layout|loading|error|notFound)$')) AS strong
@@ -353,9 +358,10 @@ UNION ALL SELECT dest, NULL, 'impact', 'warn', 'High fan-in: ' || count(DISTINCT
 UNION ALL SELECT path, NULL, 'general', 'info', 'Hunks touch symbols: ' || array_to_string(names, ', ') FROM to_s
 UNION ALL SELECT path, NULL, 'tests', 'warn', 'No related test files inferred for this change' FROM src s WHERE NOT EXISTS (SELECT 1 FROM tst t WHERE contains(t.path, regexp_replace(s.path, '\\.[^.]+$', ''))) AND NOT EXISTS (SELECT 1 FROM e WHERE dest = s.path AND edge_type = 'TESTS' AND src IN (FROM tst))
 UNION ALL SELECT path, NULL, 'general', 'info', 'Not in the index yet' FROM ch WHERE path LIKE 'moved/%' UNION ALL SELECT '(diff)', NULL, 'general', 'info', 'TODO/FIXME markers present in diff'""")
-add("x07_unified_search", lambda c: L.unified_search(c.files, c.symbols, c.memory, "src1"), """
-SELECT * FROM (SELECT 'symbol' AS kind, id, name AS title FROM symbols WHERE name ILIKE '%src1%' ORDER BY name, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'file', path, path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 20)
-UNION ALL SELECT * FROM (SELECT 'memory', id, title FROM memory WHERE title ILIKE '%src1%' OR content ILIKE '%src1%' ORDER BY updated_at DESC, id LIMIT 20)""")
+add("x07_unified_search", lambda c: L.unified_search(c.files.withColumn("path", F.regexp_replace("path", "^config/(.*md)$", "docs/$1")), c.symbols.withColumn("name", F.concat("name", F.lit("_en"))), c.memory, "en"), """
+WITH f AS (SELECT doc_id, regexp_replace(path, '^config/(.*md)$', 'docs/\\1') AS path, text FROM files), d AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM f WHERE path LIKE 'docs/%.md')
+SELECT * FROM (SELECT 'symbol' AS kind, id, name || '_en' AS title FROM symbols ORDER BY name || '_en', id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'file', path, path FROM f WHERE contains(lower(path), 'en') ORDER BY path LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'memory', id, title FROM memory WHERE title ILIKE '%en%' OR content ILIKE '%en%' ORDER BY updated_at DESC, id LIMIT 20) UNION ALL SELECT * FROM (SELECT 'doc', path || ':' || n, left(trim(line), 200) FROM d WHERE contains(lower(line), 'en') ORDER BY path, n LIMIT 20)""")
 _WORKFLOW = """name: ci
 on:
   push:
@@ -399,7 +405,7 @@ def _workflow_rows() -> str:
 
 add("x08_ci_equivalents", lambda c: L.ci_equivalents(_workflows(c)), f"""WITH w(k, line, kind, ci_step, local_command, confidence) AS (VALUES {_workflow_rows()})
 SELECT path, CASE WHEN line < 13 THEN 'build-' || doc_id ELSE 'lint' END AS job, line, kind, ci_step, local_command, confidence FROM files JOIN w ON k = doc_id % 3""")
-add("x10_health_checks", lambda c: L.health_checks(c.files, c.symbols, c.edges), "SELECT unnest(['indexed', 'symbols', 'graph', 'tests', 'readme']) AS name, unnest([true, true, true, true, false]) AS ok, unnest([20, 15, 15, 15, 10]) AS weight")
+add("x10_health_checks", lambda c: L.health_checks(c.files, c.symbols, c.edges), "WITH " + _CHECKS_SQL + " SELECT name, ok, weight, detail FROM checks")
 add("k02_replace_symbols", lambda c: L.replace_rows(c.symbols.select("file_path", "id", "line"), c.symbols.where("ord % 2 = 0").select("file_path", "id", (F.col("line") + 100).alias("line")), c.files.where("doc_id % 2 = 0")), """
 SELECT file_path, id, line FROM symbols WHERE file_path NOT IN (SELECT path FROM files WHERE doc_id % 2 = 0) UNION ALL SELECT file_path, id, line + 100 FROM symbols WHERE ord % 2 = 0""")
 add("k05_upsert_memory", lambda c: L.keep_latest(c.memory.select("id", "type", "created_at", "updated_at"), c.memory.where("id like '%1'").select("id", F.lit("new").alias("type"), (F.col("created_at") + 5).alias("created_at"), (F.col("updated_at") + 1).alias("updated_at")), "id", "updated_at", "created_at"), """

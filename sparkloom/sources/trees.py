@@ -53,6 +53,14 @@ def git_status(lines: DataFrame) -> DataFrame:
     return lines.where(~F.startswith("line", F.lit("##"))).select(F.explode(kinds).alias("kind"), F.element_at(F.split(path, " -> "), -1).alias("path"))
 
 
+def git_position(lines: DataFrame) -> DataFrame:
+    """(branch, ahead, behind) of the header of porcelain status lines (line); 0 where it says nothing, no row without a header."""
+    head = lines.where(F.startswith("line", F.lit("## ")))
+    n = lambda word: F.coalesce(F.nullif(F.regexp_extract("line", rf"{word}\s+(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+    branch = F.regexp_replace(F.regexp_extract("line", r"^## (?:No commits yet on |Initial commit on )?(\S+)", 1), r"\.\.\..*$", "")
+    return head.select(branch.alias("branch"), n("ahead").alias("ahead"), n("behind").alias("behind"))
+
+
 class GitSource(DataSource):
     """spark.read.format("gitlines").option("root", ...).option("command", "log"): lines of a read-only git command."""
 

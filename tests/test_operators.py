@@ -77,11 +77,11 @@ def test_applicable_rules(spark):
 
 
 def test_commands_in_docs(spark):
-    docs = spark.createDataFrame([("README.md", "x\n```bash\n$ tool run a\n# note\n./scripts/go.sh\n```\n")], "path string, text string")
+    docs = spark.createDataFrame([("docs/a.md", "x\n```bash\n$ tool run a\n# note\n// note\n| table |\n> node ./scripts/go.js`.\nnode ./near.js\nnpx ./root.js x\n```\n```mermaid\ntool no\n```\n```PWSH\ntool build\n```\n")], "path string, text string")
     found = X.shell_commands(docs)
-    assert [r.command for r in found.collect()] == ["tool run a", "./scripts/go.sh"]
-    bad = L.broken_commands(found, spark.createDataFrame([("a",)], "path string"), ("build",), "tool")
-    assert {r.problem for r in bad.collect()} == {"unknown_subcommand", "missing_path"}
+    assert [r.command for r in found.collect()] == ["tool run a", "node ./scripts/go.js`.", "node ./near.js", "npx ./root.js x", "tool build"]
+    bad = L.broken_commands(found, spark.createDataFrame([("docs/near.js",), ("root.js",)], "path string"), ("build",), "tool")
+    assert {(r.command, r.problem) for r in bad.collect()} == {("tool run a", "unknown subcommand 'run'"), ("node ./scripts/go.js`.", "path not found: ./scripts/go.js")}
 
 
 def test_ci_and_manifests(spark):
@@ -209,6 +209,23 @@ def test_imports_over_several_lines(spark):
     assert got == [(1, "./x", "{\n  a,\n  b,\n}"), (6, "./x", "*"), (7, "./x", "def")]
 
 
+def test_health_docs_edges_and_position(spark):
+    files = spark.createDataFrame([("README.md", "The Plan\nplan b"), ("docs/a.md", "no\nmy PLAN  "), ("docs/node_modules/x.md", "plan"), ("src/a.test.ts", "plan"), ("package.json", '{"scripts": {"build": "x", "z": "y"}}')], "path string, text string")
+    edges = spark.createDataFrame([("a", "b", "IMPORTS"), ("b", "a", "IMPORTS")], "from_id string, to_id string, edge_type string")
+    symbols = spark.createDataFrame([("1",)], "id string")
+    got = {r.name: (r.ok, r.weight, r.detail) for r in L.health_checks(files, symbols, edges, git=True).collect()}
+    assert got == {"index": (True, 20, "5 files, 1 symbols"), "graph": (True, 15, "2 edges"), "git": (True, 10, "git repository"), "readme": (True, 5, "README.md found"), "cycles": (False, 15, "1 mutual import pairs"),
+                   "tests": (True, 15, "1 test-related files indexed"), "scripts": (True, 10, "scripts: build, z")}
+    assert "scripts" not in {r.name for r in L.health_checks(files.where("path <> 'package.json'"), symbols, edges).collect()}
+    assert [tuple(r) for r in L.search_docs(files, "plan").collect()] == [("docs/a.md", 2, "my PLAN"), ("README.md", 1, "The Plan"), ("README.md", 2, "plan b")]
+    kind = "id string, from_id string, to_id string, edge_type string, confidence string, meta string"
+    old, new = spark.createDataFrame([("1", "a", "b", "X", "weak", None), ("2", "c", "d", "X", "weak", None)], kind), spark.createDataFrame([("1", "q", "q", "q", "sure", "m"), ("3", "e", "f", "X", "weak", None)], kind)
+    assert sorted(map(tuple, L.upserted_edges(old, new).collect()), key=lambda r: r[0]) == [("1", "a", "b", "X", "sure", "m"), ("2", "c", "d", "X", "weak", None), ("3", "e", "f", "X", "weak", None)]
+    lines = spark.createDataFrame([("## main...origin/main [ahead 2, behind 13]",), ("M  a",)], "line string")
+    assert [tuple(r) for r in S.git_position(lines).collect()] == [("main", 2, 13)]
+    assert [tuple(r) for r in S.git_position(spark.createDataFrame([("## No commits yet on dev",)], "line string")).collect()] == [("dev", 0, 0)]
+
+
 def test_order_of_names(spark):
     df = spark.createDataFrame([(1, "B"), (1, "a"), (1, "_x"), (1, "A"), (0, "z"), (1, "b")], "rank int, name string")
     assert [r.name for r in W.ranked_by_name(df, F.col("rank")).collect()] == ["z", "_x", "a", "A", "b", "B"]
@@ -237,7 +254,7 @@ def test_change_docs_and_tests(spark):
     text = "```bash\ntool run\ntool fly\n```"
     files = spark.createDataFrame([("a.md", text), ("b.md", text), ("src/n1.ts", ""), ("src/n1.test.ts", "")], "path string, text string")
     changed = spark.createDataFrame([("a.md",), ("src/n1.ts",)], "path string")
-    assert [(r.path, r.problem) for r in L.change_docs(changed, files, ("run",), "tool").collect()] == [("a.md", "unknown_subcommand")]
+    assert [(r.path, r.problem) for r in L.change_docs(changed, files, ("run",), "tool").collect()] == [("a.md", "unknown subcommand 'fly'")]
     assert sorted(r.path for r in L.change_docs(changed.limit(0), files, ("run",), "tool").collect()) == ["a.md", "b.md"]
     edges = spark.createDataFrame([], "from_id string, to_id string, edge_type string")
     assert [tuple(r) for r in L.change_tests(changed, files, edges).collect()] == [("src/n1.ts", "src/n1.test.ts")]
