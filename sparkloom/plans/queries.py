@@ -19,6 +19,7 @@ from ..operators import joins as J
 from ..operators import predicates as P
 from ..operators import windows as W
 from ..sources import workspace as R
+from ..sources import trees as B
 from ..sources.ignore_files import not_ignored_by_files
 from ..sources.store import VersionedTables
 from ..streaming import changes as S
@@ -47,6 +48,22 @@ add("s02_ignore_files", lambda c: not_ignored_by_files(c.files, c.spark.createDa
 WITH f AS (SELECT path, string_split(path, '/')[-1] AS base, NOT (path LIKE '%.md' AND path NOT LIKE '%1.md') AS doc FROM files)
 SELECT path FROM f WHERE NOT regexp_matches(path, '(^|/)(node_modules|dist)/') AND NOT starts_with(path, 'config/') AND CASE WHEN starts_with(path, 'tests/') THEN CASE WHEN base LIKE 'n5%' THEN true WHEN base LIKE '%.yml' THEN false ELSE doc END
   WHEN starts_with(path, 'packages/') THEN doc AND NOT regexp_matches(path, '^packages/src./models/') AND NOT contains(base, '_test.') ELSE doc END""")
+
+
+def _hash_lines(c: Catalog) -> DataFrame:
+    """A JSON line of each file; some are broken, have a number as text, or lack their hash."""
+    k = F.col("doc_id")
+    whole = F.to_json(F.struct(F.replace("path", F.lit("/"), F.lit("\\")).alias("path"), "hash", "size", "mtime"))
+    return c.files.select(F.when(k % 7 == 0, "not json").when(k % 11 == 0, F.to_json(F.struct("path", "hash", F.col("size").cast("string").alias("size"), "mtime"))).when(k % 13 == 0, F.to_json(F.struct("path", "size", "mtime"))).otherwise(whole).alias("line"))
+
+
+add("s02b_hash_rows", lambda c: B.hash_rows(_hash_lines(c)), "SELECT path, hash, size, mtime FROM files WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0")
+_OWNER_LINES = ("# team {i}", "* @all @team{i}", "lone", "", "  src/*.py   @py{i}", "/docs/ @d e@x.org")
+add("s11_code_owners", lambda c: B.code_owners(c.files.where("path like '%.md'").select(F.replace(F.lit("\n".join(_OWNER_LINES)), F.lit("{i}"), F.col("doc_id").cast("string")).alias("text"))).select("line_number", "pattern", F.array_join("owners", ",").alias("owners")), """
+SELECT unnest([2, 5, 6]) AS line_number, unnest(['*', 'src/*.py', '/docs/']) AS pattern, unnest(['@all,@team' || doc_id, '@py' || doc_id, '@d,e@x.org']) AS owners FROM files WHERE path LIKE '%.md'""")
+_DIFF = ("diff --git a/{p} b/{p}", "index 1..2", "--- a/{p}", "+++ b/{p}", "@@ -3,3 +{i},4 @@ here", " keep", "-old {i}", "+new {i}", "+more", " keep", "@@ -20 +30,2 @@", "-gone", "+--- not a header", "+last")
+add("s19_diff_lines", lambda c: W.diff_lines(c.files.select(F.col("doc_id").alias("diff_id"), "path", F.posexplode(F.array(*map(F.lit, _DIFF))).alias("n", "line")).select("diff_id", "n", F.replace(F.replace("line", F.lit("{p}"), F.col("path")), F.lit("{i}"), F.col("diff_id").cast("string")).alias("line"))), """
+SELECT doc_id AS diff_id, path AS file, unnest(['-', '+', '+', '-', '+', '+']) AS op, unnest([4, doc_id + 1, doc_id + 2, 20, 30, 31])::INT AS line_number, unnest(['old ' || doc_id, 'new ' || doc_id, 'more', 'gone', '--- not a header', 'last']) AS text FROM files""")
 add("p03_path_contains", lambda c: P.path_contains(c.files, "SRC1").select("path"), "SELECT path FROM files WHERE contains(lower(path), 'src1') ORDER BY path LIMIT 50")
 add("p04_name_like", lambda c: P.name_search(c.symbols, "ring").select("id", "name"), "SELECT id, name FROM symbols WHERE name ILIKE '%ring%' ORDER BY name, id LIMIT 50")
 add("p06_definitions", lambda c: P.definitions(c.symbols, "small_ring").select("id", "name"), """
@@ -412,6 +429,7 @@ add("k05_upsert_memory", lambda c: L.keep_latest(c.memory.select("id", "type", "
 SELECT id, CASE WHEN id LIKE '%1' THEN 'new' ELSE type END AS type, created_at, updated_at + CASE WHEN id LIKE '%1' THEN 1 ELSE 0 END AS updated_at FROM memory""")
 add("k06_delete_missing", lambda c: c.symbols.join(c.files.where("doc_id % 3 <> 0").select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id"), "SELECT id FROM symbols WHERE file_path IN (SELECT path FROM files WHERE doc_id % 3 <> 0)")
 
+add("f34_memory_records", lambda c: L.memory_records(c.memory.select("type", "title", "content", F.split("tags", ",").alias("tags")), 1000).select("type", "title", "tags", "created_at", "updated_at", F.length("id").alias("id_length")), "SELECT type, title, tags, 1000::BIGINT AS created_at, 1000::BIGINT AS updated_at, 36 AS id_length FROM memory")
 add("k07_delete_memory", lambda c: L.without_ids(c.memory, c.memory.where("id like '%7'")).select("id", "title"), "SELECT id, title FROM memory WHERE id NOT LIKE '%7'")
 add("s16_blame", lambda c: W.blame(c.table("events").select(F.col("event_type").alias("path"), F.col("event_id").alias("n"), F.when(F.col("event_id") % 5 == 1, F.concat(F.lit("author u"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("\t"), F.col("user_id").cast("string"))).alias("line"))), """
 WITH a AS (SELECT event_type AS path, event_id AS n, CASE WHEN event_id % 5 <> 1 THEN CAST(user_id AS VARCHAR) END AS text, coalesce(last_value(CASE WHEN event_id % 5 = 1 THEN 'u' || user_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), '?') AS author FROM events),

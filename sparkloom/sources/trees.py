@@ -24,10 +24,21 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+HASH_ROW = "path string, hash string, size long, mtime long"
+
+
+def hash_rows(lines: DataFrame) -> DataFrame:
+    """(path, hash, size, mtime) of JSON lines (line): lines that are no JSON, lack path or hash, or have another type anywhere are dropped; backslashes become slashes."""
+    typed = F.from_json("line", HASH_ROW, {"mode": "PERMISSIVE"}).alias("r")
+    kinds = [F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{c}", "variant")), F.lit("")) for c in ("path", "hash", "size", "mtime")]
+    rows = lines.select(typed, F.try_parse_json("line").alias("v"))
+    good = (kinds[0] == "STRING") & (kinds[1] == "STRING") & (kinds[2] == "BIGINT") & (kinds[3] == "BIGINT")
+    return rows.where(good).select("r.*").withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
+
+
 def hash_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (path, hash, size, mtime); bad rows are dropped, backslashes become slashes."""
-    rows = spark.read.schema("path string, hash string, size long, mtime long").option("mode", "DROPMALFORMED").json(path)
-    return rows.where("path is not null and hash is not null").withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
+    """hash_rows() of a file of JSON lines."""
+    return hash_rows(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
 def manifests(files: DataFrame) -> DataFrame:

@@ -1,13 +1,9 @@
-"""Change streams: batches by a quiet gap and a longest wait, coalesced folders, snapshot polling."""
+"""Change streams: batches by a quiet gap and a longest wait, coalesced folders. debounce.py has the delay that grows with what waits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def debounced(events: DataFrame, gap: str = "400 milliseconds", late: str | None = None, key: str = "source", time: str = "ts") -> DataFrame:
@@ -28,30 +24,6 @@ def debounced_with_limit(events: DataFrame, gap_ms: int = 400, most_ms: int = 20
     return rows.groupBy(key, "__session", "__cut").agg(F.min(ms).alias("opened_ms"), F.max(ms).alias("last_ms"), F.count("*").alias("n")).drop("__session", "__cut")
 
 
-def adaptive_batches(changes: DataFrame, gap_ms: int = 400, most_ms: int = 2000) -> DataFrame:
-    """Streaming batches of changed paths (source, path): flushed when quiet for gap_ms, or most_ms after the first.
-
-    The delay grows by 15 ms for each waiting path, up to 300, and never passes the longest wait. State is the set of
-    waiting paths of one source; timers run in processing time.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.getCurrentProcessingTimeMs()
-        first, paths = state.get if state.exists else (now, [])
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"source": [key[0]], "paths": [sorted(paths)], "n": [len(paths)]})
-            return
-        waiting = dict.fromkeys(paths)
-        for part in parts:
-            waiting.update(dict.fromkeys(part["path"]))
-        state.update((first, list(waiting)))
-        state.setTimeoutDuration(max(1, min(gap_ms + min(15 * len(waiting), 300), max(50, most_ms - (now - first)))))
-
-    return changes.groupBy("source").applyInPandasWithState(
-        step, "source string, paths array<string>, n long", "first long, paths array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def coalesced(batches: DataFrame, least: int = 12, levels: int = 2) -> DataFrame:
     """(batch, shown): the distinct folders (one or two levels) of a batch (batch, path) of least paths or more, else its paths."""
     folder = F.regexp_extract("path", rf"^((?:[^/]+/){{1,{levels}}})", 1)
