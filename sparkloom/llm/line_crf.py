@@ -5,8 +5,9 @@ kinds, words and repetition of the line itself and of the lines before and after
 marginal of being good; their mean, weighted by line length, is the document's quality, which one logistic step turns
 into a probability.
 
-Weights are fitted in numpy on at most FIT_DOCS labelled documents (those with the smallest hash of their id) of at most
-FIT_LINES lines, each line taking its document's label. Scoring covers every line of every text. Texts without a word
+Weights are fitted in numpy on at most FIT_DOCS labelled documents (those with the smallest hash of their id; of rows with one id one) and at most
+FIT_LINES lines in a row of each. Labels of lines are hidden: a good document's lines are good, of a bad one's at most half, and which
+these are is learned. Scoring covers every line of every text. Texts without a word
 (null, empty) have no good line and get the score of mean 0. Rows are scored one by one, so ids may be null or repeat.
 """
 
@@ -122,24 +123,45 @@ def chain(emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return marginal, joint, scale
 
 
-def fit(own: np.ndarray, n_words: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 250) -> dict:
-    """Weights by gradient ascent of the conditional likelihood (Adam, small L2), then the logistic step."""
+def believed(marginal: np.ndarray, n_words: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How good each line is, given its document's label as well: all lines of a good document are; of a bad one at most half, weighted by length, so
+    that the lines' log odds move down together until they say so."""
+    owner = np.repeat(np.arange(len(label)), np.diff(first))
+    odds, weight = _logit(marginal), np.bincount(owner, n_words, len(label))
+    low, high = np.zeros(len(label)), np.full(len(label), 20.0)
+    for _ in range(30):
+        shift = (low + high) / 2
+        share = np.bincount(owner, n_words / (1 + np.exp(shift[owner] - odds)), len(label)) / np.maximum(weight, 1e-9)
+        low, high = np.where(share > 0.5, shift, low), np.where(share > 0.5, high, shift)
+    return np.where(label[owner] > 0, 1.0, 1 / (1 + np.exp(high[owner] - odds)))
+
+
+def fit(own: np.ndarray, n_words: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: tuple[int, ...] = (90, 100, 60)) -> dict:
+    """Weights by gradient ascent of the conditional likelihood (Adam, small L2), then the logistic step.
+
+    Labels of lines are hidden. At first they are their document's, and only a line's own features count, so lines that good and bad documents have alike stay
+    undecided; then, with the chain and all features, they become what the model and the document's label say together.
+    """
     mean, dev = own.mean(0), own.std(0) + 1e-6
     x = with_neighbours((own - mean) / dev, first)
     y = np.repeat(label, np.diff(first)).astype(float)
     linked = np.ones(len(y), bool)
     linked[first[1:][np.diff(first) > 0] - 1] = False
     at = np.flatnonzero(linked)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at].astype(int), y[at + 1].astype(int)), 1)
-    theta = np.zeros(x.shape[1] + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        w, move = theta[:-4], theta[-4:].reshape(2, 2)
-        marginal, joint, _ = chain(x @ w, move, first)
-        grad = np.concatenate((x.T @ (y - marginal), (seen - joint).ravel())) / len(label) - 2e-3 * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        theta = theta + 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+    theta, alone = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
+    alone[:own.shape[1]] = alone[-5] = 1  # a line's own features and the constant
+    for k, steps in enumerate(rounds):
+        if k:
+            y = believed(chain(x @ theta[:-4], theta[-4:].reshape(2, 2), first)[0], n_words, first, label)
+        pair = np.stack((1 - y, y), 1)
+        seen = pair[at].T @ pair[at + 1]
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, steps + 1):
+            w, move = theta[:-4], theta[-4:].reshape(2, 2)
+            marginal, joint, _ = chain(x @ w, move, first)
+            grad = np.concatenate((x.T @ (y - marginal), (seen - joint).ravel())) / len(label) - 2e-3 * theta
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+            theta = theta + 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8) * (1 if k else alone)
     model = {"mean": mean, "dev": dev, "w": theta[:-4], "move": theta[-4:].reshape(2, 2), "a": 1.0, "b": 0.0}
     q = quality(model, own, n_words, first)
     z, a, b = _logit(q), 1.0, 0.0
@@ -157,13 +179,25 @@ def _logit(q: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
+def line_marginals(model: dict, own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The probability of each line to be good."""
+    return chain(with_neighbours((own - model["mean"]) / model["dev"], first) @ model["w"], model["move"], first)[0]
+
+
 def quality(model: dict, own: np.ndarray, n_words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Length-weighted mean of the lines' good marginals; 0 where there is no line."""
-    x = with_neighbours((own - model["mean"]) / model["dev"], first)
-    marginal, _, _ = chain(x @ model["w"], model["move"], first)
-    good, all_words = (np.concatenate(([0], np.cumsum(c))) for c in (marginal * n_words, n_words))
-    total = all_words[first[1:]] - all_words[first[:-1]]
-    return np.where(total > 0, (good[first[1:]] - good[first[:-1]]) / np.maximum(total, 1), 0.0)
+    """Length-weighted mean of the lines' good marginals; 0 where there is no line. A text's sums don't depend on the texts beside it."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    good, total = np.bincount(owner, line_marginals(model, own, first) * n_words, n), np.bincount(owner, n_words, n)
+    return np.where(total > 0, good / np.maximum(total, 1), 0.0)
+
+
+def stretch(a: int, b: int, n_words: np.ndarray) -> tuple[int, int]:
+    """The lines a:b, or FIT_LINES of them in a row, beginning at a place that the text's own lines give."""
+    if b - a <= FIT_LINES:
+        return a, b
+    start = a + int(mix(np.array([int(n_words[a:b].sum()) + (b - a)], U))[0] % U(b - a - FIT_LINES + 1))
+    return start, start + FIT_LINES
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
@@ -175,10 +209,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
         for batch in batches:
             for rows, data, offs in text_steps(batch):
                 own, n_words, first = line_table(data, offs)
-                out = [(y, own[a:b].ravel().tolist(), n_words[a:b].tolist()) for y, a, b in zip(rows.column(1).to_pylist(), first[:-1], first[1:]) if 0 < b - a <= FIT_LINES]
+                spans = [(y, *stretch(a, b, n_words)) for y, a, b in zip(rows.column(1).to_pylist(), first[:-1].tolist(), first[1:].tolist()) if b > a]
+                out = [(y, own[a:b].ravel().tolist(), n_words[a:b].tolist()) for y, a, b in spans]
                 yield pa.RecordBatch.from_pydict({"label": [x[0] for x in out], "own": [x[1] for x in out], "n_words": [x[2] for x in out]}, pa.schema([("label", pa.int32()), ("own", pa.list_(pa.float64())), ("n_words", pa.list_(pa.float64()))]))
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label")  # fit_docs rows at most
+    rows = docs.join(F.broadcast(chosen), "doc_id")  # fit_docs ids at most; of rows with one id one, picked before the shuffle
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
     got = rows.mapInArrow(run, "label int, own array<double>, n_words array<double>").toArrow()
     label = got["label"].to_numpy().astype(float)
     if len(set(label)) < 2:  # nothing to tell apart: one more of each kind, without weight for any feature

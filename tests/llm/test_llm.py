@@ -287,6 +287,32 @@ def test_op3_crf(spark, empty):
     assert line_crf.score(empty, line_crf.learn(empty.select("doc_id", "text"), labels)).count() == 0
 
 
+def test_op3_lines_of_mixed_documents(spark, monkeypatch):
+    """Bad documents are half prose, half junk: the lines are told apart, though no line has a label; long and repeated ones count as well."""
+    monkeypatch.setattr(line_crf, "FIT_LINES", 10)
+    r = random.Random(8)
+    good = lambda: prose(r.randrange(6, 12), r)
+    junk = lambda: " ".join(r.choice(["WIN!!!", "$$$", "|||", "BUY NOW!!", "###"]) for _ in range(8))
+
+    def bad():
+        lines = [good() for _ in range(r.randrange(2, 5))]
+        k = r.randrange(len(lines) + 1)
+        return lines[:k] + [junk() for _ in range(r.randrange(4, 9))] + lines[k:]
+
+    rows = [(i, "\n".join(bad() if i % 2 else [good() for _ in range(r.randrange(3, 30))])) for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:20] * 3, "doc_id long, text string")
+    model = line_crf.learn(df, spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int"))
+    lines = bad() + bad()
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    own, n_words, first = line_crf.line_table(data, np.array([0, len(data)]))
+    marginal = line_crf.line_marginals(model, own, first)
+    is_junk = np.array([any(c in t for c in "!$|#") for t in lines])
+    assert np.mean((marginal < 0.5) == is_junk) > 0.95 and 0 < is_junk.sum() < len(lines)
+    whole = line_crf.quality(model, own, n_words, first)
+    both = np.concatenate((data, [10], data)).astype(np.uint8)
+    assert line_crf.quality(model, *line_crf.line_table(both, np.array([0, len(data) + 1, len(both)])))[1] == whole[0]  # the same bits wherever the text stands
+
+
 def masked_by_hand(rows, model):
     """[(doc_id, tokens, log-probability)] from plain dictionaries of all contexts."""
     m, seen, of = masked_lm, {}, []
