@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import staged
 from .text import app_route, django_route, without_comments
 
 SCRIPT = ("typescript", "javascript")
@@ -169,31 +170,36 @@ def first_line(text: Column, hit: Column) -> Column:
 def framework_routes(files: DataFrame) -> DataFrame:
     """(path, line_number, framework, method, route, handler, confidence, rule) of files (path, text), with the routes that app folders imply.
 
-    Patterns read the text without comments; a route's line is that where its text stands first.
+    Patterns read the text without comments; a route's line is that where its text stands first. All rules are tried in one pass.
     """
-    code = files.where("text is not null").select("path", "text", without_comments(F.col("text")).alias("code"))
-
-    def of(rule: int, name: str, p: str, method: int, route: int, handler: int | None, confidence: str, needs: str | None) -> DataFrame:
-        found = code if needs is None else code.where(F.col("code").rlike(needs))
-        found = found.select("path", "text", F.explode(F.regexp_extract_all("code", F.lit(p), F.lit(0))).alias("hit"))
-        by, verb, at = F.lit(name), F.upper(F.regexp_extract("hit", p, method)), F.regexp_extract("hit", p, route)
+    code = files.where("text is not null").select("path", "text", F.explode(F.array(without_comments(F.col("text")))).alias("code"))
+    places, pages = F.col("path").rlike(r"/(page|layout|route)\.[tj]sx?\z"), F.col("path").rlike(r"/page\.[tj]sx?\z")
+    tried = [(k if k < 2 else k + 2, p, F.lit(True) if needs is None else F.col("code").rlike(needs)) for k, (_, p, *_, needs) in enumerate(ROUTES)]
+    kind = "array<struct<rule:int,hit:string,line:int>>"
+
+    def of(rule: int, pattern: str, when: Column) -> Column:
+        found = F.regexp_extract_all("code", F.lit(pattern), F.lit(0))
+        return F.when(when & F.col("code").rlike(pattern), F.transform(found, lambda h: F.struct(F.lit(rule).alias("rule"), h.alias("hit"), first_line(F.col("text"), h).alias("line")))).otherwise(F.array().cast(kind))
+
+    page = F.when(pages, F.array(F.struct(F.lit(3).alias("rule"), F.lit("").alias("hit"), F.lit(1).alias("line")))).otherwise(F.array().cast(kind))
+    rows = code.select("path", F.col("text").rlike("(?i)fastapi").alias("fastapi"), F.inline(F.concat(of(2, EXPORTED_VERB, places), page, *(of(*t) for t in tried))))
+
+    by, verb, at, handler, sure = {}, {}, {}, {}, {}
+    for k, (name, p, method, route, handled, confidence, _) in enumerate(ROUTES):
+        k = k if k < 2 else k + 2
+        by[k], verb[k], at[k], sure[k] = F.lit(name), F.upper(F.regexp_extract("hit", p, method)), F.regexp_extract("hit", p, route), F.lit(confidence)
+        handler[k] = F.regexp_extract("hit", p, handled) if handled else F.lit(None).cast("string")
         if name == "express":
-            by = F.when(F.col("hit").rlike("(?i)fastify"), "fastify").otherwise("express")
+            by[k] = F.when(F.col("hit").rlike("(?i)fastify"), "fastify").otherwise("express")
         if name == "flask":
-            by, verb = F.when(F.col("text").rlike("(?i)fastapi"), "fastapi").otherwise("flask"), F.when(verb == "ROUTE", "GET").otherwise(verb)
+            by[k], verb[k] = F.when(F.col("fastapi"), "fastapi").otherwise("flask"), F.when(verb[k] == "ROUTE", "GET").otherwise(verb[k])
         if name == "django":
-            at, verb = django_route(at), F.lit("ANY")
-        return found.select("path", first_line(F.col("text"), F.col("hit")).alias("line_number"), by.alias("framework"), verb.alias("method"), at.alias("route"),
-                            (F.regexp_extract("hit", p, handler) if handler else F.lit(None).cast("string")).alias("handler"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule"))
-
-    placed = code.where(F.col("path").rlike(r"/(page|layout|route)\.[tj]sx?\z")).withColumn("route", app_route(F.col("path")))
-    verbs = placed.select("path", "text", "route", F.explode(F.regexp_extract_all("code", F.lit(EXPORTED_VERB), F.lit(0))).alias("hit"))
-    verb, sure = F.regexp_extract("hit", EXPORTED_VERB, 1), F.lit("strongly_inferred")
-    out = placed.where(F.col("path").rlike(r"/page\.[tj]sx?\z")).select("path", F.lit(1).alias("line_number"), F.lit("nextjs").alias("framework"), F.lit("GET").alias("method"), "route", F.lit("page").alias("handler"), sure.alias("confidence"), F.lit(3).alias("rule"))
-    out = out.union(verbs.select("path", first_line(F.col("text"), F.col("hit")), F.lit("nextjs"), verb, "route", verb, sure, F.lit(2)))
-    for k, rule in enumerate(ROUTES):
-        out = out.union(of(k if k < 2 else k + 2, *rule))
-    return out.distinct()
+            at[k], verb[k] = django_route(at[k]), F.lit("ANY")
+    exported = F.regexp_extract("hit", EXPORTED_VERB, 1)
+    for k, method, handled in ((2, exported, exported), (3, F.lit("GET"), F.lit("page"))):
+        by[k], verb[k], at[k], handler[k], sure[k] = F.lit("nextjs"), method, app_route(F.col("path")), handled, F.lit("strongly_inferred")
+    pick = lambda of_rule: by_rule([of_rule[k] for k in range(len(of_rule))])
+    return rows.select("path", F.col("line").alias("line_number"), pick(by).alias("framework"), pick(verb).alias("method"), pick(at).alias("route"), pick(handler).alias("handler"), pick(sure).alias("confidence"), "rule").distinct()
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -225,8 +231,8 @@ def analysis(files: DataFrame) -> dict[str, DataFrame]:
     A framework's route is a symbol, exported, signed by the framework and its handler, unless the file has a route of that name; so is a component of a file
     with a hint of react or nextjs, unless the file has any symbol of that name. Go files get no routes of frameworks.
     """
-    own, hints = symbols(files), frameworks(files)
-    framed = framework_routes(files.where("language <> 'go'"))
+    own, hints = staged(symbols(files)), staged(frameworks(files))  # each used more than once below
+    framed = staged(framework_routes(files.where("language <> 'go'")))
     name = F.concat("method", F.lit(" "), "route")
     sign = F.concat_ws(":", "framework", "handler")
     added = framed.groupBy("path", name.alias("name")).agg(F.min_by(F.struct("line_number", sign.alias("signature")), F.struct("rule", "line_number")).alias("r"))
