@@ -37,6 +37,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, a side of a join that grows with the input: no broadcast, which would pass it through the driver whole. Spark takes files for as small as they are compressed."""
+    return df.hint("merge")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, source: str, target: str) -> DataFrame:
     """(seed, node) within depth steps along source -> target; a seed may come back through a cycle. Only new nodes go on."""
     step = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dirname, extension, folded, glob_regex, imported_names, internal_frame, node_path, posix
-from .graph import impact
+from .graph import impact, shuffled
 from .intervals import nearest, overlaps, points_inside
 from .matching import containing, matched_files
 from .predicates import CONVENTION, TEST_FILES, is_entry
@@ -52,9 +52,9 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     rows = rows.withColumn("stripped", F.regexp_replace("whole", r"(?i)\.(js|jsx|mjs|cjs|mts|cts)$", ""))
     rows = rows.withColumn("tried", F.array("whole", *(F.concat("stripped", F.lit(e)) for e in ENDINGS)))
     found = rows.where(~F.col("external")).select("ord", F.posexplode("tried").alias("place", "path"))
-    found = found.join(files.select("path"), "path").groupBy("ord").agg(F.min_by("path", "place").alias("found"))
+    found = found.join(shuffled(files.select("path")), "path").groupBy("ord").agg(F.min_by("path", "place").alias("found"))
     target = F.when(F.col("external"), F.concat(F.lit("pkg:"), F.element_at(F.split("source", "/"), 1))).otherwise(F.coalesce("found", "stripped"))
-    return rows.join(found, "ord", "left").select("ord", "file_path", "source", target.alias("target"), (F.col("external") | F.col("found").isNotNull()).alias("known"))
+    return rows.join(shuffled(found), "ord", "left").select("ord", "file_path", "source", target.alias("target"), (F.col("external") | F.col("found").isNotNull()).alias("known"))
 
 
 def orphans(files: DataFrame, edges: DataFrame) -> DataFrame:

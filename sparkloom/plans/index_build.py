@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..functions.text import symbol_id
-from ..operators.graph import staged
+from ..operators.graph import shuffled, staged
 from ..operators.joins import with_adapter
 from ..sources.store import VersionedTables
 from .pipelines import build_graph
@@ -34,9 +34,10 @@ class Frame:
         return self.files.where("path is not null").groupBy("path").agg(F.max_by("hash", F.struct("mtime", "hash")).alias("mark"))
 
     def contents(self, changed: DataFrame) -> DataFrame:
-        """(path, mark, hash, size, mtime, text) of the changed (path, mark)."""
-        rows = self.files.join(changed.withColumnRenamed("mark", "hash"), ["path", "hash"], "left_semi")
-        return rows.select("path", F.col("hash").alias("mark"), "hash", "size", "mtime", "text").dropDuplicates(["path"])
+        """(path, mark, hash, size, mtime, text) of the changed (path, mark), a row a path, with what else changed has; texts are shuffled once."""
+        more = [c for c in changed.columns if c not in ("path", "mark")]
+        rows = self.files.join(shuffled(changed.withColumnRenamed("mark", "hash")), ["path", "hash"])
+        return rows.select("path", F.col("hash").alias("mark"), "hash", "size", "mtime", "text", *more).dropDuplicates(["path", "mark"])
 
 
 @dataclass
@@ -58,13 +59,14 @@ class Tree:
 
     def contents(self, changed: DataFrame) -> DataFrame:
         few = changed.select("path").limit(LISTED + 1).collect()  # LISTED rows at most are used
+        wanted = changed.select("path", *(c for c in changed.columns if c not in ("path", "mark")))
         if len(few) > LISTED:
-            rows = self._scan().join(changed.select("path"), "path", "left_semi")
+            rows = self._scan().join(shuffled(wanted), "path")
         elif few:
-            rows = self._scan(*(f"{self.root.rstrip('/')}/{r['path']}" for r in few))
+            rows = self._scan(*(f"{self.root.rstrip('/')}/{r['path']}" for r in few)).join(wanted, "path")
         else:
-            rows = self._scan().limit(0)
-        return rows.select("path", "mark", F.sha2("content", 256).alias("hash"), "size", "mtime", F.decode("content", "UTF-8").alias("text"))
+            rows = self._scan().limit(0).join(wanted, "path")
+        return rows.select("path", "mark", F.sha2("content", 256).alias("hash"), "size", "mtime", F.decode("content", "UTF-8").alias("text"), *wanted.columns[1:])
 
 
 def extracted(files: DataFrame) -> dict[str, tuple[DataFrame, str]]:
@@ -91,7 +93,7 @@ def build(store: VersionedTables, source: Frame | Tree, incremental: bool = True
     action = F.when(F.col("mark").isNull(), "delete").when(F.lit(not incremental) | F.col("was").isNull() | (F.col("was") != F.col("mark")), "read").otherwise("keep")
     delta = staged(both.select("path", "mark", "language", "known_hash", action.alias("action")))
     wanted = delta.where("action = 'read'")
-    read = source.contents(wanted.select("path", "mark")).join(wanted.select("path", "language", "known_hash"), "path")
+    read = source.contents(wanted.select("path", "mark", "language", "known_hash"))
     changed = F.lit(not incremental) | F.col("known_hash").isNull() | (F.col("known_hash") != F.col("hash"))
     read = staged(read.withColumn("changed", changed))
     gone = delta.where("action = 'delete'").select("path")
@@ -108,7 +110,7 @@ def build(store: VersionedTables, source: Frame | Tree, incremental: bool = True
             tx.write(name, new, key)
         elif buckets:
             old = tx.read(name, buckets)
-            tx.write(name, old.join(paths.select(F.col("path").alias(key)), key, "left_anti").unionByName(new.select(old.columns)), key, buckets)
+            tx.write(name, old.join(shuffled(paths.select(F.col("path").alias(key))), key, "left_anti").unionByName(new.select(old.columns)), key, buckets)
 
     stamped = read.select("path", "mark", "hash", "language", "size", "mtime")
     replace("files", stamped, "path", read.select("path").union(gone))
