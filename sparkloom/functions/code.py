@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import staged
+from ..operators.graph import shuffled, staged
 from .text import app_route, django_route, without_comments
 
 SCRIPT = ("typescript", "javascript")
@@ -236,14 +236,14 @@ def analysis(files: DataFrame) -> dict[str, DataFrame]:
     name = F.concat("method", F.lit(" "), "route")
     sign = F.concat_ws(":", "framework", "handler")
     added = framed.groupBy("path", name.alias("name")).agg(F.min_by(F.struct("line_number", sign.alias("signature")), F.struct("rule", "line_number")).alias("r"))
-    added = added.join(own.where("kind = 'route'").select("path", "name"), ["path", "name"], "left_anti")
+    added = added.join(shuffled(own.where("kind = 'route'").select("path", "name")), ["path", "name"], "left_anti")
     columns = ["path", "line_number", "kind", "name", "exported", "signature"]
     added = added.select("path", F.col("r.line_number").alias("line_number"), F.lit("route").alias("kind"), "name", F.lit(True).alias("exported"), F.col("r.signature").alias("signature"))
     every = own.select(columns).union(added)
     # a hint is a matter of the file's own text and path, so no text has to meet the hints
     ui = reduce(lambda x, y: x | y, (F.col("text").rlike(p) | F.col("path").rlike(by_path) for name, p, by_path, *_ in FRAMEWORKS if name in ("react", "nextjs")))
     shown = hits(files, [((F.col("language") != "go") & ui, COMPONENT)]).select("path", "line", "place", part(COMPONENT, 1, 2, 3).alias("name"), part(COMPONENT, 1, 2).isNotNull().alias("exported"))
-    shown = shown.groupBy("path", "name").agg(F.min_by(F.struct("line", "exported"), "place").alias("c")).join(every.select("path", "name"), ["path", "name"], "left_anti")
+    shown = shown.groupBy("path", "name").agg(F.min_by(F.struct("line", "exported"), "place").alias("c")).join(shuffled(every.select("path", "name")), ["path", "name"], "left_anti")
     every = every.union(shown.select("path", "c.line", F.lit("function"), "name", "c.exported", F.lit("react-component")))
     scripted = own.where("kind = 'route'").select("path", "line_number", F.lit(None).cast("string").alias("framework"), F.substring_index("name", " ", 1).alias("method"), F.expr("substr(name, position(' ', name) + 1)").alias("route"), F.lit(None).cast("string").alias("handler"), F.lit(None).cast("string").alias("confidence"))
     return {"symbols": every, "imports": imports(files), "routes": merged_routes(framed.drop("rule").union(scripted)), "frameworks": hints}

@@ -104,3 +104,23 @@ def test_a_second_writer_conflicts(spark, tmp_path):
     tx.write("t", rows.limit(0), "path", [bucket])
     tx.commit()
     assert [r.path for r in store.read("t").collect()] in ([], ["b"]) and store.read("t", 0).count() == 2
+
+
+def test_what_grows_is_not_broadcast(spark, tmp_path, monkeypatch):
+    from sparkloom.functions import code as E
+    from sparkloom.operators import graph as G
+    from sparkloom.sources.store import Transaction
+
+    plans, staged, write = [], G.staged, Transaction.write
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (I, E):
+        monkeypatch.setattr(module, "staged", lambda df: (seen(df), staged(df))[1])
+    monkeypatch.setattr(Transaction, "write", lambda self, name, rows, *more: (seen(rows), write(self, name, rows, *more))[1])
+    state = {f"src/m{k}.ts": code(k) for k in range(20)}
+    store = VersionedTables(spark, str(tmp_path / "s"), 4)
+    I.build(store, frame(spark, state))
+    state["src/m7.ts"], state["src/new.ts"] = code(7, 9), code(99)
+    I.build(store, frame(spark, state))
+    assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans)
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all(" [ext#" in line for line in joins)  # the 11 adapters
