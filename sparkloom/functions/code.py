@@ -62,6 +62,8 @@ ROUTES = (
 EXPORTED_VERB = r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
 #: Fixed value: functions that may be components.
 COMPONENT = r"(?:export\s+default\s+function\s+(\w+)|export\s+function\s+([A-Z]\w*)|function\s+([A-Z]\w*)\s*\([^)]*\)\s*(?::\s*JSX\.Element|\s*\{))"
+#: Words of which each route pattern needs one, lower-cased; none: any text is tried.
+ROUTE_WORDS = (("app", "router", "server", "fastify"), (".route",), ("@app.", "@router.", "@bp.", "@blueprint."), (), (".route",), ("#[",), ("web::resource",))
 #: Framework hints (id, pattern of the text, pattern of the path or None, pattern of a sure text or None: always, confidence otherwise, evidence or None: the path).
 FRAMEWORKS = (
     ("nextjs", r"""from\s+['"]next(\/|\z)|require\(['"]next""", r"/app/.*page\.(t|j)sx?\z", r"""from\s+['"]next""", "strongly_inferred", None),
@@ -74,6 +76,14 @@ FRAMEWORKS = (
     ("axum", r"use\s+axum|axum::", None, None, None, "use axum"),
     ("actix", r"use\s+actix_web|actix_web::", None, None, None, "use actix_web"),
 )
+#: Words of which each framework's pattern needs one, lower-cased.
+FRAMEWORK_WORDS = {"nextjs": ("next",), "react": ("react",), "express": ("express",), "fastify": ("fastify",), "fastapi": ("fastapi",), "flask": ("flask",), "django": ("django", "urlpatterns"), "axum": ("axum",), "actix": ("actix_web",)}
+
+
+def tells(text: Column, lower: Column, pattern: str, words: tuple[str, ...]) -> Column:
+    """Whether the pattern is found; where none of the words is, it is not tried, as looking for a word is far cheaper."""
+    found = text.rlike(pattern)
+    return reduce(lambda x, y: x | y, (F.contains(lower, F.lit(w)) for w in words)) & found if words else found
 
 
 def line_ends(c: Column) -> Column:
@@ -82,13 +92,18 @@ def line_ends(c: Column) -> Column:
 
 def hits(files: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
     """(path, rule, place, hit, line) of all matches of the rules' patterns (condition on the file, pattern), rule and place from 0; hit is what was matched."""
-    def of(rule: int, when: Column, pattern: str) -> Column:
-        found, between = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-        each = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda h, b: F.struct(F.lit(rule).alias("rule"), h.alias("hit"), line_ends(b).alias("before")))
-        each = F.transform(each, lambda x, k: F.struct(x["rule"].alias("rule"), k.alias("place"), x["hit"].alias("hit"), x["before"].alias("before")))
-        return F.when(when & F.col("text").rlike(pattern), each).otherwise(F.array().cast("array<struct<rule:int,place:int,hit:string,before:int>>"))
+    kind = "array<struct<rule:int,place:int,hit:string,before:int>>"
 
-    rows = files.select("path", F.xxhash64("text").alias("of"), F.inline(F.concat(*(of(k, when, p) for k, (when, p) in enumerate(rules)))))
+    def of(rule: int, when: Column, pattern: str) -> Column:
+        # a lambda's variable is worked out once; what is behind the last hit is not searched a second time
+        between = lambda hits: F.slice(F.split("text", pattern, F.size(hits) + 1), 1, F.size(hits))
+        paired = lambda hits: F.zip_with(hits, between(hits), lambda h, b: F.struct(h.alias("hit"), line_ends(b).alias("before")))
+        each = F.transform(F.array(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), paired)[0]
+        each = F.transform(each, lambda x, k: F.struct(F.lit(rule).alias("rule"), k.alias("place"), x["hit"].alias("hit"), x["before"].alias("before")))
+        return F.when(when & F.col("text").isNotNull(), each).otherwise(F.array().cast(kind))
+
+    files = files.withColumn("of", F.xxhash64("text"))  # before the hits, so that no hit carries its text
+    rows = files.select("path", "of", F.inline(F.concat(*(of(k, when, p) for k, (when, p) in enumerate(rules)))))
     earlier = Window.partitionBy("path", "of", "rule").orderBy("place")
     line = F.sum("before").over(earlier) + F.coalesce(F.sum(line_ends(F.col("hit"))).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     return rows.select("path", "rule", "place", "hit", line.cast("int").alias("line"))
@@ -172,17 +187,17 @@ def framework_routes(files: DataFrame) -> DataFrame:
 
     Patterns read the text without comments; a route's line is that where its text stands first. All rules are tried in one pass.
     """
-    code = files.where("text is not null").select("path", "text", F.explode(F.array(without_comments(F.col("text")))).alias("code"))
+    code = files.where("text is not null").select("path", "text", tells(F.col("text"), F.lower("text"), "(?i)fastapi", ("fastapi",)).alias("fastapi"), F.explode(F.array(without_comments(F.col("text")))).alias("code")).withColumn("lower", F.lower("code"))
     places, pages = F.col("path").rlike(r"/(page|layout|route)\.[tj]sx?\z"), F.col("path").rlike(r"/page\.[tj]sx?\z")
-    tried = [(k if k < 2 else k + 2, p, F.lit(True) if needs is None else F.col("code").rlike(needs)) for k, (_, p, *_, needs) in enumerate(ROUTES)]
+    tried = [(k if k < 2 else k + 2, p, F.lit(True) if needs is None else F.contains("code", F.lit(needs)), ROUTE_WORDS[k]) for k, (_, p, *_, needs) in enumerate(ROUTES)]
     kind = "array<struct<rule:int,hit:string,line:int>>"
 
-    def of(rule: int, pattern: str, when: Column) -> Column:
+    def of(rule: int, pattern: str, when: Column, words: tuple[str, ...] = ()) -> Column:
         found = F.regexp_extract_all("code", F.lit(pattern), F.lit(0))
-        return F.when(when & F.col("code").rlike(pattern), F.transform(found, lambda h: F.struct(F.lit(rule).alias("rule"), h.alias("hit"), first_line(F.col("text"), h).alias("line")))).otherwise(F.array().cast(kind))
+        return F.when(when & tells(F.col("code"), F.col("lower"), pattern, words), F.transform(found, lambda h: F.struct(F.lit(rule).alias("rule"), h.alias("hit"), first_line(F.col("text"), h).alias("line")))).otherwise(F.array().cast(kind))
 
     page = F.when(pages, F.array(F.struct(F.lit(3).alias("rule"), F.lit("").alias("hit"), F.lit(1).alias("line")))).otherwise(F.array().cast(kind))
-    rows = code.select("path", F.col("text").rlike("(?i)fastapi").alias("fastapi"), F.inline(F.concat(of(2, EXPORTED_VERB, places), page, *(of(*t) for t in tried))))
+    rows = code.select("path", "fastapi", F.inline(F.concat(of(2, EXPORTED_VERB, places), page, *(of(*t) for t in tried))))
 
     by, verb, at, handler, sure = {}, {}, {}, {}, {}
     for k, (name, p, method, route, handled, confidence, _) in enumerate(ROUTES):
@@ -216,12 +231,13 @@ def merged_routes(found: DataFrame) -> DataFrame:
 
 def frameworks(files: DataFrame) -> DataFrame:
     """(path, framework, confidence, evidence) of the frameworks that a file's text or its path hints at."""
-    text, path = F.coalesce("text", F.lit("")), F.col("path")
+    files = files.select("path", F.coalesce("text", F.lit("")).alias("text"), F.lower(F.coalesce("text", F.lit(""))).alias("lower"))
+    text, path = F.col("text"), F.col("path")
     found = []
     for name, p, by_path, sure, otherwise, evidence in FRAMEWORKS:
         confidence = F.when(text.rlike(sure), "confirmed").otherwise(otherwise) if sure else F.lit("confirmed")
         told = F.array(F.lit(evidence) if evidence else path)
-        found.append(F.when(text.rlike(p) | (path.rlike(by_path) if by_path else F.lit(False)), F.struct(F.lit(name).alias("framework"), confidence.alias("confidence"), told.alias("evidence"))))
+        found.append(F.when(tells(text, F.col("lower"), p, FRAMEWORK_WORDS[name]) | (path.rlike(by_path) if by_path else F.lit(False)), F.struct(F.lit(name).alias("framework"), confidence.alias("confidence"), told.alias("evidence"))))
     return files.select("path", F.inline(F.array_compact(F.array(*found))))
 
 
@@ -231,7 +247,7 @@ def analysis(files: DataFrame) -> dict[str, DataFrame]:
     A framework's route is a symbol, exported, signed by the framework and its handler, unless the file has a route of that name; so is a component of a file
     with a hint of react or nextjs, unless the file has any symbol of that name. Go files get no routes of frameworks.
     """
-    own, hints = staged(symbols(files)), staged(frameworks(files))  # each used more than once below
+    own = staged(symbols(files))  # used more than once below
     framed = staged(framework_routes(files.where("language <> 'go'")))
     name = F.concat("method", F.lit(" "), "route")
     sign = F.concat_ws(":", "framework", "handler")
@@ -241,9 +257,9 @@ def analysis(files: DataFrame) -> dict[str, DataFrame]:
     added = added.select("path", F.col("r.line_number").alias("line_number"), F.lit("route").alias("kind"), "name", F.lit(True).alias("exported"), F.col("r.signature").alias("signature"))
     every = own.select(columns).union(added)
     # a hint is a matter of the file's own text and path, so no text has to meet the hints
-    ui = reduce(lambda x, y: x | y, (F.col("text").rlike(p) | F.col("path").rlike(by_path) for name, p, by_path, *_ in FRAMEWORKS if name in ("react", "nextjs")))
+    ui = reduce(lambda x, y: x | y, (tells(F.col("text"), F.col("text"), p, FRAMEWORK_WORDS[name]) | F.col("path").rlike(by_path) for name, p, by_path, *_ in FRAMEWORKS if name in ("react", "nextjs")))
     shown = hits(files, [((F.col("language") != "go") & ui, COMPONENT)]).select("path", "line", "place", part(COMPONENT, 1, 2, 3).alias("name"), part(COMPONENT, 1, 2).isNotNull().alias("exported"))
     shown = shown.groupBy("path", "name").agg(F.min_by(F.struct("line", "exported"), "place").alias("c")).join(shuffled(every.select("path", "name")), ["path", "name"], "left_anti")
     every = every.union(shown.select("path", "c.line", F.lit("function"), "name", "c.exported", F.lit("react-component")))
     scripted = own.where("kind = 'route'").select("path", "line_number", F.lit(None).cast("string").alias("framework"), F.substring_index("name", " ", 1).alias("method"), F.expr("substr(name, position(' ', name) + 1)").alias("route"), F.lit(None).cast("string").alias("handler"), F.lit(None).cast("string").alias("confidence"))
-    return {"symbols": every, "imports": imports(files), "routes": merged_routes(framed.drop("rule").union(scripted)), "frameworks": hints}
+    return {"symbols": every, "imports": imports(files), "routes": merged_routes(framed.drop("rule").union(scripted)), "frameworks": frameworks(files)}

@@ -147,7 +147,8 @@ def release_version(manifest: Column, cargo: Column, tag: Column) -> Column:
 
 
 def without_comments(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
+    blocks = F.when(F.contains(c, F.lit("/*")), F.regexp_replace(c, r"(?s)/\*.*?\*/", "")).otherwise(c)
+    return F.when(F.contains(c, F.lit("//")) | F.contains(c, F.lit("/*")), F.regexp_replace(blocks, r"(?m)^\s*//.*$", "")).otherwise(c)
 
 
 # ---- commands
