@@ -6,7 +6,11 @@ number allow. So every line posts its own segments and, for each length it can l
 lines that meet under one (length, segment number, content) are candidates, which a banded bit-parallel edit distance
 verifies (code point by code point, for many pairs at once).
 
-Equal lines are one class from the start; a task posts a class once for each block of lines. The lines of one posting are not
+Nearly all keys are one line's alone. So tasks first send packed marks of their keys, by which the shared ones are found; these
+set bits of a filter of fixed size, and a second pass over the texts posts what the filter lets through, with the lines' bodies. Marks and filter
+may let through more, never less; the lists are then made by whole keys.
+
+Equal lines are one class from the start; a task posts a class once for each step. The lines of one posting are not
 paired (see pivots.py): each is compared with the posting's commonest line, linked ones are one component, and of the others
 only those are compared that differ from what most of them have in the same q-grams (two lines within EDITS differ in at most
 2 * GRAM * EDITS of them). So thousands of lines that share a segment and have other words elsewhere are not all compared.
@@ -28,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pivots import COMPARED, apart_pairs, compared, merged, rows_of
-from .shared import STEP_BYTES, U, bitmap_array, components, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table
+from .shared import BITS, SMALL_STEP, STEP, U, bitmap_array, components, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table
 
 EDITS, MIN_CHARS = 2, 24
-#: Code points of a gram of the differences; different lines whose postings a task holds at once.
-GRAM, BLOCK = 3, 100_000
+#: Code points of a gram of the differences; postings that a task holds at once; bits of the filter of shared keys (16 MB).
+GRAM, BLOCK, FILTER_BITS = 3, 1_000_000, 2 * BITS
 #: Lines of a list whose common grams are what its lines are held against.
 SAMPLE = 8
 #: Kinds of code points that are counted in a line.
@@ -85,7 +89,7 @@ def line_steps(batches: Iterator[pa.RecordBatch], at: int, least: int) -> Iterat
         texts, lo, size = [], 0, 0
         for k, t in enumerate(batch.column(at)):
             t = t.as_py() or ""
-            if texts and size + len(t) > STEP_BYTES // 2:
+            if texts and size + len(t) > SMALL_STEP // 2:
                 yield batch.slice(lo, k - lo), Lines(texts, least)
                 texts, lo, size = [], k, 0
             texts.append(t)
@@ -94,58 +98,104 @@ def line_steps(batches: Iterator[pa.RecordBatch], at: int, least: int) -> Iterat
             yield batch.slice(lo), Lines(texts, least)
 
 
-def postings(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Rows (key, line, own, score): what each line posts; own if it is a segment of the line itself at its place, score: less, the oftener a block has the line."""
-    where = places(edits)
-
-    def posted(lines: Lines, one: np.ndarray) -> tuple[np.ndarray, ...]:
-        start, length = lines.start[one], (lines.end - lines.start)[one]
-        keys, of, own = [], [], []
-        for less, seg, shift in where:
-            to = length - less
-            cuts = segments(to, edits)
-            a, b = cuts[:, seg] + shift, cuts[:, seg + 1] + shift
-            ok = np.flatnonzero((to >= least) & (a >= 0) & (b <= length))
-            content = span_hash(lines.h, start[ok] + a[ok], start[ok] + b[ok])
-            keys.append(mix(content ^ mix(to[ok].astype(U) * U(edits + 1) + U(seg))))
-            of.append(lines.hash[one[ok]])
-            own.append(np.full(len(ok), less == 0 and shift == 0))
-        return np.concatenate(keys), np.concatenate(of), np.concatenate(own)
+def posted(lines: Lines, one: np.ndarray, edits: int, least: int) -> tuple[np.ndarray, ...]:
+    """(keys, of, own) of what the lines one post; of: index into one, own: a segment of the line itself at its place."""
+    start, length = lines.start[one], (lines.end - lines.start)[one]
+    keys, of, own = [], [], []
+    for less, seg, shift in places(edits):
+        to = length - less
+        cuts = segments(to, edits)
+        a, b = cuts[:, seg] + shift, cuts[:, seg + 1] + shift
+        ok = np.flatnonzero((to >= least) & (a >= 0) & (b <= length))
+        content = span_hash(lines.h, start[ok] + a[ok], start[ok] + b[ok])
+        keys.append(mix(content ^ mix(to[ok].astype(U) * U(edits + 1) + U(seg))))
+        of.append(ok)
+        own.append(np.full(len(ok), less == 0 and shift == 0))
+    return np.concatenate(keys), np.concatenate(of), np.concatenate(own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, times = [], np.zeros(0, U), np.zeros(0, np.int64)
+
+def marks(keys: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of keys while it is counted which are shared: the bucket of `bits` bits and 32 bits within it."""
+    return (keys >> U(64 - bits)) << U(32) | keys & U(0xFFFFFFFF)
+
+
+def shared_marks(docs: DataFrame, bits: int, edits: int, least: int) -> DataFrame:
+    """(at): two places in a filter of each mark under which different lines meet, one of them with its own segment.
+
+    Tasks send what they have by buckets, packed: for each mark one line, whether it is one of several there, and whether one is
+    its own. So a bucket has a mark once for each block, however many lines are under it.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
 
         def block() -> pa.RecordBatch:
-            keys, of, own = (np.concatenate(x) for x in zip(*held))
-            score = -times[np.searchsorted(known, of)].astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of.view(np.int64)), pa.array(own), pa.array(score)], ["key", "line", "own", "score"])
+            at, of, own = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(at)
+            at, of, own = at[order], of[order], own[order]
+            new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            low, several, own = at[new], np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new), np.logical_or.reduceat(own, new)
+            bucket, of = (low >> U(32)).astype(np.int32), of[new]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            low, flags = low.astype(np.uint32), several.astype(np.uint8) * np.uint8(2) + own
+            packed = [low[i:j].tobytes() + of[i:j].tobytes() + flags[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(low)))]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
         for _, lines in line_steps(batches, 0, least):
-            hashes, one, n = np.unique(lines.hash, return_index=True, return_counts=True)
-            new = ~np.isin(hashes, known)
-            held.append(posted(lines, one[new]))
-            every, at = np.unique(np.concatenate((known, hashes)), return_inverse=True)
-            times = np.bincount(at, np.concatenate((times, n)), len(every)).astype(np.int64)
-            known = every
-            if len(known) >= BLOCK:
+            one = np.unique(lines.hash, return_index=True)[1]
+            keys, of, own = posted(lines, one, edits, least)
+            held.append((marks(keys, bits), lines.hash[one[of]], own))
+            n_held += len(keys)
+            if n_held >= BLOCK:
                 yield block()
-                held, known, times = [], known[:0], times[:0]
-        if held:
+                held, n_held = [], 0
+        if n_held:
             yield block()
 
-    return docs.select("text").mapInArrow(run, "key long, line long, own boolean, score int")
+    def met(key: tuple, rows: pa.Table) -> pa.Table:
+        low, of, flags = [], [], []
+        for packed in rows["packed"].to_pylist():
+            n = len(packed) // 13
+            for to, kind, offset in ((low, np.uint32, 0), (of, U, 4 * n), (flags, np.uint8, 12 * n)):
+                to.append(np.frombuffer(packed, kind, n, offset))
+        low, of, flags = (np.concatenate(x) for x in (low, of, flags))
+        order = np.argsort(low, kind="stable")
+        low, of, flags = low[order], of[order], flags[order]
+        new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        flags = np.bitwise_or.reduceat(flags, new)
+        several = (flags & 2 > 0) | (np.minimum.reduceat(of, new) != np.maximum.reduceat(of, new))
+        found = low[new[several & (flags & 1 > 0)]].astype(U) | U(key[0].as_py()) << U(32)
+        return pa.Table.from_arrays([pa.array(np.concatenate(filter_places(found)))], ["at"])
+
+    packed = docs.select("text").mapInArrow(blocks, "bucket int, packed binary")
+    return packed.groupBy("bucket").applyInArrow(met, "at long")
 
 
-def line_texts(docs: DataFrame, wanted, least: int) -> DataFrame:
-    """(line, body) of the lines the filter lets through."""
+def filter_places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys for the filter of each mark: what is let through by chance stays little when the filter has filled up by a tenth."""
+    once = mix(found)
+    return once.view(np.int64), mix(once ^ STEP).view(np.int64)
+
+
+def meeting(docs: DataFrame, wanted, bits: int, edits: int, least: int) -> DataFrame:
+    """What the filter lets through: rows (key, line, own, times) of what a line posts, times: how often a step has the line; and rows (null, line, null, null, body) of these lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lines in line_steps(batches, 0, least):
-            hashes, one = np.unique(lines.hash, return_index=True)
-            one = one[maybe_in(wanted.value, hashes.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.hash[one].view(np.int64)), pa.array(lines.strings(one), pa.string())], ["line", "body"])
-
-    return docs.select("text").mapInArrow(run, "line long, body string").groupBy("line").agg(F.min("body").alias("body"))
+            hashes, one, times = np.unique(lines.hash, return_index=True, return_counts=True)
+            keys, of, own = posted(lines, one, edits, least)
+            once, twice = filter_places(marks(keys, bits))
+            hit = np.flatnonzero(maybe_in(wanted.value, once))
+            hit = hit[maybe_in(wanted.value, twice[hit])]
+            with_body = np.unique(of[hit])
+            n, m = len(hit), len(with_body)
+            of = np.concatenate((of[hit], with_body))
+            none = np.arange(n + m) >= n
+            columns = [pa.array(np.concatenate((x, np.zeros(m, x.dtype))), mask=none) for x in (keys[hit].view(np.int64), own[hit], times[of[:n]].astype(np.int64))]
+            body = pa.array([None] * n + lines.strings(one[with_body]), pa.string())
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array(hashes[of].view(np.int64)), *columns[1:], body], ["key", "line", "own", "times", "body"])
+
+    return docs.select("text").mapInArrow(run, "key long, line long, own boolean, times long, body string")
 
 
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -285,11 +335,14 @@ def compare(star: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
 def line_components(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """(node, component) of the different lines of docs (text) that have near-equal ones, as line hashes."""
     spark = docs.sparkSession
+    bits = 2 + docs.rdd.getNumPartitions().bit_length()  # so a bucket stays small, whatever the input
+    wanted = spark.sparkContext.broadcast(bitmap_array(shared_marks(docs, bits, edits, least), "at", FILTER_BITS))
+    rows = stage(meeting(docs, wanted, bits, edits, least), "meeting")
     by_key = Window.partitionBy("key")
-    lists = postings(docs, edits, least).withColumns({"pivot": F.min(F.struct("score", "line")).over(by_key)["line"], "lo": F.min("line").over(by_key), "hi": F.max("line").over(by_key), "some": F.max("own").over(by_key)})
+    lists = rows.where("key is not null").groupBy("key", "line").agg(F.max("own").alias("own"), (-F.sum("times")).alias("score"))
+    lists = lists.withColumns({"pivot": F.min(F.struct("score", "line")).over(by_key)["line"], "lo": F.min("line").over(by_key), "hi": F.max("line").over(by_key), "some": F.max("own").over(by_key)})
     star = stage(lists.where("lo <> hi and some and line <> pivot").select(F.col("line").alias("node"), "pivot").distinct(), "star")
-    wanted = star.select("node").union(star.select("pivot"))
-    bodies = stage(line_texts(docs, spark.sparkContext.broadcast(bitmap_array(wanted, "node")), least), "bodies")
+    bodies = stage(rows.where("key is null").groupBy("line").agg(F.min("body").alias("body")), "bodies")
     rows = stage(compare(star, bodies, edits), "compared")
     found = stage(components(rows.where("key is null and linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "components")
     pairs = stage(apart_pairs(rows.where("key is not null").drop("linked", "pivot"), found, f"{2 * GRAM * edits}", 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a single longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: The same where each byte or code point takes part in many arrays of 64-bit words: what a worker has once taken it keeps.
+SMALL_STEP = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,8 +179,8 @@ def span_hash(h: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarr
     return mix(((wide[end] - wide[start]) * power[1][start]) ^ mix((end - start).astype(U) << U(31) | residue))
 
 
-def text_steps(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, UTF-8 bytes, offsets) for runs of rows of at most STEP_BYTES, null texts as empty ones."""
+def text_steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, UTF-8 bytes, offsets) for runs of rows of at most `most` bytes, null texts as empty ones."""
     col = batch.column(batch.schema.get_field_index(text))
     wide = np.int64 if pa.types.is_large_string(col.type) else np.int32
     if len(batch) == 0:
@@ -189,7 +191,7 @@ def text_steps(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.R
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + STEP_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo), data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
 

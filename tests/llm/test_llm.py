@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from sparkloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_crf, line_dedup, masked_lm, quality_rules, registry, token_counts, tree_bpe
 from sparkloom.llm.bpe import PrefixCounter, Vocabulary
-from sparkloom.llm.shared import split_by_filter
+from sparkloom.llm.shared import bitmap_array, split_by_filter
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, n int, component string"
@@ -159,6 +159,20 @@ def test_op8_many_lines_with_a_common_segment(spark):
     assert sorted(map(sorted, got.values())) == [[k, 5000 + k, 5040 + k] for k in range(40)]
 
 
+def test_op8_posts_only_shared_keys(spark):
+    """Of 3,000 lines that share nothing, and a line that all texts have, only two near-equal lines post keys and bodies."""
+    r = random.Random(17)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [word(60) for _ in range(3000)]
+    texts = [f"the same line in each of these texts\n{x}" for x in [*lines, lines[7] + "x"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    wanted = spark.sparkContext.broadcast(bitmap_array(line_dedup.shared_marks(df, 5, 2, 24), "at", line_dedup.FILTER_BITS))
+    rows = line_dedup.meeting(df, wanted, 5, 2, 24).collect()
+    assert {x.body for x in rows if x.key is None} == {lines[7], lines[7] + "x"}
+    assert 2 <= len([x for x in rows if x.key is not None]) <= 24
+    assert sorted(x.doc_id for x in line_dedup.line_classes(df).where("not stays").collect()) == [*range(1, 3000), 3000, 3000]
+
+
 def test_op8_banded_distance():
     r = random.Random(2)
 
