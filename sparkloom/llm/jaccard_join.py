@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pivots import COMPARED, apart_pairs, compared, lists_of, merged, rows_of
-from .shared import BITMAP_BITS, BITS, LOWER, U, components, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
+from .shared import BITMAP_BITS, BITS, LOWER, SMALL_STEP, U, components, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
 
 SHINGLE = 5
 PERCENT = 80
@@ -101,7 +101,7 @@ def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array((place[at] // parts).astype(np.int32)), pa.array((place[at] % parts).astype(np.int32)), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64())], names)
 
         for batch in batches:
-            for _, data, offs in text_steps(batch):
+            for _, data, offs in text_steps(batch, most=SMALL_STEP):
                 hashes, first, _ = shingle_sets(data, offs, size)
                 n = np.diff(first)
                 sizes += np.bincount(np.minimum(n, SIZES), minlength=SIZES + 1)
@@ -192,7 +192,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known = ["doc_id", "row", "n", "sid", "key", "score"], common.value
         for batch in batches:
-            for rows, data, offs in text_steps(batch):
+            for rows, data, offs in text_steps(batch, most=SMALL_STEP):
                 hashes, first, _ = shingle_sets(data, offs, size)
                 sid, n = set_ids(hashes, first), np.diff(first)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(sid), *(pa.nulls(len(rows), pa.int64()),) * 2], names)
@@ -230,7 +230,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offs in text_steps(batch):
+            for rows, data, offs in text_steps(batch, most=SMALL_STEP):
                 hashes, first, _ = shingle_sets(data, offs, size)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, first)), lists], ["sid", "shingles"])

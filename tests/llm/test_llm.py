@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from sparkloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_crf, line_dedup, masked_lm, quality_rules, registry, token_counts, tree_bpe
+from sparkloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_crf, line_dedup, masked_lm, quality_rules, registry, shared, token_counts, tree_bpe
 from sparkloom.llm.bpe import PrefixCounter, Vocabulary
-from sparkloom.llm.shared import bitmap_array, split_by_filter
+from sparkloom.llm.shared import SMALL_STEP, bitmap_array, split_by_filter, text_steps
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, n int, component string"
@@ -173,6 +174,22 @@ def test_op8_posts_only_shared_keys(spark):
     assert sorted(x.doc_id for x in line_dedup.line_classes(df).where("not stays").collect()) == [*range(1, 3000), 3000, 3000]
 
 
+def test_steps_keep_workers_small():
+    """Passes over lines and shingles of a long partition hold little at once, tables that stay included."""
+    r = random.Random(19)
+    texts = ["\n".join(prose(60, r) for _ in range(10)) for _ in range(100)] * 20
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert sum(map(len, texts)) > 6 << 20
+    for passes in (lambda: line_dedup.line_steps(iter([batch]), 0, 1), lambda: (jaccard_join.shingle_sets(*x[1:], 5) for x in text_steps(batch, most=SMALL_STEP))):
+        shared._powers[:] = [np.ones(1, np.uint64)] * 4
+        tracemalloc.start()
+        for _ in passes():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 48 << 20
+
+
 def test_op8_banded_distance():
     r = random.Random(2)
 
