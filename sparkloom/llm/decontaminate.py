@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U, prefix_hash, span_hash, table, text_steps, windows, words
+from .shared import LOWER, SMALL_STEP, U, lean, prefix_hash, span_hash, table, text_steps, windows, words
 
 GRAM, LEAST, LEAST_WORDS = 4, 0.4, 2
 BLOCK_RUNS = 2_000_000
@@ -173,9 +173,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
 
     def found(block) -> DataFrame:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for rows, data, offs in text_steps(batch):
+                for rows, data, offs in text_steps(batch, most=SMALL_STEP):
                     ids = rows.column(0)
                     out = [(ids[row].as_py(), *x) for row, own in text_leaks(block.value, data, offs) for x in own]
                     cols = list(zip(*out)) if out else [[]] * 5
@@ -194,9 +195,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     at = docs.columns.index(text_col)
     for block in prepared(docs, benchmark, item_col, item_text):
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for rows, data, offs in text_steps(batch, text_col):
+                for rows, data, offs in text_steps(batch, text_col, SMALL_STEP):
                     clean = np.ones(len(rows), bool)
                     clean[[row for row, _ in text_leaks(block.value, data, offs)]] = False
                     yield rows if clean.all() else rows.filter(pa.array(clean))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pivots import COMPARED, apart_pairs, compared, lists_of, merged, rows_of
-from .shared import BITMAP_BITS, BITS, LOWER, SMALL_STEP, U, components, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
+from .shared import BITMAP_BITS, BITS, LOWER, SMALL_STEP, U, components, lean, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
 
 SHINGLE = 5
 PERCENT = 80
@@ -81,6 +81,7 @@ def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     # A bucket's part that one task sums up at once stays small: more parts for more input.
     parts = 1 << max(0, (docs.rdd.getNumPartitions() // 500).bit_length())
 
+    @lean
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "part", "cells", "sets"]
         sizes, held, ids, n_held = np.zeros(SIZES + 1, np.int64), [], [], 0
@@ -189,6 +190,7 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) ->
 def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common, boundary: int) -> DataFrame:
     """One pass over the texts: rows (doc_id, row, n, sid) of the documents (row: a hash of id and text), and rows (n, sid, key, score) of what each set posts (score: the lower, the commoner its shingles are), once for equal sets that one step meets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known = ["doc_id", "row", "n", "sid", "key", "score"], common.value
         for batch in batches:
@@ -228,6 +230,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
     """(sid, shingles) of the sets of the wanted rows (row, sid), one for each sid; other texts stay where they are."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in text_steps(batch, most=SMALL_STEP):
@@ -244,6 +247,7 @@ def compare(star: DataFrame, sets: DataFrame, percent: int, common) -> DataFrame
     """COMPARED rows of each (node, pivot): whether the sets link, and what the node posts of its differences from the pivot."""
     both = star.join(sets.select(F.col("sid").alias("node"), F.col("shingles").alias("x")), "node").join(sets.select(F.col("sid").alias("pivot"), F.col("shingles").alias("y")), "pivot")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
         for batch in batches:

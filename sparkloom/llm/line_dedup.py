@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pivots import COMPARED, apart_pairs, compared, merged, rows_of
-from .shared import BITS, SMALL_STEP, STEP, U, bitmap_array, components, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table
+from .shared import BITS, SMALL_STEP, STEP, U, bitmap_array, components, lean, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table
 
 EDITS, MIN_CHARS = 2, 24
 #: Code points of a gram of the differences; postings that a task holds at once; bits of the filter of shared keys (16 MB).
@@ -126,6 +126,7 @@ def shared_marks(docs: DataFrame, bits: int, edits: int, least: int) -> DataFram
     its own. So a bucket has a mark once for each block, however many lines are under it.
     """
 
+    @lean
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
@@ -180,6 +181,7 @@ def filter_places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def meeting(docs: DataFrame, wanted, bits: int, edits: int, least: int) -> DataFrame:
     """What the filter lets through: rows (key, line, own, times) of what a line posts, times: how often a step has the line; and rows (null, line, null, null, body) of these lines."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lines in line_steps(batches, 0, least):
             hashes, one, times = np.unique(lines.hash, return_index=True, return_counts=True)
@@ -261,6 +263,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
     both = pairs.join(bodies.withColumnsRenamed({"line": "a", "body": "x"}), "a").join(bodies.withColumnsRenamed({"line": "b", "body": "y"}), "b")
     both = both.where(F.abs(F.length("x") - F.length("y")) <= edits).select(*names, "x", "y")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 2000):
@@ -313,6 +316,7 @@ def compare(star: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
         found, times = np.unique(np.concatenate([grams(t) for t in others]), return_counts=True)
         return found[2 * times > len(others)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_pivot = {}
         for batch in batches:
@@ -358,6 +362,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")).where("text is not null")
     found = line_components(slim, edits, least)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, lines in line_steps(batches, 2, 1):
             at = pa.array(lines.text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +196,21 @@ def text_steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_BYTES
         lo = hi
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; between batches and when a task is through, what Arrow keeps of those done goes back to the system: workers hold their memory beside the executor's heap, also while they wait."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pa.default_memory_pool().release_unused()
+            yield batch
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(each(batches))
+        pa.default_memory_pool().release_unused()
+
+    return through
+
+
 def words(data: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first) of the maximal runs of bytes other than x20, x09-x0D, cut at the offsets cuts as well; first[i]: index of text i's first word."""
     if not len(data):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import DIRECT, WORD_SPLIT, Vocabulary
-from .shared import stage, table
+from .shared import lean, stage, table
 
 LONG, PART = 1 << 20, 1 << 16
 
@@ -32,10 +32,12 @@ LONG, PART = 1 << 20, 1 << 16
 class WordEncoder:
     """A vocabulary of lower-case words with word ends; keeps the encodings of a bounded number of pieces.
 
+    When KEPT pieces have come, those before them are forgotten; what is still asked for stays.
+
     Special strings are looked up in a table of their own, which is never cleared.
     """
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
@@ -51,10 +53,13 @@ class WordEncoder:
             def __missing__(self, piece: str) -> bytes:
                 if piece in special:
                     return special[piece]
-                units = encoder.v.units(piece)
-                ids = encoder.v.encode_tree(units) if len(units) > DIRECT else encoder.v.encode_units(units)
-                out = np.array(ids, "<u4").tobytes()
-                if len(self) > encoder.KEPT:
+                out = encoder.older_ids.get(piece)
+                if out is None:
+                    units = encoder.v.units(piece)
+                    ids = encoder.v.encode_tree(units) if len(units) > DIRECT else encoder.v.encode_units(units)
+                    out = np.array(ids, "<u4").tobytes()
+                if len(self) >= encoder.KEPT:
+                    encoder.older_ids, encoder.older_names = dict(self), dict(encoder.names)
                     self.clear()
                     encoder.names.clear()
                 if len(piece) <= 64:
@@ -63,12 +68,16 @@ class WordEncoder:
 
         class Names(dict):
             def __missing__(self, piece: str) -> str:
-                out = encoder.decode(encoder.ids[piece])
+                out = encoder.older_names.get(piece)
+                if out is None:
+                    out = encoder.decode(encoder.ids[piece])
                 if len(piece) <= 64:
                     self[piece] = out
                 return out
 
         self.ids, self.names = Ids(), Names()
+        self.older_ids: dict[str, bytes] = {}
+        self.older_names: dict[str, str] = {}
 
     def decode(self, ids: bytes) -> str:
         """Token texts joined by spaces: the file names no decoder."""
@@ -109,6 +118,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _short(docs: DataFrame, path: str) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         for batch in batches:

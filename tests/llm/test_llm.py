@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,36 @@ def test_steps_keep_workers_small():
         assert most < 48 << 20
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """Leaks are looked for in small steps, few encodings are kept, and Arrow's spare memory goes back between batches and after a task."""
+    r = random.Random(23)
+    batch = pa.RecordBatch.from_pydict({"text": [prose(600, r) for _ in range(100)] * 20})
+    item = np.frombuffer(prose(12, random.Random(24)).encode(), np.uint8)
+    block = decontaminate.Block([(1, decontaminate.document_runs(item, np.array([0, len(item)]))[0])])
+    monkeypatch.setattr(decontaminate, "prepared", lambda *a: [SimpleNamespace(value=block)])
+    run = decontaminate.without_leaks(SimpleNamespace(columns=["text"], schema=None, mapInArrow=lambda run, schema: run), None)
+    assert batch.nbytes > 6 << 20
+    shared._powers[:] = [np.ones(1, np.uint64)] * 4
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 << 20
+
+    known, fresh = tree_bpe.WordEncoder(WORD), tree_bpe.WordEncoder(WORD)
+    for lo in range(0, 120_000, 1000):
+        text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(lo, lo + 1000))
+        made = known.encode(text)
+        assert len(known.ids) <= 100_001 and len(known.names) <= 100_001
+    assert made == fresh.encode(text)
+
+    released = []
+    monkeypatch.setattr(shared.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: released.append(1)))
+    assert list(shared.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+    assert len(released) == 3
+
+
 def test_op8_banded_distance():
     r = random.Random(2)
 
