@@ -308,6 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = seen.where("key is null").select("doc_id", "row", "n", "sid")
     lists = stage(lists_of(seen.where("key is not null").select("key", F.col("sid").alias("node"), "score"), "score"), "lists")
     found = class_components(docs, lists, own, id_col, text_col, size, percent, common)
+    common.destroy()  # all that used it is staged
     place = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("id"), "row")
     classes = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("lowest"), F.min(place).alias("first"))
     classes = classes.join(found, classes["sid"] == found["node"], "left").select("sid", "lowest", "first", F.coalesce("component", "sid").alias("component"))

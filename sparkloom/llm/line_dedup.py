@@ -342,6 +342,7 @@ def line_components(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS)
     bits = 2 + docs.rdd.getNumPartitions().bit_length()  # so a bucket stays small, whatever the input
     wanted = spark.sparkContext.broadcast(bitmap_array(shared_marks(docs, bits, edits, least), "at", FILTER_BITS))
     rows = stage(meeting(docs, wanted, bits, edits, least), "meeting")
+    wanted.destroy()  # the driver's copy as well
     by_key = Window.partitionBy("key")
     lists = rows.where("key is not null").groupBy("key", "line").agg(F.max("own").alias("own"), (-F.sum("times")).alias("score"))
     lists = lists.withColumns({"pivot": F.min(F.struct("score", "line")).over(by_key)["line"], "lo": F.min("line").over(by_key), "hi": F.max("line").over(by_key), "some": F.max("own").over(by_key)})

@@ -112,7 +112,7 @@ def certify(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     each = F.explode(F.array(*(
         F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{j}_good").alias("k"), F.col(f"{r}_{j}_bad").alias("b"))
         for r, (_, cuts) in RULES.items() for j, c in enumerate(cuts)))).alias("t")
-    tests = pooled.select("stratum", "n_good", "n_bad", each).select("stratum", "n_good", "n_bad", "t.*")
+    tests = stage(pooled.select("stratum", "n_good", "n_bad", each).select("stratum", "n_good", "n_bad", "t.*"), "tests")  # read twice below
     m = tests.groupBy().agg(F.count("*").alias("m"))
     share = alpha / len(RULES)
     certified = (F.col("k") <= F.col("n_good") * share) & (tail(F.col("n_good"), F.col("k"), share) <= F.log(F.lit(delta) / F.col("m")))

@@ -100,25 +100,32 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b); component is the smallest node reachable.
 
     Alternates two contraction steps, each a grouped minimum (summed up before the shuffle) and a join that Spark can
-    split where one node has most edges. Every round is staged; the loop ends when a round changes nothing.
+    split where one node has most edges. Each step is staged: a plan of both reads its input many times over, and the driver
+    keeps every version of the plans of all queries. The loop ends when each node but the smallest of its component has one edge, to that.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    while not _stars(now):
+        low = _both_ends(now).groupBy("node").agg(F.min(F.least("node", "other")).alias("m"))
+        large = stage(now.join(low, now["v"] == low["node"]).select("u", F.col("m").alias("v")).distinct(), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = stage(small.where("u <> v").distinct(), "edges")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if seen == mark:
-            break
-        mark = seen
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = stage(small.select("e.*").where("u <> v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _both_ends(edges: DataFrame) -> DataFrame:
+    """(node, other, upper) of both ends of the edges (u, v); upper: the node is u. Read once."""
+    ends = F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.lit(x == "u").alias("upper")) for x, y in ("uv", "vu")))
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node is the upper end u of two of the distinct edges (u, v), u > v, or of one and the lower end of another."""
+    per = _both_ends(edges).groupBy("node").agg(F.count_if("upper").alias("above"), F.count_if(~F.col("upper")).alias("below"))
+    return per.where("above > 1 or above = 1 and below > 0").isEmpty()
+
+
 # ---------------------------------------------------------------- texts as numpy arrays
 
 U = np.uint64

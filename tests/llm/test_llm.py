@@ -610,6 +610,41 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     assert made.columns == ["doc_id", "n_tokens", "ids"] and made.count() == len(rows)
 
 
+def kept_by_driver(spark, run):
+    """How many metrics of plans, in all their versions, the driver holds of the queries that run() runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    some = store.executionsList()
+    return sum(some.apply(k).metrics().size() for k in range(before, some.size()))
+
+
+def test_components_and_cutoffs_leave_little_on_the_driver(spark, docs):
+    star = spark.createDataFrame([(1, k) for k in range(2, 40)], "a long, b long")
+    chains = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 7], "a long, b long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    stats = shared.stage(quality_rules.with_statistics(docs), "statistics")
+    sizes = [kept_by_driver(spark, lambda: shared.components(star)), kept_by_driver(spark, lambda: shared.components(chains)),
+             kept_by_driver(spark, lambda: shared.stage(quality_rules.certify(stats, labels), "cutoffs"))]
+    assert 0 < sizes[0] < 1000 and 0 < sizes[1] < 7000 and 0 < sizes[2] < 2000, sizes
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(7)
+    for n, m in ((1, 0), (12, 9), (60, 40), (60, 55), (200, 190), (30, 300)):
+        edges = [(rng.randrange(n) - n // 2, rng.randrange(n) - n // 2) for _ in range(m)] + [(k, k + 1) for k in range(1000, 1000 + n)]
+        edges = [e for e in edges if rng.random() < 0.97]
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        own = {x for a, b in edges if a != b for x in (a, b)}
+        got = shared.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(got) == len(own) and {x.node: x.component for x in got} == {x: root[x] for x in own}
+
+
 def test_registry_has_all_ten():
     names = {re.match(r"op(\d+)_", x)[1] for x in registry.queries()}
     assert names == {str(k) for k in range(1, 11)}
