@@ -9,6 +9,9 @@ c = ceil(t * n) of them, so under any order of all shingles the first n - c + l
 * The order puts shingles first that are in one set only, then those in few, those in very many last. How many sets hold
   a shingle is counted over all documents and marked in bitmaps of bounded size. A shingle of one set only isn't posted,
   so a document that shares nothing, or a passage that a third of all documents hold beside their own text, posts nothing.
+* The bitmap of shared shingles grows with their number, from 8 to 64 MB. It is used however full it is: a set posts only if fewer
+  than n - c + 1 of its shingles are found to be its own, and of a set that shares nothing that holds while a fifth of them are.
+* Only one document of equal texts is counted and posts, so that copies of a text don't make its shingles shared ones.
 
 Copies with equal sets are one class from the start. A list of k classes is not turned into k * k pairs (see pivots.py):
 each class is compared with the member whose shingles are commonest, linked ones are one component, and of the others only those are
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pivots import COMPARED, apart_pairs, compared, lists_of, merged, rows_of
-from .shared import BITMAP_BITS, BITS, LOWER, SMALL_STEP, U, components, lean, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
+from .shared import BITMAP_BITS, BITS, LOWER, SMALL_STEP, U, bitmap_array, components, lean, maybe_in, mix, prefix_hash, span_hash, split_by_filter, stage, table, text_steps, windows, words
 
 SHINGLE = 5
 PERCENT = 80
 #: The least number of sets that is marked, and the factor from one level to the next.
 LEVELS = (2, 8)
+#: The bitmap of the least level has BITS bits, or up to FOLDS times as many (8 MB to 64 MB): SPARE bits for each shingle, if they do.
+FOLDS, SPARE = 8, 4
 #: Shingles that a task sums up at once; sizes from which on sets are counted together.
 BLOCK, SIZES = 1_000_000, 1000
 PAIR_MARK = U(0x5851F42D4C957F2D)
@@ -71,11 +76,19 @@ def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """In how many different sets each shingle is found, over all documents.
+def first_texts(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """A filter of row_key(): one row of each group of equal texts, and few others, pass. Texts aren't shuffled, but hashes of 128 bits."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = docs.select(row_key(id_col, text_col).alias("row"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
+    return bitmap_array(hashed.groupBy("x", "y").agg(F.min("row").alias("row")), "row")
 
-    Rows (bucket, level, bitmap, shingles, times, squares): bitmap marks the shingles of a bucket of the hash space that
-    are in at least `level` sets; and rows (-1 - n, 0, null, sets, null, null): how many sets have n shingles.
+
+def commonness(docs: DataFrame, id_col: str, text_col: str, size: int, chosen) -> DataFrame:
+    """In how many different sets each shingle is found, over all documents that pass the filter chosen of first_texts().
+
+    Rows (bucket, fold, level, bitmap, shingles, times, squares): bitmap marks the shingles of a fold of a bucket of the hash space that
+    are in at least `level` sets, the sums are of the bucket and stand in one of its rows; levels but the least have one fold. And rows
+    (-1 - n, 0, 0, null, sets, null, null): how many sets have n shingles.
     Tasks send blocks of sorted 32-bit cells as differences, byte by byte, so that most of them take three bytes.
     """
     # A bucket's part that one task sums up at once stays small: more parts for more input.
@@ -102,9 +115,9 @@ def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array((place[at] // parts).astype(np.int32)), pa.array((place[at] % parts).astype(np.int32)), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64())], names)
 
         for batch in batches:
-            for _, data, offs in text_steps(batch, most=SMALL_STEP):
+            for rows, data, offs in text_steps(batch, most=SMALL_STEP):
                 hashes, first, _ = shingle_sets(data, offs, size)
-                n = np.diff(first)
+                n = np.diff(first) * maybe_in(chosen.value, rows.column(0).to_numpy())
                 sizes += np.bincount(np.minimum(n, SIZES), minlength=SIZES + 1)
                 full = np.flatnonzero(n)
                 held.append([hashes[first[i]:first[i + 1]] for i in full])
@@ -119,10 +132,10 @@ def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array((-1 - n).astype(np.int32)), pa.array(np.zeros(len(n), np.int32)), pa.nulls(len(n), pa.binary()), pa.array(sizes[n])], names)
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:
-        names = ["bucket", "level", "bitmap", "shingles", "times", "squares"]
+        names = ["bucket", "fold", "level", "bitmap", "shingles", "times", "squares"]
         bucket = key[0].as_py()
         if bucket < 0:
-            made = [(bucket, 0, None, sum(rows["sets"].to_pylist()), None, None)]
+            made = [(bucket, 0, 0, None, sum(rows["sets"].to_pylist()), None, None)]
         else:
             cells, times = [], []
             for packed in rows["cells"].to_pylist():
@@ -138,39 +151,50 @@ def commonness(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             made, level = [], LEVELS[0]
             while (times >= level).any():
                 cells, times = cells[times >= level], times[times >= level]
-                marks = np.zeros(BITMAP_BITS, np.uint8)
-                marks[cells % BITMAP_BITS] = 1
-                made.append((bucket, level, np.packbits(marks, bitorder="little").tobytes(), len(cells), int(times.sum()), int((times * times).sum())))
+                sums = (len(cells), int(times.sum()), int((times * times).sum()))
+                fold = cells // BITMAP_BITS % (FOLDS if level == LEVELS[0] else 1)
+                for k in np.unique(fold).tolist():
+                    marks = np.zeros(BITMAP_BITS, np.uint8)
+                    marks[cells[fold == k] % BITMAP_BITS] = 1
+                    made.append((bucket, k, level, np.packbits(marks, bitorder="little").tobytes(), *sums))
+                    sums = (0, 0, 0)
                 level *= LEVELS[1]
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made) if made else [()] * 6, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made) if made else [()] * 7, kinds)], names)
 
-    cells = docs.select(F.col(text_col).alias("text")).mapInArrow(blocks, "bucket int, part int, cells binary, sets long")
-    return cells.groupBy("bucket", "part").applyInArrow(summed, "bucket int, level long, bitmap binary, shingles long, times long, squares long")
+    cells = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(blocks, "bucket int, part int, cells binary, sets long")
+    return cells.groupBy("bucket", "part").applyInArrow(summed, "bucket int, fold int, level long, bitmap binary, shingles long, times long, squares long")
 
 
 class Common:
-    """Which shingles are in how many sets: a few bitmaps of bounded size, one for each level that doesn't fill them."""
+    """Which shingles are in how many sets: a bitmap of the least level, and one of each of two others that don't fill it. Their size is bounded."""
 
     def __init__(self, counts: DataFrame):
         per = counts.where("level > 0").groupBy("level").agg(F.sum("shingles").alias("n"), F.sum("times").alias("times"), F.sum("squares").alias("squares"))
         per = sorted((r["level"], r["n"], r["times"], r["squares"]) for r in per.toLocalIterator())  # levels are powers
-        self.levels = [level for level, n, _, _ in per if n <= BITS // 3][:3]
-        known = {level: (times, squares) for level, _, times, squares in per}
-        (t, s), (u, v) = (known.get(level, (0, 0)) for level in (LEVELS[0], LEVELS[0] * LEVELS[1]))
+        #: A shingle that isn't marked is surely in one set only, so the least level is never left out.
+        self.levels = [LEVELS[0], *[level for level, n, _, _ in per[1:] if n <= BITS // 3][:2]]
+        known = {level: (n, times, squares) for level, n, times, squares in per}
+        (n, t, s), (_, u, v) = (known.get(level, (0, 0, 0)) for level in (LEVELS[0], LEVELS[0] * LEVELS[1]))
         self.list_length = (s - v) / max(1, t - u)  # of the shared shingles that sets post first
-        self.packed = np.zeros((len(self.levels), BITS // 8), np.uint8)
-        chosen = counts.where(F.col("level").isin(self.levels)).groupBy("bucket", "level").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+        folds = 1
+        while folds < FOLDS and folds * BITS < SPARE * n:
+            folds *= 2
+        self.packed = [np.zeros(BITS // 8 * k, np.uint8) for k in (folds, 1, 1)[:len(self.levels)]]
+        chosen = counts.where(F.col("level").isin(self.levels)).groupBy("bucket", "level", (F.col("fold") % folds).alias("fold")).agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
         for row in chosen.toLocalIterator():
-            at = row["bucket"] * BITMAP_BITS // 8
-            self.packed[self.levels.index(row["level"]), at:at + BITMAP_BITS // 8] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
-        #: Class 0 is surely in one set only. (With very many shingles, the least level that is marked is higher.)
-        self.tells_alone = not per or self.levels[:1] == [LEVELS[0]]
+            packed = self.packed[self.levels.index(row["level"])]
+            at = row["bucket"] * BITMAP_BITS // 8 + row["fold"] * BITS // 8
+            packed[at:at + BITMAP_BITS // 8] = np.frombuffer(bytes(row["bitmap"]), np.uint8)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
-        """How many of the levels each shingle reaches: rarest 0."""
-        at = ((hashes >> U(53)).astype(np.int64) << 15) | ((hashes >> U(21)) & U(BITMAP_BITS - 1)).astype(np.int64)
+        """How many of the levels each shingle reaches: rarest 0, surely in one set only."""
+        cell = hashes >> U(21)
+        fold = (cell // U(BITMAP_BITS)).astype(np.int64)
+        place = ((hashes >> U(53)).astype(np.int64) << 15) | (cell & U(BITMAP_BITS - 1)).astype(np.int64)
         out = np.zeros(len(hashes), np.int64)
         for packed in self.packed:
+            at = place + fold % (len(packed) * 8 // BITS) * BITS
             out += (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         return out
 
@@ -187,8 +211,8 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) ->
     return best
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common, boundary: int) -> DataFrame:
-    """One pass over the texts: rows (doc_id, row, n, sid) of the documents (row: a hash of id and text), and rows (n, sid, key, score) of what each set posts (score: the lower, the commoner its shingles are), once for equal sets that one step meets."""
+def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common, chosen, boundary: int) -> DataFrame:
+    """One pass over the texts: rows (doc_id, row, n, sid) of the documents (row: a hash of id and text), and rows (n, sid, key, score) of what the set of each document that passes the filter chosen posts (score: the lower, the commoner its shingles are), once for equal sets that one step meets."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +222,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 hashes, first, _ = shingle_sets(data, offs, size)
                 sid, n = set_ids(hashes, first), np.diff(first)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(sid), *(pa.nulls(len(rows), pa.int64()),) * 2], names)
-                keep = np.zeros(len(n), bool)
-                keep[np.unique(sid, return_index=True)[1]] = True
+                keep, may = np.zeros(len(n), bool), np.flatnonzero(maybe_in(chosen.value, rows.column(1).to_numpy()))
+                keep[may[np.unique(sid[may], return_index=True)[1]]] = True
                 owner = np.repeat(np.arange(len(n)), n)
                 kind = known.classes(hashes)
                 order = np.lexsort((hashes, kind, owner))  # rarest first
@@ -207,11 +231,10 @@ def profile(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 rank = np.arange(len(hashes)) - first[:-1][owner]
                 spare = n - -(-percent * n // 100)
                 score = -(1000 * np.bincount(owner, kind, len(n)).astype(np.int64) // np.maximum(n, 1))
-                can = (kind > 0) | (not known.tells_alone)
                 posts = keep & (n > 0) & ((n > boundary) | (n * 100 >= percent * (boundary + 1)))
-                mine = can & posts[owner] & (rank <= spare[owner])
+                mine = (kind > 0) & posts[owner] & (rank <= spare[owner])
                 keys, of = [hashes[mine]], [owner[mine]]
-                pairs = can & (keep & (n > 1) & (n <= boundary))[owner] & (rank <= spare[owner] + 1)
+                pairs = (kind > 0) & (keep & (n > 1) & (n <= boundary))[owner] & (rank <= spare[owner] + 1)
                 head, whose = hashes[pairs], owner[pairs]
                 at, many = np.unique(whose, return_index=True, return_counts=True)[1:]
                 for i, k in zip(at[many > 1], many[many > 1]):
@@ -261,7 +284,7 @@ def compare(star: DataFrame, sets: DataFrame, percent: int, common) -> DataFrame
                 linked.append(bool(len(differences) * (100 + percent) <= (len(x) + len(y)) * (100 - percent)))
                 sizes.append(len(x))
                 most = (100 - percent) * (len(x) + len(x) * 100 // percent) // (100 + percent)
-                posted.append(rows_of(pivots[k], differences, most, int((kind == 0).sum()) if known.tells_alone else 0, False))
+                posted.append(rows_of(pivots[k], differences, most, int((kind == 0).sum()), False))
             yield compared(nodes, pivots, linked, sizes, posted)
 
     return both.select("node", "pivot", "x", "y").mapInArrow(run, COMPARED)
@@ -299,12 +322,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row_key() of the row; stays is true for its component's first row by (id, row), a null id last, and for empty sets.
     """
     spark = docs.sparkSession
-    counts = stage(commonness(docs, text_col, size), "commonness")
+    chosen = spark.sparkContext.broadcast(first_texts(docs, id_col, text_col))
+    counts = stage(commonness(docs, id_col, text_col, size, chosen), "commonness")
     known = Common(counts)
     sizes = {-1 - r["bucket"]: r["n"] for r in counts.where("bucket < -1").groupBy("bucket").agg(F.sum("shingles").alias("n")).toLocalIterator()}
     boundary = choose_boundary(sizes, known.list_length, percent)
     common = spark.sparkContext.broadcast(known)
-    seen = stage(profile(docs, id_col, text_col, size, percent, common, boundary), "profile")
+    seen = stage(profile(docs, id_col, text_col, size, percent, common, chosen, boundary), "profile")
+    chosen.destroy()
     own = seen.where("key is null").select("doc_id", "row", "n", "sid")
     lists = stage(lists_of(seen.where("key is not null").select("key", F.col("sid").alias("node"), "score"), "score"), "lists")
     found = class_components(docs, lists, own, id_col, text_col, size, percent, common)

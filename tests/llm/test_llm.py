@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels, with nulls, repeats, ties and clashing columns."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -97,6 +98,56 @@ def test_op10_boundary_is_by_cost():
     assert 0 < jaccard_join.choose_boundary({n: 10 for n in range(1, 200)}, 3.0, 80) < 60
 
 
+def posted_and_components(df, monkeypatch, counted=None):
+    """How many rows near_duplicates() posts, and its components; counted: what becomes of the counts."""
+    staged, counts = {}, jaccard_join.commonness
+    monkeypatch.setattr(jaccard_join, "stage", lambda made, name: staged.setdefault(name, shared.stage(made, name)) if name == "profile" else shared.stage(made, name))
+    monkeypatch.setattr(jaccard_join, "commonness", lambda *a: counted(counts(*a)) if counted else counts(*a))
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()}
+    monkeypatch.undo()
+    return staged["profile"].where("key is not null").count(), found
+
+
+def hundred_words(kind, changed=()):
+    return " ".join(f"{kind}x{i}" if i in changed else f"{kind}w{i}" for i in range(100))
+
+
+def test_op10_counts_many_shared_shingles(spark, monkeypatch):
+    # Pairs of near copies, and texts that share a fifth with one other: their shingles are in two sets, all others in one.
+    texts = [hundred_words(k // 2, (3,) if k % 2 else ()) for k in range(40)] + [f"{hundred_words(k)} {' '.join(f's{k // 2}y{i}' for i in range(20))}" for k in range(100, 160)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n, found = posted_and_components(df, monkeypatch)
+    # As if every shared shingle stood for 20,000: far more than a bitmap of 8 MB tells apart.
+    many, same = posted_and_components(df, monkeypatch, lambda counts: counts.withColumn("shingles", (F.col("shingles") * 20_000).cast("long")))
+    assert found == same == {k: k - k % 2 if k < 40 else k for k in range(100)}
+    assert n <= many <= 1.2 * n
+
+
+def test_op10_bitmap_of_shared_shingles_grows(spark):
+    texts = [hundred_words(k // 2, (50,) if k % 2 else ()) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chosen = spark.sparkContext.broadcast(jaccard_join.first_texts(df, "doc_id", "text"))
+    counts = jaccard_join.commonness(df, "doc_id", "text", 5, chosen)
+    data, ends = "".join(texts).encode(), np.cumsum([len(t) for t in texts])
+    every, times = np.unique(jaccard_join.shingle_sets(np.frombuffer(data, np.uint8), np.append(0, ends), 5)[0], return_counts=True)
+    for most in (1, 20_000, 50_000, 10 ** 6):
+        known = jaccard_join.Common(counts.withColumn("shingles", F.col("shingles") * most))
+        n = (times > 1).sum() * most
+        assert len(known.packed[0]) == (8 << 20) * (1 if 4 * n <= 1 << 26 else 8 if 4 * n > 1 << 28 else 1 << (int(4 * n - 1) >> 26).bit_length())
+        kind = known.classes(every)
+        assert (kind[times > 1] == 1).all() and (kind[times == 1] == 0).mean() > 0.99
+
+
+def test_op10_copies_of_a_text_post_once(spark, monkeypatch):
+    texts = [hundred_words(k) for k in range(30)] + [hundred_words(100 + k // 2, (3,) if k % 2 else ()) for k in range(20)]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    n, found = posted_and_components(once, monkeypatch)
+    copies = [once.withColumn("doc_id", F.col("doc_id") + 50 * k) for k in range(4)]
+    more, same = posted_and_components(functools.reduce(lambda a, b: a.union(b), copies), monkeypatch)
+    assert same == {i + 50 * k: c for i, c in found.items() for k in range(4)}
+    assert more == n
+
+
 def test_op8_lines(spark, empty):
     r = random.Random(5)
     base = ["".join(r.choice("ab ") for _ in range(r.randrange(26, 34))) for _ in range(15)]
